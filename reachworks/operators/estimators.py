@@ -14,12 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reachworks.functions.scalars import Z975
 from reachworks.operators.aggregates import keep_max, n_rows
 from reachworks.operators.joins import band_count, natural_join
 
-ESTIMATE = "struct<N:double,SE:double,p:double,pSE:double>"
+ESTIMATE = StructType([StructField(f, DoubleType()) for f in ("N", "SE", "p", "pSE")])
 # Fixed labels.
 SEBER, CARLE_STRUB, CHAPMAN, RATIO = "Seber", "Carle Strub", "Chapman", "Ratio Est."
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from reachworks.functions.scalars import Z975, unite
 from reachworks.operators.aggregates import quantiles
@@ -15,6 +16,8 @@ from reachworks.operators.joins import exists_flag, natural_join, with_group_sta
 from reachworks.operators.ordered import exact_quantiles
 
 MAX_LEVELS = 200
+VECTOR = ArrayType(DoubleType())
+MATRIX = ArrayType(VECTOR)
 
 
 # ---- strata and weights --------------------------------------------------------------
@@ -104,7 +107,7 @@ def _square(flat: np.ndarray, k: int) -> np.ndarray:
     return m
 
 
-@F.pandas_udf("struct<coef:array<double>,inv:array<array<double>>>")
+@F.pandas_udf(StructType([StructField("coef", VECTOR), StructField("inv", MATRIX)]))
 def _solve(xtx: pd.Series, xty: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(xtx, xty):
@@ -114,7 +117,7 @@ def _solve(xtx: pd.Series, xty: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["coef", "inv"])
 
 
-@F.pandas_udf("array<array<double>>")
+@F.pandas_udf(MATRIX)
 def _sandwich(inv: pd.Series, meat: pd.Series) -> pd.Series:
     out = []
     for a, m in zip(inv, meat):
