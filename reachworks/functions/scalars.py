@@ -121,4 +121,5 @@ def expand_by_fraction(count: str | Column, percent: str | Column) -> Column:
 def format_estimate(est: str | Column, cv: str | Column) -> Column:
     """``"1,234 (0.12)"``; a missing part shows as ``NA``, as pasted text does."""
     return F.concat(F.coalesce(F.format_number(F.bround(_c(est), 0), 0), F.lit("NA")), F.lit(" ("),
-                    F.coalesce(F.format_string("%.2f", F.bround(_c(cv), 2)), F.lit("NA")), F.lit(")"))
+                    F.coalesce(F.when(_c(cv).isNotNull(), F.format_string("%.2f", F.bround(_c(cv), 2))), F.lit("NA")),
+                    F.lit(")"))

@@ -122,7 +122,8 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
     keys = list(keys)
     carried = [c for c in right.columns if c not in keys]
     # Copies of one right instant collapse to its lowest id before the scan.
-    r1 = right.groupBy(*keys, F.col(rt).alias("__t")).agg(F.min(F.struct(rid, *carried)).alias("__r"))
+    r1 = right.groupBy(*keys, F.col(rt).alias("__t")).agg(
+        F.min(F.struct(rid, *[c for c in carried if c != rid])).alias("__r"))
     r = r1.select(*keys, "__t", F.lit(0).alias("__side"), F.lit(None).cast(left.schema[lid].dataType).alias("__id"),
                   F.struct("__t", "__r").alias("__p"))
     l = left.select(*keys, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.col(lid).alias("__id"),
