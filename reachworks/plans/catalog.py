@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from reachworks.plans import queries_frames, queries_joins, queries_space  # noqa: F401
+from reachworks.plans import queries_frames, queries_joins, queries_space, queries_survey  # noqa: F401
 from reachworks.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -62,10 +62,10 @@ def _(t):
 
 
 @query("snap_to_line", f"""WITH {SNAP_SQL}
-SELECT point_id, line_id, seg_no, round(d, 4) AS snap_dist, round(px, 4) AS snap_x, round(py, 4) AS snap_y FROM near WHERE d <= 500""")
+SELECT point_id, line_id, round(d, 4) AS snap_dist, round(px, 4) AS snap_x, round(py, 4) AS snap_y FROM near WHERE d <= 500""")
 def _(t):
     s = K.snap_points(V.points(t), V.segments(t), 500.0)
-    return s.select("point_id", "line_id", "seg_no", r4("snap_dist"), r4("snap_x"), r4("snap_y"))
+    return s.select("point_id", "line_id", r4("snap_dist"), r4("snap_x"), r4("snap_y"))
 
 
 @query("nearest_reach", f"WITH {SNAP_SQL} SELECT point_id, line_id, round(d, 4) AS snap_dist FROM near")
@@ -185,20 +185,19 @@ FROM areas a LEFT JOIN tot t ON t.poly_id = a.poly_id LEFT JOIN (SELECT poly_id,
   sum(cap_per_m_se * tot_length) / sum(CASE WHEN cap_per_m_se IS NOT NULL THEN tot_length END) AS cap_per_m_se FROM strm GROUP BY 1) m ON m.poly_id = a.poly_id""")
 def _(t):
     polys, pts = V.polygons(t), _cap_points(t)
-    per = U.watershed_cap_points(polys, pts, _streams(t), "stream")
-    rows = U.point_rows_with_total(polys, pts, per, "stream")
+    rows = U.watershed_cap(polys, pts, _streams(t), "stream", by_stream=True)
     return rows.select("poly_id", "stream", "is_total", "n_pts", *[r4(c) for c in (
         "tot_length", "cap_per_m", "cap_per_m_se", "tot_cap", "tot_cap_se", "area")])
 
 
 @query("watershed_cap_reaches", f"""WITH {V.REACHES_SQL},
 d AS (SELECT * FROM reaches WHERE in_domain)
-SELECT watershed, stream, 0 AS is_total, count(DISTINCT reach_id) AS n_rchs, round(sum(length), 4) AS tot_length, round(sum(length * cap), 4) AS tot_cap,
+SELECT watershed, stream, 0 AS is_total, count(DISTINCT reach_id) AS n_rchs, round(sum(length), 4) AS tot_length, round(sum(length * cap), 6) AS tot_cap,
   round(sqrt(sum(pow(length * se, 2))), 4) AS tot_cap_se FROM d GROUP BY 1, 2
-UNION ALL SELECT watershed, 'Total', 1, count(DISTINCT reach_id), round(sum(length), 4), round(sum(length * cap), 4), round(sqrt(sum(pow(length * se, 2))), 4) FROM d GROUP BY 1""")
+UNION ALL SELECT watershed, 'Total', 1, count(DISTINCT reach_id), round(sum(length), 4), round(sum(length * cap), 6), round(sqrt(sum(pow(length * se, 2))), 4) FROM d GROUP BY 1""")
 def _(t):
     w = U.watershed_cap_reaches(V.reaches(t), ["watershed"], "stream")
-    return w.select("watershed", "stream", "is_total", "n_rchs", r4("tot_length"), r4("tot_cap"), r4("tot_cap_se")).orderBy(
+    return w.select("watershed", "stream", "is_total", "n_rchs", r4("tot_length"), F.round("tot_cap", 6).alias("tot_cap"), r4("tot_cap_se")).orderBy(
         "watershed", "is_total", "stream")
 
 
@@ -214,7 +213,7 @@ SELECT a.poly_id, round(area, 6) AS area, CAST(n_pts AS BIGINT) AS n_pts, round(
 FROM (SELECT * FROM areas UNION ALL SELECT n_name, 90 * 90 / 2.0 / 1e6 FROM nation) a LEFT JOIN tot t ON t.poly_id = a.poly_id""")
 def _(t):
     polys, pts = _with_empty(t), _cap_points(t)
-    tot = U.point_totals(polys, pts, U.watershed_cap_points(polys, pts, _streams(t), "stream"))
+    tot = U.watershed_cap(polys, pts, _streams(t), "stream")
     return tot.select("poly_id", F.round("area", 6).alias("area"), "n_pts", r4("tot_length"), r4("tot_cap"), r4("tot_cap_se"))
 
 
@@ -233,11 +232,11 @@ inside AS (SELECT seg_no AS reach_id, poly_id FROM hits GROUP BY 1, 2 HAVING sum
 
 
 @query("multi_watershed_rollup", f"""WITH {CLIP_SQL}, {_CAPS_SQL}
-SELECT poly_id, species, lifestage, count(DISTINCT reach_id) AS n_rchs, round(sum(length), 4) AS tot_length, round(sum(length * cap), 4) AS tot_cap,
+SELECT poly_id, species, lifestage, count(DISTINCT reach_id) AS n_rchs, round(sum(length), 4) AS tot_length, round(sum(length * cap), 6) AS tot_cap,
   round(sqrt(sum(pow(length * se, 2))), 4) AS tot_cap_se FROM inside JOIN caps USING (reach_id) WHERE in_domain GROUP BY 1, 2, 3""")
 def _(t):
     r = U.rollup_all(V.polygons(t), _seg_ids(t), _supplier_caps(t), "reach_id", ["species", "lifestage"])
-    return r.select("poly_id", "species", "lifestage", "n_rchs", r4("tot_length"), r4("tot_cap"), r4("tot_cap_se"))
+    return r.select("poly_id", "species", "lifestage", "n_rchs", r4("tot_length"), F.round("tot_cap", 6).alias("tot_cap"), r4("tot_cap_se"))
 
 
 @query("trap_capacity", f"""WITH {CLIP_SQL}, {_CAPS_SQL},

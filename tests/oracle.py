@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import threading
 import time
 from datetime import date, datetime
 
@@ -14,6 +15,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SQL_SECONDS = 60
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -44,7 +46,12 @@ def rows_of(names, rows):
 def compare(spark, con, folder, fn, sql):
     df = fn(spark, folder)
     got_names, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    cur = con.execute(sql)
+    watch = threading.Timer(SQL_SECONDS, con.interrupt)
+    watch.start()
+    try:
+        cur = con.execute(sql)
+    finally:
+        watch.cancel()
     want_names, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
@@ -70,6 +77,8 @@ def main(argv):
         if prefixes and not slug.startswith(prefixes):
             continue
         start = time.time()
+        watch = threading.Timer(150, spark.sparkContext.cancelAllJobs)
+        watch.start()
         try:
             if slug in catalog.ORACLE:
                 why = compare(spark, con, folder, fn, catalog.ORACLE[slug])
@@ -77,7 +86,8 @@ def main(argv):
                 n = len(fn(spark, folder).collect())
                 why = None if n else "no rows"
         except Exception as e:  # noqa: BLE001
-            why = f"{type(e).__name__}: {str(e)[:700]}"
+            why = f"{type(e).__name__}: {str(e)[:400]}"
+        watch.cancel()
         failed += why is not None
         print(f"{'ok  ' if why is None else 'FAIL'} {time.time() - start:6.1f}s {slug}{'' if slug in catalog.ORACLE else ' (rows only)'}"
               f"{'' if why is None else ': ' + why}", flush=True)
