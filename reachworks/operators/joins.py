@@ -114,7 +114,8 @@ def band_count(sites: DataFrame, events: DataFrame, on: Sequence[str], site_id:
 
 def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str, rt: str,
                  lid: str, rid: str, group_rows: int | None = None) -> DataFrame:
-    """For each left row the right row of the same key nearest in ``rt``; earlier, then lower id, on ties.
+    """For each left row the right row of the same key nearest in ``rt`` (a time or a number);
+    earlier, then lower id, on ties.
 
     One ordered pass over both sides, so a key with many rows on each side never makes pairs.
     Left rows whose key has no right row are dropped.
@@ -134,7 +135,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
     fwd = running(both, keys, order, {"__prev": ("max", F.col("__p"))}, group_rows=group_rows)
     bwd = running(fwd, keys, order, {"__next": ("min", F.col("__p"))}, descending=True, group_rows=group_rows)
     t, p, n = F.col(f"__l.{lt}"), F.col("__prev"), F.col("__next")
-    gap = lambda a, b: F.abs(a.cast("timestamp").cast("double") - b.cast("timestamp").cast("double"))
+    timed = left.schema[lt].dataType.simpleString().startswith(("timestamp", "date"))
+    num = lambda c: (c.cast("timestamp") if timed else c).cast("double")
+    gap = lambda a, b: F.abs(num(a) - num(b))
     best = F.when(n.isNull(), p).when(p.isNull(), n).when(
         gap(p["__t"], t) <= gap(n["__t"], t), p).otherwise(n)
     picked = bwd.where("__side = 1").withColumn("__best", best).where(F.col("__best").isNotNull())

@@ -253,12 +253,12 @@ def _(t):
 @query("design_weights", f"""WITH {_STRATA},
 site AS (SELECT DISTINCT species, watershed, CASE WHEN c_custkey % 6 = 0 THEN stratum END AS stratum, c_custkey, CAST(c_custkey % 90 + 10 AS DOUBLE) AS len FROM frame WHERE c_custkey % 3 = 0),
 w AS (SELECT s.*, coalesce(t.site_weight, len / 1000) AS wt FROM site s LEFT JOIN tab t ON t.species = s.species AND t.watershed = s.watershed AND t.stratum = s.stratum)
-SELECT species, watershed, c_custkey, round(wt, 6) AS site_weight, round(wt / sum(wt) OVER (PARTITION BY species, watershed), 8) AS adj_weight FROM w""")
+SELECT species, watershed, c_custkey, round(wt, 9) AS site_weight, round(wt / sum(wt) OVER (PARTITION BY species, watershed), 8) AS adj_weight FROM w""")
 def _(t):
     sites = _frame(t).where("c_custkey % 3 = 0").select("species", "watershed", F.when(F.col("c_custkey") % 6 == 0, F.col("stratum")).alias("stratum"), "c_custkey",
                                                          (F.col("c_custkey") % 90 + 10).cast("double").alias("len")).distinct()
     w = G.design_weights(sites, _strata(t), ["species", "watershed", "stratum"], ["species", "watershed"], "len")
-    return w.select("species", "watershed", "c_custkey", F.round("site_weight", 6).alias("site_weight"), F.round("adj_weight", 8).alias("adj_weight"))
+    return w.select("species", "watershed", "c_custkey", F.round("site_weight", 9).alias("site_weight"), F.round("adj_weight", 8).alias("adj_weight"))
 
 
 @query("frame_coverage", f"""WITH {_STRATA}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.session import freeze, tune  # noqa: F401
+from reachworks.session import shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,10 +25,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A fresh folder beside the cluster's checkpoints, readable by every executor."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            freeze(self.spark.range(1))
-        return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def query(slug: str, sql: str | None = None):

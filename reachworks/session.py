@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +39,20 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "reachworks") -
     return tune(spark)
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
-
-    Survives lost executors: the rows are read back from the shared folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reachworks-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing the rows once to the shared folder and reading them back.
+
+    Survives lost executors, computes its input a single time, and gives later steps a
+    columnar scan of known size to plan on.
+    """
+    path = f"{shared_folder(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
