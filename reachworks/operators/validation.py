@@ -247,7 +247,7 @@ def grouped_map(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFr
             row = {n: pdf[n].iloc[0] if n in keys else None for n in names}
             return pd.DataFrame([row | {"status": "failed"}])[names]
 
-    first = df.mapInPandas(shrink, mid_schema).withColumn("__part", F.pmod(F.xxhash64(
-        F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(fan_in)).cast("int"))
+    first = df.mapInPandas(shrink, mid_schema).withColumn("__part", F.pmod(
+        F.spark_partition_id(), F.lit(fan_in)).cast("int"))
     second = first.groupBy(*keys, "__part").applyInPandas(lambda p: partial(p.drop(columns="__part")), mid_schema)
     return second.groupBy(*keys).applyInPandas(attempt, schema)

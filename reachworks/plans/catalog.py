@@ -1,4 +1,5 @@
 """All registered queries."""
 
-from reachworks.plans import queries_frames, queries_joins, queries_space, queries_survey  # noqa: F401
+from reachworks.plans import (  # noqa: F401
+    queries_frames, queries_joins, queries_models, queries_space, queries_survey)
 from reachworks.plans.registry import ORACLE, QUERIES  # noqa: F401
