@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from reachworks.operators.estimators import ratio_est
 from reachworks.operators.joins import anti, natural_join
 from reachworks.operators.survey import _solve, _square, _upper, design_array, dot, levels, svy_lm
+from reachworks.session import freeze
 
 
 def binomial_fit(train: DataFrame, caught: str, trials: str, terms: str):
     """Logistic regression of caught out of trials; returns (features, model, covariance as a scalar)."""
-    data = train.where((F.col(trials) > 0) & (F.col(caught) >= 0) & (F.col(caught) <= F.col(trials))).withColumn(
-        "__share", F.col(caught) / F.col(trials)).withColumn("__n", F.col(trials).cast("double"))
-    features = RFormula(formula=f"__share ~ {terms}", featuresCol="__features", labelCol="__label", handleInvalid="skip").fit(data)
+    # Fitting reads the rows once per iteration, so the joins behind them run only once.
+    data = freeze(train.where((F.col(trials) > 0) & (F.col(caught) >= 0) & (F.col(caught) <= F.col(trials))).withColumn(
+        "obs_share", F.col(caught) / F.col(trials)).withColumn("__n", F.col(trials).cast("double")))
+    features = RFormula(formula=f"obs_share ~ {terms}", featuresCol="__features", labelCol="__label", handleInvalid="skip").fit(data)
     ready = features.transform(data)
     model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="__n", featuresCol="__features",
                                         labelCol="__label", maxIter=50, regParam=0.0).fit(ready)
@@ -42,7 +44,7 @@ def binomial_predict(fitted, score: DataFrame, p: str = "p", pse: str = "pSE") -
     var = dot(F.transform("__v", lambda r: dot(r, F.col("__x"))), F.col("__x"))
     q = F.col("prediction")
     return rows.withColumns({p: q, pse: q * (1 - q) * F.sqrt(F.greatest(var, F.lit(0.0)))}).drop(
-        "__features", "__label", "__x", "__v", "prediction")
+        "__features", "__label", "__x", "__v", "prediction", "obs_share")
 
 
 def capture_prob(train: DataFrame, score: DataFrame, caught: str, trials: str, terms: str) -> DataFrame:
@@ -69,16 +71,17 @@ def calibrate(train: DataFrame, score: DataFrame, species: str, unit: str, count
         a = a.withColumns({"Nhat": F.try_divide(count, "phat"),
                            "Nhat_se": F.try_divide(F.col(count) * F.col("phat_se"), F.col("phat") * F.col("phat"))})
         crews = levels(t, crew)
-        ready = t.withColumns({f"__c{i}": F.when(F.col(crew) == c, F.col(count)).otherwise(0.0) for i, c in enumerate(crews)})
-        x, names = design_array([f"__c{i}" for i in range(len(crews))], {})
+        slopes = {f"__c{i}": F.when(F.col(crew) == c, F.col(count)).otherwise(0.0) for i, c in enumerate(crews)}
+        ready = t.withColumns(slopes)
+        x, names = design_array(list(slopes), {})
         fit = svy_lm(ready.withColumn("__one", F.lit(1.0)), n, x, len(names), "__one")
-        coef, inv = fit.select("coef").scalar(), fit.select("inv").scalar()
-        err = F.col(n) - dot(x, coef)
-        s2 = ready.agg((F.sum(err * err) / F.greatest(F.count(F.lit(1)) - len(names), F.lit(1))).alias("s2")).scalar()
-        b = natural_join(unseen, t.select(crew).distinct(), "left_semi", [crew]).withColumns(
-            {f"__c{i}": F.when(F.col(crew) == c, F.col(count)).otherwise(0.0) for i, c in enumerate(crews)})
-        var = dot(F.transform(inv, lambda r: dot(r, x)), x) * s2
-        b = b.withColumns({"Nhat": dot(x, coef), "Nhat_se": F.sqrt(var)}).drop(*[f"__c{i}" for i in range(len(crews))])
+        # Crews never meet in one row, so the line is one slope per crew.
+        params = {"__coef": fit.select("coef").scalar(), "__inv": fit.select("inv").scalar()}
+        err = F.col(n) - dot(x, F.col("__coef"))
+        s2 = ready.withColumns(params).agg((F.sum(err * err) / F.greatest(F.count(F.lit(1)) - len(names), F.lit(1))).alias("s2")).scalar()
+        b = natural_join(unseen, t.select(crew).distinct(), "left_semi", [crew]).withColumns(slopes).withColumns(params)
+        var = dot(F.transform("__inv", lambda r: dot(r, x)), x)
+        b = b.withColumns({"Nhat": dot(x, F.col("__coef")), "Nhat_se": F.sqrt(var * s2)}).drop(*slopes, *params)
         b = b.withColumns({"phat": F.try_divide(count, "Nhat"),
                            "phat_se": F.try_divide(F.col(count) * F.col("Nhat_se"), F.col("Nhat") * F.col("Nhat"))})
         cols = [*score.columns, "phat", "phat_se", "Nhat", "Nhat_se"]
@@ -99,7 +102,7 @@ def dredge(train: DataFrame, y: str, terms: Sequence[str], fixed: Sequence[str]
            trials: str | None = None) -> DataFrame:
     """All sub-models with AICc, delta, weight and coefficients; one row per model.
 
-    Gaussian models all come from one pass of cross-product sums.  Binomial ones are fitted in turn.
+    Gaussian models all come from one pass of cross-product sums.  Binomial ones are fitted in turn and need at least one term.
     """
     spark = train.sparkSession
     rows = []
@@ -119,8 +122,8 @@ def dredge(train: DataFrame, y: str, terms: Sequence[str], fixed: Sequence[str]
             rows.append(_model_row(sub, n, p, loglik, dict(zip(["(Intercept)", *sub], map(float, coef)))))
     else:
         n = train.count()
-        for sub in subsets(terms, fixed):
-            _, model, _ = binomial_fit(train, y, trials, " + ".join(sub) if sub else "1")
+        for sub in filter(None, subsets(terms, fixed)):
+            _, model, _ = binomial_fit(train, y, trials, " + ".join(sub))
             names = ["(Intercept)", *[f"b{i}" for i in range(len(model.coefficients))]]
             p = len(names)
             loglik = -0.5 * (model.summary.aic - 2 * p)

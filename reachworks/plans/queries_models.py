@@ -16,6 +16,7 @@ from reachworks.operators import validation as W
 from reachworks.operators.impute import impute_missing
 from reachworks.plans import views as V
 from reachworks.plans.registry import query, r4
+from reachworks.session import freeze
 
 COVARS = ["size", "price", "effort"]
 LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort"}
@@ -24,9 +25,9 @@ LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort"}
 # ---- forests -------------------------------------------------------------------------
 
 def _train(t):
-    """Parts with complete covariates, two species."""
+    """Parts with complete covariates, two species; written once, as fitting and scoring read it many times."""
     d = V.part_covariates(t).withColumn("species", F.when(F.col("p_partkey") % 2 == 0, "Chinook").otherwise("Steelhead"))
-    return impute_missing(d, COVARS, "p_partkey", max_missing=1)
+    return freeze(impute_missing(d, COVARS, "p_partkey", max_missing=1))
 
 
 def _log_dens():
