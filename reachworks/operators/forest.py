@@ -22,6 +22,8 @@ from reachworks.operators.survey import levels
 
 # A leaf table up to this many rows (about 50 MB) is sent to every executor; larger ones are joined.
 LEAF_ROWS = 2_000_000
+# Rounding room when a cumulative share meets the quantile exactly.
+SLACK = 1e-9
 
 
 def assemble(df: DataFrame, covars: Sequence[str]) -> DataFrame:
@@ -70,38 +72,41 @@ def weighted_quantile(df: DataFrame, keys: Sequence[str], y: str, w: str, q: flo
     ran = running(merged, keys, [y], {"__cum": ("sum", F.col("__w"))}, group_rows=group_rows)
     total = merged.groupBy(*keys).agg(F.sum("__w").alias("__tot"))
     both = ran.join(total, keys)
-    reached = F.col("__cum") >= F.col("__tot") * F.lit(q) - F.col("__tot") * F.lit(1e-12)
+    reached = F.col("__cum") >= F.col("__tot") * F.lit(q - SLACK)
     return both.groupBy(*keys).agg(F.min(F.when(reached, F.col(y))).alias(out))
 
 
-def _scorer(spark: SparkSession, leaves: DataFrame, q: float):
+def _scorer(spark: SparkSession, pdf: pd.DataFrame, q: float):
     """Arrow scorer over a leaf table small enough to broadcast."""
-    pdf = leaves.toPandas()
     ys, yi = np.unique(pdf["y"].to_numpy(), return_inverse=True)
     width = int(pdf["leaf"].max()) + 1
-    cell = pdf["tree"].to_numpy() * width + pdf["leaf"].to_numpy()
-    order = np.argsort(cell, kind="stable")
-    cell, yi, w = cell[order], yi[order], pdf["w"].to_numpy()[order]
+    cell = pdf["tree"].to_numpy(dtype=np.int64) * width + pdf["leaf"].to_numpy()
+    place = cell * len(ys) + yi
+    order = np.argsort(place, kind="stable")
     n_cells = (int(pdf["tree"].max()) + 1) * width
-    start = np.searchsorted(cell, np.arange(n_cells + 1))
-    shared = spark.sparkContext.broadcast((ys, yi, w, start, width))
+    start = np.searchsorted(cell[order], np.arange(n_cells))
+    cum = np.concatenate(([0.0], np.cumsum(pdf["w"].to_numpy()[order])))
+    shared = spark.sparkContext.broadcast((ys, place[order], cum, start, width))
 
     @F.pandas_udf("double")
     def score(col: pd.Series) -> pd.Series:
-        ys, yi, w, start, width = shared.value
-        out = np.empty(len(col))
-        step = max(1, 4_000_000 // len(ys))
-        for i in range(0, len(col), step):
-            leaf = np.stack(col.iloc[i:i + step].to_numpy())
-            cells = leaf + np.arange(leaf.shape[1]) * width
-            lo, n = start[cells], start[cells + 1] - start[cells]
-            row = np.repeat(np.arange(len(leaf)), n.sum(axis=1))
-            n_, lo_ = n.ravel(), lo.ravel()
-            at = np.repeat(lo_ - np.concatenate(([0], np.cumsum(n_)[:-1])), n_) + np.arange(n_.sum())
-            mass = np.bincount(row * len(ys) + yi[at], weights=w[at], minlength=len(leaf) * len(ys)).reshape(len(leaf), -1)
-            cum = np.cumsum(mass, axis=1)
-            out[i:i + step] = ys[(cum >= (q - 1e-12) * cum[:, -1:]).argmax(axis=1)]
-        return pd.Series(out)
+        """Bisection on the rank of y: the mass at or below it is one lookup per tree."""
+        ys, place, cum, start, width = shared.value
+        leaf = np.stack(col.to_numpy()).astype(np.int64)
+        cells = leaf + np.arange(leaf.shape[1]) * width
+        first, floor = cells * len(ys), cum[start[cells]]
+
+        def mass(rank: np.ndarray) -> np.ndarray:
+            return (cum[np.searchsorted(place, first + rank[:, None], side="right")] - floor).sum(axis=1)
+
+        lo, hi = np.zeros(len(leaf), dtype=np.int64), np.full(len(leaf), len(ys) - 1)
+        goal = (q - SLACK) * mass(hi)
+        while (lo < hi).any():
+            mid = (lo + hi) // 2
+            enough = mass(mid) >= goal
+            hi = np.where(enough, mid, hi)
+            lo = np.where(enough, lo, np.minimum(mid + 1, hi))
+        return pd.Series(ys[hi])
 
     return score
 
@@ -115,8 +120,9 @@ def predict_quantile(model, leaves: DataFrame, df: DataFrame, covars: Sequence[s
     """
     limit = LEAF_ROWS if leaf_rows is None else leaf_rows
     rows = _leaf_array(model, df, covars)
-    if leaves.limit(limit + 1).count() <= limit:
-        scored = rows.withColumn("__q", _scorer(df.sparkSession, leaves, q)("__leaves")).select(rid, "__q")
+    small = leaves.limit(limit + 1).toPandas()
+    if len(small) <= limit:
+        scored = rows.withColumn("__q", _scorer(df.sparkSession, small, q)("__leaves")).select(rid, "__q")
     else:
         each = rows.select(rid, F.posexplode("__leaves").alias("tree", "leaf"))
         scored = weighted_quantile(each.join(leaves, ["tree", "leaf"]), [rid], "y", "w", q, "__q")

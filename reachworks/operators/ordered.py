@@ -63,18 +63,19 @@ def running(
     outs: dict[str, tuple[str, str | Column]],
     descending: bool = False,
     group_rows: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Running sum/max/min per group, ``outs = {name: (fn, column)}``.
 
     ``order`` must be a total order within a group (add a tie-break column, or aggregate
-    equal values first).
+    equal values first).  ``size`` is the largest group's row count where it is known already.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     keys, order = list(keys), list(order)
     sort = _ordering(order, descending)
     to_here = (Window.unboundedPreceding, Window.currentRow)
     exprs = {name: (fn, F.col(c) if isinstance(c, str) else c) for name, (fn, c) in outs.items()}
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if size is None else size) <= limit:
         w = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(*to_here)
         return df.withColumns({n: _FNS[fn](c).over(w) for n, (fn, c) in exprs.items()})
 

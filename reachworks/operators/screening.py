@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachworks.operators.aggregates import top_n
 from reachworks.operators.joins import natural_join, with_group_stats
-from reachworks.operators.ordered import running
+from reachworks.operators.ordered import largest_group, running
+from reachworks.session import freeze
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -20,16 +23,13 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return df.select(F.inline(F.array(*items))).where("xv is not null and yv is not null")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], col: str, out: str,
-                  group_rows: int | None = None) -> DataFrame:
-    """Distinct values of ``col`` per group with their tie-averaged rank."""
-    counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("__n"))
-    ran = running(counts, keys, [col], {"__cum": ("sum", F.col("__n"))}, group_rows=group_rows)
-    return ran.select(*keys, col, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out))
+def _cells(long: DataFrame) -> DataFrame:
+    """Counts of equal value pairs, written once: the rank scans read them several times."""
+    return freeze(long.groupBy("x", "y", "xv", "yv").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _spearman(long: DataFrame) -> DataFrame:
-    cells = long.groupBy("x", "y", "xv", "yv").agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(long)
     per_x = cells.groupBy("x", "y", "xv").agg(F.sum("n").alias("__n"))
     per_y = cells.groupBy("x", "y", "yv").agg(F.sum("n").alias("__n"))
 
@@ -52,7 +52,7 @@ def _kendall(long: DataFrame) -> DataFrame:
     the higher bits, so it is enough to know, per (level, shared prefix) and in order of y, how
     many rows came so far from the low side: work grows with n log n, never with pairs of rows.
     """
-    cells = long.groupBy("x", "y", "xv", "yv").agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(long)
     xs = cells.groupBy("x", "y", "xv").agg(F.sum("n").alias("nx"))
     dense = running(xs, ["x", "y"], ["xv"], {"rx": ("sum", F.lit(1).cast("bigint"))})
     size = dense.groupBy("x", "y").agg(
@@ -106,37 +106,58 @@ def collinear(df: DataFrame, category: Mapping[str, str], limit: float = 0.7,
 def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: float = 0.6) -> DataFrame:
     """Maximal information coefficient over equal-frequency grids with a*b <= n**alpha cells.
 
-    Ranks come from one ordered scan per axis; every grid is then a function of the two ranks,
-    so the joint counts of all grids are one map-side combined aggregate.
+    Ranks come from one ordered scan per axis; every grid is then a function of the two ranks.
+    Each partition counts its own rows into all grids and only cell counts are shuffled.
     """
     long = df.select(tie, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("xv"), F.col(response).cast("double").alias("yv"))
-        for c in covars]))).where("xv is not null and yv is not null")
-    rx = running(long, ["metric"], ["xv", tie], {"rx": ("sum", F.lit(1).cast("bigint"))})
-    ry = running(rx, ["metric"], ["yv", tie], {"ry": ("sum", F.lit(1).cast("bigint"))})
+        F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("xv"), F.col(response).cast("double").alias("yv"))
+        for k, c in enumerate(covars)]))).where("xv is not null and yv is not null")
+    long = freeze(long)
+    size = largest_group(long, ["metric"])
+    rx = running(long, ["metric"], ["xv", tie], {"rx": ("sum", F.lit(1).cast("bigint"))}, size=size)
+    ry = freeze(running(rx, ["metric"], ["yv", tie], {"ry": ("sum", F.lit(1).cast("bigint"))}, size=size))
     ranked = with_group_stats(ry, ["metric"], {"n": F.count(F.lit(1))}).withColumn(
         "cells", F.floor(F.pow(F.col("n").cast("double"), F.lit(alpha))).cast("int"))
 
-    def bins(rank: str, parts: str):
-        """ntile: the first n % parts bins hold one row more."""
-        n, p, r = F.col("n"), F.col(parts), F.col(rank) - 1
-        small = F.expr(f"n div {parts}")
-        extra = n % p
-        edge = extra * (small + 1)
-        return F.when(r < edge, F.expr(f"({rank} - 1) div ((n div {parts}) + 1)")).otherwise(
-            extra + F.expr(f"({rank} - 1 - (n % {parts}) * ((n div {parts}) + 1)) div (n div {parts})"))
-
-    grids = ranked.where("cells >= 4").withColumn("a", F.explode(F.expr("sequence(2, cells div 2)"))).withColumn(
-        "b", F.explode(F.expr("sequence(2, cells div a)")))
-    joint = grids.select("metric", "n", "a", "b", bins("rx", "a").alias("i"), bins("ry", "b").alias("j")).groupBy(
-        "metric", "n", "a", "b", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    joint = ranked.where("cells >= 4").select("metric", "n", "cells", "rx", "ry").mapInPandas(
+        _count_cells, "metric int, n bigint, a int, b int, i int, j int, c bigint").groupBy(
+        "metric", "n", "a", "b", "i", "j").agg(F.sum("c").alias("c"))
     # Bin sizes are known from n alone, so no marginal aggregate is needed.
     size = lambda parts, k: F.expr(f"(n div {parts}) + if({k} < n % {parts}, 1, 0)")
     term = F.col("c") / F.col("n") * F.ln(
         F.col("c").cast("double") * F.col("n") / (size("a", "i").cast("double") * size("b", "j")))
     info = joint.groupBy("metric", "a", "b").agg(F.sum(term).alias("mi"))
     score = F.col("mi") / F.ln(F.least("a", "b").cast("double"))
-    return info.groupBy("metric").agg(F.max(score).alias("mic"))
+    best = info.groupBy("metric").agg(F.max(score).alias("mic"))
+    return best.select(F.element_at(F.array(*[F.lit(c) for c in covars]), F.col("metric") + 1).alias("metric"), "mic")
+
+
+def _ntile(rank: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """Zero-based ntile of one-based ranks: the first n % parts bins hold one row more."""
+    small, extra = divmod(n, parts)
+    edge, r = extra * (small + 1), rank - 1
+    return np.where(r < edge, r // (small + 1), extra + (r - edge) // max(small, 1))
+
+
+def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cell counts of this partition's rows for every grid, one first-axis size at a time."""
+    held: dict[tuple, list[np.ndarray]] = {}
+    for pdf in batches:
+        for key, g in pdf.groupby(["metric", "n", "cells"], sort=False):
+            held.setdefault(key, []).append(g[["rx", "ry"]].to_numpy())
+    for (metric, n, cells), parts in held.items():
+        width = np.int32 if n < 2**31 else np.int64
+        rx, ry = np.vstack(parts).T.astype(width, order="C")
+        for a in range(2, cells // 2 + 1):
+            left = _ntile(rx, n, a)
+            bs, at, counts = [], [], []
+            for b in range(2, cells // a + 1):
+                c = np.bincount(left * b + _ntile(ry, n, b), minlength=a * b)
+                at.append(np.flatnonzero(c))
+                counts.append(c[at[-1]])
+                bs.append(np.full(len(at[-1]), b, dtype=np.int32))
+            b_, at_ = np.concatenate(bs), np.concatenate(at)
+            yield pd.DataFrame({"metric": metric, "n": n, "a": a, "b": b_, "i": at_ // b_, "j": at_ % b_, "c": np.concatenate(counts)})
 
 
 def select_metrics(scores: DataFrame, prof: DataFrame, category: Mapping[str, str], n: int = 5) -> DataFrame:
