@@ -173,7 +173,9 @@ def design_vcov(df: DataFrame, fit: DataFrame, y: str, x: Column, k: int, w: str
         alone = F.lit(0.0) if lonely == "certainty" else (a - F.col("__g")[i]) * (b - F.col("__g")[j])
         parts.append(F.sum(F.when(F.col("n") > 1, spread).otherwise(alone)))
     meat = per.groupBy(*by).agg(F.array(*parts).alias("meat"))
-    both = natural_join(fit, meat, "inner", by) if by else fit.withColumn("meat", meat.scalar())
+    # Without groups both sides are a single row.
+    one = lambda d: d.withColumn("__one", F.lit(1))
+    both = natural_join(fit, meat, "inner", by) if by else one(fit).join(one(meat), "__one").drop("__one")
     return both.withColumn("vcov", _sandwich("inv", "meat")).drop("meat")
 
 

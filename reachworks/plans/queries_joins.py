@@ -25,11 +25,11 @@ _VISITS = """visits AS (SELECT o_orderkey AS visit, o_custkey AS site, CAST(year
 # ---- joins ---------------------------------------------------------------------------
 
 @query("inner_join", f"""WITH {_VISITS},
-s AS (SELECT year, season, round(avg(metric), 4) AS mean_metric FROM visits GROUP BY 1, 2)
+s AS (SELECT year, season, round(avg(metric), 6) AS mean_metric FROM visits GROUP BY 1, 2)
 SELECT v.visit, v.year, v.season, s.mean_metric FROM visits v JOIN s ON v.year = s.year AND v.season IS NOT DISTINCT FROM s.season""")
 def _(t):
     v = _visits(t)
-    s = v.groupBy("year", "season").agg(F.round(F.avg("metric"), 4).alias("mean_metric"))
+    s = v.groupBy("year", "season").agg(F.round(F.avg("metric"), 6).alias("mean_metric"))
     return J.natural_join(v.select("visit", "year", "season"), s, "inner")
 
 
