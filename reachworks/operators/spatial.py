@@ -23,6 +23,9 @@ GRS80_A = 6378137.0
 GRS80_F = 1 / 298.257222101
 ALBERS_LAT1, ALBERS_LAT2, ALBERS_LAT0, ALBERS_LON0 = 29.5, 45.5, 23.0, -96.0
 
+# Largest polygon table sent to every executor.
+EDGE_LIMIT = 500_000
+
 
 def to_albers(lon: str | Column, lat: str | Column) -> tuple[Column, Column]:
     """Degrees to equal-area metres (Snyder 1987, ellipsoidal forward equations)."""
@@ -89,6 +92,13 @@ def _box_cells(df: DataFrame, x0, x1, y0, y1, size: float) -> DataFrame:
         "cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
 
 
+def _sent(df: DataFrame, edges: str) -> DataFrame:
+    """Broadcast a polygon table whose counted rows and edges stay under EDGE_LIMIT (some 25 MB);
+    a larger one is left to a shuffled join."""
+    rows, n = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(edges)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= EDGE_LIMIT and n <= EDGE_LIMIT else df
+
+
 # ---- points and polygons -------------------------------------------------------------
 
 def pip_join(points: DataFrame, polys: DataFrame, attrs: Sequence[str] = ("poly_id",), cell: float = 2000.0,
@@ -107,7 +117,7 @@ def pip_join(points: DataFrame, polys: DataFrame, attrs: Sequence[str] = ("poly_
     pts = points.withColumns({"cx": _cell("x", cell), "cy": _cell("y", cell)})
     crossed = F.filter("__near", lambda e: ((e["ay"] > F.col("y")) != (e["by"] > F.col("y")))
                        & (F.col("x") < e["ax"] + (F.col("y") - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
-    joined = pts.join(cells, ["cx", "cy"]).where(
+    joined = pts.join(_sent(cells, "__near"), ["cx", "cy"]).where(
         F.col("x").between(F.col("px0"), F.col("px1")) & F.col("y").between(F.col("py0"), F.col("py1")))
     return joined.where(F.size(crossed) % 2 == 1).select(*points.columns, *attrs)
 
@@ -269,7 +279,7 @@ def _pairs(segs: DataFrame, polys: DataFrame, attrs: Sequence[str], cell: float,
     met = sc.join(pc, ["cx", "cy"]).where(
         (sx0 <= F.col("px1")) & (sx1 >= F.col("px0")) & (sy0 <= F.col("py1")) & (sy1 >= F.col("py0"))
         & (F.col("cx") == _cell(F.greatest(sx0, F.col("px0")), cell)) & (F.col("cy") == _cell(F.greatest(sy0, F.col("py0")), cell)))
-    rings = boxed.select(*attrs, "__edges")
+    rings = _sent(boxed.select(*attrs, "__edges"), "__edges")
     return met.drop("cx", "cy", "px0", "px1", "py0", "py1").join(rings, list(attrs)).withColumn("__t", _crossings())
 
 
