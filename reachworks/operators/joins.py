@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reachworks.operators.ordered import largest_group, running
+from reachworks.operators.ordered import group_sizes, running
 
 # A group this large is spread over SALTS tasks.  At most rows/HOT_ROWS keys can qualify,
 # so the list of hot keys stays broadcastable.
@@ -132,7 +132,7 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
                     F.struct(*left.columns).alias("__l"))
     both = l.unionByName(r.withColumn("__l", F.lit(None).cast(l.schema["__l"].dataType)))
     order = ["__t", "__side", "__id"]
-    size = largest_group(left.select(*keys).unionByName(right.select(*keys)), keys)
+    size = group_sizes(left.select(*keys).unionByName(right.select(*keys)), keys)
     fwd = running(both, keys, order, {"__prev": ("max", F.col("__p"))}, group_rows=group_rows, size=size)
     bwd = running(fwd, keys, order, {"__next": ("min", F.col("__p"))}, descending=True, group_rows=group_rows, size=size)
     t, p, n = F.col(f"__l.{lt}"), F.col("__prev"), F.col("__next")

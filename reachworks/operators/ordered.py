@@ -11,6 +11,7 @@ number of partitions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,24 +19,33 @@ from pyspark.sql import functions as F
 from reachworks.session import freeze
 
 GROUP_ROWS = 2_000_000
+PARTITION_ROWS = 2_000_000
 _PID = "__pid"
 _FNS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group (one number comes back to the driver)."""
+class Sizes(NamedTuple):
+    largest: int
+    rows: int
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
+    """Rows of the biggest group and of the table (two numbers come back to the driver)."""
     if not keys:
-        return df.count()
+        n = df.count()
+        return Sizes(n, n)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    top, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    return Sizes(top or 0, rows or 0)
 
 
 def _ordering(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
-def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
+    """Partitions follow the row count, so each stays small however long the table is."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
     return freeze(df.repartitionByRange(n, *keys, *order).withColumn(_PID, F.spark_partition_id()))
 
 
@@ -63,24 +73,25 @@ def running(
     outs: dict[str, tuple[str, str | Column]],
     descending: bool = False,
     group_rows: int | None = None,
-    size: int | None = None,
+    size: Sizes | None = None,
 ) -> DataFrame:
     """Running sum/max/min per group, ``outs = {name: (fn, column)}``.
 
     ``order`` must be a total order within a group (add a tie-break column, or aggregate
-    equal values first).  ``size`` is the largest group's row count where it is known already.
+    equal values first).  ``size`` gives the group sizes where they are known already.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
     keys, order = list(keys), list(order)
     sort = _ordering(order, descending)
     to_here = (Window.unboundedPreceding, Window.currentRow)
     exprs = {name: (fn, F.col(c) if isinstance(c, str) else c) for name, (fn, c) in outs.items()}
-    if (largest_group(df, keys) if size is None else size) <= limit:
+    size = size or group_sizes(df, keys)
+    if size.largest <= limit:
         w = Window.partitionBy(*keys).orderBy(*sort).rowsBetween(*to_here)
         return df.withColumns({n: _FNS[fn](c).over(w) for n, (fn, c) in exprs.items()})
 
     base = df.withColumns({f"__in_{n}": c for n, (_, c) in exprs.items()})
-    ranged = _ranged(base, keys, order)
+    ranged = _ranged(base, keys, order, size.rows)
     w = Window.partitionBy(_PID, *keys).orderBy(*sort).rowsBetween(*to_here)
     local = ranged.withColumns({n: _FNS[fn](f"__in_{n}").over(w) for n, (fn, _) in exprs.items()})
     totals = _spanning(ranged, keys).groupBy(_PID, *keys).agg(
@@ -95,16 +106,11 @@ def running(
     )
     on = [local[_PID] == carry["__c_pid"]] + [local[k].eqNullSafe(carry[f"__c_{k}"]) for k in keys]
     joined = local.join(F.broadcast(carry), on, "left")
-    combine = {
-        "sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
-        "max": lambda a, b: F.greatest(a, b),
-        "min": lambda a, b: F.least(a, b),
-    }
 
     def merged(name: str, fn: str) -> Column:
         here, carried = F.col(name), F.col(f"__c_out_{name}")
         if fn == "sum":
-            return combine[fn](here, carried)
+            return F.when(here.isNull(), carried).when(carried.isNull(), here).otherwise(here + carried)
         pick = (carried > here) if fn == "max" else (carried < here)
         return F.when(here.isNull(), carried).when(pick, carried).otherwise(here)
 
@@ -124,10 +130,11 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     limit = GROUP_ROWS if group_rows is None else group_rows
     keys, order = list(keys), list(order)
     sort = _ordering(order, False)
-    if largest_group(df, keys) <= limit:
+    size = group_sizes(df, keys)
+    if size.largest <= limit:
         w = Window.partitionBy(*keys).orderBy(*sort)
         return df.withColumns({n: F.lead(c).over(w) for n, c in outs.items()})
-    ranged = _ranged(df, keys, order)
+    ranged = _ranged(df, keys, order, size.rows)
     w = Window.partitionBy(_PID, *keys).orderBy(*sort)
     payload = F.struct(*[F.col(c).alias(n) for n, c in outs.items()])
     local = ranged.withColumn("__lead", F.lead(payload).over(w))
@@ -156,7 +163,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, ps: Sequence[f
     limit = GROUP_ROWS if group_rows is None else group_rows
     keys = list(keys)
     data = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("__v"))
-    if largest_group(data, keys) <= limit:
+    if group_sizes(data, keys).largest <= limit:
         arr = F.percentile("__v", F.array(*[F.lit(float(p)) for p in ps]))
         return (data.groupBy(*keys) if keys else data.groupBy()).agg(arr.alias("q"))
     counts = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reachworks.operators.aggregates import top_n
 from reachworks.operators.joins import natural_join, with_group_stats
-from reachworks.operators.ordered import largest_group, running
+from reachworks.operators.ordered import group_sizes, running
 from reachworks.session import freeze
 
 
@@ -113,7 +113,7 @@ def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: fl
         F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("xv"), F.col(response).cast("double").alias("yv"))
         for k, c in enumerate(covars)]))).where("xv is not null and yv is not null")
     long = freeze(long)
-    size = largest_group(long, ["metric"])
+    size = group_sizes(long, ["metric"])
     rx = running(long, ["metric"], ["xv", tie], {"rx": ("sum", F.lit(1).cast("bigint"))}, size=size)
     ry = freeze(running(rx, ["metric"], ["yv", tie], {"ry": ("sum", F.lit(1).cast("bigint"))}, size=size))
     ranked = with_group_stats(ry, ["metric"], {"n": F.count(F.lit(1))}).withColumn(

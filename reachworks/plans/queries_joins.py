@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reachworks.functions import scalars as S
 from reachworks.operators import aggregates as A
 from reachworks.operators import frames as R
 from reachworks.operators import joins as J

@@ -12,7 +12,7 @@ from reachworks.operators import joins as J
 from reachworks.operators import screening as C
 from reachworks.operators import survey as G
 from reachworks.plans import views as V
-from reachworks.plans.registry import query, r4
+from reachworks.plans.registry import query
 
 # ---- abundance -----------------------------------------------------------------------
 
