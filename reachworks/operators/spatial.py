@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachworks.operators.joins import anti, natural_join
@@ -194,34 +194,60 @@ def snap_points(points: DataFrame, segs: DataFrame, max_dist: float, pid: str =
 
 def nearest(points: DataFrame, segs: DataFrame, pid: str = "point_id", line: str = "line_id",
             start: float = 250.0) -> DataFrame:
-    """Nearest line for every point, however far: the ring widens until all points are matched.
+    """Nearest line for every point, however far.
 
+    Points within ``start`` of a line are matched directly; the others walk down a grid hierarchy.
     Points at one place are searched once.
     """
-    box = lambda df, xs, ys: df.agg(
-        *[f(F.expr(f"{g}({c}, {c2})")) for c, c2 in (xs, ys) for f, g in ((F.min, "least"), (F.max, "greatest"))]).first()
-    a, b = box(points, ("x", "x"), ("y", "y")), box(segs, ("x1", "x2"), ("y1", "y2"))
-    if a[0] is None or b[0] is None:
-        return _snap_once(points, segs, pid, line, start, [])
-    reach = math.hypot(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])) + 1.0
     places = freeze(points.where("x is not null and y is not null").groupBy("x", "y").agg(F.min(pid).alias(pid)))
-    todo, done, radius = places, [], start
-    while True:
-        hit = freeze(_snap_once(todo, segs, pid, line, min(radius, reach), []))
-        done.append(hit)
-        if radius >= reach:
-            break
-        todo = anti(todo, hit, [pid])
-        if todo.isEmpty():
-            break
-        radius *= 4
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    found = places.select("x", "y", F.col(pid).alias("__rep")).join(out.withColumnRenamed(pid, "__rep"), ["__rep"]).drop("__rep")
+    near = freeze(_snap_once(places, segs, pid, line, start, []))
+    far = anti(places, near, [pid])
+    found = near if far.isEmpty() else near.unionByName(_descend(far, segs, pid, line, start))
+    found = places.select("x", "y", F.col(pid).alias("__rep")).join(found.withColumnRenamed(pid, "__rep"), ["__rep"]).drop("__rep")
     return points.select(pid, "x", "y").join(found, ["x", "y"]).drop("x", "y")
 
 
+def _descend(points: DataFrame, segs: DataFrame, pid: str, line: str, cell: float) -> DataFrame:
+    """Nearest line through nested cells, each level four times finer than the one above.
+
+    An occupied cell holds a line, so the line is no farther than the cell's far corner; cells whose
+    near corner lies beyond the best such bound drop out.  A point keeps a handful of cells per
+    level and meets only the lines of its last cells.
+    """
+    fine = freeze(_segment_cells(segs.select(line, "seg_no", "x1", "y1", "x2", "y2"), cell, 0.0))
+    span = fine.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
+    if span[0] is None:
+        return _snap_once(points, segs, pid, line, cell, [])
+    top = 0
+    while any(b // 4**top - a // 4**top > 1 for a, b in ((span[0], span[1]), (span[2], span[3]))):
+        top += 1
+
+    def occupied(level: int) -> DataFrame:
+        at = lambda c: F.floor(F.col(c) / 4**level)
+        cells = fine.select(at("cx").alias("cx"), at("cy").alias("cy")).distinct()
+        return F.broadcast(cells) if level == top or cells.limit(EDGE_LIMIT + 1).count() <= EDGE_LIMIT else cells
+
+    # At most two by two cells at the top.
+    cand = points.select(pid, "x", "y").withColumn("__one", F.lit(1)).join(
+        occupied(top).withColumn("__one", F.lit(1)), "__one").drop("__one")
+    for level in range(top - 1, -1, -1):
+        child = occupied(level).withColumns({"ux": F.floor(F.col("cx") / 4), "uy": F.floor(F.col("cy") / 4)})
+        cand = cand.withColumnsRenamed({"cx": "ux", "cy": "uy"}).join(child, ["ux", "uy"]).drop("ux", "uy")
+        size = F.lit(float(cell * 4**level))
+        low = {c: F.col(f"c{c}") * size for c in "xy"}
+        gap = {c: F.greatest(low[c] - F.col(c), F.col(c) - low[c] - size, F.lit(0.0)) for c in "xy"}
+        far = {c: F.greatest(F.abs(low[c] - F.col(c)), F.abs(low[c] + size - F.col(c))) for c in "xy"}
+        cand = cand.withColumns({"__near": F.hypot(gap["x"], gap["y"]),
+                                 "__bound": F.min(F.hypot(far["x"], far["y"])).over(Window.partitionBy(pid))})
+        # A little slack covers rounding at cell edges.
+        cand = cand.where(F.col("__near") <= F.col("__bound") + size * 1e-6).drop("__near", "__bound")
+    _, px, py = _foot()
+    hit = cand.join(fine, ["cx", "cy"]).withColumns({"snap_x": px, "snap_y": py}).withColumn(
+        "snap_dist", F.hypot(F.col("x") - F.col("snap_x"), F.col("y") - F.col("snap_y")))
+    best = F.min(F.struct("snap_dist", line, "seg_no", "snap_x", "snap_y")).alias("b")
+    return hit.groupBy(pid).agg(best).select(pid, "b.*")
+
+
 def within_distance(points: DataFrame, segs: DataFrame, d: float, pid: str = "point_id", cap: str = "round") -> DataFrame:
     """Ids of points inside the buffer of any line: round, flat or square ends."""
     reach = d * math.sqrt(2) if cap == "square" else d

@@ -31,6 +31,8 @@ class Tables:
 def query(slug: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            # Day counts between zoneless timestamps must not see daylight-saving shifts.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(Tables(tune(spark), folder))
 
         QUERIES[slug] = run
