@@ -155,6 +155,7 @@ def flag_valid(df: DataFrame, method: str = "Method", m: str = "pass1", n: str =
                est: str = "N", nmethod: str = "Nmethod") -> DataFrame:
     """Mark-recapture needs M*n/4 > N or at least 7 recaptures; an unknown test is not valid."""
     rule = (F.col(m) * F.col(n) / 4 > F.col(est)) | (F.col(r) >= 7)
+    # Survey methods and the label of a previously calculated estimate.
     valid = (F.when(F.col(method) == "Mark Recapture", rule)
              .when(F.col(method).isin("Continuous", "CU Depletion", "Depletion", "Snorkel"), F.lit(True))
              .when(F.col(method) == "Single Pass", F.col(nmethod) == "Prev. Calc."))

@@ -270,6 +270,7 @@ def snap_issues(df: DataFrame, name: str, line_name: str, dist: str, max_dist: f
                 missing: str = "(Missing)") -> DataFrame:
     """Snapped points that need review, with the reason."""
     n, g, d = F.col(name), F.col(line_name), F.col(dist)
+    # Fixed labels.
     issue = (F.when((n != g) & (n != missing), "Mismatch StreamName")
              .when((n == g) & (d > max_dist), "Large Snap Distance")
              .when((n == missing) & (d > max_dist), "Missing StreamName"))

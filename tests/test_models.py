@@ -174,3 +174,22 @@ def test_spawner_recruit(spark):
     cap = spark.createDataFrame([("one", 0.0004)], "pop string, b double")
     fixed = W.fit_sr(d, "pop", "s", "r", fixed_b=cap, rounds=8).collect()
     assert len(fixed) == 1 and fixed[0].b == pytest.approx(0.0004) and fixed[0].est == pytest.approx(2500)
+
+
+def test_partial_dependence_mean_and_quantile(spark, cov):
+    model = Q.fit_qrf(cov, ["x1", "x2"], "y", ntree=10)[None]
+    leaves = Q.leaf_weights(model, cov, ["x1", "x2"], F.ln(F.col("y") + 0.005))
+    imp = Q.relative_importance(spark, {"all": model}, ["x1", "x2"], {"x1": "First"})
+    assert imp.agg(F.max("rel_imp")).first()[0] == 1.0
+    grid = Q.pdp_grid(cov, ["x1", "x2"], 11)
+    assert grid.count() == 22
+    for kind in ("mean", "quantile"):
+        rows = Q.partial_dependence(model, leaves, grid, ["x1", "x2"], imp, kind).where("metric = 'x1'").orderBy("i").collect()
+        assert len(rows) == 11 and rows[0].label == "First" and rows[-1].pred > rows[0].pred > 0
+
+
+def test_a_failing_group_leaves_the_rest(spark):
+    from reachworks.plans.queries_models import _FIT, _SUMS, _slope, _sums
+    d = spark.createDataFrame([(k, float(x), 2.0 * x + k) for k in (1, 2) for x in range(50)] + [(3, 1.0, 1.0), (3, 1.0, 2.0)], "c_nationkey int, x double, y double")
+    got = {r.c_nationkey: r for r in W.grouped_map(d.repartition(5), ["c_nationkey"], _sums, _SUMS, _slope, _FIT, fan_in=2).collect()}
+    assert got[1].slope == pytest.approx(2) and got[2].intercept == pytest.approx(2) and got[3].status == "failed" and got[3].slope is None

@@ -120,3 +120,47 @@ def test_total_row_sorts_last(spark):
     d = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, x double")
     rows = A.with_total(d, "k", {"s": F.sum("x")}).orderBy("is_total", "k").collect()
     assert [(r.k, r.s) for r in rows] == [("a", 1.0), ("b", 2.0), ("Total", 3.0)]
+
+
+def test_crosstab_shares(spark):
+    d = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")], "g string, h string")
+    rows = {(r.g, r.h): (r.n, r.share) for r in A.crosstab(d, "g", "h", pct="row").collect()}
+    assert rows["a", "x"] == (2, 2 / 3) and rows["b", "x"] == (1, 1.0) and len(rows) == 3
+    totals = {(r.g, r.h): r.n for r in A.crosstab(d, "g", "h").collect()}
+    assert totals["Total", "Total"] == 4 and totals["Total", "x"] == 3 and totals["a", "Total"] == 3
+    assert A.crosstab(d, "g", "h", margins=False).count() == 3
+
+
+def test_pick_first_keeps_provenance(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 0.1, 3.0, 0.2), (None, 2.0, 0.1, 3.0, 0.2), (None, None, None, 3.0, 0.2), (None,) * 5],
+                              "q double, a double, sa double, b double, sb double")
+    got = [(r.model, r.response, r.SE) for r in J.pick_first(d, [("direct", "q", None), ("near", "a", "sa"), ("far", "b", "sb")]).collect()]
+    assert got == [("direct", 1.0, 0.0), ("near", 2.0, 0.1), ("far", 3.0, 0.2), (None, None, None)]
+
+
+def test_constant_attributes_and_conflicts(spark):
+    d = spark.createDataFrame([(1, 2.0, "x", None), (1, 4.0, None, "p"), (2, 5.0, "x", "p"), (2, 7.0, "y", "p")], "s int, m double, a string, b string")
+    got = {r.s: (r.m, r.a, r.b, r.conflicts) for r in A.site_average(d, ["s"], {"m": "m"}, ["a", "b"]).collect()}
+    assert got == {1: (3.0, "x", "p", 0), 2: (6.0, None, "p", 1)}
+
+
+def test_dedupe_policies(spark):
+    rows = [("k", "A", 3.0, 1, 1), ("k", "A", 3.0, 2, 2), ("k", "A", 1.0, 3, 3), ("k", "B", 3.0, 1, 4), ("k", "B", 3.0, 2, 5), ("k", "C", 1.0, 1, 6), ("k", "C", 2.0, 1, 7), ("k", None, 2.0, 1, 8)]
+    d = spark.createDataFrame(rows, "key string, crew string, n double, ts int, id int")
+    got = A.dedupe(d, ["key"], "crew", {"A": "highest", "B": "highest_latest"}, "n", "ts", "id")
+    assert sorted(r.id for r in got.collect()) == [1, 5, 6, 7, 8]
+
+
+def test_too_many_levels_are_refused(spark):
+    import pytest
+    from reachworks.operators.survey import levels
+    assert levels(spark.createDataFrame([("b",), ("a",), (None,)], "x string"), "x") == ["a", "b"]
+    with pytest.raises(ValueError):
+        levels(spark.range(500), "id")
+
+
+def test_fill_in_source_order(spark):
+    base = spark.createDataFrame([(1, 9.0), (2, None), (3, None)], "k int, v double")
+    a = spark.createDataFrame([(2, 5.0)], "k int, w double")
+    b = spark.createDataFrame([(2, 7.0), (3, 8.0)], "k int, z double")
+    assert {r.k: r.v for r in J.fill_from(base, "v", [(a, ["k"], "w"), (b, ["k"], "z")]).collect()} == {1: 9.0, 2: 5.0, 3: 8.0}
