@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import exact_dedup, secrets
+from reachworks.llm import exact_dedup, packing, secrets
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op9(spark, table):
     return secrets.scan_secrets(table("documents")).select(
         "doc_id", *[_count(k) for k in secrets.KINDS[:secrets.BASE]], F.sha2(secrets.digest_of("secrets", True), 256).alias("base_sha256"),
         secrets.digest_of("secrets", False).alias("spans"))
+
+
+@query("op10_pack_bounded")
+def op10(spark, table):
+    return packing.pack_documents(table("documents"))
