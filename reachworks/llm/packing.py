@@ -8,6 +8,7 @@ is merged: groups of partitions pack their leftovers the same way, until one gro
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ MIN_CUT = 64  # tokens; smaller gaps are padded rather than filled with a cut pi
 FAN_IN = 64  # partitions whose leftovers one merging task takes
 END_ID = 2
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-CACHED_WORDS = 500_000  # per task; beyond that the cache starts anew
+CACHED_WORDS = 250_000  # per task; beyond that the cache starts anew
 ROWS_OUT = 4096
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
@@ -57,6 +58,8 @@ class Encoder:
     """Token ids of whole documents; every distinct word of a task is tokenised once."""
 
     def __init__(self, path: str = TOKENIZER) -> None:
+        # Spark gives a task its cores; threads of the tokeniser would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,7 +82,8 @@ class Encoder:
         flat, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if len(simple):
             groups = [b" ".join([words[i] for i in simple[k:k + 64]]).decode() for k in range(0, len(simple), 64)]
-            ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+            ids = np.concatenate([np.array(x.ids, np.uint32) for k in range(0, len(groups), 64)
+                                  for x in self.tokenizer.encode_batch_fast(groups[k:k + 64], add_special_tokens=False)])
             ends = np.flatnonzero(self.last[ids]) + 1
             flat.append(ids)
             size.append(np.diff(ends, prepend=0))
@@ -241,7 +245,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         packer, encoder = Packer(_name(0, task), length, windows, min_cut, keep_ids), Encoder(tokenizer)
         for part in parts:
             names = part.column(0).to_pylist()
-            for row, ids, bounds in encoder.documents(part.column(1)):
+            for row, ids, bounds in encoder.documents(part.column(1)):  # a run of documents at a time
                 for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     # A piece must not keep the ids of its whole run alive.
                     packer.add(names[row + k], 0, ids[a:b].copy(), b - a)
