@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, packing, secrets
+from reachworks.llm import decontaminate, exact_dedup, ngram_join, packing, secrets
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op3(spark, table):
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op6_prefix_tree_join")
+def op6(spark, table):
+    groups, _ = ngram_join.similar_sets(table("documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def _count(kind: str) -> F.Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
