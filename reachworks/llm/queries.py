@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, ngram_join, packing, secrets
+from reachworks.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,18 @@ def op6(spark, table):
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def fold(n: int, k: int, doc_id: str = "doc_id") -> F.Column:
+    """Whether a row belongs to held-out fold k of n; a null id does."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n == k, F.lit(True))
+
+
+@query("op7_hyperdimensional")
+def op7(spark, table):
+    docs = table("documents")
+    return langid.predict(docs, langid.learn(docs.where(~fold(3, 1)))).select(
+        "doc_id", fold(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def _count(kind: str) -> F.Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
