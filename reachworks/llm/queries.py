@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets
+from reachworks.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets, toxicity
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def fold(n: int, k: int, doc_id: str = "doc_id") -> F.Column:
+    """Whether a row belongs to held-out fold k of n; a null id does."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n == k, F.lit(True))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -60,17 +65,19 @@ def op3(spark, table):
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op5_kneser_ney_toxicity")
+def op5(spark, table):
+    docs = table("documents")
+    model = toxicity.learn(docs, table("labels").where(~fold(5, 0)))
+    return toxicity.score(docs, model).select("doc_id", fold(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "whole", "run")
+
+
 @query("op6_prefix_tree_join")
 def op6(spark, table):
     groups, _ = ngram_join.similar_sets(table("documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
-def fold(n: int, k: int, doc_id: str = "doc_id") -> F.Column:
-    """Whether a row belongs to held-out fold k of n; a null id does."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n == k, F.lit(True))
-
-
 @query("op7_hyperdimensional")
 def op7(spark, table):
     docs = table("documents")
