@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets, toxicity
+from reachworks.llm import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, secrets, toxicity
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op3(spark, table):
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op4_tag_path_ratio")
+def op4(spark, table):
+    return html_text.extract(table("pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query("op5_kneser_ney_toxicity")
 def op5(spark, table):
     docs = table("documents")
