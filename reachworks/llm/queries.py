@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, secrets, toxicity
+from reachworks.llm import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, toxicity
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def fold(n: int, k: int, doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n == k, F.lit(True))
 
 
+@query("op1_surrogates")
+def op1(spark, table):
+    return pii.replace_pii(table("documents"), key="corpus-release-1").select("doc_id", "text", F.array_join("pii_kinds", ",").alias("pii_kinds"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
