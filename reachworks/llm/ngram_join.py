@@ -6,7 +6,8 @@
    are dealt by hash into bounded buckets, and n-grams standing in the prefixes of two or more classes are kept.
 3. Rounds of stars: in each n-gram the class of smallest hash is the hub, every class meets the hub with which it shares
    most; what proves similar is merged. A family of copies so collapses in a few comparisons each.
-4. All pairs of different components that share a prefix n-gram and pass the bounds on size and place are compared.
+4. All pairs of different components that share enough of their prefixes to be similar are compared. What two sets
+   share up to the end of the shorter prefix is counted in full, so the count and what is left bound their overlap.
 Comparisons happen in blocks of one probe and the sets to be held against it: these are put into a prefix tree and
 traversed once, sharing the overlap of common beginnings and leaving a branch when what remains is too short.
 """
@@ -37,14 +38,29 @@ NODES_SENT = 2_000_000  # ids broadcast to pick texts; beyond that the texts are
 RECENT_SETS = 200_000  # classes a task remembers not to repeat
 
 _DOCS = "doc_id bigint, n bigint, set_id bigint, bins_at int, bins binary"
-_POSTINGS = "bucket bigint, grams binary, sets binary, sizes binary, places binary"
-_SHARED = "gram bigint, set_id bigint, n int, place int"
+_POSTINGS = "bucket bigint, grams binary, sets binary, sizes binary, edges binary"
+_SHARED = "gram bigint, set_id bigint, n int, edge bigint"
 
 
-def ngram_sets(w: tokens.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes by document (ascending within one), document offsets, and one 64-bit identity a set."""
+def _by_document(grams: np.ndarray, doc: np.ndarray, rank: np.ndarray | None) -> np.ndarray:
+    """Order by document, then by rank if given, then by hash."""
+    high = np.zeros(len(grams), np.uint64) if rank is None else rank.astype(np.uint64) << np.uint64(47)
+    key = high | (grams >> np.uint64(17))
+    order = np.argsort(key)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(doc) and doc[-1] < 1 << 16 else np.uint32), kind="stable")]
+    k, g, d = key[order], grams[order], doc[order]
+    if ((k[1:] == k[:-1]) & (g[1:] != g[:-1]) & (d[1:] == d[:-1])).any():  # equal in the bits compared, not in all
+        order = np.lexsort((grams, key, doc))
+    return order
+
+
+def ngram_sets(w: tokens.Words, width: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes by document, document offsets, and one 64-bit identity a set.
+
+    Within a document they ascend by hash, or in the global order where the ranks of the bins are given.
+    """
     grams, doc = tokens.shingle_hashes(w, width)
-    order = np.lexsort((grams, doc))
+    order = _by_document(grams, doc, None if ranks is None else ranks[_bin(grams)])
     grams, doc = grams[order], doc[order]
     keep = np.ones(len(grams), bool)
     keep[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
@@ -55,6 +71,15 @@ def ngram_sets(w: tokens.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return grams, at, names.view(np.int64)
 
 
+def _bin(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _ranks(bins: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 16 bits, which keeps their order."""
+    return np.minimum(2048 * np.log2(1.0 + bins), 65535).astype(np.uint16)
+
+
 def _survey(width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = np.zeros(1 << BIN_BITS, np.int64)
@@ -62,7 +87,7 @@ def _survey(width: int):
             ids = part.column(0)
             for w in tokens.words_of(part.column(1), tokens.NOT_SPACE):
                 grams, at, names = ngram_sets(w, width)
-                bins += np.bincount((grams >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=len(bins))
+                bins += np.bincount(_bin(grams), minlength=len(bins))
                 k = len(at) - 1
                 yield pa.RecordBatch.from_arrays([ids[w.first:w.first + k], pa.array(np.diff(at)), pa.array(names), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                                                  ["doc_id", "n", "set_id", "bins_at", "bins"])
@@ -82,19 +107,13 @@ def _add_bins(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["bins_at", "bins"])
 
 
-def _ordered(grams: np.ndarray, at: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """The sets with each one's n-grams in global order: counts of their bins first, then hashes."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return grams[np.lexsort((grams, bins[(grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)], doc))]
-
-
 def _prefixes(sent, width: int, percent: int, buckets: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, seen = sent.value, set()
+        (ranks, hot), seen = sent.value, set()
         for part in parts:
             ids = part.column(0)
             for w in tokens.words_of(part.column(1), tokens.NOT_SPACE, limit=4 << 20):
-                grams, at, names = ngram_sets(w, width)
+                grams, at, names = ngram_sets(w, width, ranks)
                 own = ids[w.first:w.first + len(at) - 1].is_valid().to_numpy(False)
                 fresh = np.zeros(len(names), bool)
                 for i, name in enumerate(names.tolist()):
@@ -102,44 +121,48 @@ def _prefixes(sent, width: int, percent: int, buckets: int):
                     seen.add(name)
                 if len(seen) > RECENT_SETS:
                     seen.clear()
-                grams = _ordered(grams, at, bins)
                 n = np.diff(at)
                 reach = np.where(fresh, np.minimum(n, n - (percent * n + 99) // 100 + 1), 0)
                 doc = np.repeat(np.arange(len(n)), n)
                 place = np.arange(len(grams)) - at[doc]
                 keep = place < reach[doc]
-                grams, doc, place = grams[keep], doc[keep], place[keep]
+                # Where a set's prefix ends in the global order.
+                edge = np.zeros(len(n), np.int64)
+                some = np.flatnonzero(reach)
+                last = grams[at[some] + reach[some] - 1]
+                edge[some] = (ranks[_bin(last)].astype(np.int64) << 47) | (last >> np.uint64(17)).astype(np.int64)
+                grams, doc = grams[keep], doc[keep]
                 bucket = (tokens.mix(grams) % np.uint64(buckets)).astype(np.int64)
-                bucket[bins[(grams >> np.uint64(64 - BIN_BITS)).astype(np.int64)] >= max(HOT_COUNT, 64 * int(bins.mean()))] = -1
+                bucket[ranks[_bin(grams)] >= hot] = -1
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-2))
                 columns = [[] for _ in range(5)]
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
                     some = order[a:b]
                     for c, v in zip(columns, (int(bucket[some[0]]), grams[some].tobytes(), names[doc[some]].tobytes(),
-                                              n[doc[some]].astype(np.int32).tobytes(), place[some].astype(np.int32).tobytes())):
+                                              n[doc[some]].astype(np.int32).tobytes(), edge[doc[some]].tobytes())):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-                                                 ["bucket", "grams", "sets", "sizes", "places"])
+                                                 ["bucket", "grams", "sets", "sizes", "edges"])
     return run
 
 
 def _rows(blobs: tuple[list[bytes], ...]) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(b"".join(c), t) for c, t in zip(blobs, (np.int64, np.int64, np.int32, np.int32)))
+    return tuple(np.frombuffer(b"".join(c), t) for c, t in zip(blobs, (np.int64, np.int64, np.int32, np.int64)))
 
 
 def _batch(columns: tuple[np.ndarray, ...], at: int = 0, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     for k in range(at, len(columns[0]), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k:k + size]) for c in columns], ["gram", "set_id", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[k:k + size]) for c in columns], ["gram", "set_id", "n", "edge"])
 
 
 def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of one bucket whose n-gram stands in two classes or more, once a class."""
     blobs: tuple[list[bytes], ...] = ([], [], [], [])
     for part in parts:
-        for c, name in zip(blobs, ("grams", "sets", "sizes", "places")):
+        for c, name in zip(blobs, ("grams", "sets", "sizes", "edges")):
             c += part.column(part.schema.get_field_index(name)).to_pylist()
-    grams, sets, sizes, places = _rows(blobs)
+    grams, sets, sizes, edges = _rows(blobs)
     order = np.argsort(grams, kind="stable")
     g = grams[order]
     again = np.zeros(len(g), bool)
@@ -155,7 +178,7 @@ def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     again[1:] = g[1:] == g[:-1]
     again[:-1] |= again[1:]
     order = order[again]
-    yield from _batch((grams[order], sets[order], sizes[order], places[order]))
+    yield from _batch((grams[order], sets[order], sizes[order], edges[order]))
 
 
 def _hot(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +258,10 @@ def _compare(percent: int):
 
 def _write_sets(sent, width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = sent.value
+        ranks, _ = sent.value
         for part in parts:
             for w in tokens.words_of(part.column(1), tokens.NOT_SPACE):
-                grams, at, _ = ngram_sets(w, width)
-                grams = _ordered(grams, at, bins)
+                grams, at, _ = ngram_sets(w, width, ranks)
                 k = len(at) - 1
                 yield pa.RecordBatch.from_arrays([part.column(0)[w.first:w.first + k], pa.array([grams[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "grams"])
     return run
@@ -251,8 +273,7 @@ def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -
     nodes = freeze(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     few = nodes.count() <= NODES_SENT
     chosen = texts.join(F.broadcast(nodes) if few else nodes, texts["doc_id"] == nodes["id"], "left_semi")
-    # Rows that repeat an id would give it two sets: the class's own is the one of the smallest row.
-    sets = freeze(chosen.mapInArrow(_write_sets(sent, width), "id bigint, grams binary").dropDuplicates(["id"]))
+    sets = freeze(chosen.mapInArrow(_write_sets(sent, width), "id bigint, grams binary"))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
     pairs = freeze(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).drop("blocks"))
     trees = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "block", "b", "grams")
@@ -266,7 +287,8 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
 
     A class is the documents of one n-gram set, named by its smallest id; its members need no links among them. Links
     join all that is reachable, but within one component not every similar pair is listed. Documents without words,
-    with null or empty text are linked with nothing; so are rows of null id, whose component is null.
+    with null or empty text are linked with nothing; so are rows of null id, whose component is null. Repeated rows are
+    one document; an id is taken to name one text.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -274,7 +296,8 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     rows = seen.where("bins_at is null").select("doc_id", "n", "set_id")
     parts = seen.where("bins_at is not null").select("bins_at", "bins").groupBy("bins_at").applyInArrow(_add_bins, "bins_at int, bins binary").orderBy("bins_at").collect()
     bins = np.frombuffer(b"".join(r["bins"] for r in parts), np.int64) if parts else np.zeros(1 << BIN_BITS, np.int64)
-    sent = spark.sparkContext.broadcast(bins)  # 2 ** BIN_BITS numbers, whatever the input
+    hot = 2048 * np.log2(1.0 + max(HOT_COUNT, 64 * int(bins.mean())))
+    sent = spark.sparkContext.broadcast((_ranks(bins), hot))  # 2 ** BIN_BITS numbers, whatever the input
 
     classes = freeze(rows.where("n > 0 and doc_id is not null").groupBy("set_id", "n").agg(F.min("doc_id").alias("class_id")))
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -282,10 +305,10 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     dealt = texts.mapInArrow(_prefixes(sent, width, percent, buckets), _POSTINGS)
     spread = freeze(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED))
     shared = spread
-    if bins.max() >= HOT_COUNT:
+    if _ranks(bins).max() >= hot:
         shared = shared.unionByName(dealt.where("bucket < 0").drop("bucket").mapInArrow(_hot, _SHARED))
     names = classes.select("set_id", "class_id")
-    shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "place").distinct())
+    shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "edge").distinct())
 
     found, labels = [], None
     for turn in range(STAR_ROUNDS):
@@ -326,27 +349,42 @@ def _open_grams(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return freeze(named.join(freeze(mixed), "gram"))
 
 
-def _near(percent: int) -> F.Column:
-    """Bounds on size and on what can follow the shared n-gram, for sides x and y."""
-    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    rest = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1 + F.least("x.place", "y.place")
-    return (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (rest >= need)
+def _alike(percent: int) -> F.Column:
+    return 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+
+
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shared prefix n-grams leave similarity possible.
+
+    Up to the end of the prefix that ends first in the global order every shared n-gram is counted; after it the set
+    has ceil(t * n) - 1 left.
+    """
+    left = F.when(F.col("xe") < F.col("ye"), F.col("xn")).when(F.col("xe") > F.col("ye"), F.col("yn")).otherwise(F.greatest("xn", "yn"))
+    return met.where(F.col("common") + F.ceil(percent * left / 100) - 1 >= F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent)))
+
+
+def _met(x: DataFrame, y: DataFrame, different: F.Column, percent: int) -> DataFrame:
+    """(a, b, common) of class pairs on either side of an n-gram: what they share is counted over all n-grams."""
+    rows = x.alias("x").join(y.alias("y"), "gram").where(different & _alike(percent))
+    met = rows.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.max("x.n").alias("xn"), F.max("y.n").alias("yn"), F.max("x.edge").alias("xe"), F.max("y.edge").alias("ye"))
+    return _enough(met, percent)
 
 
 def _stars(left: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class with the one hub it shares most n-grams with: (a = hub, b)."""
+    """Each class with the one hub it shares most n-grams with: (a = hub, b).
+
+    Only n-grams of which the hub is the smallest count here, so this is a choice of what to try first, not a filter.
+    """
     rank = F.xxhash64("id", F.lit(turn))
-    hubs = freeze(left.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "place", "label")).alias("hub")).select("gram", "hub.id", "hub.n", "hub.place", "hub.label"))
-    met = (left.alias("x").join(hubs.alias("y"), "gram").where((F.col("x.label") != F.col("y.label")) & _near(percent))
-           .groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).agg(F.count(F.lit(1)).alias("common")))
-    best = met.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best"))
-    return freeze(best.select(F.col("best.a").alias("a"), "b"))
+    hubs = freeze(left.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "edge", "label")).alias("hub")).select("gram", "hub.id", "hub.n", "hub.edge", "hub.label"))
+    met = _met(left, hubs, F.col("x.label") != F.col("y.label"), percent)
+    return freeze(met.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
 
 
 def _cross(left: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that shares an n-gram and passes the bounds, once."""
-    return (left.alias("x").join(left.alias("y"), "gram").where((F.col("x.label") < F.col("y.label")) & _near(percent))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    """Every pair of different components that can still be similar, once."""
+    return _met(left, left, F.col("y.label") < F.col("x.label"), percent).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
