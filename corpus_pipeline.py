@@ -6,20 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachworks.llm import exact_dedup
+from reachworks.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
+from reachworks.llm.queries import fold
 from reachworks.session import freeze, tune
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models hold to be toxic go; they are learned from the labels of four folds."""
+    tune(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold(5, 0))
+    return toxicity.keep_ordinary(docs, toxicity.learn(docs, labels))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """Of equal texts the document of smallest id stays."""
     tune(spark)
     return exact_dedup.exact_dedup(docs, exact_dedup.scratch_index(spark))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by similar word shingles the one of smallest id stays."""
+    tune(spark)
+    return ngram_join.near_dedup(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold any window of a benchmark item go."""
+    tune(spark)
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, in sequences of 4096 tokens."""
+    tune(spark)
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_copies),
+    ("packing", pack),
 ]
 
+# A learned classifier and a tokeniser have no SQL; tests/llm compares the rows with plain Python instead.
 ORACLE_SQL: str | None = None
 
 

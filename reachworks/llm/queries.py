@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, toxicity
+from reachworks.llm import decontaminate, exact_dedup, html_text, katz, langid, ngram_join, packing, pii, secrets, toxicity
 from reachworks.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,12 @@ def op7(spark, table):
         "doc_id", fold(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op8_katz_backoff")
+def op8(spark, table):
+    scores, _ = katz.katz_scores(table("documents"), ~fold(7, 2))
+    return scores
+
+
 def _count(kind: str) -> F.Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
