@@ -4,12 +4,13 @@
    The same pass counts n-grams into a fixed number of bins; (bin count, hash) is the global order, rarest first.
 2. A set of n can only meet a similar one inside its first n - ceil(t * n) + 1 n-grams in that order. These prefixes
    are dealt by hash into bounded buckets, and n-grams standing in the prefixes of two or more classes are kept.
-3. Rounds of stars: in each n-gram the class of smallest hash is the hub, every class meets the hub with which it shares
-   most; what proves similar is merged. A family of copies so collapses in a few comparisons each.
-4. All pairs of different components that share enough of their prefixes to be similar are compared. What two sets
-   share up to the end of the shorter prefix is counted in full, so the count and what is left bound their overlap.
-Comparisons happen in blocks of one probe and the sets to be held against it: these are put into a prefix tree and
-traversed once, sharing the overlap of common beginnings and leaving a branch when what remains is too short.
+3. In each n-gram the class whose prefix is shared most is the hub; every other is a candidate with it if what they share
+   suffices. Candidates form clusters, mostly families of copies, and a cluster is joined within itself block by block:
+   what joins two components is kept, pairs are never listed.
+4. Pairs from different clusters that share enough of their prefixes to be similar are compared one by one. What two
+   sets share up to the end of the shorter prefix is counted in full, so the count and what is left bound their overlap.
+Comparisons always put a block of sets into a prefix tree and traverse it once a probe, sharing the overlap of common
+beginnings and leaving a branch when what remains is too short.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from reachworks.llm import tokens
 from reachworks.llm.components import components
@@ -32,8 +32,7 @@ PERCENT = 75
 BIN_BITS = 18
 BUCKET_POSTINGS = 1_000_000
 HOT_COUNT = 1_000_000  # an n-gram counted as often skips the buckets: it is shared for certain
-STAR_ROUNDS = 2
-BLOCK_SETS = 256
+BLOCK_GRAMS = 300_000  # n-grams of the sets that one tree holds
 NODES_SENT = 2_000_000  # ids broadcast to pick texts; beyond that the texts are joined
 RECENT_SETS = 200_000  # classes a task remembers not to repeat
 
@@ -235,12 +234,18 @@ class PrefixTree:
         return out
 
 
+def _sets(part: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in names]
+    for *keys, grams in zip(*columns):
+        yield *keys, np.frombuffer(grams, np.int64).tolist()
+
+
 def _compare(percent: int):
+    """One probe (a) against the sets of its block."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe, others = None, []
         for part in parts:
-            for a, b, grams in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "grams"))):
-                items = np.frombuffer(grams, np.int64).tolist()
+            for a, b, items in _sets(part, "a", "b", "grams"):
                 if a == b:
                     probe = (a, items)
                 else:
@@ -256,6 +261,37 @@ def _compare(percent: int):
     return run
 
 
+def _join_block(percent: int):
+    """All sets of one part of a cluster against all of another, or of the same; only links that join components come out."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        for part in parts:
+            for chunk, low, name, items in _sets(part, "chunk", "low", "id", "grams"):
+                sides[chunk != low].append((items, name))
+        tree, probes = sides[0], sides[1]
+        up = {name: name for _, name in [*tree, *probes]}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = ([], [], [])
+        if tree:
+            tree.sort()
+            root = PrefixTree(tree)
+            for items, name in probes or tree:
+                for b, overlap in root.matches({g: k for k, g in enumerate(items)}, len(items), percent):
+                    x, y = top(name), top(b)
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        for c, v in zip(out, (name, b, overlap)):
+                            c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "overlap"])
+    return run
+
+
 def _write_sets(sent, width: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, _ = sent.value
@@ -267,19 +303,38 @@ def _write_sets(sent, width: int):
     return run
 
 
-def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that are similar enough, with their overlap; a is the probe of its block."""
-    pairs = freeze(pairs)
-    nodes = freeze(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+_LINKS = "a bigint, b bigint, overlap bigint"
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, sent, width: int) -> DataFrame:
+    """(id, grams in global order) of the classes in `nodes`."""
     few = nodes.count() <= NODES_SENT
     chosen = texts.join(F.broadcast(nodes) if few else nodes, texts["doc_id"] == nodes["id"], "left_semi")
-    sets = freeze(chosen.mapInArrow(_write_sets(sent, width), "id bigint, grams binary"))
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
-    pairs = freeze(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).drop("blocks"))
+    return freeze(chosen.mapInArrow(_write_sets(sent, width), "id bigint, grams binary"))
+
+
+def _families(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, sent, width: int, percent: int) -> DataFrame:
+    """Links within clusters (id, component), enough of them to join all that is reachable."""
+    sets = _sets_of(texts, clusters.select("id"), sent, width)
+    clusters = clusters.join(sizes, "id")
+    chunks = clusters.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("chunks"))
+    members = clusters.join(freeze(chunks), "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    # Every pair of parts is a block; a set goes to as many blocks as its cluster has parts.
+    blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
+        "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id")
+    return freeze(freeze(blocks).join(sets, "id").groupBy("component", "low", "high").applyInArrow(_join_block(percent), _LINKS))
+
+
+def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, n of b) of class ids that are similar enough; a is the probe of its blocks."""
+    nodes = freeze(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = _sets_of(texts, nodes, sent, width)
+    blocks = freeze(pairs.groupBy("a").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks")))
+    pairs = freeze(pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks"))).select("a", "block", "b"))
     trees = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "block", "b", "grams")
     probes = pairs.select("a", "block").distinct()
     probes = probes.join(sets, probes["a"] == sets["id"]).select("a", "block", F.col("a").alias("b"), "grams")
-    return freeze(trees.unionByName(probes).groupBy("a", "block").applyInArrow(_compare(percent), "a bigint, b bigint, overlap bigint"))
+    return freeze(trees.unionByName(probes).groupBy("a", "block").applyInArrow(_compare(percent), _LINKS))
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -310,18 +365,15 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     names = classes.select("set_id", "class_id")
     shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "edge").distinct())
 
-    found, labels = [], None
-    for turn in range(STAR_ROUNDS):
-        left = _open_grams(shared, labels)
-        pairs = _stars(left, turn, percent)
-        if pairs.isEmpty():
-            break
-        found.append(_links(texts, pairs, sent, width, percent))
-        labels = components(_all(found))
-    left = _open_grams(shared, labels)
-    pairs = freeze(_cross(left, percent))
+    found, labels, clusters = [], None, None
+    near = _candidates(shared, percent)
+    if not near.isEmpty():
+        clusters = components(near)
+        found.append(_families(texts, clusters, classes.select(F.col("class_id").alias("id"), "n"), sent, width, percent))
+    pairs = freeze(_cross(shared, clusters, percent))
     if not pairs.isEmpty():
         found.append(_links(texts, pairs, sent, width, percent))
+    if found:
         labels = components(_all(found))
     if labels is not None:
         classes = freeze(classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left"))
@@ -340,15 +392,6 @@ def _all(found: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _open_grams(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings of the n-grams that still stand in two components or more."""
-    if labels is None:
-        return shared.withColumn("label", F.col("id"))
-    named = freeze(shared.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
-    mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("gram")
-    return freeze(named.join(freeze(mixed), "gram"))
-
-
 def _alike(percent: int) -> F.Column:
     return 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
 
@@ -371,20 +414,24 @@ def _met(x: DataFrame, y: DataFrame, different: F.Column, percent: int) -> DataF
     return _enough(met, percent)
 
 
-def _stars(left: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each class with the one hub it shares most n-grams with: (a = hub, b).
-
-    Only n-grams of which the hub is the smallest count here, so this is a choice of what to try first, not a filter.
-    """
-    rank = F.xxhash64("id", F.lit(turn))
-    hubs = freeze(left.groupBy("gram").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "edge", "label")).alias("hub")).select("gram", "hub.id", "hub.n", "hub.edge", "hub.label"))
-    met = _met(left, hubs, F.col("x.label") != F.col("y.label"), percent)
-    return freeze(met.groupBy("b").agg(F.max(F.struct("common", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+def _candidates(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the hubs of its n-grams. A choice of what to join first, not a filter: only n-grams of
+    which a is the hub are counted here. The least altered of a family of copies shares most and becomes its hub."""
+    part = freeze(shared.groupBy("id").agg((F.count(F.lit(1)) / F.first("n")).alias("part")))
+    hubs = freeze(shared.join(part, "id").groupBy("gram").agg(F.max(F.struct("part", F.xxhash64("id").alias("h"), "id", "n", "edge")).alias("hub"))
+                  .select("gram", "hub.id", "hub.n", "hub.edge"))
+    return freeze(_met(shared, hubs, F.col("x.id") != F.col("y.id"), percent).select("a", "b"))
 
 
-def _cross(left: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that can still be similar, once."""
-    return _met(left, left, F.col("y.label") < F.col("x.label"), percent).select("a", "b")
+def _cross(shared: DataFrame, clusters: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b, n of b): every pair of different clusters that can still be similar, once."""
+    if clusters is None:
+        named = shared.withColumn("cluster", F.col("id"))
+    else:
+        named = freeze(shared.join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
+        mixed = named.groupBy("gram").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("gram")
+        named = freeze(named.join(freeze(mixed), "gram"))
+    return _met(named, named, F.col("y.cluster") < F.col("x.cluster"), percent).select("a", "b", F.col("xn").alias("n"))
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
