@@ -82,14 +82,15 @@ def crosstab(df: DataFrame, a: str, b: str, margins: bool = True, pct: str | Non
     label = lambda c: F.when(F.grouping(c) == 1, F.lit("Total")).otherwise(F.col(c).cast("string"))
     g = df.cube(a, b) if margins else df.groupBy(a, b)
     if margins:
-        out = g.agg(label(a).alias("__a"), label(b).alias("__b"), n_rows().alias("n")).select(
-            F.col("__a").alias(a), F.col("__b").alias(b), "n")
+        out = g.agg(label(a).alias("__a"), label(b).alias("__b"), n_rows().alias("n"), (F.grouping(a) + F.grouping(b) == 0).alias("__inner")).select(
+            F.col("__a").alias(a), F.col("__b").alias(b), "n", "__inner")
     else:
         out = g.agg(n_rows().alias("n"))
     if pct is None:
-        return out
+        return out.drop("__inner")
     key = {"row": a, "col": b}[pct]
-    inner = out.where((F.col(a) != "Total") & (F.col(b) != "Total")) if margins else out
+    # A category may be NULL or itself called "Total"; only margins are left out.
+    inner = out.where("__inner").drop("__inner") if margins else out
     return with_group_stats(inner, [key], {"__t": F.sum("n")}).select(
         a, b, "n", (F.col("n") / F.col("__t")).alias("share"))
 
@@ -157,11 +158,11 @@ def share(df: DataFrame, keys: Sequence[str], x: str, out: str) -> DataFrame:
 def keep_max(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Rows equal to the group maximum, all ties kept; later columns settle ties in turn.
 
-    rank() <= 1 is planned with a per-task group limit ahead of the shuffle.
+    The maximum is a map-side combined aggregate joined back, so a group of nothing but ties is not gathered in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in cols])
-    known = df.where(F.col(cols[0]).isNotNull())
-    return known.withColumn("__rk", F.rank().over(w)).where("__rk <= 1").drop("__rk")
+    marks = [F.struct(F.col(c).isNotNull(), c) for c in cols]
+    known = df.where(F.col(cols[0]).isNotNull()).withColumn("__m", F.struct(*marks))
+    return with_group_stats(known, keys, {"__top": F.max("__m")}).where(F.col("__m").eqNullSafe(F.col("__top"))).drop("__m", "__top")
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -22,7 +22,7 @@ from reachworks.operators.joins import band_count, natural_join
 
 ESTIMATE = StructType([StructField(f, DoubleType()) for f in ("N", "SE", "p", "pSE")])
 # Fixed labels.
-SEBER, CARLE_STRUB, CHAPMAN, RATIO = "Seber", "Carle Strub", "Chapman", "Ratio Est."
+SEBER, CARLE_STRUB, CHAPMAN, RATIO, PREVIOUS = "Seber", "Carle Strub", "Chapman", "Ratio Est.", "Prev. Calc."
 
 
 def _c(col: str | Column) -> Column:
@@ -130,10 +130,12 @@ def ratio_est(catch: str | Column, p: str | Column, pse: str | Column) -> Column
 
 def estimate_abundance(df: DataFrame, method: str = "Method",
                        passes: Sequence[str] = ("pass1", "pass2", "pass3", "pass4"),
-                       p: str = "p", pse: str = "pSE") -> DataFrame:
+                       p: str = "p", pse: str = "pSE", earlier: tuple[str, str] | None = None) -> DataFrame:
     """Pick the estimator by survey method and available passes, in one projection.
 
-    Adds N, SE, p, pSE and Nmethod.  Methods without an estimator keep their given p and no N.
+    Adds N, SE, p, pSE and Nmethod.  Methods without an estimator keep their given p and no N.  ``earlier`` names the
+    columns of an abundance calculated before and its SE: single-pass surveys, and depletions of three or four passes,
+    that have one keep it, labelled as such.
     """
     p1, p2, p3, p4 = (F.col(c) for c in passes)
     m = F.col(method)
@@ -147,6 +149,10 @@ def estimate_abundance(df: DataFrame, method: str = "Method",
     est = (F.when(two, removal2(p1, p2)).when(three | four, no_nan(F.col("__k")))
            .when(mr, chapman(p1, p2, p3)).when(cont, ratio_est(p1, p, pse)).otherwise(kept))
     label = (F.when(two, SEBER).when(three | four, CARLE_STRUB).when(mr, CHAPMAN).when(cont, RATIO))
+    if earlier is not None:
+        old = F.col(earlier[0]).isNotNull() & ((m == "Single Pass") | three | four)
+        est = F.when(old, _estimate(F.col(earlier[0]).cast("double"), F.col(earlier[1]).cast("double"), F.col(p), F.col(pse))).otherwise(est)
+        label = F.when(old, PREVIOUS).otherwise(label)
     out = df.withColumn("__k", _removal_k(arrays)).withColumn("__e", est).withColumn("Nmethod", label)
     return out.withColumns({f: F.col(f"__e.{f}") for f in ("N", "SE", "p", "pSE")}).drop("__k", "__e")
 
@@ -155,10 +161,10 @@ def flag_valid(df: DataFrame, method: str = "Method", m: str = "pass1", n: str =
                est: str = "N", nmethod: str = "Nmethod") -> DataFrame:
     """Mark-recapture needs M*n/4 > N or at least 7 recaptures; an unknown test is not valid."""
     rule = (F.col(m) * F.col(n) / 4 > F.col(est)) | (F.col(r) >= 7)
-    # Survey methods and the label of a previously calculated estimate.
+    # Survey methods.
     valid = (F.when(F.col(method) == "Mark Recapture", rule)
              .when(F.col(method).isin("Continuous", "CU Depletion", "Depletion", "Snorkel"), F.lit(True))
-             .when(F.col(method) == "Single Pass", F.col(nmethod) == "Prev. Calc."))
+             .when(F.col(method) == "Single Pass", F.col(nmethod) == PREVIOUS))
     return df.withColumn("Valid", F.coalesce(valid, F.lit(False)))
 
 
@@ -176,9 +182,9 @@ def ci_overlap(df: DataFrame, keys: Sequence[str], obs: str, obs_se: str, pred:
 
 
 def redd_density(sites: DataFrame, redds: DataFrame, on: Sequence[str], site: str, lcol: str, rcol: str,
-                 buffer: float, species: str, year: str, area: str) -> DataFrame:
-    """Nests within the buffer per site, species and year; best year (latest on ties); per km and per area."""
-    counts = band_count(sites, redds, on, site, lcol, rcol, buffer, [species, year], "n_redds")
+                 buffer: float, species: str, year: str, area: str, nest: str | None = None) -> DataFrame:
+    """Distinct nests within the buffer per site, species and year; best year (latest on ties); per km and per area."""
+    counts = band_count(sites, redds, on, site, lcol, rcol, buffer, [species, year], "n_redds", nest)
     best = keep_max(counts.groupBy(site, species, year).agg(F.sum("n_redds").alias("n_redds")),
                     [site, species], ["n_redds", year])
     per_km = F.col("n_redds") / (2 * buffer / 1000.0)

@@ -83,13 +83,17 @@ def band_join(left: DataFrame, right: DataFrame, on: Sequence[str], lcol: str, r
 
 
 def band_count(sites: DataFrame, events: DataFrame, on: Sequence[str], site_id: str, lcol: str,
-               rcol: str, width: float, by: Sequence[str], out: str) -> DataFrame:
+               rcol: str, width: float, by: Sequence[str], out: str, event_id: str | None = None) -> DataFrame:
     """Events within ``width`` of each site, per ``by`` group, without building the pairs.
 
+    With ``event_id`` an event recorded more than once counts once per route and group, at its first place.
+
     Each site asks two questions of the running event count along the route: how many at or
     below ``m + width`` and how many below ``m - width``.  Groups with no event are left out.
     """
     on, by = list(on), list(by)
+    if event_id is not None:
+        events = events.groupBy(*on, *by, event_id).agg(F.min(rcol).alias(rcol))
     groups = events.select(*on, *by).distinct()
     probes = sites.select(*on, site_id, F.col(lcol).alias("__m")).join(groups, on)
     asks = probes.select(
@@ -118,9 +122,10 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
     earlier, then lower id, on ties.
 
     One ordered pass over both sides, so a key with many rows on each side never makes pairs.
-    Left rows whose key has no right row are dropped.
+    Left rows whose key has no right row are dropped, and so are rows of unknown time on either side.
     """
     keys = list(keys)
+    left, right = left.where(F.col(lt).isNotNull()), right.where(F.col(rt).isNotNull())
     carried = [c for c in right.columns if c not in keys]
     # Copies of one right instant collapse to its lowest id before the scan.
     r1 = right.groupBy(*keys, F.col(rt).alias("__t")).agg(

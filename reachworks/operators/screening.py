@@ -129,7 +129,10 @@ def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: fl
     info = joint.groupBy("metric", "a", "b").agg(F.sum(term).alias("mi"))
     score = F.col("mi") / F.ln(F.least("a", "b").cast("double"))
     best = info.groupBy("metric").agg(F.max(score).alias("mic"))
-    return best.select(F.element_at(F.array(*[F.lit(c) for c in covars]), F.col("metric") + 1).alias("metric"), "mic")
+    # A metric too short for any grid keeps its row, with NULL.
+    names = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(c).alias("name")) for k, c in enumerate(covars)])
+    every = df.sparkSession.range(1).select(F.inline(names))
+    return every.join(best, "metric", "left").select(F.col("name").alias("metric"), "mic")
 
 
 def _ntile(rank: np.ndarray, n: int, parts: int) -> np.ndarray:

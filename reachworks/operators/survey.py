@@ -125,13 +125,19 @@ def _sandwich(inv: pd.Series, meat: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def complete(rows: DataFrame) -> DataFrame:
+    """Rows without a gap in ``__x``, ``__y`` or ``__w``."""
+    return rows.where(~F.exists("__x", lambda v: v.isNull()) & F.col("__y").isNotNull() & F.col("__w").isNotNull())
+
+
 def svy_lm(df: DataFrame, y: str, x: Column, k: int, w: str, by: Sequence[str] = ()) -> DataFrame:
     """Weighted least squares for every ``by`` group from one pass of cross-product sums.
 
     Only k*(k+1)/2 numbers per group leave the map side; the small solves run on the group table.
+    Rows with a gap in the response, the weight or any covariate are left out whole.
     Returns ``by, coef, inv`` with ``inv`` the inverse of X'WX.
     """
-    data = df.select(*by, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w"))
+    data = complete(df.select(*by, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")))
     xi = lambda i: F.col("__x")[i]
     xtx = F.array(*[F.sum(F.col("__w") * xi(i) * xi(j)) for i, j in _upper(k)])
     xty = F.array(*[F.sum(F.col("__w") * xi(i) * F.col("__y")) for i in range(k)])
@@ -148,9 +154,9 @@ def design_vcov(df: DataFrame, fit: DataFrame, y: str, x: Column, k: int, w: str
     """Sandwich covariance with stratified scores.
 
     Strata with one unit add nothing ('certainty') or are centred at the grand mean ('adjust').
-    Adds ``vcov`` to the fit table.
+    Rows with a gap are left out, as in the fit.  Adds ``vcov`` to the fit table.
     """
-    rows = df.select(*by, strata, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w"))
+    rows = complete(df.select(*by, strata, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")))
     if by:
         f = fit.select(*[F.col(b).alias(f"__f_{b}") for b in by], "coef")
         rows = rows.join(f, [rows[b].eqNullSafe(f[f"__f_{b}"]) for b in by])

@@ -334,28 +334,32 @@ def _(t):
                    {"l_quantity": F.sum, "l_extendedprice": lambda c: F.round(F.max(c), 4)}, fill=0.0)
 
 
-@query("compound_header_split", """
-WITH w AS (SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 'Chinook' WHEN 'N' THEN 'Sthd' END AS species, l_linenumber AS pass, sum(l_quantity) AS fish
-  FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_linenumber <= 3 GROUP BY 1, 2, 3),
-k AS (SELECT p.l_partkey, s.species FROM (SELECT DISTINCT l_partkey FROM lineitem) p, (VALUES ('Chinook'), ('Sthd')) s(species))
-SELECT k.l_partkey, k.species, sum(fish) FILTER (WHERE pass = 1) AS pass1, sum(fish) FILTER (WHERE pass = 2) AS pass2, sum(fish) FILTER (WHERE pass = 3) AS pass3
+_FLAGS = {"A": "Chinook", "N": "Sthd", "R": "Coho"}
+_PASSES = {"M": "pass1", "C": "pass2", "R": "pass3", "S": "pass4", "T": "pass5", "U": "pass6", "V": "pass7"}
+
+
+@query("compound_header_split", f"""
+WITH w AS (SELECT l_partkey, CASE l_returnflag {' '.join(f"WHEN '{f}' THEN '{s}'" for f, s in _FLAGS.items())} END AS species, l_linenumber AS pass, sum(l_quantity) AS fish
+  FROM lineitem GROUP BY 1, 2, 3),
+k AS (SELECT p.l_partkey, s.species FROM (SELECT DISTINCT l_partkey FROM lineitem) p, (VALUES {', '.join(f"('{s}')" for s in _FLAGS.values())}) s(species))
+SELECT k.l_partkey, k.species, {', '.join(f"sum(fish) FILTER (WHERE pass = {i}) AS {p}" for i, p in enumerate(_PASSES.values(), 1))}
 FROM k LEFT JOIN w ON w.l_partkey = k.l_partkey AND w.species = k.species GROUP BY 1, 2""")
 def _(t):
     cells = {f"{sp} {p}": F.sum(F.when((F.col("l_returnflag") == flag) & (F.col("l_linenumber") == i), F.col("l_quantity")))
-             for sp, flag in (("Chinook", "A"), ("Sthd", "N")) for i, p in enumerate("MCR", 1)}
+             for flag, sp in _FLAGS.items() for i, p in enumerate(_PASSES, 1)}
     wide = t.lineitem.groupBy("l_partkey").agg(*[c.alias(n) for n, c in cells.items()])
     return R.split_headers(wide, ["l_partkey"], list(cells), lambda h: F.split_part(h, F.lit(" "), F.lit(1)),
-                           {"M$": "pass1", "C$": "pass2", "R$": "pass3"})
+                           {f"{p}$": name for p, name in _PASSES.items()})
+
+
+_STAGES = [(a, b) for a in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for b in "FOP"]
 
 
 @query("wide_summary_by_lifestage", f"""WITH {V.REACHES_SQL}
-SELECT stream, round(sum(length * cap) FILTER (WHERE lifestage = '1-URGENT' AND species = 'F'), 4) AS "1-URGENT_F_tot",
-  round(sum(length * cap) FILTER (WHERE lifestage = '1-URGENT' AND species = 'O'), 4) AS "1-URGENT_O_tot",
-  round(sum(length * cap) FILTER (WHERE lifestage = '5-LOW' AND species = 'F'), 4) AS "5-LOW_F_tot",
-  round(sum(length * cap) FILTER (WHERE lifestage = '5-LOW' AND species = 'O'), 4) AS "5-LOW_O_tot" FROM reaches GROUP BY 1""")
+SELECT stream, {', '.join(f"round(sum(length * cap) FILTER (WHERE lifestage = '{a}' AND species = '{b}'), 4) AS \"{a}_{b}_tot\"" for a, b in _STAGES)} FROM reaches GROUP BY 1""")
 def _(t):
     d = V.reaches(t).withColumn("tot", F.col("length") * F.col("cap"))
-    return R.wide_by(d, ["stream"], ["lifestage", "species"], [(a, b) for a in ("1-URGENT", "5-LOW") for b in "FO"],
+    return R.wide_by(d, ["stream"], ["lifestage", "species"], _STAGES,
                      {"tot": lambda c: F.round(F.sum(c), 4)})
 
 

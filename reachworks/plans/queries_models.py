@@ -327,15 +327,16 @@ def _params(t):
 
 
 def _goals(t):
-    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus <> 'P'")
-    return d.groupBy(F.col("c_nationkey").alias("watershed"), F.col("o_orderstatus").alias("species")).agg(
+    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    # Two species have parameters: one status is the first, all others are the second.
+    return d.groupBy(F.col("c_nationkey").alias("watershed"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("species")).agg(
         (F.count(F.lit(1)) / 2.0).alias("mean"), F.count_distinct("o_custkey").cast("double").alias("max"), (F.count(F.lit(1)) * 1.25).alias("mat"))
 
 
 def _life_sql() -> str:
     vals = ", ".join(f"('{sp}', {', '.join(map(str, v))})" for sp, v in PARAMS.items())
     return f"""par(species, fem, rpf, fec, etp, ptp) AS (VALUES {vals}),
-goals AS (SELECT c_nationkey AS watershed, o_orderstatus AS species, count(*) / 2.0 AS mean, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS max, count(*) * 1.25 AS mat FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
+goals AS (SELECT c_nationkey AS watershed, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'O' END AS species, count(*) / 2.0 AS mean, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS max, count(*) * 1.25 AS mat FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 gl AS (SELECT watershed, species, 'mean' AS scenario, CAST(mean AS DOUBLE) AS e FROM goals UNION ALL SELECT watershed, species, 'max', max FROM goals UNION ALL SELECT watershed, species, 'mat', mat FROM goals),
 lc AS (SELECT watershed, gl.species, scenario, e, e * fem * rpf AS r, e * fem * rpf * fec AS g, e * fem * rpf * fec * etp AS p, e * fem * rpf * fec * etp * ptp AS s FROM gl JOIN par USING (species)),
 life AS (SELECT watershed, species, scenario, 'escapement' AS lifestage, e AS abundance FROM lc UNION ALL SELECT watershed, species, scenario, 'redds', r FROM lc UNION ALL SELECT watershed, species, scenario, 'eggs', g FROM lc

@@ -178,7 +178,7 @@ _NUM = ("area", "n_pts", "tot_length", "tot_cap", "tot_cap_se")
 
 @query("watershed_cap_points", f"""WITH {V1_SQL}
 SELECT poly_id, CAST(line_id AS VARCHAR) AS stream, 0 AS is_total, CAST(n_pts AS BIGINT) AS n_pts, round(tot_length, 4) AS tot_length, round(cap_per_m, 4) AS cap_per_m,
-  round(cap_per_m_se, 4) AS cap_per_m_se, round(tot_cap, 4) AS tot_cap, round(tot_cap_se, 4) AS tot_cap_se, CAST(NULL AS DOUBLE) AS area FROM strm
+  round(cap_per_m_se, 4) AS cap_per_m_se, round(tot_cap, 4) AS tot_cap, round(tot_cap_se, 4) AS tot_cap_se, CAST(NULL AS DOUBLE) AS area FROM strm WHERE poly_id IN (SELECT poly_id FROM cpts)
 UNION ALL SELECT a.poly_id, 'Total', 1, CAST(t.n_pts AS BIGINT), round(t.tot_length, 4), round(m.cap_per_m, 4), round(m.cap_per_m_se, 4), round(t.tot_cap, 4), round(t.tot_cap_se, 4), round(area, 4)
 FROM areas a LEFT JOIN tot t ON t.poly_id = a.poly_id LEFT JOIN (SELECT poly_id, sum(cap_per_m * tot_length) / sum(CASE WHEN cap_per_m IS NOT NULL THEN tot_length END) AS cap_per_m,
   sum(cap_per_m_se * tot_length) / sum(CASE WHEN cap_per_m_se IS NOT NULL THEN tot_length END) AS cap_per_m_se FROM strm GROUP BY 1) m ON m.poly_id = a.poly_id""")

@@ -94,7 +94,8 @@ def _surveys(t):
     """Surveys by part and flag with their passes, method and (for continuous ones) a capture probability."""
     d = V.depletion_passes(t).where("pass1 is not null and pass2 is not null")
     m = F.col("l_partkey") % 4
-    return d.select("l_partkey", "l_returnflag", "pass1", "pass2",
+    old = F.when(F.col("l_partkey") % 3 == 0, F.col("pass1") * 3.0)
+    return d.select("l_partkey", "l_returnflag", "pass1", "pass2", old.alias("N_old"), F.when(old.isNotNull(), 1.5).alias("SE_old"),
                     F.when(m == 1, F.least("pass3", "pass1", "pass2")).otherwise(F.col("pass3")).alias("pass3"),
                     F.when(m == 0, F.col("pass4")).alias("pass4"),
                     F.when(m == 3, F.nullif((F.col("l_partkey") % 5) / 10.0, F.lit(0.0))).alias("p"), F.when(m == 3, F.lit(0.05)).alias("pSE"),
@@ -103,22 +104,23 @@ def _surveys(t):
 
 _SURVEYS = f"""{V.PASSES_SQL}, surveys AS (SELECT l_partkey, l_returnflag, pass1, pass2, CASE WHEN l_partkey % 4 = 1 THEN CASE WHEN pass3 IS NULL THEN least(pass1, pass2) ELSE least(pass3, pass1, pass2) END ELSE pass3 END AS pass3,
   CASE WHEN l_partkey % 4 = 0 THEN pass4 END AS pass4, CASE WHEN l_partkey % 4 = 3 THEN nullif(l_partkey % 5 / 10.0, 0) END AS p0, CASE WHEN l_partkey % 4 = 3 THEN 0.05 END AS pse0,
-  CASE l_partkey % 4 WHEN 0 THEN 'Depletion' WHEN 1 THEN 'Mark Recapture' WHEN 2 THEN 'Single Pass' ELSE 'Continuous' END AS method FROM passes WHERE pass1 IS NOT NULL AND pass2 IS NOT NULL),
+  CASE l_partkey % 4 WHEN 0 THEN 'Depletion' WHEN 1 THEN 'Mark Recapture' WHEN 2 THEN 'Single Pass' ELSE 'Continuous' END AS method, CASE WHEN l_partkey % 3 = 0 THEN pass1 * 3.0 END AS nold FROM passes WHERE pass1 IS NOT NULL AND pass2 IS NOT NULL),
 d2 AS (SELECT l_partkey, l_returnflag, {_REMOVAL2} FROM surveys WHERE method = 'Depletion' AND pass3 IS NULL),
-s3 AS (SELECT * FROM surveys WHERE method = 'Depletion' AND pass3 IS NOT NULL AND coalesce(pass4, 0) <= 0), s4 AS (SELECT * FROM surveys WHERE method = 'Depletion' AND pass3 IS NOT NULL AND pass4 > 0),
+s3 AS (SELECT * FROM surveys WHERE method = 'Depletion' AND pass3 IS NOT NULL AND coalesce(pass4, 0) <= 0 AND nold IS NULL), s4 AS (SELECT * FROM surveys WHERE method = 'Depletion' AND pass3 IS NOT NULL AND pass4 > 0 AND nold IS NULL),
 {_carle_strub_sql('c3', 's3', ['pass1', 'pass2', 'pass3'])}, {_carle_strub_sql('c4', 's4', ['pass1', 'pass2', 'pass3', 'pass4'])},
 mr AS (SELECT l_partkey, l_returnflag, pass1 AS m, pass2 AS n, pass3 AS r FROM surveys WHERE method = 'Mark Recapture'),
 ch AS (SELECT *, {_CHAP} FROM mr),
 est AS (SELECT l_partkey, l_returnflag, n, se, p, pse, 'Seber' AS nmethod FROM d2 UNION ALL SELECT l_partkey, l_returnflag, n, se, p, pse, 'Carle Strub' FROM c3
   UNION ALL SELECT l_partkey, l_returnflag, n, se, p, pse, 'Carle Strub' FROM c4 UNION ALL SELECT l_partkey, l_returnflag, nn, se, m / nn, m * se / (nn * nn), 'Chapman' FROM ch
   UNION ALL SELECT l_partkey, l_returnflag, pass1 / p0, pass1 * pse0 / (p0 * p0), p0, pse0, 'Ratio Est.' FROM surveys WHERE method = 'Continuous'
-  UNION ALL SELECT l_partkey, l_returnflag, NULL, NULL, p0, pse0, NULL FROM surveys WHERE method = 'Single Pass')"""
+  UNION ALL SELECT l_partkey, l_returnflag, NULL, NULL, p0, pse0, NULL FROM surveys WHERE method = 'Single Pass' AND nold IS NULL
+  UNION ALL SELECT l_partkey, l_returnflag, nold, 1.5, p0, pse0, 'Prev. Calc.' FROM surveys WHERE nold IS NOT NULL AND (method = 'Single Pass' OR method = 'Depletion' AND pass3 IS NOT NULL))"""
 
 
 @query("estimator_dispatch", f"""WITH RECURSIVE {_SURVEYS}
 SELECT l_partkey, l_returnflag, nmethod, round(n, 4) AS n, round(se, 2) AS se, round(p, 6) AS p, round(pse, 4) AS pse FROM est""")
 def _(t):
-    e = E.estimate_abundance(_surveys(t))
+    e = E.estimate_abundance(_surveys(t), earlier=("N_old", "SE_old"))
     return e.select("l_partkey", "l_returnflag", F.col("Nmethod").alias("nmethod"), F.round("N", 4).alias("n"), F.round("SE", 2).alias("se"),
                     F.round("p", 6).alias("p"), F.round("pSE", 4).alias("pse"))
 
@@ -129,12 +131,12 @@ _VALID = """v AS (SELECT s.*, e.n, e.nmethod, coalesce(CASE WHEN method = 'Mark
 
 @query("validity_rule", f"WITH RECURSIVE {_SURVEYS}, {_VALID} SELECT l_partkey, l_returnflag, method, valid FROM v")
 def _(t):
-    return E.flag_valid(E.estimate_abundance(_surveys(t))).select("l_partkey", "l_returnflag", F.col("Method").alias("method"), F.col("Valid").alias("valid"))
+    return E.flag_valid(E.estimate_abundance(_surveys(t), earlier=("N_old", "SE_old"))).select("l_partkey", "l_returnflag", F.col("Method").alias("method"), F.col("Valid").alias("valid"))
 
 
 @query("business_validity", f"WITH RECURSIVE {_SURVEYS}, {_VALID} SELECT l_partkey, l_returnflag, round(n, 4) AS n FROM v WHERE valid")
 def _(t):
-    return E.flag_valid(E.estimate_abundance(_surveys(t))).where("Valid").select("l_partkey", "l_returnflag", F.round("N", 4).alias("n"))
+    return E.flag_valid(E.estimate_abundance(_surveys(t), earlier=("N_old", "SE_old"))).where("Valid").select("l_partkey", "l_returnflag", F.round("N", 4).alias("n"))
 
 
 @query("overlap_check", """
@@ -157,8 +159,9 @@ SELECT b.s_suppkey, species, yr AS max_year, round(n / 1.0, 4) AS redds_per_km,
 def _(t):
     sites = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("route"), "s_acctbal", (F.lit(100.0) + F.col("s_suppkey") % 50).alias("area"))
     redds = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_nationkey").alias("route"), "c_acctbal", F.col("o_orderstatus").alias("species"), F.year("o_orderdate").alias("yr"))
-    d = E.redd_density(sites, redds, ["route"], "s_suppkey", "s_acctbal", "c_acctbal", 500.0, "species", "yr", "area")
+        "o_orderkey", F.col("c_nationkey").alias("route"), "c_acctbal", F.col("o_orderstatus").alias("species"), F.year("o_orderdate").alias("yr"))
+    redds = redds.unionByName(redds.where("o_orderkey % 3 = 0"))  # some nests were recorded twice
+    d = E.redd_density(sites, redds, ["route"], "s_suppkey", "s_acctbal", "c_acctbal", 500.0, "species", "yr", "area", "o_orderkey")
     return d.select("s_suppkey", "species", "max_year", F.round("redds_per_km", 4).alias("redds_per_km"), F.round("redds_per_m2", 6).alias("redds_per_m2"))
 
 
@@ -275,14 +278,15 @@ def _lm_data(t):
     """Orders as sites: log price on standardised covariates, strata by nation, weights by priority."""
     d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", F.col("o_orderstatus").alias("species"), F.col("c_nationkey").alias("watershed"),
-        F.ln("o_totalprice").alias("y"), (F.col("c_acctbal") / 1000).alias("x1"), ((F.col("o_orderkey") % 97) / 10.0).alias("x2"),
+        F.ln("o_totalprice").alias("y"), F.when(F.col("o_orderkey") % 7 != 0, F.col("c_acctbal") / 1000).alias("x1"),
+        F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_orderkey") % 97) / 10.0).alias("x2"),
         (F.substring("o_orderpriority", 1, 1).cast("double") / 10).alias("w"), "c_mktsegment", "o_orderpriority")
     return d
 
 
-_LM = """lm AS (SELECT o_orderkey, o_orderstatus AS species, c_nationkey AS watershed, ln(o_totalprice) AS y, c_acctbal / 1000 AS x1, (o_orderkey % 97) / 10.0 AS x2,
+_LM = """lm AS (SELECT o_orderkey, o_orderstatus AS species, c_nationkey AS watershed, ln(o_totalprice) AS y, CASE WHEN o_orderkey % 7 <> 0 THEN c_acctbal / 1000 END AS x1, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 97) / 10.0 END AS x2,
   CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) / 10 AS w FROM orders JOIN customer ON o_custkey = c_custkey),
-mom AS (SELECT species, sum(w * x1 * x1) AS a, sum(w * x1 * x2) AS b, sum(w * x2 * x2) AS d, sum(w * x1 * y) AS p, sum(w * x2 * y) AS q FROM lm GROUP BY 1),
+mom AS (SELECT species, sum(w * x1 * x1) AS a, sum(w * x1 * x2) AS b, sum(w * x2 * x2) AS d, sum(w * x1 * y) AS p, sum(w * x2 * y) AS q FROM lm WHERE x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY 1),
 cf AS (SELECT species, (d * p - b * q) / (a * d - b * b) AS b1, (a * q - b * p) / (a * d - b * b) AS b2, a, b, d FROM mom)"""
 
 
@@ -294,7 +298,7 @@ def _(t):
 
 
 _VC = f"""{_LM}, m1 AS (SELECT species, sum(w * x2 * x2) AS a, sum(w * x2 * y) / sum(w * x2 * x2) AS b FROM lm GROUP BY 1),
-u AS (SELECT lm.species, CASE WHEN o_orderkey % 1000 = 0 THEN o_orderkey ELSE watershed END AS st, w * x2 * (y - b * x2) AS u FROM lm JOIN m1 ON m1.species = lm.species),
+u AS (SELECT lm.species, CASE WHEN o_orderkey % 1000 = 0 THEN o_orderkey ELSE watershed END AS st, w * x2 * (y - b * x2) AS u FROM lm JOIN m1 ON m1.species = lm.species WHERE x2 IS NOT NULL),
 h AS (SELECT species, st, count(*) AS n, sum(u) AS s1, sum(u * u) AS s2 FROM u GROUP BY 1, 2),
 g AS (SELECT *, sum(s1) OVER (PARTITION BY species) / sum(n) OVER (PARTITION BY species) AS gm FROM h),
 v AS (SELECT species, sum(CASE WHEN n > 1 THEN n / (n - 1) * (s2 - s1 * s1 / n) ELSE 0 END) AS certain, sum(CASE WHEN n > 1 THEN n / (n - 1) * (s2 - s1 * s1 / n) ELSE pow(s1 - gm, 2) END) AS adjust FROM g GROUP BY 1)"""
@@ -415,6 +419,4 @@ def _(t):
              "survey": A.quantiles(q, ["l_partkey"], "l_quantity", {"pred": 0.5})}
     long = R.stack([d.withColumn("model", F.lit(m)) for m, d in preds.items()])
     wide = R.pivot(long, ["l_partkey"], "model", list(preds), {"pred": F.max}, "{level}")
-    # rounding makes equal means tie in both engines
-    wide = wide.withColumns({m: F.col(m) for m in preds})
     return R.stack([C.corr_long(wide, list(preds), m).select(F.lit(m).alias("method"), "x", "y", F.round("r", 6).alias("r")) for m in ("pearson", "spearman")])

@@ -32,6 +32,7 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "reachworks") -
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="reachworks-"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
@@ -40,9 +41,13 @@ def local_session(cpus: int = 8, partitions: int = 8, app: str = "reachworks") -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder the cluster names for checkpoints; a temporary one only on a single machine that names none."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reachworks-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="reachworks-")
         spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
