@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reachworks.operators.estimators import ratio_est
 from reachworks.operators.joins import anti, natural_join
-from reachworks.operators.survey import _solve, _square, _upper, design_array, dot, levels, svy_lm
+from reachworks.operators.survey import _solve, _square, _upper, dot, levels
 from reachworks.session import freeze
 
 
@@ -62,6 +62,14 @@ def calibrate(train: DataFrame, score: DataFrame, species: str, unit: str, count
     with a slope per crew.
     """
     parts = []
+    # A line through the origin for each species and crew needs three sums: crews never meet in one row.
+    xx, xy, yy = (F.sum(F.col(a).cast("double") * F.col(b)) for a, b in ((count, count), (count, n), (n, n)))
+    lines = train.where(F.col(count).isNotNull() & F.col(n).isNotNull()).groupBy(species, crew).agg(
+        xx.alias("xx"), xy.alias("xy"), yy.alias("yy"), F.count(F.lit(1)).alias("rows"))
+    lines = lines.withColumns({"slope": F.coalesce(F.try_divide("xy", "xx"), F.lit(0.0)), "inv": F.coalesce(F.try_divide(F.lit(1.0), F.col("xx")), F.lit(0.0))})
+    spread = lines.groupBy(species).agg((F.sum(F.col("yy") - F.col("slope") * F.col("xy")) / F.greatest(
+        F.sum("rows") - F.count(F.lit(1)), F.lit(1))).alias("s2"))
+    lines = natural_join(lines, spread, "inner", [species]).select(species, crew, F.col("slope").alias("__slope"), F.col("inv").alias("__inv"), "s2")
     for sp in levels(train, species):
         t, s = train.where(F.col(species) == sp), score.where(F.col(species) == sp)
         known = t.select(unit).distinct()
@@ -70,18 +78,9 @@ def calibrate(train: DataFrame, score: DataFrame, species: str, unit: str, count
         a = binomial_predict(binomial_fit(t, count, n, terms), seen, "phat", "phat_se")
         a = a.withColumns({"Nhat": F.try_divide(count, "phat"),
                            "Nhat_se": F.try_divide(F.col(count) * F.col("phat_se"), F.col("phat") * F.col("phat"))})
-        crews = levels(t, crew)
-        slopes = {f"__c{i}": F.when(F.col(crew) == c, F.col(count)).otherwise(0.0) for i, c in enumerate(crews)}
-        ready = t.withColumns(slopes)
-        x, names = design_array(list(slopes), {})
-        fit = svy_lm(ready.withColumn("__one", F.lit(1.0)), n, x, len(names), "__one")
-        # Crews never meet in one row, so the line is one slope per crew.
-        params = {"__coef": fit.select("coef").scalar(), "__inv": fit.select("inv").scalar()}
-        err = F.col(n) - dot(x, F.col("__coef"))
-        s2 = ready.withColumns(params).agg((F.sum(err * err) / F.greatest(F.count(F.lit(1)) - len(names), F.lit(1))).alias("s2")).scalar()
-        b = natural_join(unseen, t.select(crew).distinct(), "left_semi", [crew]).withColumns(slopes).withColumns(params)
-        var = dot(F.transform("__inv", lambda r: dot(r, x)), x)
-        b = b.withColumns({"Nhat": dot(x, F.col("__coef")), "Nhat_se": F.sqrt(var * s2)}).drop(*slopes, *params)
+        b = natural_join(unseen, lines.where(F.col(species) == sp).drop(species), "inner", [crew])
+        b = b.withColumns({"Nhat": F.col(count) * F.col("__slope"), "Nhat_se": F.abs(F.col(count)) * F.sqrt(F.col("__inv") * F.greatest("s2", F.lit(0.0)))}).drop(
+            "__slope", "__inv", "s2")
         b = b.withColumns({"phat": F.try_divide(count, "Nhat"),
                            "phat_se": F.try_divide(F.col(count) * F.col("Nhat_se"), F.col("Nhat") * F.col("Nhat"))})
         cols = [*score.columns, "phat", "phat_se", "Nhat", "Nhat_se"]
@@ -100,16 +99,19 @@ def subsets(terms: Sequence[str], fixed: Sequence[str] = ()) -> list[tuple[str,
 
 def dredge(train: DataFrame, y: str, terms: Sequence[str], fixed: Sequence[str] = (), family: str = "gaussian",
            trials: str | None = None) -> DataFrame:
-    """All sub-models with AICc, delta, weight and coefficients; one row per model.
+    """All sub-models with AICc, delta, weight and coefficients by term; one row per model.
 
-    Gaussian models all come from one pass of cross-product sums.  Binomial ones are fitted in turn and need at least one term.
+    Every model sees the same rows: those without a gap in the response or any term.  Gaussian models
+    all come from one pass of cross-product sums; binomial ones are fitted in turn on rows written once.
+    A factor's coefficients are named by term and level.
     """
     spark = train.sparkSession
+    full = train.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [y, *terms, *([trials] if trials else [])]))
     rows = []
     if family == "gaussian":
         x = F.array(F.lit(1.0), *[F.col(t).cast("double") for t in terms], F.col(y).cast("double"))
         k = len(terms) + 2
-        one = train.select(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[
+        one = full.select(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[
             F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"m{p}") for p, (i, j) in enumerate(_upper(k))]).first()
         n, m = one["n"], _square(np.array(one[1:], dtype=float), k)
         for sub in subsets(terms, fixed):
@@ -121,13 +123,28 @@ def dredge(train: DataFrame, y: str, terms: Sequence[str], fixed: Sequence[str]
             loglik = -0.5 * n * (np.log(2 * np.pi) + np.log(max(rss, 1e-300) / n) + 1)
             rows.append(_model_row(sub, n, p, loglik, dict(zip(["(Intercept)", *sub], map(float, coef)))))
     else:
-        n = train.count()
-        for sub in filter(None, subsets(terms, fixed)):
-            _, model, _ = binomial_fit(train, y, trials, " + ".join(sub))
-            names = ["(Intercept)", *[f"b{i}" for i in range(len(model.coefficients))]]
-            p = len(names)
-            loglik = -0.5 * (model.summary.aic - 2 * p)
-            rows.append(_model_row(sub, n, p, loglik, dict(zip(names, [float(model.intercept), *map(float, model.coefficients)]))))
+        c, m = F.col(y).cast("double"), F.col(trials).cast("double")
+        full = freeze(full.where((m > 0) & (c >= 0) & (c <= m)))
+        one = full.agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("c"), F.sum(m).alias("m")).first()
+        n, constant = one["n"], None
+        for sub in sorted(subsets(terms, fixed), key=lambda s: not s):
+            if sub:
+                features, model, _ = binomial_fit(full, y, trials, " + ".join(sub))
+                ready = features.transform(full.limit(1).withColumn("obs_share", F.lit(0.5)))
+                names = ["(Intercept)", *_feature_names(ready.schema["__features"])]
+                loglik = -0.5 * (model.summary.aic - 2 * len(names))
+                coef = [float(model.intercept), *map(float, model.coefficients)]
+                if constant is None:
+                    # The binomial coefficients are the same in every model.
+                    p = F.greatest(F.least(F.col("prediction"), F.lit(1 - 1e-15)), F.lit(1e-15))
+                    scored = model.transform(features.transform(full.withColumn("obs_share", c / m)))
+                    constant = loglik - scored.agg(F.sum(c * F.ln(p) + (m - c) * F.ln(1 - p))).first()[0]
+            else:
+                share = one["c"] / one["m"]
+                inside = min(max(share, 1e-15), 1 - 1e-15)
+                loglik = (constant or 0.0) + one["c"] * np.log(inside) + (one["m"] - one["c"]) * np.log(1 - inside)
+                names, coef = ["(Intercept)"], [float(np.log(inside / (1 - inside)))]
+            rows.append(_model_row(sub, n, len(names), loglik, dict(zip(names, coef))))
     best = min(r[3] for r in rows)
     raw = [float(np.exp(-0.5 * (r[3] - best))) for r in rows]
     total = sum(raw)
@@ -135,6 +152,12 @@ def dredge(train: DataFrame, y: str, terms: Sequence[str], fixed: Sequence[str]
                                  "model string, df int, loglik double, aicc double, delta double, weight double, coef map<string,double>")
 
 
+def _feature_names(field) -> list[str]:
+    """Names of a feature vector's places, a factor's as term and level."""
+    kinds = field.metadata["ml_attr"]["attrs"]
+    return [a["name"] for a in sorted((a for k in kinds.values() for a in k), key=lambda a: a["idx"])]
+
+
 def _model_row(sub, n, p, loglik, coef):
     aicc = -2 * loglik + 2 * p + 2 * p * (p + 1) / max(n - p - 1, 1)
     return ("+".join(sub) or "1", p, float(loglik), float(aicc), coef)

@@ -15,6 +15,9 @@ from reachworks.operators.joins import natural_join
 from reachworks.session import freeze
 
 FORMS = ("BevertonHolt", "Ricker", "Hockey")
+BOUND = 30.0  # of the logarithms of the curves' parameters
+SETTLED = 1e-5  # largest step, as a share of a parameter, at which a fit is done
+STEPS = 8  # between looks at which fits are done
 
 
 def sr_starts(data: DataFrame, key: str, s: str, r: str) -> DataFrame:
@@ -70,15 +73,22 @@ def _step(d: DataFrame, par: DataFrame, key: str, s: str, r: str) -> DataFrame:
     sb = F.when(F.col("fixed"), F.lit(0.0)).otherwise(F.try_divide(F.col("gb") * da - F.col("ga") * F.col("ab"), det))
     clip = lambda c: F.greatest(F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)), F.lit(-3.0))
     # Bounds keep the parameters positive and finite.
-    lim = lambda c: F.greatest(F.least(c, F.lit(60.0)), F.lit(-60.0))
-    return out.withColumns({"ta": lim(F.col("ba") + clip(sa)), "tb": lim(F.col("bb_") + clip(sb))})
+    lim = lambda c: F.greatest(F.least(c, F.lit(BOUND)), F.lit(-BOUND))
+    # Settled: the next step would be tiny, no step of whatever length makes the fit better, a bound is reached, or
+    # nothing can be computed.
+    small = F.greatest(F.abs(clip(sa)), F.abs(clip(sb))) <= SETTLED
+    edge = F.greatest(F.abs("ba"), F.abs("bb_")) >= BOUND
+    settled = F.coalesce(edge | (F.col("damp") < 1) & small | (F.col("damp") >= 1e6) | (F.col("sse") <= 1e-14 * F.col("n_obs")), F.lit(True))
+    return out.withColumns({"ta": lim(F.col("ba") + clip(sa)), "tb": lim(F.col("bb_") + clip(sb)), "settled": settled})
 
 
-def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None = None, rounds: int = 12) -> DataFrame:
+def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None = None, rounds: int = 24) -> DataFrame:
     """Capacity per population and curve on the log scale, with SE, CV and a status.
 
     ``fixed_b`` (key, b) pins the Beverton-Holt capacity and leaves only its slope to fit.  A
-    population that cannot be fitted comes back with status ``failed`` and NULLs; the rest go on.
+    population that cannot be fitted comes back with status ``failed`` and NULLs, one whose steps
+    never settle within ``rounds`` or run off to the bounds with ``not converged``; the rest go on.
+    Steps are repeated for the curves that have not settled, and only for those.
     """
     d = freeze(data.select(key, F.col(s).cast("double").alias(s), F.col(r).cast("double").alias(r)).where(
         (F.col(s) > 0) & (F.col(r) > 0)))
@@ -89,10 +99,17 @@ def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None
     par = par.select(key, "form", "n_obs", F.lit(fixed_b is not None).alias("fixed"),
                      *[null.alias(c) for c in ("sse", "aa", "ab", "bb", "ga", "gb", "ba", "bb_")], F.lit(1e-3).alias("damp"),
                      F.ln(F.greatest("a", F.lit(1e-25))).alias("ta"), F.ln(F.greatest("b", F.lit(1e-25))).alias("tb"))
-    for i in range(rounds):
-        par = _step(d, par, key, s, r)
-        if i % 4 == 3 and i < rounds - 1:
-            par = freeze(par)
+    par, done = par.withColumn("settled", F.lit(False)), []
+    for i in range(0, rounds, STEPS):
+        for _ in range(min(STEPS, rounds - i)):
+            par = _step(d, par.drop("settled"), key, s, r)
+        par = freeze(par)
+        done.append(par.where("settled"))
+        par = par.where("not settled")
+        if par.isEmpty():
+            break
+    for part in done:
+        par = par.unionByName(part)
     n_par = F.when(F.col("fixed"), 1).otherwise(2)
     a, b = F.exp("ba"), F.exp("bb_")
     s2 = F.try_divide("sse", F.col("n_obs") - n_par)
@@ -101,7 +118,8 @@ def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None
     est = F.when(F.col("form") == FORMS[0], 1 / b).when(F.col("form") == FORMS[1], a / b * F.exp(F.lit(-1.0))).otherwise(b)
     log_var = F.when(F.col("fixed"), F.lit(0.0)).when(F.col("form") == FORMS[1], vaa + vbb - 2 * vab).otherwise(vbb)
     ok = (F.col("n_obs") > n_par) & F.col("sse").isNotNull() & ~F.isnan("sse") & (F.col("fixed") | (det > 1e-12 * F.col("aa") * F.col("bb")))
-    out = par.withColumns({"status": F.when(ok, "ok").otherwise("failed"), "__est": est, "__se": est * F.sqrt(F.greatest(log_var, F.lit(0.0)))})
+    inside = F.col("settled") & (F.greatest(F.abs("ba"), F.abs("bb_")) < BOUND)
+    out = par.withColumns({"status": F.when(~ok, "failed").when(inside, "ok").otherwise("not converged"), "__est": est, "__se": est * F.sqrt(F.greatest(log_var, F.lit(0.0)))})
     val = lambda c: F.when(F.col("status") == "ok", c)
     return out.select(key, "form", "n_obs", "status", val(a).alias("a"), val(b).alias("b"), val(F.col("sse")).alias("sse"),
                       val(F.col("__est")).alias("est"), val(F.col("__se")).alias("se"),
@@ -229,25 +247,45 @@ def grouped_map(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFr
     group to a few rows of ``mid_schema`` (keys included) and accepts its own output again.
 
     Parts shrink inside their input partition, then in ``fan_in`` sets per group, so ``finish`` never
-    sees more than a few rows however large the group is.  A group whose ``finish`` raises gives
-    status ``failed`` and NULLs while the others go on; ``schema`` must end in ``status string``.
+    sees more than a few rows however large the group is.  A group for which either function raises
+    gives status ``failed``, NULLs and the first message in ``error`` while the others go on;
+    ``schema`` has ``status string`` and may have ``error string``.
     """
     keys = list(keys)
     names = [f.split()[0].strip("`") for f in schema.split(",")]
+    mids = [f.split()[0].strip("`") for f in mid_schema.split(",")]
+
+    def guarded(g: pd.DataFrame) -> pd.DataFrame:
+        """A part made smaller, or one row that says why it could not be."""
+        if "__error" in g:
+            bad = g[g["__error"].notna()]
+            if len(bad):
+                return bad.head(1)
+            g = g.drop(columns="__error")
+        try:
+            return partial(g)[mids].assign(__error=None)
+        except Exception as e:  # noqa: BLE001 - a failing group must not fail the job
+            row = {n: g[n].iloc[0] if n in keys else None for n in mids}
+            return pd.DataFrame([row | {"__error": f"{type(e).__name__}: {e}"}])
 
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, g in pdf.groupby(keys, sort=False, dropna=False):
-                yield partial(g)
+                yield guarded(g)
 
     def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return finish(partial(pdf)).assign(status="ok")[names]
-        except Exception:  # noqa: BLE001 - a failing group must not fail the job
-            row = {n: pdf[n].iloc[0] if n in keys else None for n in names}
-            return pd.DataFrame([row | {"status": "failed"}])[names]
-
-    first = df.mapInPandas(shrink, mid_schema).withColumn("__part", F.pmod(
+        small = guarded(pdf)
+        error = small["__error"].iloc[0] if len(small) else None
+        if error is None:
+            try:
+                return finish(small.drop(columns="__error")).assign(status="ok", error=None)[names]
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+        row = {n: pdf[n].iloc[0] if n in keys else None for n in names}
+        return pd.DataFrame([row | {"status": "failed", "error": error}])[names]
+
+    mid = f"{mid_schema}, __error string"
+    first = df.mapInPandas(shrink, mid).withColumn("__part", F.pmod(
         F.spark_partition_id(), F.lit(fan_in)).cast("int"))
-    second = first.groupBy(*keys, "__part").applyInPandas(lambda p: partial(p.drop(columns="__part")), mid_schema)
+    second = first.groupBy(*keys, "__part").applyInPandas(lambda p: guarded(p.drop(columns="__part")), mid)
     return second.groupBy(*keys).applyInPandas(attempt, schema)

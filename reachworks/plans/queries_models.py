@@ -268,7 +268,7 @@ def _(t):
 def _(t):
     d = _sr(t)
     cap = d.groupBy("population").agg((1 / (F.max("parr") * 1.5)).alias("b"))
-    return W.fit_sr(d, "population", "spawners", "parr", fixed_b=cap, rounds=8)
+    return W.fit_sr(d, "population", "spawners", "parr", fixed_b=cap)
 
 
 @query("sr_curve", f"""WITH {_SR}, top AS (SELECT population, max(spawners) AS m FROM sr GROUP BY 1),
