@@ -130,17 +130,27 @@ def predict_quantile(model, leaves: DataFrame, df: DataFrame, covars: Sequence[s
     return scored.select(rid, value.alias(out))
 
 
-def tree_spread(model, train: DataFrame, score: DataFrame, covars: Sequence[str], label: str, rid: str) -> DataFrame:
-    """Mean and SD over trees of the leaf means: prediction and its error per row.
+def leaf_predictions(model) -> list[np.ndarray]:
+    """Each tree's predictions by leaf number: leaves are numbered from left to right, as the tree's text lists them."""
+    return [np.array([float(line.split(":")[1]) for line in tree.toDebugString.splitlines() if "Predict:" in line]) for tree in model.trees]
 
-    All trees of a row sit in one task, so the regrouping by row ships one partial per row.
+
+def tree_spread(model, score: DataFrame, covars: Sequence[str], rid: str) -> DataFrame:
+    """Mean and SD of the trees' own predictions: the forest's prediction and its error per row.
+
+    What is sent is one number per leaf of the model, whatever the data; rows are scored where they lie.
     """
-    rows = _leaf_array(model, train.where(F.col(label).isNotNull()), covars)
-    means = rows.select(label, F.posexplode("__leaves").alias("tree", "leaf")).groupBy("tree", "leaf").agg(
-        F.avg(label).alias("m"))
-    each = _leaf_array(model, score, covars).select(rid, F.posexplode("__leaves").alias("tree", "leaf"))
-    return each.join(means, ["tree", "leaf"]).groupBy(rid).agg(
-        F.avg("m").alias("pred_cap"), F.stddev_samp("m").alias("pred_se"))
+    sent = score.sparkSession.sparkContext.broadcast(leaf_predictions(model))
+
+    @F.pandas_udf("pred_cap double, pred_se double")
+    def spread(col: pd.Series) -> pd.DataFrame:
+        leaf = np.stack(col.to_numpy()).astype(np.int64) if len(col) else np.zeros((0, len(sent.value)), np.int64)
+        each = np.stack([values[leaf[:, k]] for k, values in enumerate(sent.value)], axis=1)
+        sd = each.std(axis=1, ddof=1) if each.shape[1] > 1 else np.full(len(each), np.nan)
+        return pd.DataFrame({"pred_cap": each.mean(axis=1), "pred_se": sd})
+
+    out = _leaf_array(model, score, covars).withColumn("__s", spread("__leaves"))
+    return out.select(rid, "__s.pred_cap", F.when(~F.isnan("__s.pred_se"), F.col("__s.pred_se")).alias("pred_se"))
 
 
 def rf_extrapolate(train: DataFrame, score: DataFrame, covars: Sequence[str], y: str, rid: str, by: str,
@@ -151,7 +161,7 @@ def rf_extrapolate(train: DataFrame, score: DataFrame, covars: Sequence[str], y:
     for lv in levels(train, by):
         t = train.where(F.col(by) == F.lit(lv)).na.drop(subset=[*covars, y])
         model = fit_forest(t, covars, F.col(y), ntree, seed, **kw)
-        parts.append(tree_spread(model, t, complete, covars, y, rid).withColumn(by, F.lit(lv)))
+        parts.append(tree_spread(model, complete, covars, rid).withColumn(by, F.lit(lv)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -189,8 +199,9 @@ def pdp_grid(df: DataFrame, covars: Sequence[str], n_pts: int = 200, factors: Ma
 
 def partial_dependence(model, leaves: DataFrame, grid: DataFrame, covars: Sequence[str], importance: DataFrame,
                        kind: str = "quantile", q: float = 0.9, offset: float | None = 0.005) -> DataFrame:
-    """Score the grid at a quantile or the mean, undo the log, attach label and importance."""
-    rows = grid.withColumn("__id", F.concat_ws("|", "metric", "i"))
+    """Score the grid at a quantile or the mean, undo the log, attach label and importance; one row per grid row, factors kept."""
+    rows = grid.withColumn("__id", F.to_json(F.struct(*grid.columns), {"ignoreNullFields": "false"}))
+    factors = [c for c in grid.columns if c not in ("metric", "i", "value", *covars)]
     if kind == "quantile":
         pred = predict_quantile(model, leaves, rows, covars, q, "__id", "pred", offset)
     else:
@@ -198,7 +209,7 @@ def partial_dependence(model, leaves: DataFrame, grid: DataFrame, covars: Sequen
         value = F.col("prediction") if offset is None else F.exp("prediction") - F.lit(offset)
         pred = raw.select("__id", value.alias("pred"))
     return rows.join(pred, "__id").join(importance.select("metric", "label", "rel_imp"), "metric").select(
-        "metric", "label", "rel_imp", "i", "value", "pred")
+        "metric", "label", "rel_imp", "i", "value", *factors, "pred")
 
 
 def rug(df: DataFrame, covars: Sequence[str], group: str, labels: Mapping[str, str]) -> DataFrame:

@@ -127,17 +127,19 @@ def _(t):
 def _gappy(t):
     return t.lineitem.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("p"), F.max("l_linenumber").alias("k")).select(
         "l_partkey", F.when(F.col("l_partkey") % 7 != 0, F.col("q")).alias("qty"), F.when(F.col("l_partkey") % 5 != 0, F.col("p")).alias("price"),
-        F.when(F.col("l_partkey") % 3 != 0, F.col("k")).alias("lines"), F.when(F.col("l_partkey") % 4 != 0, F.col("q") / F.col("k")).alias("ratio"))
+        F.when(F.col("l_partkey") % 3 != 0, F.col("k")).alias("lines"), F.when(F.col("l_partkey") % 4 != 0, F.col("q") / F.col("k")).alias("ratio"),
+        F.when(F.col("l_partkey") % 6 != 0, F.when(F.col("k") > 6, "long").otherwise("short")).alias("kind"))
 
 
 @query("impute_missing", """
 WITH g AS (SELECT l_partkey, sum(l_quantity) AS q, sum(l_extendedprice) AS p, max(l_linenumber) AS k FROM lineitem GROUP BY 1),
-d AS (SELECT l_partkey, CASE WHEN l_partkey % 7 <> 0 THEN q END AS qty, CASE WHEN l_partkey % 5 <> 0 THEN p END AS price, CASE WHEN l_partkey % 3 <> 0 THEN k END AS lines, CASE WHEN l_partkey % 4 <> 0 THEN q / k END AS ratio FROM g),
-f AS (SELECT * FROM d WHERE (qty IS NULL)::INT + (price IS NULL)::INT + (lines IS NULL)::INT + (ratio IS NULL)::INT <= 2), m AS (SELECT median(qty) AS a, median(price) AS b, median(lines) AS c, median(ratio) AS e FROM f)
-SELECT l_partkey, round(coalesce(qty, a), 4) AS qty, round(coalesce(price, b), 4) AS price, coalesce(lines, CAST(round_even(c, 0) AS INTEGER)) AS lines, round(coalesce(ratio, e), 6) AS ratio FROM f, m""")
+d AS (SELECT l_partkey, CASE WHEN l_partkey % 7 <> 0 THEN q END AS qty, CASE WHEN l_partkey % 5 <> 0 THEN p END AS price, CASE WHEN l_partkey % 3 <> 0 THEN k END AS lines, CASE WHEN l_partkey % 4 <> 0 THEN q / k END AS ratio, CASE WHEN l_partkey % 6 <> 0 THEN CASE WHEN k > 6 THEN 'long' ELSE 'short' END END AS kind FROM g),
+f AS (SELECT * FROM d WHERE (qty IS NULL)::INT + (price IS NULL)::INT + (lines IS NULL)::INT + (ratio IS NULL)::INT + (kind IS NULL)::INT <= 2),
+mo AS (SELECT kind AS most FROM f WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, kind LIMIT 1), m AS (SELECT median(qty) AS a, median(price) AS b, median(lines) AS c, median(ratio) AS e FROM f)
+SELECT l_partkey, round(coalesce(qty, a), 4) AS qty, round(coalesce(price, b), 4) AS price, coalesce(lines, CAST(round_even(c, 0) AS INTEGER)) AS lines, round(coalesce(ratio, e), 6) AS ratio, coalesce(kind, most) AS kind FROM f, m, mo""")
 def _(t):
-    i = impute_missing(_gappy(t), ["qty", "price", "lines", "ratio"], "l_partkey", max_missing=2)
-    return i.select("l_partkey", r4("qty"), r4("price"), "lines", F.round("ratio", 6).alias("ratio"))
+    i = impute_missing(_gappy(t), ["qty", "price", "lines", "ratio", "kind"], "l_partkey", max_missing=2)
+    return i.select("l_partkey", r4("qty"), r4("price"), "lines", F.round("ratio", 6).alias("ratio"), "kind")
 
 
 @query("impute_missing_pmm")

@@ -70,10 +70,12 @@ def test_forest_quantiles(cov):
 
 def test_tree_spread(cov):
     model = Q.fit_forest(cov, ["x1", "x2"], "y", ntree=10)
-    got = Q.tree_spread(model, cov, cov, ["x1", "x2"], "y", "id")
+    got = Q.tree_spread(model, cov, ["x1", "x2"], "id")
     lo, hi = cov.agg(F.min("y"), F.max("y")).first()
     row = got.agg(F.count("*"), F.min("pred_cap"), F.max("pred_cap"), F.min("pred_se")).first()
     assert row[0] == 400 and row[1] >= lo and row[2] <= hi and row[3] >= 0
+    forest = {r.id: r.prediction for r in model.transform(Q.assemble(cov, ["x1", "x2"])).collect()}
+    assert {r.id: r.pred_cap for r in got.collect()} == pytest.approx(forest)
 
 
 def test_weighted_least_squares_with_factor(cov):
