@@ -4,8 +4,8 @@
    The same pass counts n-grams into a fixed number of bins; (bin count, hash) is the global order, rarest first.
 2. A set of n can only meet a similar one inside its first n - ceil(t * n) + 1 n-grams in that order. These prefixes
    are dealt by hash into bounded buckets, and n-grams standing in the prefixes of two or more classes are kept.
-3. In each n-gram the class whose prefix is shared most is the hub; every other is a candidate with it if what they share
-   suffices. Candidates form clusters, mostly families of copies, and a cluster is joined within itself block by block:
+3. In each n-gram the class whose prefix is shared most is the hub; every other joins its cluster if they share a good
+   part of their prefixes. Clusters, mostly families of copies, are joined within themselves block by block:
    what joins two components is kept, pairs are never listed.
 4. Pairs from different clusters that share enough of their prefixes to be similar are compared one by one. What two
    sets share up to the end of the shorter prefix is counted in full, so the count and what is left bound their overlap.
@@ -33,6 +33,8 @@ BIN_BITS = 18
 BUCKET_POSTINGS = 1_000_000
 HOT_COUNT = 1_000_000  # an n-gram counted as often skips the buckets: it is shared for certain
 BLOCK_GRAMS = 300_000  # n-grams of the sets that one tree holds
+CLUSTER_ROUNDS = 2
+CLUSTER_SHARE = 4  # a class joins a hub's cluster if it shares one in so many of the shorter prefix
 NODES_SENT = 2_000_000  # ids broadcast to pick texts; beyond that the texts are joined
 RECENT_SETS = 200_000  # classes a task remembers not to repeat
 
@@ -365,10 +367,14 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     names = classes.select("set_id", "class_id")
     shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "edge").distinct())
 
-    found, labels, clusters = [], None, None
-    near = _candidates(shared, percent)
-    if not near.isEmpty():
-        clusters = components(near)
+    found, labels, clusters, near = [], None, None, []
+    for _ in range(CLUSTER_ROUNDS):
+        more = _candidates(_between(shared, clusters), percent)
+        if more.isEmpty():
+            break
+        near.append(more)
+        clusters = components(_all(near))
+    if near:
         found.append(_families(texts, clusters, classes.select(F.col("class_id").alias("id"), "n"), sent, width, percent))
     pairs = freeze(_cross(shared, clusters, percent))
     if not pairs.isEmpty():
@@ -407,31 +413,41 @@ def _enough(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(x: DataFrame, y: DataFrame, different: F.Column, percent: int) -> DataFrame:
-    """(a, b, common) of class pairs on either side of an n-gram: what they share is counted over all n-grams."""
+    """Class pairs (a, b) on either side of an n-gram, what they share counted over all n-grams, sizes and prefix ends."""
     rows = x.alias("x").join(y.alias("y"), "gram").where(different & _alike(percent))
-    met = rows.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).agg(
+    return rows.groupBy(F.col("y.id").alias("a"), F.col("x.id").alias("b")).agg(
         F.count(F.lit(1)).alias("common"), F.max("x.n").alias("xn"), F.max("y.n").alias("yn"), F.max("x.edge").alias("xe"), F.max("y.edge").alias("ye"))
-    return _enough(met, percent)
 
 
-def _candidates(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with the hubs of its n-grams. A choice of what to join first, not a filter: only n-grams of
-    which a is the hub are counted here. The least altered of a family of copies shares most and becomes its hub."""
-    part = freeze(shared.groupBy("id").agg((F.count(F.lit(1)) / F.first("n")).alias("part")))
-    hubs = freeze(shared.join(part, "id").groupBy("gram").agg(F.max(F.struct("part", F.xxhash64("id").alias("h"), "id", "n", "edge")).alias("hub"))
-                  .select("gram", "hub.id", "hub.n", "hub.edge"))
-    return freeze(_met(shared, hubs, F.col("x.id") != F.col("y.id"), percent).select("a", "b"))
+def _between(shared: DataFrame, clusters: DataFrame | None) -> DataFrame:
+    """Postings with their cluster, of the n-grams that stand in two clusters or more."""
+    if clusters is None:
+        return shared.withColumn("cluster", F.col("id"))
+    named = freeze(shared.join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
+    mixed = named.groupBy("gram").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("gram")
+    return freeze(named.join(freeze(mixed), "gram"))
+
+
+def _candidates(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the hubs of its n-grams, where they share a quarter of the shorter prefix.
+
+    This chooses what is joined as one cluster and filters nothing: pairs that stay in different clusters come to
+    _cross. The least altered of a family of copies shares most and becomes its hub.
+    """
+    part = freeze(left.groupBy("id").agg((F.count(F.lit(1)) / F.first("n")).alias("part")))
+    hubs = freeze(left.join(part, "id").groupBy("gram").agg(F.max(F.struct("part", F.xxhash64("id").alias("h"), "id", "n", "edge", "cluster")).alias("hub"))
+                  .select("gram", "hub.id", "hub.n", "hub.edge", "hub.cluster"))
+    shorter = F.least("xn", "yn")
+    prefix = shorter - F.ceil(percent * shorter / 100) + 1
+    met = _met(left, hubs, F.col("x.cluster") != F.col("y.cluster"), percent)
+    return freeze(met.where(CLUSTER_SHARE * F.col("common") >= prefix).select("a", "b"))
 
 
 def _cross(shared: DataFrame, clusters: DataFrame | None, percent: int) -> DataFrame:
     """(a, b, n of b): every pair of different clusters that can still be similar, once."""
-    if clusters is None:
-        named = shared.withColumn("cluster", F.col("id"))
-    else:
-        named = freeze(shared.join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component"))
-        mixed = named.groupBy("gram").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("gram")
-        named = freeze(named.join(freeze(mixed), "gram"))
-    return _met(named, named, F.col("y.cluster") < F.col("x.cluster"), percent).select("a", "b", F.col("xn").alias("n"))
+    named = _between(shared, clusters)
+    met = _met(named, named, F.col("y.cluster") < F.col("x.cluster"), percent)
+    return _enough(met, percent).select("a", "b", F.col("xn").alias("n"))
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
