@@ -30,7 +30,7 @@ from reachworks.session import freeze
 LEVEL = 5
 EPSILON = 1e-6
 CHUNK_BYTES = 4 << 20
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_400_000
 MASK_BITS = 26  # of the histories that are asked for
 START, END = np.uint64(0x51A27), np.uint64(0xE9D)
 
@@ -233,11 +233,14 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], bucket
             yield out.batch()
             return
         word, history, code = np.concatenate(word), np.concatenate(history), np.concatenate(code)
-        train = code & 1
-        key = tokens.mix(word) ^ tokens.mix(history * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        train = (code & 1).astype(np.int8)
+        key = tokens.mix(word)
+        key ^= tokens.mix(history * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        del key
         pair = np.bincount(inverse, train).astype(np.int64)
         names, of = np.unique(word, return_inverse=True)
+        del word
         count = np.bincount(of, train).astype(np.int64)
         for i, x in enumerate(names.tolist()) if large else ():
             count[i] = large.get(x, count[i])
@@ -246,6 +249,7 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], bucket
             base = np.log10((count + 1) / (total + kinds + 1))
             own = np.where((count > 0) & (names != END), -np.log10(np.maximum(count, 1)), 0.0)
             r = pair[inverse]
+            del inverse
             s = own[of] + np.where(r == 0, np.log10(p)[of], np.where(r > LEVEL, np.log10(np.maximum(r, 1) * (1 - EPSILON)), 0.0))
         at = 0
         for chunk, size in zip(chunks, sizes):
@@ -264,7 +268,7 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], bucket
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 mine = back[order[a:b]]
                 out.put("asked", int(target[order[a]]), chunk, _six(history[mine] << np.uint64(16)), _planes(code[mine] >> 1))
-            if len(out.rows) > 256:
+            if len(out.rows) > 64:
                 yield out.batch()
         seen = np.flatnonzero(pair > 0)
         seen = seen[np.argsort(of[one[seen]], kind="stable")]
