@@ -56,9 +56,9 @@ def _kendall(long: DataFrame) -> DataFrame:
     xs = cells.groupBy("x", "y", "xv").agg(F.sum("n").alias("nx"))
     dense = running(xs, ["x", "y"], ["xv"], {"rx": ("sum", F.lit(1).cast("bigint"))})
     size = dense.groupBy("x", "y").agg(
-        F.max("rx").alias("m"), F.sum("nx").alias("n"), F.sum(F.col("nx") * (F.col("nx") - 1) / 2).alias("tx"))
+        F.max("rx").alias("m"), F.sum("nx").alias("n"), F.sum(F.col("nx").cast("double") * (F.col("nx") - 1) / 2).alias("tx"))
     ty = cells.groupBy("x", "y", "yv").agg(F.sum("n").alias("ny")).groupBy("x", "y").agg(
-        F.sum(F.col("ny") * (F.col("ny") - 1) / 2).alias("ty"))
+        F.sum(F.col("ny").cast("double") * (F.col("ny") - 1) / 2).alias("ty"))
     keyed = cells.join(dense.select("x", "y", "xv", "rx"), ["x", "y", "xv"]).join(size.select("x", "y", "m"), ["x", "y"])
     levels = F.sequence(F.lit(0), F.length(F.bin("m")) - 1)
     bits = keyed.select("x", "y", "yv", "n", "rx", F.explode(levels).alias("lv")).select(
@@ -69,10 +69,12 @@ def _kendall(long: DataFrame) -> DataFrame:
     at = bits.groupBy(*g, "yv").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
     ran = running(at, g, ["yv"], {"below": ("sum", F.col("lo"))})
     totals = at.groupBy(*g).agg(F.sum("lo").alias("all_lo"))
-    c = F.sum(F.col("hi") * (F.col("below") - F.col("lo")))
-    d = F.sum(F.col("hi") * (F.col("all_lo") - F.col("below")))
+    # Pair counts pass the range of integers long before rows do.
+    hi = F.col("hi").cast("double")
+    c = F.sum(hi * (F.col("below") - F.col("lo")))
+    d = F.sum(hi * (F.col("all_lo") - F.col("below")))
     score = ran.join(totals, g).groupBy("x", "y").agg((c - d).cast("double").alias("s"))
-    n0 = F.col("n") * (F.col("n") - 1) / 2.0
+    n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2.0
     return score.join(size, ["x", "y"]).join(ty, ["x", "y"]).select(
         "x", "y", F.try_divide(F.col("s"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("r"))
 

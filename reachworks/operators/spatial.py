@@ -69,16 +69,26 @@ def ring_edges(ring: str | Column) -> Column:
         at(i % n + 1)["x"].alias("bx"), at(i % n + 1)["y"].alias("by")))
 
 
+def _nested(polys: DataFrame, ring: str) -> bool:
+    """Whether the column holds several rings: parts and holes, told apart by even and odd crossings."""
+    return polys.schema[ring].dataType.simpleString().startswith("array<array")
+
+
+def polygon_edges(polys: DataFrame, ring: str = "ring") -> Column:
+    """All edges of a polygon of one ring, or of an array of rings, each closed by itself."""
+    return F.flatten(F.transform(F.col(ring), lambda r: ring_edges(r))) if _nested(polys, ring) else ring_edges(ring)
+
+
 def polygon_area(polys: DataFrame, ids: Sequence[str], ring: str = "ring") -> DataFrame:
-    """Area in square kilometres for coordinates in metres."""
-    twice = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
+    """Area in square kilometres for coordinates in metres; holes run the other way round than their part."""
+    twice = F.aggregate(polygon_edges(polys, ring), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])
     return polys.select(*ids, (F.abs(twice) / 2 / 1e6).alias("area"))
 
 
 def _with_box(polys: DataFrame, ring: str = "ring") -> DataFrame:
-    xs = F.transform(F.col(ring), lambda p: p["x"])
-    ys = F.transform(F.col(ring), lambda p: p["y"])
-    return polys.withColumns({"__edges": ring_edges(ring), "px0": F.array_min(xs), "px1": F.array_max(xs),
+    points = F.flatten(ring) if _nested(polys, ring) else F.col(ring)
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return polys.withColumns({"__edges": polygon_edges(polys, ring), "px0": F.array_min(xs), "px1": F.array_max(xs),
                               "py0": F.array_min(ys), "py1": F.array_max(ys)})
 
 

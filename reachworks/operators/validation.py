@@ -289,3 +289,11 @@ def grouped_map(df: DataFrame, keys: Sequence[str], partial: Callable[[pd.DataFr
         F.spark_partition_id(), F.lit(fan_in)).cast("int"))
     second = first.groupBy(*keys, "__part").applyInPandas(lambda p: guarded(p.drop(columns="__part")), mid)
     return second.groupBy(*keys).applyInPandas(attempt, schema)
+
+
+def two_input_map(df: DataFrame, table: DataFrame, keys: Sequence[str], outputs: Mapping[str, Column]) -> DataFrame:
+    """A function of each row and of its group's row in a second table, such as a fitted model; groups without one drop out.
+
+    ``outputs`` are columns over both sides.  The second table is small per group, never gathered: it is joined on the keys.
+    """
+    return natural_join(df, table, "inner", list(keys)).select(*df.columns, *[c.alias(n) for n, c in outputs.items()])

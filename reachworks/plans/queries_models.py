@@ -236,7 +236,7 @@ WITH m AS (SELECT c_nationkey AS k, regr_slope(c_custkey * 37 % 10000, c_acctbal
 SELECT s_suppkey, round(a + b * s_acctbal, 4) AS pred FROM supplier JOIN m ON k = s_nationkey""")
 def _(t):
     fit = V.points(t).groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
-    return J.natural_join(t.supplier, fit, "inner", ["s_nationkey"]).select("s_suppkey", F.round(F.col("a") + F.col("b") * F.col("s_acctbal"), 4).alias("pred"))
+    return W.two_input_map(t.supplier, fit, ["s_nationkey"], {"pred": F.round(F.col("a") + F.col("b") * F.col("s_acctbal"), 4)}).select("s_suppkey", "pred")
 
 
 # ---- spawners and recruits -----------------------------------------------------------

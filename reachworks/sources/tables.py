@@ -39,9 +39,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
                 mode: str = "overwrite") -> None:
     """Write a result; ``partition_by`` gives one folder per value.
 
-    Rows go to the writers as they lie: no shuffle, so one folder may be written by many
-    tasks and a hot value never lands in a single one.
+    Rows of one folder are brought together in parts of an advised size, so folders hold few files and a
+    hot value is still written by many tasks.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -141,6 +141,21 @@ def test_streams_need_points_and_names(spark):
     assert set(got) == {("here", "A"), ("here", "Total"), ("empty", "Total")} and got["empty", "Total"].tot_cap is None
 
 
+def test_polygons_of_parts_and_holes(spark):
+    from reachworks.operators import spatial as K
+
+    def ring(x, y, n, hole=False):
+        points = [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+        return points[::-1] if hole else points
+
+    polys = spark.createDataFrame([("p", [ring(0.0, 0.0, 100.0), ring(40.0, 40.0, 20.0, True), ring(200.0, 0.0, 50.0)])], "poly_id string, ring array<array<struct<x: double, y: double>>>")
+    assert K.polygon_area(polys, ["poly_id"]).first().area * 1e6 == pytest.approx(100 * 100 - 20 * 20 + 50 * 50)
+    points = spark.createDataFrame([(1, 50.0, 50.5), (2, 10.0, 50.5), (3, 210.0, 10.0), (4, 150.0, 10.0)], "id int, x double, y double")
+    assert sorted(r.id for r in K.pip_join(points, polys, cell=30.0).collect()) == [2, 3]
+    lines = spark.createDataFrame([("A", 1, -10.0, 45.0, 400.0, 45.0)], "stream string, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    assert K.length_in_polygon(lines, polys, ["stream"], cell=70.0).first().length == pytest.approx(100 - 20 + 50)
+
+
 def test_shared_folder_must_be_named_on_a_cluster():
     class Context:
         master = "spark://host:7077"
