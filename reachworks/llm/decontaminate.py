@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reachworks.llm import tokens
 from reachworks.session import freeze
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 WIDTH = 10
 PHRASES_PER_PASS = 100_000  # phrases sent to the executors at once; more take further passes over the index
 CANDIDATES_AT_ONCE = 1 << 20

@@ -30,7 +30,7 @@ from reachworks.session import freeze
 WIDTH = 5
 PERCENT = 75
 BIN_BITS = 18
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 600_000
 HOT_COUNT = 1_000_000  # an n-gram counted as often skips the buckets: it is shared for certain
 BLOCK_GRAMS = 300_000  # n-grams of the sets that one tree holds
 CLUSTER_ROUNDS = 2
@@ -113,7 +113,7 @@ def _prefixes(sent, width: int, percent: int, buckets: int):
         (ranks, hot), seen = sent.value, set()
         for part in parts:
             ids = part.column(0)
-            for w in tokens.words_of(part.column(1), tokens.NOT_SPACE, limit=4 << 20):
+            for w in tokens.words_of(part.column(1), tokens.NOT_SPACE):
                 grams, at, names = ngram_sets(w, width, ranks)
                 own = ids[w.first:w.first + len(at) - 1].is_valid().to_numpy(False)
                 fresh = np.zeros(len(names), bool)
