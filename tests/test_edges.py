@@ -107,6 +107,18 @@ def test_short_metric_keeps_its_row(spark):
     assert got["few"] is None and got["many"] == pytest.approx(1.0)
 
 
+def test_sixty_columns_correlate_in_one_small_plan(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 60)) + 1e6
+    x[:, 1] = x[:, 0] + rng.normal(size=80)
+    x[rng.random((80, 60)) < 0.1] = np.nan
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(60)))
+    got = {(r.x, r.y): r.r for r in C.corr_long(df, df.columns).collect()}
+    want = pd.DataFrame(x, columns=df.columns).corr()
+    assert len(got) == 60 * 59 // 2 and all(r == pytest.approx(want.loc[a, b], abs=1e-8) for (a, b), r in got.items())
+
+
 def test_curves_that_run_off_are_not_ok(spark):
     rows = [("good", s, 50 * s / (0.5 + 0.02 * s)) for s in range(1, 40)] + [("line", s, 3.0 * s) for s in range(1, 40)]
     df = spark.createDataFrame([(k, float(s), float(r)) for k, s, r in rows], "k string, s double, r double")
