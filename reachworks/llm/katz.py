@@ -211,7 +211,7 @@ def _deal_tokens(buckets: int, large: dict[int, int]):
     return run
 
 
-def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], buckets: int):
+def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], targets: int):
     """All a word's bucket knows: parts of the documents' sums, tokens that back off, the bigram table, its counts of counts."""
     total, kinds = float(stats[0]), float(stats[1])
     unknown = 1.0 if not total else float((stats[2:2 + LEVEL] * np.arange(1, LEVEL + 1) * (1 - d[1:])).sum() + EPSILON * (total - (stats[2:2 + LEVEL] * np.arange(1, LEVEL + 1)).sum())) / total
@@ -260,16 +260,18 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], bucket
             classes = np.bincount(local * (LEVEL + 1) + np.where(r[some] > LEVEL, 0, r[some]), minlength=k * (LEVEL + 1)).reshape(k, LEVEL + 1)[:, 1:]
             known = np.bincount(local, count[of[some]] > 0, k)
             out.put("sums", bucket, chunk, _planes(docs), np.bincount(local, base[of[some]], k), np.bincount(local, s[some], k), _planes(known), _planes(classes.T.ravel()))
-            back = np.flatnonzero(r[some] == 0) + some.start
-            back = back[np.argsort(history[back])]
-            target = (history[back] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            cuts = _groups(target[order])
-            for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                mine = back[order[a:b]]
-                out.put("asked", int(target[order[a]]), chunk, _six(history[mine] << np.uint64(16)), _planes(code[mine] >> 1))
             if len(out.rows) > 64:
                 yield out.batch()
+        # Tokens that back off, one row for each bucket of histories: which history, which document of which chunk.
+        back = np.flatnonzero(r == 0)
+        target = (history[back] % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
+        cuts = _groups(target[order])
+        starts = np.cumsum(sizes) - sizes
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            mine = back[order[a:b]]
+            within = np.searchsorted(starts, mine, "right") - 1
+            out.put("asked", int(target[order[a]]), None, _six(history[mine] << np.uint64(16)), _planes(code[mine] >> 1), _planes(within), np.array(chunks, np.int64))
         seen = np.flatnonzero(pair > 0)
         seen = seen[np.argsort(of[one[seen]], kind="stable")]
         mine = of[one[seen]]
@@ -298,7 +300,7 @@ def _join_masks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([bits.tobytes()], pa.binary())], ["piece", "bits"])
 
 
-def _history_parts(d: np.ndarray, sent, buckets: int):
+def _history_parts(d: np.ndarray, sent, targets: int):
     """What each row of the bigram table adds to its histories: mass freed, unigram mass seen, count."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, out = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), _Out()
@@ -310,7 +312,7 @@ def _history_parts(d: np.ndarray, sent, buckets: int):
                 history, count, p = history[keep], count[keep], p[keep]
                 names, of = np.unique(history, return_inverse=True)
                 freed, seen, n = np.bincount(of, count - _discounted(count, d)), np.bincount(of, p), np.bincount(of, count)
-                target = (names % np.uint64(buckets)).astype(np.int64)
+                target = (names % np.uint64(targets)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
                 at = _groups(target[order])
                 for a, b in zip(at, [*at[1:], len(order)]):
@@ -330,7 +332,7 @@ def _back_off(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, raw, t in ((freed, r["b"], np.float64), (seen, r["c"], np.float64), (count, r["d"], np.int64)):
                 x.append(np.frombuffer(raw, t))
         else:
-            asked.append((r["chunk"], _from_six(r["a"]), r["b"]))
+            asked.append((_from_six(r["a"]), _from_planes(r["b"]), np.frombuffer(r["d"], np.int64)[_from_planes(r["c"])]))
     out, value = _Out(), np.zeros(0)
     if names:
         names, of = np.unique(np.concatenate(names), return_inverse=True)
@@ -339,13 +341,16 @@ def _back_off(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.put("weights", bucket, None, _six(names << np.uint64(16)), weight)
         # The sums hold -log c(v) for every token; one that backs off takes it back.
         value = np.log10(weight) + np.log10(count)
-    for chunk, history, raw in asked:
-        if not len(value):
-            continue
+    if asked and len(value):
+        history, doc, chunk = (np.concatenate(x) for x in zip(*asked))
         spot = np.minimum(np.searchsorted(names, history), len(names) - 1)
         add = np.where(names[spot] == history, value[spot], 0.0)
-        docs, local = np.unique(_from_planes(raw), return_inverse=True)
-        out.put("backed", bucket, chunk, _planes(docs), np.bincount(local, add, len(docs)))
+        order = np.lexsort((doc, chunk))
+        doc, chunk, add = doc[order], chunk[order], add[order]
+        cuts = _groups(chunk)
+        for a, b in zip(cuts, [*cuts[1:], len(chunk)]):
+            first = _groups(doc[a:b])
+            out.put("backed", bucket, int(chunk[a]), _planes(doc[a:b][first]), np.add.reduceat(add[a:b], first))
     yield out.batch()
 
 
@@ -395,14 +400,16 @@ def katz_scores(docs: DataFrame, learned: F.Column, doc_id: str = "doc_id", text
     d_words = good_turing(np.concatenate([[0], stats[2:]]))
 
     dealt = rows.mapInArrow(_deal_tokens(buckets, large), _ROW)
-    scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, buckets), _ROW))
+    # Histories are asked for by few tokens, so they need fewer buckets.
+    targets = max(12, buckets // 4)
+    scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, targets), _ROW))
     d_pairs = good_turing(np.concatenate([[0], _total_stats(scored)[2:]]))
 
     asked = scored.where("kind = 'asked'")
     masks = asked.select("a").mapInArrow(_mask, "piece bigint, bits binary").groupBy("piece").applyInArrow(_join_masks, "piece bigint, bits binary").orderBy("piece").collect()
     sent = spark.sparkContext.broadcast(b"".join(r["bits"] for r in masks) or bytes((1 << MASK_BITS) // 8))  # of fixed size
     bigrams = scored.where("kind = 'bigrams'")
-    histories = bigrams.select("b", "c", "d", "e").mapInArrow(_history_parts(d_pairs, sent, buckets), _ROW)
+    histories = bigrams.select("b", "c", "d", "e").mapInArrow(_history_parts(d_pairs, sent, targets), _ROW)
     backed = freeze(histories.unionByName(asked).groupBy("bucket").applyInArrow(_back_off, _ROW))
     parts = scored.where("kind in ('docs', 'sums')").unionByName(backed.where("kind = 'backed'"))
     out = parts.groupBy("chunk").applyInArrow(
