@@ -32,7 +32,7 @@ PERCENT = 75
 BIN_BITS = 18
 BUCKET_POSTINGS = 600_000
 HOT_COUNT = 1_000_000  # an n-gram counted as often skips the buckets: it is shared for certain
-BLOCK_GRAMS = 300_000  # n-grams of the sets that one tree holds
+BLOCK_GRAMS = 120_000  # n-grams of the sets that one tree holds
 CLUSTER_ROUNDS = 2
 CLUSTER_SHARE = 4  # a class joins a hub's cluster if it shares one in so many of the shorter prefix
 NODES_SENT = 2_000_000  # ids broadcast to pick texts; beyond that the texts are joined
