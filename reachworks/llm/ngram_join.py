@@ -32,9 +32,9 @@ PERCENT = 75
 BIN_BITS = 18
 BUCKET_POSTINGS = 600_000
 HOT_COUNT = 1_000_000  # an n-gram counted as often skips the buckets: it is shared for certain
-BLOCK_GRAMS = 120_000  # n-grams of the sets that one tree holds
+BLOCK_GRAMS = 200_000  # n-grams of the sets that one tree holds
 CLUSTER_ROUNDS = 2
-CLUSTER_SHARE = 4  # a class joins a hub's cluster if it shares one in so many of the shorter prefix
+CLUSTER_SHARE = 12  # a class joins a hub's cluster if it shares one in so many of the shorter prefix
 NODES_SENT = 2_000_000  # ids broadcast to pick texts; beyond that the texts are joined
 RECENT_SETS = 200_000  # classes a task remembers not to repeat
 
@@ -363,10 +363,12 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     spread = freeze(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED))
     shared = spread
     if _ranks(bins).max() >= hot:
-        shared = shared.unionByName(dealt.where("bucket < 0").drop("bucket").mapInArrow(_hot, _SHARED))
-    names = classes.select("set_id", "class_id")
-    shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "edge").distinct())
-
+        # What skips the buckets may come once from each task that met the class.
+        shared = freeze(shared.unionByName(dealt.where("bucket < 0").drop("bucket").mapInArrow(_hot, _SHARED)).distinct())
+    # How much of its prefix a class shares, beside its name.
+    part = shared.groupBy("set_id").agg((F.count(F.lit(1)) / F.first("n")).alias("part"))
+    names = freeze(classes.select("set_id", "class_id").join(part, "set_id"))
+    shared = freeze(shared.join(names, "set_id").select("gram", F.col("class_id").alias("id"), "n", "edge", "part"))
     found, labels, clusters, near = [], None, None, []
     for _ in range(CLUSTER_ROUNDS):
         more = _candidates(_between(shared, clusters), percent)
@@ -429,13 +431,12 @@ def _between(shared: DataFrame, clusters: DataFrame | None) -> DataFrame:
 
 
 def _candidates(left: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with the hubs of its n-grams, where they share a quarter of the shorter prefix.
+    """(a, b): each class with the hubs of its n-grams, where they share a good part of the shorter prefix.
 
     This chooses what is joined as one cluster and filters nothing: pairs that stay in different clusters come to
     _cross. The least altered of a family of copies shares most and becomes its hub.
     """
-    part = freeze(left.groupBy("id").agg((F.count(F.lit(1)) / F.first("n")).alias("part")))
-    hubs = freeze(left.join(part, "id").groupBy("gram").agg(F.max(F.struct("part", F.xxhash64("id").alias("h"), "id", "n", "edge", "cluster")).alias("hub"))
+    hubs = freeze(left.groupBy("gram").agg(F.max(F.struct("part", F.xxhash64("id").alias("h"), "id", "n", "edge", "cluster")).alias("hub"))
                   .select("gram", "hub.id", "hub.n", "hub.edge", "hub.cluster"))
     shorter = F.least("xn", "yn")
     prefix = shorter - F.ceil(percent * shorter / 100) + 1
