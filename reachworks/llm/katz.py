@@ -303,13 +303,16 @@ def _join_masks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _history_parts(d: np.ndarray, sent, targets: int):
     """What each row of the bigram table adds to its histories: mass freed, unigram mass seen, count."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, out = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool), _Out()
+        bits, out = np.frombuffer(sent.value, np.uint8), _Out()
         for part in parts:
-            for r in part.to_pylist():
-                history, count = _from_six(r["c"]), _from_planes(r["d"])
-                p = np.repeat(np.frombuffer(r["e"], np.float64), np.frombuffer(r["b"], np.uint32))
-                keep = bits[(history & np.uint64((1 << MASK_BITS) - 1)).astype(np.int64)]
-                history, count, p = history[keep], count[keep], p[keep]
+            for i in range(part.num_rows):
+                r = part.slice(i, 1).to_pylist()[0]
+                history = _from_six(r["c"])
+                spot = (history & np.uint64((1 << MASK_BITS) - 1)).astype(np.uint32)
+                keep = np.flatnonzero(bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
+                history, count = history[keep], _from_planes(r["d"])[keep]
+                word = np.searchsorted(np.cumsum(np.frombuffer(r["b"], np.uint32)), keep, "right")
+                p = np.frombuffer(r["e"], np.float64)[word]
                 names, of = np.unique(history, return_inverse=True)
                 freed, seen, n = np.bincount(of, count - _discounted(count, d)), np.bincount(of, p), np.bincount(of, count)
                 target = (names % np.uint64(targets)).astype(np.int64)
