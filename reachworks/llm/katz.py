@@ -31,6 +31,7 @@ LEVEL = 5
 EPSILON = 1e-6
 CHUNK_BYTES = 4 << 20
 BUCKET_TOKENS = 1_400_000
+ROW_ENTRIES = 100_000
 MASK_BITS = 26  # of the histories that are asked for
 START, END = np.uint64(0x51A27), np.uint64(0xE9D)
 
@@ -275,8 +276,13 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], target
         seen = np.flatnonzero(pair > 0)
         seen = seen[np.argsort(of[one[seen]], kind="stable")]
         mine = of[one[seen]]
-        first = _groups(mine)
-        out.put("bigrams", bucket, None, names[mine[first]], np.diff(np.append(first, len(mine))).astype(np.uint32), _six(history[one[seen]] << np.uint64(16)), _planes(pair[seen]), p[mine[first]])
+        first = np.append(_groups(mine), len(mine))
+        # Rows of some ROW_ENTRIES bigrams, cut between words.
+        cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(mine), ROW_ENTRIES)), len(first) - 1))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            own, word = seen[first[i]:first[j]], mine[first[i:j]]
+            out.put("bigrams", bucket, None, names[word], np.diff(first[i:j + 1]).astype(np.uint32), _six(history[one[own]] << np.uint64(16)), _planes(pair[own]), p[word])
+            yield out.batch()
         out.put("stats", bucket, None, _stats(pair))
         yield out.batch()
     return run
