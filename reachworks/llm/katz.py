@@ -30,7 +30,7 @@ from reachworks.session import freeze
 LEVEL = 5
 EPSILON = 1e-6
 CHUNK_BYTES = 4 << 20
-BUCKET_TOKENS = 1_400_000
+BUCKET_TOKENS = 1_100_000
 ROW_ENTRIES = 100_000
 MASK_BITS = 26  # of the histories that are asked for
 START, END = np.uint64(0x51A27), np.uint64(0xE9D)
@@ -410,7 +410,7 @@ def katz_scores(docs: DataFrame, learned: F.Column, doc_id: str = "doc_id", text
 
     dealt = rows.mapInArrow(_deal_tokens(buckets, large), _ROW)
     # Histories are asked for by few tokens, so they need fewer buckets.
-    targets = max(12, buckets // 4)
+    targets = max(12, buckets // 2)
     scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, targets), _ROW))
     d_pairs = good_turing(np.concatenate([[0], _total_stats(scored)[2:]]))
 
