@@ -148,7 +148,13 @@ def phrases_of(items: DataFrame, width: int = WIDTH, item_id: str = "item_id", t
     return rows.groupBy("terms").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
 
 
-HITS_SCHEMA = "doc bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
+# A document is its block and its row there, two numbers side by side: no task number or block size can make them meet.
+DOC = "struct<block: bigint, row: bigint>"
+HITS_SCHEMA = f"doc {DOC}, spans array<struct<start: bigint, end: bigint>>, items array<string>"
+
+
+def _docs(block: int, rows: list[int] | np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.full(len(rows), block, np.int64)), pa.array(rows, pa.int64())], ["block", "row"])
 
 
 def find_phrases(index: DataFrame, phrases: DataFrame, slack: int | None = None) -> DataFrame:
@@ -192,10 +198,10 @@ def _search(sent, slack: int | None):
                 for d, at in zip(*_runs(doc[order])):
                     own = order[at[0]:at[1]]
                     base = int(block.doc_at[d])
-                    docs.append(row["block"] << 24 | d)
+                    docs.append(d)
                     spans.append(_merged((start[own] - base).tolist(), size[own].tolist()))
                     named.append(sorted({x for p in np.unique(phrase[own]).tolist() for x in items[p]}))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                yield pa.RecordBatch.from_arrays([_docs(row["block"], docs), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                                   pa.array(named, pa.list_(pa.string()))], ["doc", "spans", "items"])
     return run
 
@@ -223,10 +229,10 @@ def documents_of(index: DataFrame) -> DataFrame:
         for part in parts:
             for block, ids, at in zip(*(part.column(k).to_pylist() for k in range(3))):
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array((block << 24) + np.arange(n)), pa.array(ids, pa.int64()), pa.array(np.diff(_from_planes(at)))],
+                yield pa.RecordBatch.from_arrays([_docs(block, np.arange(n)), pa.array(ids, pa.int64()), pa.array(np.diff(_from_planes(at)))],
                                                  ["doc", "doc_id", "n_words"])
 
-    return index.select("block", "doc_ids", "doc_at").mapInArrow(run, "doc bigint, doc_id bigint, n_words bigint")
+    return index.select("block", "doc_ids", "doc_at").mapInArrow(run, f"doc {DOC}, doc_id bigint, n_words bigint")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

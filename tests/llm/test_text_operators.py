@@ -144,6 +144,13 @@ def test_proximity_and_passes(spark, monkeypatch):
     assert find(None) == {(3, "p"), (3, "q")}
 
 
+def test_decontamination_in_many_tasks(spark):
+    docs = spark.range(0, 520, 1, 520).selectExpr("id AS doc_id", "CASE WHEN id % 100 = 19 THEN concat('x', id, ' one two three') ELSE concat('two ', id) END AS text")
+    items = spark.createDataFrame([("p", "one two three")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {i: (4, 3) if i % 100 == 19 else (2, 0) for i in range(520)}
+
+
 # --- 3 exact copies
 
 def test_exact_dedup(spark, odd, none):
