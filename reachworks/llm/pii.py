@@ -109,14 +109,20 @@ _MOD97 = ("aggregate(transform(sequence(1, length({s})), i -> ascii(substring({s
 
 
 def _surrogates(pending: DataFrame, key: str, attempt: int) -> DataFrame:
-    """A candidate for each (kind, canon, gender); a later attempt draws anew and, where few forms exist, longer ones."""
+    """A candidate for each (kind, canon, gender); a later attempt draws anew and, where few forms exist, longer ones.
+
+    Names and the local part of an address grow with the attempt without end, so their forms outnumber any values.
+    Numbers keep their digits, and thus have as many forms as their length allows.
+    """
     df = pending.withColumn("seed", F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon", F.lit(str(attempt))), 256))
     df = df.withColumn("script", F.when(F.col("canon").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"))
     local, domain = "substring_index(canon, '@', 1)", "substring_index(canon, '@', -1)"
     # The host's own seed: addresses of one host stay at one host.
     host = (f"aggregate(array(1), '', (z, y) -> {_each(f'substring({domain}, 1, length({domain}) - length(substring_index({domain}, chr(46), -1)) - 1)', _SAME_CLASS.replace('seed', 'host_seed'))})")
     df = df.withColumn("host_seed", F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), F.expr(domain)), 256))
-    email = f"concat({_each(local, _SAME_CLASS)}, '@', {host}, '.', substring_index({domain}, '.', -1))"
+    # A short name at a host has few forms of its own: letters are put behind it.
+    more = "".join(f", substring('abcdefghijklmnopqrstuvwxyz', cast({_draw(f"'m{k}'", 26)} as int) + 1, 1)" for k in range(max(0, attempt - 3)))
+    email = f"concat({_each(local, _SAME_CLASS)}{more}, '@', {host}, '.', substring_index({domain}, '.', -1))"
     number = _each("canon", f"CASE WHEN i = 1 THEN cast(2 + {_draw('i', 8)} as string) ELSE cast({_draw('i', 10)} as string) END")
     body = _each("substring(canon, 1, length(canon) - 1)", f"CASE WHEN i = 1 THEN {{c}} ELSE cast({_draw('i', 10)} as string) END")
     luhn_ok = f"{_LUHN.format(s='canon', shift=0)} = 0"
@@ -130,10 +136,10 @@ def _surrogates(pending: DataFrame, key: str, attempt: int) -> DataFrame:
     for script in ("latin", "cyrillic"):
         for gender in "mfn":
             names = GIVEN[script, gender]
-            value = F.expr("concat_ws('-', " + ", ".join(_pick(names, f"'g{k}'") for k in range(1 + min(attempt, 4))) + ")")
+            value = F.expr("concat_ws('-', " + ", ".join(_pick(names, f"'g{k}'") for k in range(1 + attempt)) + ")")
             here = (F.col("script") == script) & (F.col("gender") == gender)
             given = F.when(here, value) if given is None else given.when(here, value)
-        value = F.expr("initcap(concat(" + ", ".join([*[_pick(SYLLABLES[script], f"'s{k}'") for k in range(2 + min(attempt, 6))], _pick(ENDINGS[script], "'e'")]) + "))")
+        value = F.expr("initcap(concat(" + ", ".join([*[_pick(SYLLABLES[script], f"'s{k}'") for k in range(2 + attempt)], _pick(ENDINGS[script], "'e'")]) + "))")
         if script == "cyrillic":
             value = F.when(F.col("canon").rlike("[ая]$"), F.concat(value, F.lit("а"))).otherwise(value)
         family = F.when(F.col("script") == script, value) if family is None else family.when(F.col("script") == script, value)
@@ -152,7 +158,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         if taken is not None:
             free = free.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         won = freeze(free.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"))
-        taken = won if taken is None else freeze(taken.unionByName(won))
+        taken = won if taken is None else taken.unionByName(won)
         pending = freeze(pending.join(won, ["kind", "canon"], "left_anti"))
         attempt += 1
     return taken if taken is not None else entities.sparkSession.createDataFrame([], schema)

@@ -103,6 +103,17 @@ def test_surrogates(spark, odd, none):
     assert len(set(names)) == 200
 
 
+def test_surrogates_never_run_out(spark):
+    """More values than names in the lists, and more than one-letter addresses at hosts of one letter."""
+    few = "авекмнорст"
+    names = [("given", f"имя{few[i // 1000]}{few[i // 100 % 10]}{few[i // 10 % 10]}{few[i % 10]}", "n") for i in range(2000)]
+    mails = [("email", f"{a}@{b}.com", "n") for a in "_ab" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = pii.surrogate_table(spark.createDataFrame(names + mails, "kind string, canon string, gender string"), "k").collect()
+    assert {(r["kind"], r["canon"]) for r in got} == {x[:2] for x in names + mails}
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len(got) == len(names + mails)
+    assert not {(r["kind"], r["surrogate"]) for r in got} & {x[:2] for x in names + mails}
+
+
 def test_surrogate_query(spark):
     got = {r["doc_id"]: r for r in run(spark, "op1_surrogates")}
     known = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|(?<!\d)\d{16}(?!\d)|(?<![\d.])\d+\.\d+\.\d+\.\d+(?![\d.])")
