@@ -11,11 +11,14 @@ proportion to their unigram probability, so every distribution sums to one. Unkn
 Tables are Parquet, partitioned by hash: words by word, bigrams by following word, backoff weights by history. Rows of
 the tables and of the shuffles are arrays of many entries, so that volumes stay near eight bytes a token. The bucket of
 a word has all its occurrences, hence c(w) and c(v, w) for each; what is missing there, a(v), is asked of the history's
-bucket, and only for tokens that back off. A word that fills more than a bucket is split by its history.
+bucket, and only for tokens that back off. A word that fills more than a bucket is split by its history, and
+a pair (history, word) that does is split by chunk as well: its count is summed before, and one bucket puts it into the
+bigram table.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ EPSILON = 1e-6
 CHUNK_BYTES = 4 << 20
 BUCKET_TOKENS = 1_100_000
 ROW_ENTRIES = 100_000
+PAIR_BITS = 20  # of the counts in which pairs that could fill a bucket are looked for
 MASK_BITS = 26  # of the histories that are asked for
 START, END = np.uint64(0x51A27), np.uint64(0xE9D)
 
@@ -71,6 +75,15 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _pair_keys(word: np.ndarray, history: np.ndarray) -> np.ndarray:
+    """One number a pair; of the history the 48 bits that `_from_six` gives back are compared."""
+    return tokens.mix(word) ^ tokens.mix(history * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+
+
+def _pair_bins(key: np.ndarray) -> np.ndarray:
+    return (tokens.mix(key) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
 
@@ -121,35 +134,54 @@ def _discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _count_words(buckets: int):
+    """Words of each chunk with their counts, learned from and in all; at the end of a task all pairs counted in bins."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out()
+        out, bins = _Out(), np.zeros(1 << PAIR_BITS, np.int64)
         for part in parts:
-            for w in tokens.words_of(part.column(0), tokens.NOT_SPACE, limit=CHUNK_BYTES):
-                token, _, _ = stream(w)
-                word, n = np.unique(token, return_counts=True)
+            learned = part.column(0).to_numpy(False).astype(np.int64)
+            for w in tokens.words_of(part.column(1), tokens.NOT_SPACE, limit=CHUNK_BYTES):
+                token, history, doc = stream(w)
+                bins += np.bincount(_pair_bins(_pair_keys(token, history >> np.uint64(16))), minlength=len(bins))
+                word, of = np.unique(token, return_inverse=True)
+                n, every = np.bincount(of, learned[w.first:w.first + len(w.n)][doc]), np.bincount(of)
                 bucket = (word % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 at = _groups(bucket[order])
                 for a, b in zip(at, [*at[1:], len(order)]):
                     own = order[a:b]
-                    out.put("words", int(bucket[own[0]]), None, word[own], n[own].astype(np.uint32))
+                    out.put("words", int(bucket[own[0]]), None, word[own], n[own].astype(np.uint32), every[own].astype(np.uint32))
                 yield out.batch()
+        for i, piece in enumerate(bins.reshape(16, -1)):
+            out.put("pairs", -1 - i, None, zlib.compress(piece.tobytes(), 1))
+        yield out.batch()
     return run
 
 
-def _sum_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word table's rows of one bucket, and their counts of counts."""
-    word, n, bucket = [], [], 0
-    for r in _rows(parts):
-        bucket = r["bucket"]
-        word.append(np.frombuffer(r["a"], np.uint64))
-        n.append(np.frombuffer(r["b"], np.uint32))
-    unique, inverse = np.unique(np.concatenate(word), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(n)).astype(np.int64)
-    out = _Out()
-    out.put("words", bucket, None, unique, total)
-    out.put("stats", bucket, None, _stats(total))
-    yield out.batch()
+def _sum_words(size: int):
+    """The word table's rows of one bucket, their counts of counts, the words of half a bucket or more; or a piece of the bins."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n, every, bucket, bins, out = [], [], [], 0, 0, _Out()
+        for r in _rows(parts):
+            bucket = r["bucket"]
+            if r["kind"] == "pairs":
+                bins = bins + np.frombuffer(zlib.decompress(r["a"]), np.int64)
+                continue
+            for x, raw, t in ((word, r["a"], np.uint64), (n, r["b"], np.uint32), (every, r["c"], np.uint32)):
+                x.append(np.frombuffer(raw, t))
+        if bucket < 0:
+            hot = np.flatnonzero(bins >= size) + (-1 - bucket) * len(bins)
+            if len(hot):
+                out.put("pairs", bucket, None, hot)
+        else:
+            unique, of = np.unique(np.concatenate(word), return_inverse=True)
+            total, every = np.bincount(of, np.concatenate(n)).astype(np.int64), np.bincount(of, np.concatenate(every)).astype(np.int64)
+            out.put("words", bucket, None, unique[total > 0], total[total > 0])
+            out.put("stats", bucket, None, _stats(total))
+            big = every >= size
+            if big.any():
+                out.put("large", bucket, None, unique[big], total[big], every[big])
+        yield out.batch()
+    return run
 
 
 def _stats(count: np.ndarray) -> np.ndarray:
@@ -171,22 +203,53 @@ def _total_stats(table: DataFrame) -> np.ndarray:
     return out
 
 
-def _large_words(table: DataFrame, least: int) -> dict[int, int]:
-    """Words of at least `least` occurrences: no more of them than the corpus has buckets."""
+def _large_words(table: DataFrame) -> dict[int, tuple[int, int]]:
+    """(occurrences learned from, all) of the words of half a bucket or more: no more than twice the corpus' buckets."""
+    out = {}
+    for r in table.where("kind = 'large'").select("a", "b", "c").collect():
+        out |= {x: (n, m) for x, n, m in zip(np.frombuffer(r["a"], np.uint64).tolist(), np.frombuffer(r["b"], np.int64).tolist(), np.frombuffer(r["c"], np.int64).tolist())}
+    return out
+
+
+def _large_pairs(rows: DataFrame, table: DataFrame, size: int) -> list[tuple[int, int, int, int]]:
+    """(word, history, occurrences learned from, all) of the pairs that stand `size` times or more, exactly.
+
+    Only pairs of bins that count as much can; those are counted for themselves, which most corpora need not do.
+    """
+    found = [np.frombuffer(r["a"], np.int64) for r in table.where("kind = 'pairs'").select("a").collect()]
+    if not found:
+        return []
+    hot = np.zeros(1 << PAIR_BITS, bool)
+    hot[np.concatenate(found)] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(hot).tobytes())  # of fixed size
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
         for part in parts:
-            for raw, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                word, n = np.frombuffer(raw, np.int64), np.frombuffer(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word[n >= least]), pa.array(n[n >= least])], ["word", "n"])
+            learned = part.column(0).to_numpy(False).astype(np.int64)
+            for w in tokens.words_of(part.column(1), tokens.NOT_SPACE, limit=CHUNK_BYTES):
+                token, history, doc = stream(w)
+                history >>= np.uint64(16)
+                key = _pair_keys(token, history)
+                some = np.flatnonzero(hot[_pair_bins(key)])
+                _, one, of = np.unique(key[some], return_index=True, return_inverse=True)
+                n = np.bincount(of, learned[w.first:w.first + len(w.n)][doc[some]], len(one)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[some[one]].view(np.int64), history[some[one]].view(np.int64), n, np.bincount(of, minlength=len(one)))],
+                                                 ["word", "history", "n", "every"])
 
-    return {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in table.where("kind = 'words'").select("a", "b").mapInArrow(run, "word bigint, n bigint").collect()}
+    counted = rows.select("learned", "text").mapInArrow(run, "word bigint, history bigint, n bigint, every bigint")
+    large = counted.groupBy("word", "history").agg(F.sum("n").alias("n"), F.sum("every").alias("every")).where(F.col("every") >= size)
+    return sorted((r["word"] & 0xFFFFFFFFFFFFFFFF, r["history"] & 0xFFFFFFFFFFFFFFFF, r["n"], r["every"]) for r in large.collect())
 
 
-def _deal_tokens(buckets: int, large: dict[int, int]):
+def _deal_tokens(buckets: int, large: dict[int, tuple[int, int]], pairs: list[tuple[int, int, int, int]], size: int):
     """Occurrences of every token, dealt by word; a document row keeps ids, training marks and lengths."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, chunk = _Out(), TaskContext.get().partitionId() << 30
-        names, pieces = np.array(sorted(large), np.uint64), np.array([-(-large[x] // BUCKET_TOKENS) + 1 for x in sorted(large)], np.uint64)
+        names, pieces = np.array(sorted(large), np.uint64), np.array([-(-large[x][1] // size) + 1 for x in sorted(large)], np.uint64)
+        both = _pair_keys(np.array([x[0] for x in pairs], np.uint64), np.array([x[1] for x in pairs], np.uint64))
+        turns = np.array([-(-x[3] // size) + 1 for x in pairs], np.uint64)[np.argsort(both)]
+        both.sort()
         for part in parts:
             ids, learned = part.column(0).to_pylist(), part.column(1).to_numpy(False).astype(np.int64)
             for w in tokens.words_of(part.column(2), tokens.NOT_SPACE, limit=CHUNK_BYTES):
@@ -198,6 +261,11 @@ def _deal_tokens(buckets: int, large: dict[int, int]):
                     spot = np.minimum(np.searchsorted(names, token), len(names) - 1)
                     split = names[spot] == token
                     key[split] = tokens.mix(token[split] ^ tokens.mix(tokens.mix(history[split]) % pieces[spot[split]]))
+                if len(both):
+                    mine = _pair_keys(token, history >> np.uint64(16))
+                    spot = np.minimum(np.searchsorted(both, mine), len(both) - 1)
+                    split = both[spot] == mine
+                    key[split] = tokens.mix(mine[split]) + tokens.mix(np.array([chunk], np.uint64)) % turns[spot[split]]
                 bucket = (tokens.mix(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(token)
                 order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
@@ -212,7 +280,7 @@ def _deal_tokens(buckets: int, large: dict[int, int]):
     return run
 
 
-def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], targets: int):
+def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, tuple[int, int]], pairs: list[tuple[int, int, int, int]], buckets: int, targets: int):
     """All a word's bucket knows: parts of the documents' sums, tokens that back off, the bigram table, its counts of counts."""
     total, kinds = float(stats[0]), float(stats[1])
     unknown = 1.0 if not total else float((stats[2:2 + LEVEL] * np.arange(1, LEVEL + 1) * (1 - d[1:])).sum() + EPSILON * (total - (stats[2:2 + LEVEL] * np.arange(1, LEVEL + 1)).sum())) / total
@@ -221,6 +289,14 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], target
         word, history, code, chunks, sizes, bucket, out = [], [], [], [], [], 0, _Out()
         for r in _rows(parts):
             bucket = r["bucket"]
+            if r["kind"] == "pairs":
+                # No bucket has all of a large pair; this one enters its share of them in the bigram table.
+                whole = [x for x in pairs[bucket::buckets] if x[2]]
+                for x in whole:
+                    out.put("bigrams", bucket, None, np.array([x[0]], np.uint64), np.ones(1, np.uint32), _six(np.array([x[1]], np.uint64) << np.uint64(16)),
+                            _planes(np.array([x[2]])), _discounted(np.array([large[x[0]][0]]), d) / total)
+                out.put("stats", bucket, None, _stats(np.array([x[2] for x in whole], np.int64)))
+                continue
             if r["kind"] == "docs":
                 out.rows.append(tuple(r[f.name] for f in _ARROW))
                 continue
@@ -235,16 +311,19 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], target
             return
         word, history, code = np.concatenate(word), np.concatenate(history), np.concatenate(code)
         train = (code & 1).astype(np.int8)
-        key = tokens.mix(word)
-        key ^= tokens.mix(history * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        key, one, inverse = np.unique(_pair_keys(word, history), return_index=True, return_inverse=True)
+        pair, elsewhere = np.bincount(inverse, train).astype(np.int64), np.zeros(len(one), bool)
+        if pairs:
+            both = _pair_keys(np.array([x[0] for x in pairs], np.uint64), np.array([x[1] for x in pairs], np.uint64))
+            spot = np.minimum(np.searchsorted(key, both), len(key) - 1)
+            here = key[spot] == both
+            pair[spot[here]], elsewhere[spot[here]] = np.array([x[2] for x in pairs])[here], True
         del key
-        pair = np.bincount(inverse, train).astype(np.int64)
         names, of = np.unique(word, return_inverse=True)
         del word
         count = np.bincount(of, train).astype(np.int64)
         for i, x in enumerate(names.tolist()) if large else ():
-            count[i] = large.get(x, count[i])
+            count[i] = large.get(x, (count[i],))[0]
         with np.errstate(divide="ignore"):
             p = np.where(count > 0, _discounted(count, d) / max(total, 1), unknown)
             base = np.log10((count + 1) / (total + kinds + 1))
@@ -273,6 +352,7 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, int], target
             mine = back[order[a:b]]
             within = np.searchsorted(starts, mine, "right") - 1
             out.put("asked", int(target[order[a]]), None, _six(history[mine] << np.uint64(16)), _planes(code[mine] >> 1), _planes(within), np.array(chunks, np.int64))
+        pair[elsewhere] = 0
         seen = np.flatnonzero(pair > 0)
         seen = seen[np.argsort(of[one[seen]], kind="stable")]
         mine = of[one[seen]]
@@ -403,15 +483,19 @@ def katz_scores(docs: DataFrame, learned: F.Column, doc_id: str = "doc_id", text
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(learned, F.lit(False)).cast("int").alias("learned"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6).alias("bytes"), F.sum("learned").alias("docs")).first()
     buckets = max(12, -(-(size["bytes"] or 0) // 6 // BUCKET_TOKENS))
-    words = freeze(rows.where("learned = 1").select("text").mapInArrow(_count_words(buckets), _ROW).groupBy("bucket").applyInArrow(_sum_words, _ROW))
+    least = max(1, BUCKET_TOKENS // 2)
+    words = freeze(rows.select("learned", "text").mapInArrow(_count_words(buckets), _ROW).groupBy("bucket").applyInArrow(_sum_words(least), _ROW))
     stats = _total_stats(words)
-    large = _large_words(words, BUCKET_TOKENS // 2)
+    large, pairs = _large_words(words), _large_pairs(rows, words, least)
     d_words = good_turing(np.concatenate([[0], stats[2:]]))
 
-    dealt = rows.mapInArrow(_deal_tokens(buckets, large), _ROW)
+    dealt = rows.mapInArrow(_deal_tokens(buckets, large, pairs, BUCKET_TOKENS), _ROW)
+    if pairs:
+        empty = [F.lit(None).cast(t).alias(x) for x, t in (("chunk", "bigint"), ("doc_ids", "array<bigint>"), *[(x, "binary") for x in "abcde"])]
+        dealt = dealt.unionByName(spark.range(min(buckets, len(pairs))).select(F.lit("pairs").alias("kind"), F.col("id").alias("bucket"), *empty))
     # Histories are asked for by few tokens, so they need fewer buckets.
     targets = max(12, buckets // 2)
-    scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, targets), _ROW))
+    scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, pairs, buckets, targets), _ROW))
     d_pairs = good_turing(np.concatenate([[0], _total_stats(scored)[2:]]))
 
     asked = scored.where("kind = 'asked'")

@@ -316,6 +316,29 @@ def test_katz(spark, odd, none):
         assert sum(q(v, w) for w in [*uni, "never seen"]) == pytest.approx(1, abs=1e-9)
 
 
+def test_katz_splits_a_large_pair(spark, monkeypatch):
+    """A third of the rows empty, a third one short copy: no bucket has most of a pair, and the model stays the same."""
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 100)
+    texts = [(i, ("", "the same copy", f"w{i} the w{i % 7} x")[i % 3]) for i in range(1200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(40)
+    learned = ~queries.fold(7, 2)
+    want, _ = brute.katz(texts, lambda n: katz.good_turing(np.array(n)), katz.LEVEL, katz.EPSILON)
+    scores, tables = katz.katz_scores(docs, learned)
+    for r in scores.collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][3], rel=1e-9)
+    found = [x for r in tables["bigrams"].collect() for x in zip(np.repeat(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32)).tolist(), katz._from_six(r["c"]).tolist())]
+    assert len(found) == len(set(found))
+    rows = docs.select("doc_id", learned.cast("int").alias("learned"), "text")
+    words = rows.select("learned", "text").mapInArrow(katz._count_words(12), katz._ROW).groupBy("bucket").applyInArrow(katz._sum_words(50), katz._ROW).localCheckpoint()
+    pairs = katz._large_pairs(rows, words, 50)
+    assert max(x[3] for x in pairs) == 400  # (START, END)
+    dealt = rows.mapInArrow(katz._deal_tokens(60, katz._large_words(words), pairs, 100), katz._ROW).where("kind = 'tokens'")
+    held = collections.Counter()
+    for r in dealt.collect():
+        held[r["bucket"]] += len(r["c"]) // 6
+    assert max(held.values()) < 400
+
+
 def test_katz_odd_rows(spark, odd, none, monkeypatch):
     import pyspark.sql.functions as F
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
