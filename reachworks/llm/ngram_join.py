@@ -6,7 +6,8 @@
    are dealt by hash into bounded buckets, and n-grams standing in the prefixes of two or more classes are kept.
 3. In each n-gram the class whose prefix is shared most is the hub; every other joins its cluster if they share a good
    part of their prefixes. Clusters, mostly families of copies, are joined within themselves block by block:
-   what joins two components is kept, pairs are never listed.
+   every pair is compared and each class gets the number of its similar ones; of the pairs themselves those that join
+   two components are kept, so they are never all listed.
 4. Pairs from different clusters that share enough of their prefixes to be similar are compared one by one. What two
    sets share up to the end of the shorter prefix is counted in full, so the count and what is left bound their overlap.
 Comparisons always put a block of sets into a prefix tree and traverse it once a probe, sharing the overlap of common
@@ -245,13 +246,14 @@ def _sets(part: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 def _compare(percent: int):
     """One probe (a) against the sets of its block."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe, others = None, []
+        probe, sets = None, {}
         for part in parts:
             for a, b, items in _sets(part, "a", "b", "grams"):
                 if a == b:
                     probe = (a, items)
                 else:
-                    others.append((items, b))
+                    sets[b] = items
+        others = [(items, b) for b, items in sets.items()]
         out = ([], [], [])
         if probe and others:
             others.sort()
@@ -264,14 +266,21 @@ def _compare(percent: int):
 
 
 def _join_block(percent: int):
-    """All sets of one part of a cluster against all of another, or of the same; only links that join components come out."""
+    """All sets of one part of a cluster against all of another, or of the same.
+
+    Out come the links that join components, and for each class with links a row (class, null, number of them).
+    """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides: tuple[list, list] = ([], [])
+        sides: tuple[dict, dict] = ({}, {})
+        apart = False
         for part in parts:
-            for chunk, low, name, items in _sets(part, "chunk", "low", "id", "grams"):
-                sides[chunk != low].append((items, name))
-        tree, probes = sides[0], sides[1]
+            for chunk, low, high, name, items in _sets(part, "chunk", "low", "high", "id", "grams"):
+                sides[chunk != low][name] = items  # repeated rows are one set
+                apart = low != high
+        tree = sorted((items, name) for name, items in sides[0].items())
+        probes = [(items, name) for name, items in sides[1].items()] if apart else tree
         up = {name: name for _, name in [*tree, *probes]}
+        met = dict.fromkeys(up, 0)
 
         def top(x: int) -> int:
             while up[x] != x:
@@ -281,15 +290,23 @@ def _join_block(percent: int):
 
         out = ([], [], [])
         if tree:
-            tree.sort()
             root = PrefixTree(tree)
-            for items, name in probes or tree:
+            for items, name in probes:
                 for b, overlap in root.matches({g: k for k, g in enumerate(items)}, len(items), percent):
+                    if b == name:
+                        continue
+                    met[name] += 1
+                    if apart:  # within one part each of the two is a probe
+                        met[b] += 1
                     x, y = top(name), top(b)
                     if x != y:
                         up[max(x, y)] = min(x, y)
                         for c, v in zip(out, (name, b, overlap)):
                             c.append(v)
+        for name, n in met.items():
+            if n:
+                for c, v in zip(out, (name, None, n)):
+                    c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "overlap"])
     return run
 
@@ -316,7 +333,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, sent, width: int) -> DataFrame:
 
 
 def _families(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, sent, width: int, percent: int) -> DataFrame:
-    """Links within clusters (id, component), enough of them to join all that is reachable."""
+    """Links within clusters (id, component), enough of them to join all that is reachable, and rows with the number of all."""
     sets = _sets_of(texts, clusters.select("id"), sent, width)
     clusters = clusters.join(sizes, "id")
     chunks = clusters.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("chunks"))
@@ -340,10 +357,11 @@ def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, class_id, component_id; links between class ids that were verified).
+    """(documents: doc_id, n_shingles, class_id, component_id, n_links; spanning links between class ids).
 
-    A class is the documents of one n-gram set, named by its smallest id; its members need no links among them. Links
-    join all that is reachable, but within one component not every similar pair is listed. Documents without words,
+    A class is the documents of one n-gram set, named by its smallest id; its members need no links among them. n_links
+    is the number of other classes that are similar enough, all of them counted. The spanning links, a part of these
+    with their overlaps, join all that is reachable; within a cluster other similar pairs are not listed. Documents without words,
     with null or empty text are linked with nothing; so are rows of null id, whose component is null. Repeated rows are
     one document; an id is taken to name one text.
     """
@@ -382,14 +400,22 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     if not pairs.isEmpty():
         found.append(_links(texts, pairs, sent, width, percent))
     if found:
-        labels = components(_all(found))
+        links = _all(found).where("b is not null")
+        labels = components(links)
+        # Clusters have counted theirs; pairs between clusters are all listed, each once.
+        counts = found[0].where("b is null").select(F.col("a").alias("class_id"), F.col("overlap").alias("k")) if near else None
+        if len(found) > bool(near):
+            ends = found[-1].select(F.explode(F.array("a", "b")).alias("class_id"), F.lit(1).cast("bigint").alias("k"))
+            counts = ends if counts is None else counts.unionByName(ends)
+        labels = labels.withColumnRenamed("id", "class_id").join(counts.groupBy("class_id").agg(F.sum("k").alias("links")), "class_id")
     if labels is not None:
-        classes = freeze(classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left"))
+        classes = freeze(classes.join(labels, "class_id", "left"))
     else:
-        classes = classes.withColumn("component", F.lit(None).cast("bigint"))
+        classes = classes.withColumn("component", F.lit(None).cast("bigint")).withColumn("links", F.lit(None).cast("bigint"))
     out = rows.join(classes, ["set_id", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
-    links = _all(found) if found else spark.createDataFrame([], "a bigint, b bigint, overlap bigint")
+                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
+                     F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0).cast("bigint"))).alias("n_links"))
+    links = links if found else spark.createDataFrame([], "a bigint, b bigint, overlap bigint")
     return out, links
 
 

@@ -85,7 +85,7 @@ def op5(spark, table):
 @query("op6_prefix_tree_join")
 def op6(spark, table):
     groups, _ = ngram_join.similar_sets(table("documents"))
-    return groups.select("doc_id", "n_shingles", "component_id")
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op7_hyperdimensional")

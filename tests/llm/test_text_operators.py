@@ -273,6 +273,29 @@ def test_near_copies(spark, odd, none, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_number_of_links(spark, monkeypatch):
+    """Every similar pair of different sets is counted, also within a family and with rows that come twice."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(2):
+        base = [f"v{k}_{i}" for i in range(90)]
+        for _ in range(30):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = f"z{rng.randrange(9)}"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    sets = {" ".join(t): frozenset(tuple(t[k:k + 5]) for k in range(len(t) - 4)) for t in map(brute.spaced_words, texts)}
+    kinds = set(sets.values())
+    alike = lambda x, y: 100 * len(x & y) >= ngram_join.PERCENT * len(x | y)
+    want = {i: sum(alike(sets[t], y) for y in kinds) - 1 for i, t in rows}
+    assert max(want.values()) > 5
+    for grams in (ngram_join.BLOCK_GRAMS, 500):
+        monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+        groups, _ = ngram_join.similar_sets(spark.createDataFrame(rows + rows[:9], "doc_id bigint, text string"))
+        assert {r["doc_id"]: r["n_links"] for r in groups.collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
