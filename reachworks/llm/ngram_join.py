@@ -120,7 +120,8 @@ def _prefixes(sent, width: int, percent: int, buckets: int):
                 fresh = np.zeros(len(names), bool)
                 for i, name in enumerate(names.tolist()):
                     fresh[i] = own[i] and name not in seen
-                    seen.add(name)
+                    if own[i]:
+                        seen.add(name)
                 if len(seen) > RECENT_SETS:
                     seen.clear()
                 n = np.diff(at)

@@ -296,6 +296,13 @@ def test_number_of_links(spark, monkeypatch):
         assert {r["doc_id"]: r["n_links"] for r in groups.collect()} == want
 
 
+def test_null_id_before_an_equal_text(spark):
+    base = [f"u{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (1, " ".join(base)), (2, " ".join(base + ["tail"]))]
+    groups, _ = ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in groups.collect()} == {None: (None, None), 1: (1, 1), 2: (1, 1)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
