@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from reachworks.operators.estimators import ratio_est
 from reachworks.operators.joins import anti, natural_join
-from reachworks.operators.survey import _solve, _square, _upper, dot, levels
+from reachworks.operators.survey import _solve, _square, _upper, dot, levels, root
 from reachworks.session import freeze
 
 
@@ -43,7 +43,7 @@ def binomial_predict(fitted, score: DataFrame, p: str = "p", pse: str = "pSE") -
         "__x", F.concat(F.array(F.lit(1.0)), vector_to_array("__features"))).withColumn("__v", cov.scalar())
     var = dot(F.transform("__v", lambda r: dot(r, F.col("__x"))), F.col("__x"))
     q = F.col("prediction")
-    return rows.withColumns({p: q, pse: q * (1 - q) * F.sqrt(F.greatest(var, F.lit(0.0)))}).drop(
+    return rows.withColumns({p: q, pse: q * (1 - q) * root(var)}).drop(
         "__features", "__label", "__x", "__v", "prediction", "obs_share")
 
 
@@ -79,7 +79,7 @@ def calibrate(train: DataFrame, score: DataFrame, species: str, unit: str, count
         a = a.withColumns({"Nhat": F.try_divide(count, "phat"),
                            "Nhat_se": F.try_divide(F.col(count) * F.col("phat_se"), F.col("phat") * F.col("phat"))})
         b = natural_join(unseen, lines.where(F.col(species) == sp).drop(species), "inner", [crew])
-        b = b.withColumns({"Nhat": F.col(count) * F.col("__slope"), "Nhat_se": F.abs(F.col(count)) * F.sqrt(F.col("__inv") * F.greatest("s2", F.lit(0.0)))}).drop(
+        b = b.withColumns({"Nhat": F.col(count) * F.col("__slope"), "Nhat_se": F.abs(F.col(count)) * root(F.col("__inv") * F.col("s2"))}).drop(
             "__slope", "__inv", "s2")
         b = b.withColumns({"phat": F.try_divide(count, "Nhat"),
                            "phat_se": F.try_divide(F.col(count) * F.col("Nhat_se"), F.col("Nhat") * F.col("Nhat"))})

@@ -184,6 +184,12 @@ def design_vcov(df: DataFrame, fit: DataFrame, y: str, x: Column, k: int, w: str
     return both.withColumn("vcov", _sandwich("inv", "meat")).drop("meat")
 
 
+def root(variance: Column | str) -> Column:
+    """Square root of a variance that rounding may have pushed below zero; NULL where the variance is unknown."""
+    v = F.col(variance) if isinstance(variance, str) else variance
+    return F.when(v.isNotNull(), F.sqrt(F.greatest(v, F.lit(0.0))))
+
+
 def predict_lm(df: DataFrame, fit: DataFrame, x: Column, by: Sequence[str] = (), log: bool = True) -> DataFrame:
     """Fitted value and SE per row; log responses are retransformed."""
     f = fit.select(*by, "coef", "vcov")
@@ -191,7 +197,7 @@ def predict_lm(df: DataFrame, fit: DataFrame, x: Column, by: Sequence[str] = (),
         {"coef": fit.select("coef").scalar(), "vcov": fit.select("vcov").scalar()})
     vx = F.transform(F.col("vcov"), lambda r: dot(r, F.col("__x")))
     var = dot(vx, F.col("__x"))
-    out = rows.withColumns({"fit": dot(F.col("coef"), F.col("__x")), "fit_se": F.sqrt(F.greatest(var, F.lit(0.0)))})
+    out = rows.withColumns({"fit": dot(F.col("coef"), F.col("__x")), "fit_se": root(var)})
     if log:
         cap, se = retransform("fit", "fit_se")
         out = out.withColumns({"pred_cap": cap, "pred_se": se})

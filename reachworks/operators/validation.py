@@ -12,6 +12,7 @@ from reachworks.functions.scalars import Z975
 from reachworks.operators import aggregates as A
 from reachworks.operators.frames import explode_seq
 from reachworks.operators.joins import natural_join
+from reachworks.operators.survey import root
 from reachworks.session import freeze
 
 FORMS = ("BevertonHolt", "Ricker", "Hockey")
@@ -119,7 +120,7 @@ def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None
     log_var = F.when(F.col("fixed"), F.lit(0.0)).when(F.col("form") == FORMS[1], vaa + vbb - 2 * vab).otherwise(vbb)
     ok = (F.col("n_obs") > n_par) & F.col("sse").isNotNull() & ~F.isnan("sse") & (F.col("fixed") | (det > 1e-12 * F.col("aa") * F.col("bb")))
     inside = F.col("settled") & (F.greatest(F.abs("ba"), F.abs("bb_")) < BOUND)
-    out = par.withColumns({"status": F.when(~ok, "failed").when(inside, "ok").otherwise("not converged"), "__est": est, "__se": est * F.sqrt(F.greatest(log_var, F.lit(0.0)))})
+    out = par.withColumns({"status": F.when(~ok, "failed").when(inside, "ok").otherwise("not converged"), "__est": est, "__se": est * root(log_var)})
     val = lambda c: F.when(F.col("status") == "ok", c)
     return out.select(key, "form", "n_obs", "status", val(a).alias("a"), val(b).alias("b"), val(F.col("sse")).alias("sse"),
                       val(F.col("__est")).alias("est"), val(F.col("__se")).alias("se"),

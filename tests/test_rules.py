@@ -164,3 +164,9 @@ def test_fill_in_source_order(spark):
     a = spark.createDataFrame([(2, 5.0)], "k int, w double")
     b = spark.createDataFrame([(2, 7.0), (3, 8.0)], "k int, z double")
     assert {r.k: r.v for r in J.fill_from(base, "v", [(a, ["k"], "w"), (b, ["k"], "z")]).collect()} == {1: 9.0, 2: 5.0, 3: 8.0}
+
+
+def test_unknown_variance_has_no_error(spark):
+    from reachworks.operators.survey import root
+    rows = spark.createDataFrame([(1, None), (2, -1e-18), (3, 4.0)], "id int, v double").select("id", root("v").alias("se")).collect()
+    assert dict(map(tuple, rows)) == {1: None, 2: 0.0, 3: 2.0}
