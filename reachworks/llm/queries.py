@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, exact_dedup, html_text, katz, langid, ngram_join, packing, pii, secrets, toxicity
-from reachworks.session import tune
+from reachworks.llm import decontaminate, exact_dedup, html_text, katz, langid, ngram_join, packing, pii, quality, secrets, toxicity
+from reachworks.session import freeze, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -115,3 +116,47 @@ def op9(spark, table):
 @query("op10_pack_bounded")
 def op10(spark, table):
     return packing.pack_documents(table("documents"))
+
+
+# The rules of `quality` over sketches as tables of bucket counts.
+_RATES = {"word_length": "word_chars / n_words", "symbol_share": "n_symbols / n_words", "repeat_share": "n_repeat_words / n_words",
+          "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "capital_share": "n_capitals / word_chars"}
+
+
+def _sketch_sql(keys: str) -> str:
+    at = ", ".join(f"""CASE WHEN min(b) FILTER (upto >= ceil({q} * rows)) = {quality._ZERO} THEN 0.0
+        ELSE 2 * power({quality.GAMMA}, min(b) FILTER (upto >= ceil({q} * rows))) / {quality.GAMMA + 1} END AS q{i}""" for i, q in enumerate((0.25, 0.5, 0.75)))
+    by = ", ".join(filter(None, (keys, "rule")))
+    return f"""SELECT {by}, max(rows) AS rows, {at} FROM (
+        SELECT {by}, b, sum(sum(n)) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(sum(n)) OVER (PARTITION BY {by}) AS rows FROM sk GROUP BY {by}, b) GROUP BY {by}"""
+
+
+@query("op13_adaptive_quality", sql=rf"""
+    WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM documents),
+         win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+         twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+         rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+         m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                      CAST(length(t) - length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
+                      CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ln) AS n_lines,
+                      length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS n_capitals
+               FROM w LEFT JOIN rep USING (doc_id)),
+         v AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, '{r}' AS rule, {e} AS v FROM m WHERE n_words > 0" for r, e in _RATES.items())}),
+         sk AS (SELECT lang, source, rule, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(quality.GAMMA)!r}) AS INT) ELSE {quality._ZERO} END AS b, count(*) AS n
+                FROM v WHERE v IS NOT NULL GROUP BY ALL),
+         own AS ({_sketch_sql("lang, source")}), wide AS ({_sketch_sql("lang")}), every AS ({_sketch_sql("")}),
+         rules(rule, slack, low) AS (VALUES {", ".join(f"('{r}', {s}, {low})" for r, (s, low) in quality.RULES.items())}),
+         lim AS (SELECT o.lang, o.source, rule, slack, low, CASE WHEN o.rows >= {quality.MIN_ROWS} THEN [o.q0, o.q1, o.q2]
+                        WHEN l.rows >= {quality.MIN_ROWS} THEN [l.q0, l.q1, l.q2] ELSE [e.q0, e.q1, e.q2] END AS q
+                 FROM own o JOIN wide l USING (rule) JOIN every e USING (rule) JOIN rules USING (rule) WHERE o.lang IS NOT DISTINCT FROM l.lang),
+         bad AS (SELECT doc_id, string_agg(v.rule, ',' ORDER BY list_position([{", ".join(f"'{r}'" for r in quality.RULES)}], v.rule)) AS broken
+                 FROM v JOIN lim ON v.rule = lim.rule AND v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source
+                 WHERE v > q[2] + greatest(slack, {quality.REACH} * abs(q[3] - q[2])) OR low AND v < q[2] - greatest(slack, {quality.REACH} * abs(q[1] - q[2]))
+                 GROUP BY doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND broken IS NULL AS kept, coalesce(broken, '') AS broken
+    FROM m LEFT JOIN bad USING (doc_id)""")
+def op13(spark, table):
+    measured = freeze(quality.measure(table("documents")).select("doc_id", "lang", "source", *quality.COUNTS, "base_failed", "rates"))
+    return quality.judge(measured).select("doc_id", *quality.COUNTS, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))

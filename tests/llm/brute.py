@@ -120,3 +120,7 @@ def base_spans(text):
     order = {k: i for i, (k, _, _) in enumerate(SECRETS)}
     found = [(m.start(), k, m.end()) for k, p, ok in SECRETS for m in p.finditer(text or "") if ok(m)]
     return [f"{k}:{s}:{e}" for s, k, e in sorted(found, key=lambda x: (x[0], order[x[1]]))]
+
+
+def spaced_words_as_is(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
