@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachworks.llm import decontaminate, dialogue, exact_dedup, html_text, katz, langid, ngram_join, packing, pii, quality, secrets, toxicity
+from reachworks.llm import alignment, decontaminate, dialogue, exact_dedup, html_text, katz, langid, ngram_join, packing, pii, quality, secrets, toxicity
 from reachworks.session import freeze, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,11 @@ def op11(spark, table):
     return dialogue.repair_report(dialogue.damage(talks), talks)
 
 
+@query("op12_pointer_alignment")
+def op12(spark, table):
+    return alignment.align(table("documents")).drop("groups")
+
+
 # The rules of `quality` over sketches as tables of bucket counts.
 _RATES = {"word_length": "word_chars / n_words", "symbol_share": "n_symbols / n_words", "repeat_share": "n_repeat_words / n_words",
           "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "capital_share": "n_capitals / word_chars"}
