@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -16,9 +17,8 @@ from reachworks.operators.survey import root
 from reachworks.session import freeze
 
 FORMS = ("BevertonHolt", "Ricker", "Hockey")
-BOUND = 30.0  # of the logarithms of the curves' parameters
-SETTLED = 1e-5  # largest step, as a share of a parameter, at which a fit is done
-STEPS = 8  # between looks at which fits are done
+# Grid of the ratio c of a curve's two parameters, on the log scale of c times the largest spawner count.
+GRID_LOW, GRID_HIGH, GRID_POINTS, FINE_POINTS, REFINEMENTS = -9.0, 9.0, 64, 16, 2
 
 
 def sr_starts(data: DataFrame, key: str, s: str, r: str) -> DataFrame:
@@ -44,87 +44,113 @@ def recruits(form: Column, a: Column, b: Column, s: Column) -> Column:
             .when(form == FORMS[2], b * (1 - F.exp(-a / b * s))))
 
 
-def _step(d: DataFrame, par: DataFrame, key: str, s: str, r: str) -> DataFrame:
-    """One damped Gauss-Newton step for every population and form in one aggregate.
+def _level(c: Column) -> Column:
+    """What the other parameter's logarithm must explain once c is known, row by row.
 
-    Parameters ride through the aggregate as grouping columns, so each step reads the data once.
+    Beverton-Holt: ln(r / s) + ln(1 + c s) = -ln a with c = b / a.  Hockey: ln r - ln(1 - exp(-c s)) = ln b with c = a / b.
     """
-    state = [c for c in par.columns if c != key]
-    rows = natural_join(d, par, "inner", [key])
-    a, b, x = F.exp("ta"), F.exp("tb"), F.col(s)
-    form = F.col("form")
-    z = a * x / b
-    g = F.when(z < 1e-12, F.lit(1.0)).otherwise(z * F.exp(-z) / (1 - F.exp(-z)))
-    fit = F.ln(F.greatest(recruits(form, a, b, x), F.lit(1e-300)))
-    ja = F.when(form == FORMS[0], -a / (a + b * x)).when(form == FORMS[1], F.lit(1.0)).otherwise(g)
-    jb = F.when(form == FORMS[0], -b * x / (a + b * x)).when(form == FORMS[1], -b * x).otherwise(1 - g)
-    e = F.ln(r) - fit
-    mom = rows.select(key, *state, e.alias("e"), ja.alias("ja"), jb.alias("jb")).groupBy(key, *state).agg(
-        F.sum(F.col("e") * F.col("e")).alias("n_sse"), F.sum(F.col("ja") * F.col("ja")).alias("n_aa"),
-        F.sum(F.col("ja") * F.col("jb")).alias("n_ab"), F.sum(F.col("jb") * F.col("jb")).alias("n_bb"),
-        F.sum(F.col("ja") * F.col("e")).alias("n_ga"), F.sum(F.col("jb") * F.col("e")).alias("n_gb"))
-    better = F.col("sse").isNull() | (F.col("n_sse") <= F.col("sse"))
-    keep = {c: F.when(better, F.col(f"n_{c}")).otherwise(F.col(c)) for c in ("sse", "aa", "ab", "bb", "ga", "gb")}
-    keep |= {"ba": F.when(better, F.col("ta")).otherwise(F.col("ba")), "bb_": F.when(better, F.col("tb")).otherwise(F.col("bb_")),
-             "damp": F.when(better, F.col("damp") / 10).otherwise(F.least(F.col("damp") * 10, F.lit(1e6)))}
-    out = mom.select(key, "form", "n_obs", "fixed", *[c.alias(n) for n, c in keep.items()])
-    da, db = F.col("aa") * (1 + F.col("damp")), F.col("bb") * (1 + F.col("damp"))
-    det = da * db - F.col("ab") * F.col("ab")
-    sa = F.when(F.col("fixed"), F.try_divide("ga", da)).otherwise(F.try_divide(F.col("ga") * db - F.col("gb") * F.col("ab"), det))
-    sb = F.when(F.col("fixed"), F.lit(0.0)).otherwise(F.try_divide(F.col("gb") * da - F.col("ga") * F.col("ab"), det))
-    clip = lambda c: F.greatest(F.least(F.coalesce(c, F.lit(0.0)), F.lit(3.0)), F.lit(-3.0))
-    # Bounds keep the parameters positive and finite.
-    lim = lambda c: F.greatest(F.least(c, F.lit(BOUND)), F.lit(-BOUND))
-    # Settled: the next step would be tiny, no step of whatever length makes the fit better, a bound is reached, or
-    # nothing can be computed.
-    small = F.greatest(F.abs(clip(sa)), F.abs(clip(sb))) <= SETTLED
-    edge = F.greatest(F.abs("ba"), F.abs("bb_")) >= BOUND
-    settled = F.coalesce(edge | (F.col("damp") < 1) & small | (F.col("damp") >= 1e6) | (F.col("sse") <= 1e-14 * F.col("n_obs")), F.lit(True))
-    return out.withColumns({"ta": lim(F.col("ba") + clip(sa)), "tb": lim(F.col("bb_") + clip(sb)), "settled": settled})
-
-
-def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None = None, rounds: int = 24) -> DataFrame:
+    z = c * F.col("__s")
+    shrink = F.when(z < 0.01, F.ln(z) - z / 2 + z * z / 24 - z * z * z * z / 2880).otherwise(F.ln(1 - F.exp(-z)))
+    return F.when(F.col("form") == FORMS[0], F.col("__lr") - F.ln("__s") + F.log1p(z)).otherwise(F.col("__lr") - shrink)
+
+
+def _scored(d: DataFrame, par: DataFrame, key: str, points: Column) -> DataFrame:
+    """Squared error of every grid point of every population and form in one aggregate, best point and vertex.
+
+    Given c the other parameter is a mean, so each point needs the sum of the levels and of their squares.
+    """
+    rows = natural_join(d, par, "inner", [key]).withColumn("__k", F.explode(points))
+    u = F.col("u") + F.col("__k") * F.col("step")
+    y = _level(F.exp(u))
+    state = ["form", "u", "step", "edge", "lb"]
+    off = y - (u - F.col("lb"))
+    sums = rows.groupBy(key, *state, "__k").agg(F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(off * off).alias("off"), F.count(F.lit(1)).alias("n"))
+    sse = F.when(F.col("lb").isNull(), F.col("yy") - F.col("y") * F.col("y") / F.col("n")).otherwise(F.col("off"))
+    line = sums.groupBy(key, *state).agg(F.array_sort(F.collect_list(F.struct("__k", sse.alias("e")))).alias("g"))
+    best = F.array_position(F.col("g.e"), F.array_min("g.e")).cast("int") - 1
+    at = lambda i: F.get(F.col("g.e"), F.col("i") + i)
+    bend = at(-1) - 2 * at(0) + at(1)
+    shift = F.when(bend > 0, F.greatest(F.least((at(-1) - at(1)) / (2 * bend), F.lit(1.0)), F.lit(-1.0)))
+    return line.withColumn("i", best).select(
+        key, "form", "lb", "step", "edge", (F.col("u") + F.get("g.__k", F.col("i")) * F.col("step")).alias("u"),
+        F.coalesce(shift, F.lit(0.0)).alias("shift"), "i")
+
+
+def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None = None) -> DataFrame:
     """Capacity per population and curve on the log scale, with SE, CV and a status.
 
-    ``fixed_b`` (key, b) pins the Beverton-Holt capacity and leaves only its slope to fit.  A
-    population that cannot be fitted comes back with status ``failed`` and NULLs, one whose steps
-    never settle within ``rounds`` or run off to the bounds with ``not converged``; the rest go on.
-    Steps are repeated for the curves that have not settled, and only for those.
+    Ricker is a straight line there.  Beverton-Holt and hockey curves are fitted over their one nonlinear parameter: a
+    grid over all its values, then refinements around the best point, each scored for all populations in one aggregate.
+    ``fixed_b`` (key, b) pins the Beverton-Holt capacity and leaves only its slope to fit.
+
+    Status ``no density dependence``: the straight line fits best, so there is a slope and no capacity.
+    ``at capacity``: recruits do not follow spawners at all, so there is a capacity and no slope.  ``failed``: too few
+    observations, or all of one spawner count.  Rows without positive spawners and recruits are left out.
     """
-    d = freeze(data.select(key, F.col(s).cast("double").alias(s), F.col(r).cast("double").alias(r)).where(
-        (F.col(s) > 0) & (F.col(r) > 0)))
-    par = sr_starts(d, key, s, r)
+    d = freeze(data.select(key, F.col(s).cast("double").alias("__s"), F.ln(F.col(r).cast("double")).alias("__lr")).where(
+        (F.col("__s") > 0) & F.col("__lr").isNotNull()))
+    ratio = F.col("__lr") - F.ln("__s")
+    base = d.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.max("__s").alias("top"), F.min("__s").alias("low"), F.regr_slope(ratio, F.col("__s")).alias("slope"),
+        F.regr_sxx(ratio, F.col("__s")).alias("sxx"), F.regr_syy(ratio, F.col("__s")).alias("syy"), F.avg("__s").alias("mean_s"),
+        F.avg(ratio).alias("mean_ratio"), F.avg("__lr").alias("mean_r"), F.regr_syy(F.col("__lr"), F.col("__s")).alias("syy_r"))
+    base, forms = base.withColumn("lb", F.lit(None).cast("double")), [FORMS[0], FORMS[2]]
     if fixed_b is not None:
-        par = natural_join(par.where(F.col("form") == FORMS[0]).drop("b"), fixed_b.select(key, "b"), "inner", [key])
-    null = F.lit(None).cast("double")
-    par = par.select(key, "form", "n_obs", F.lit(fixed_b is not None).alias("fixed"),
-                     *[null.alias(c) for c in ("sse", "aa", "ab", "bb", "ga", "gb", "ba", "bb_")], F.lit(1e-3).alias("damp"),
-                     F.ln(F.greatest("a", F.lit(1e-25))).alias("ta"), F.ln(F.greatest("b", F.lit(1e-25))).alias("tb"))
-    par, done = par.withColumn("settled", F.lit(False)), []
-    for i in range(0, rounds, STEPS):
-        for _ in range(min(STEPS, rounds - i)):
-            par = _step(d, par.drop("settled"), key, s, r)
-        par = freeze(par)
-        done.append(par.where("settled"))
-        par = par.where("not settled")
-        if par.isEmpty():
-            break
-    for part in done:
-        par = par.unionByName(part)
-    n_par = F.when(F.col("fixed"), 1).otherwise(2)
-    a, b = F.exp("ba"), F.exp("bb_")
-    s2 = F.try_divide("sse", F.col("n_obs") - n_par)
+        base, forms = natural_join(base.drop("lb"), fixed_b.select(key, F.ln("b").alias("lb")), "inner", [key]), forms[:1]
+    start = GRID_LOW - F.ln("top")
+    span = GRID_HIGH - GRID_LOW + F.ln("top") - F.ln("low")
+    par = base.where("top > low").select(key, "lb", F.explode(F.array(*map(F.lit, forms))).alias("form"), start.alias("u"),
+                                         (span / GRID_POINTS).alias("step"), F.lit(0).alias("edge"))
+    par = _scored(d, par, key, F.sequence(F.lit(0), F.lit(GRID_POINTS)))
+    par = par.withColumn("edge", F.when(F.col("i") == 0, -1).when(F.col("i") == GRID_POINTS, 1).otherwise(0))
+    around = F.sequence(F.lit(-FINE_POINTS), F.lit(FINE_POINTS))
+    for _ in range(REFINEMENTS):
+        par = _scored(d, par.drop("i", "shift").withColumn("step", F.col("step") / FINE_POINTS), key, around)
+    par = par.select(key, "form", "edge", (F.col("u") + F.col("shift") * F.col("step")).alias("lc"))
+    # Errors of the two logarithms at the solution.
+    z = F.exp("lc") * F.col("__s")
+    g = F.when(z < 1e-12, F.lit(1.0)).otherwise(z * F.exp(-z) / (1 - F.exp(-z)))
+    ja = F.when(F.col("form") == FORMS[0], -1 / (1 + z)).otherwise(g)
+    jb = F.when(F.col("form") == FORMS[0], -z / (1 + z)).otherwise(1 - g)
+    y = _level(F.exp("lc"))
+    curves = natural_join(d, par, "inner", [key]).groupBy(key, "form", "edge", "lc").agg(
+        F.avg(y).alias("y"), (F.sum(y * y) - F.sum(y) * F.avg(y)).alias("sse"), F.sum(ja * ja).alias("aa"), F.sum(ja * jb).alias("ab"), F.sum(jb * jb).alias("bb"),
+        F.sum(y).alias("sy"), F.sum(y * y).alias("syy_c"))
+    full = base.withColumn("form", F.explode(F.array(*map(F.lit, FORMS if fixed_b is None else forms))))
+    # The two sides meet on two plain columns; a population without any pair of spawner counts has no curve.
+    rows = natural_join(full, curves, "left", [key, "form"])
+    form, pinned = F.col("form"), F.col("lb").isNotNull()
+    n_par = F.when(pinned, 1).otherwise(2)
+    ricker, holt = form == FORMS[1], form == FORMS[0]
+    edge = F.when(ricker, F.when(F.col("slope") * F.col("top") >= -math.exp(GRID_LOW), -1).otherwise(0)).otherwise(F.col("edge"))
+    known = (F.col("n_obs") > n_par) & (F.col("top") > F.col("low"))
+    status = (F.when(~known | edge.isNull(), "failed").when((edge < 0) & ~pinned, "no density dependence").when(edge != 0, "at capacity").otherwise("ok"))
+    rows = rows.withColumn("status", status)
+    ok, line, flat = (F.col("status") == x for x in ("ok", "no density dependence", "at capacity"))
+    # Logarithms of a and b.
+    la = F.when(line, F.when(holt, -F.col("mean_ratio")).otherwise(F.col("mean_ratio"))).when(ok, F.when(
+        ricker, F.col("mean_ratio") - F.col("slope") * F.col("mean_s")).when(pinned, F.col("lb") - F.col("lc")).when(
+        holt, -F.col("y")).otherwise(F.col("y") + F.col("lc")))
+    lb = F.when(pinned, F.col("lb")).when(flat, F.when(holt, -F.col("mean_r")).otherwise(F.col("mean_r"))).when(ok, F.when(
+        ricker, F.ln(-F.col("slope"))).when(holt, F.col("lc") - F.col("y")).otherwise(F.col("y")))
+    pinned_sse = F.col("syy_c") - 2 * (F.col("lc") - F.col("lb")) * F.col("sy") + F.col("n_obs") * F.pow(F.col("lc") - F.col("lb"), F.lit(2))
+    sse = (F.when(line, F.col("syy")).when(ok & pinned, pinned_sse).when(flat, F.col("syy_r") + F.when(
+        pinned, F.col("n_obs") * F.pow(F.col("mean_r") + F.col("lb"), F.lit(2))).otherwise(0.0))
+        .when(ok, F.when(ricker, F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")).otherwise(F.col("sse"))))
+    rows = rows.withColumns({"__la": la, "__lb": lb, "__sse": F.greatest(sse, F.lit(0.0)) + F.when(sse.isNull(), F.lit(None).cast("double")).otherwise(0.0)})
+    s2 = F.try_divide(F.col("__sse"), F.col("n_obs") - F.when(pinned | flat, 1).otherwise(2))
+    b = F.exp("__lb")
+    est = F.when(ok | flat | pinned, F.when(ricker, F.exp(F.col("__la") - F.col("__lb") - 1)).when(holt, 1 / b).otherwise(b))
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    vaa, vbb, vab = (s2 * F.try_divide(c, det) for c in (F.col("bb"), F.col("aa"), -F.col("ab")))
-    est = F.when(F.col("form") == FORMS[0], 1 / b).when(F.col("form") == FORMS[1], a / b * F.exp(F.lit(-1.0))).otherwise(b)
-    log_var = F.when(F.col("fixed"), F.lit(0.0)).when(F.col("form") == FORMS[1], vaa + vbb - 2 * vab).otherwise(vbb)
-    ok = (F.col("n_obs") > n_par) & F.col("sse").isNotNull() & ~F.isnan("sse") & (F.col("fixed") | (det > 1e-12 * F.col("aa") * F.col("bb")))
-    inside = F.col("settled") & (F.greatest(F.abs("ba"), F.abs("bb_")) < BOUND)
-    out = par.withColumns({"status": F.when(~ok, "failed").when(inside, "ok").otherwise("not converged"), "__est": est, "__se": est * root(log_var)})
-    val = lambda c: F.when(F.col("status") == "ok", c)
-    return out.select(key, "form", "n_obs", "status", val(a).alias("a"), val(b).alias("b"), val(F.col("sse")).alias("sse"),
-                      val(F.col("__est")).alias("est"), val(F.col("__se")).alias("se"),
-                      val(F.try_divide("__se", "__est")).alias("cv"))
+    log_var = (F.when(pinned, F.lit(0.0)).when(flat, s2 / F.col("n_obs")).when(
+        ricker, s2 * (1 / F.col("n_obs") + F.try_divide(F.pow(F.col("mean_s") - 1 / b, F.lit(2)), F.col("sxx"))))
+        .otherwise(s2 * F.try_divide(F.col("aa"), det)))
+    a_out = F.when(line | ok, F.exp("__la")).when(flat & holt, F.lit(0.0))
+    b_out = F.when(line & ~(form == FORMS[2]), F.lit(0.0)).when(ok | flat, b)
+    found = F.col("status") != "failed"
+    out = rows.withColumns({"__est": F.when(found, est), "__se": F.when(found, est * root(log_var))})
+    return out.select(key, "form", "n_obs", "status", a_out.alias("a"), b_out.alias("b"), F.when(found, F.col("__sse")).alias("sse"),
+                      F.col("__est").alias("est"), F.col("__se").alias("se"), F.try_divide("__se", "__est").alias("cv"))
 
 
 def sr_curve(params: DataFrame, top: DataFrame, key: str, s: str) -> DataFrame:

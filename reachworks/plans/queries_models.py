@@ -261,16 +261,79 @@ def _(t):
     return s.select("population", "n_obs", "form", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
-@query("spawner_recruit_fit")
-def _(t):
-    return W.fit_sr(_sr(t), "population", "spawners", "parr")
-
-
-@query("sr_fixed_capacity")
-def _(t):
-    d = _sr(t)
+# Customers of a nation that order in a month, and the suppliers they reach: these run out, so recruits level off.
+def _broods(t):
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return o.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        F.col("c_nationkey").alias("population"), F.date_trunc("month", "o_orderdate").alias("brood")).agg(
+        F.count_distinct("o_custkey").alias("spawners"), F.count_distinct("l_suppkey").cast("double").alias("parr"))
+
+
+def _grid_sql(pinned: bool) -> str:
+    """The same grid search: every step scores the points around the best one before."""
+    y = """CASE form WHEN 'BevertonHolt' THEN lr - ln(s) + ln(1 + exp(u) * s) ELSE lr - CASE WHEN exp(u) * s < 0.01
+        THEN u + ln(s) - exp(u) * s / 2 + pow(exp(u) * s, 2) / 24 - pow(exp(u) * s, 4) / 2880 ELSE ln(1 - exp(-exp(u) * s)) END END"""
+    error = "sum(pow(y - (u - lb), 2))" if pinned else "sum(y * y) - sum(y) * sum(y) / count(*)"
+    low, high, points, fine = W.GRID_LOW, W.GRID_HIGH, W.GRID_POINTS, W.FINE_POINTS
+    steps = f"""base AS (SELECT d.population, count(*) AS n, max(s) AS top, min(s) AS low, regr_slope(lr - ln(s), s) AS slope, regr_sxx(lr - ln(s), s) AS sxx, regr_syy(lr - ln(s), s) AS syy,
+    avg(s) AS ms, avg(lr - ln(s)) AS mq, avg(lr) AS mr, regr_syy(lr, s) AS syr, {"-ln(max(exp(lr)) * 1.5)" if pinned else "CAST(NULL AS DOUBLE)"} AS lb FROM d GROUP BY 1),
+  p0 AS (SELECT population, form, lb, {low} - ln(top) + k * (({high} - {low} + ln(top) - ln(low)) / {points}) AS u, k, ({high} - {low} + ln(top) - ln(low)) / {points} AS step, 0 AS edge
+    FROM base, (VALUES ('BevertonHolt'){"" if pinned else ", ('Hockey')"}) f(form), range({points + 1}) r(k) WHERE top > low)"""
+    for i in range(W.REFINEMENTS + 1):
+        edge = f"CASE WHEN min(k) FILTER (rk = 1) = 0 THEN -1 WHEN min(k) FILTER (rk = 1) = {points} THEN 1 ELSE 0 END" if i == 0 else "max(edge)"
+        steps += f""",
+  e{i} AS (SELECT population, form, lb, u, k, step, edge, {error} AS e FROM (SELECT p.*, {y} AS y FROM p{i} p JOIN d USING (population)) GROUP BY ALL),
+  r{i} AS (SELECT *, row_number() OVER (PARTITION BY population, form ORDER BY e, k) AS rk, lag(e) OVER w AS e0, lead(e) OVER w AS e2 FROM e{i} WINDOW w AS (PARTITION BY population, form ORDER BY k)),
+  b{i} AS (SELECT population, form, lb, {edge} AS edge, min(u) FILTER (rk = 1) AS u, max(step) AS step,
+    coalesce(min(CASE WHEN e0 - 2 * e + e2 > 0 THEN greatest(least((e0 - e2) / (2 * (e0 - 2 * e + e2)), 1), -1) END) FILTER (rk = 1), 0) AS shift FROM r{i} GROUP BY 1, 2, 3),
+  p{i + 1} AS (SELECT population, form, lb, u + k * (step / {fine}) AS u, k, step / {fine} AS step, edge FROM b{i}, range(-{fine}, {fine + 1}) r(k))"""
+    z = "exp(u) * s"
+    ja = f"CASE form WHEN 'BevertonHolt' THEN -1 / (1 + {z}) ELSE {z} * exp(-{z}) / (1 - exp(-{z})) END"
+    return steps + f""",
+  best AS (SELECT population, form, edge, u + shift * step AS u FROM b{W.REFINEMENTS}),
+  jac AS (SELECT population, form, edge, u AS lc, {y} AS y, {ja} AS ja, CASE form WHEN 'BevertonHolt' THEN -{z} / (1 + {z}) ELSE 1 - {ja} END AS jb FROM best JOIN d USING (population)),
+  cur AS (SELECT population, form, edge, lc, avg(y) AS y, sum(y * y) - sum(y) * avg(y) AS sse, sum(ja * ja) AS aa, sum(ja * jb) AS ab, sum(jb * jb) AS bb, sum(y) AS sy, sum(y * y) AS syy_c FROM jac GROUP BY ALL)"""
+
+
+def _four(c):
+    """Four significant digits."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.3e", F.col(c))).cast("double")
+
+
+_FIT_OUT = ", ".join(f"CAST(printf('%.3e', {c}) AS DOUBLE) AS {c}" for c in ("a", "b", "sse", "est", "se", "cv"))
+_BROODS = """d AS (SELECT c_nationkey AS population, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS s, ln(CAST(count(DISTINCT l_suppkey) AS DOUBLE)) AS lr
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_nationkey, date_trunc('month', o_orderdate))"""
+
+
+@query("spawner_recruit_fit", f"""WITH {_BROODS}, {_grid_sql(False)},
+x AS (SELECT b.*, f.form, c.* EXCLUDE (population, form, edge), CASE WHEN n <= 2 OR top <= low THEN 'failed' WHEN CASE f.form WHEN 'Ricker' THEN CASE WHEN slope * top >= -exp({W.GRID_LOW}) THEN -1 ELSE 0 END ELSE c.edge END < 0
+    THEN 'no density dependence' WHEN f.form <> 'Ricker' AND c.edge > 0 THEN 'at capacity' ELSE 'ok' END AS status
+  FROM base b CROSS JOIN (VALUES ('BevertonHolt'), ('Ricker'), ('Hockey')) f(form) LEFT JOIN cur c ON c.population = b.population AND c.form = f.form),
+l AS (SELECT *, CASE status WHEN 'no density dependence' THEN CASE form WHEN 'BevertonHolt' THEN -mq ELSE mq END WHEN 'ok' THEN CASE form WHEN 'Ricker' THEN mq - slope * ms WHEN 'BevertonHolt' THEN -y ELSE y + lc END END AS la,
+    CASE status WHEN 'at capacity' THEN CASE form WHEN 'BevertonHolt' THEN -mr ELSE mr END WHEN 'ok' THEN CASE form WHEN 'Ricker' THEN ln(-slope) WHEN 'BevertonHolt' THEN lc - y ELSE y END END AS lnb,
+    CASE status WHEN 'no density dependence' THEN syy WHEN 'at capacity' THEN syr WHEN 'ok' THEN CASE form WHEN 'Ricker' THEN syy - slope * slope * sxx ELSE sse END END AS err FROM x),
+v AS (SELECT population, form, n AS n_obs, status, CASE WHEN la IS NOT NULL THEN exp(la) WHEN status = 'at capacity' AND form = 'BevertonHolt' THEN 0 END AS a,
+    CASE WHEN status = 'no density dependence' AND form <> 'Hockey' THEN 0 ELSE exp(lnb) END AS b, err AS sse,
+    CASE WHEN status IN ('ok', 'at capacity') THEN CASE form WHEN 'Ricker' THEN exp(la - lnb - 1) WHEN 'BevertonHolt' THEN exp(-lnb) ELSE exp(lnb) END END AS est,
+    CASE status WHEN 'at capacity' THEN err / (n - 1) / n WHEN 'ok' THEN err / (n - 2) * CASE form WHEN 'Ricker' THEN 1.0 / n + pow(ms - exp(-lnb), 2) / sxx ELSE aa / (aa * bb - ab * ab) END END AS lv FROM l),
+o AS (SELECT *, est * sqrt(lv) AS se, sqrt(lv) AS cv FROM v)
+SELECT population, form, n_obs, status, {_FIT_OUT} FROM o""")
+def _(t):
+    fit = W.fit_sr(_broods(t), "population", "spawners", "parr")
+    return fit.select("population", "form", "n_obs", "status", *[_four(c).alias(c) for c in fit.columns[4:]])
+
+
+@query("sr_fixed_capacity", f"""WITH {_BROODS}, {_grid_sql(True)},
+x AS (SELECT b.*, c.* EXCLUDE (population, form, edge), CASE WHEN n <= 1 OR top <= low THEN 'failed' WHEN edge <> 0 THEN 'at capacity' ELSE 'ok' END AS status FROM base b LEFT JOIN cur c USING (population)),
+o AS (SELECT population, 'BevertonHolt' AS form, n AS n_obs, status, CASE status WHEN 'ok' THEN exp(lb - lc) WHEN 'at capacity' THEN 0 END AS a, CASE WHEN status <> 'failed' THEN exp(lb) END AS b,
+    CASE status WHEN 'ok' THEN syy_c - 2 * (lc - lb) * sy + n * pow(lc - lb, 2) WHEN 'at capacity' THEN syr + n * pow(mr + lb, 2) END AS sse, CASE WHEN status <> 'failed' THEN exp(-lb) END AS est,
+    CASE WHEN status <> 'failed' THEN 0.0 END AS se, CASE WHEN status <> 'failed' THEN 0.0 END AS cv FROM x)
+SELECT population, form, n_obs, status, {_FIT_OUT} FROM o""")
+def _(t):
+    d = _broods(t)
     cap = d.groupBy("population").agg((1 / (F.max("parr") * 1.5)).alias("b"))
-    return W.fit_sr(d, "population", "spawners", "parr", fixed_b=cap)
+    fit = W.fit_sr(d, "population", "spawners", "parr", fixed_b=cap)
+    return fit.select("population", "form", "n_obs", "status", *[_four(c).alias(c) for c in fit.columns[4:]])
 
 
 @query("sr_curve", f"""WITH {_SR}, top AS (SELECT population, max(spawners) AS m FROM sr GROUP BY 1),

@@ -125,7 +125,8 @@ def test_curves_that_run_off_are_not_ok(spark):
     got = {(r.k, r.form): r for r in W.fit_sr(df, "k", "s", "r").collect()}
     best = got["good", "BevertonHolt"]
     assert best.status == "ok" and best.b == pytest.approx(0.02 / 50, rel=1e-3)
-    assert len(got) == 6 and all(r.est is None for r in got.values() if r.status != "ok")
+    assert len(got) == 6 and {got["line", f].status for f in W.FORMS} == {"no density dependence"}
+    assert got["line", "Hockey"].a == pytest.approx(3) and got["line", "Hockey"].est is None and got["line", "Ricker"].b == 0
 
 
 def test_factor_grid_keeps_rows_and_columns(spark):

@@ -174,7 +174,7 @@ def test_spawner_recruit(spark):
             assert f.se > 0 and f.cv == pytest.approx(f.se / f.est)
     assert got["one", "BevertonHolt"].est == pytest.approx(2000, rel=0.15)
     cap = spark.createDataFrame([("one", 0.0004)], "pop string, b double")
-    fixed = W.fit_sr(d, "pop", "s", "r", fixed_b=cap, rounds=8).collect()
+    fixed = W.fit_sr(d, "pop", "s", "r", fixed_b=cap).collect()
     assert len(fixed) == 1 and fixed[0].b == pytest.approx(0.0004) and fixed[0].est == pytest.approx(2500)
 
 
