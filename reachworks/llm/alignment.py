@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from reachworks.llm import tokens
 from reachworks.session import freeze
 
-CHUNK_BYTES = 4 << 20  # of text that is handled at once; a longer text is a chunk of its own
-CACHED_BYTES = 24 << 20  # of pieces kept by a task; beyond that its cache starts anew
+CHUNK_BYTES = 2 << 20  # of text that is handled at once; a longer text is a chunk of its own
+CACHED_BYTES = 3 << 20  # of pieces kept by a task; beyond that its cache starts anew
 JOINED = 256  # pieces given to a tokeniser as one string
 SHIFT = 20  # a pair of ids is first << SHIFT | second
 
@@ -289,7 +289,7 @@ def _read(chunk_bytes: int, keep_groups: bool, coders: Callable) -> Callable:
                        "lengths": [[len(packed[c]) for c in _HELD]], **{c: [_pack(packed[c])] for c in _HELD}, "keys": [keys], "holders": [holders]}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x for x in v], _TYPES[k] or pa.list_(ids.type)) for k, v in row.items()], names=list(row))
-    return run
+    return tokens.tidy(run)
 
 
 def _answer(id_type: pa.DataType) -> Callable:
