@@ -2,41 +2,97 @@
 
 A forest's leaves are kept as a table (tree, leaf, y, weight).  A scoring row collects the leaf it
 reaches in every tree; its conditional distribution is the weighted mix of those leaves
-(Meinshausen 2006).
+(Meinshausen 2006).  Rows and leaves meet in blocks: a block of rows and a chunk of trees are one
+task, which looks every leaf up in sorted arrays, so neither side is bounded by a task or the driver
+and no row is ever multiplied by the responses of its leaves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reachworks.operators.ordered import exact_quantiles, running
+from reachworks.operators.ordered import exact_quantiles, row_numbers, running
 from reachworks.operators.survey import levels
-
-# A leaf table up to this many rows (about 50 MB) is sent to every executor; larger ones are joined.
-LEAF_ROWS = 2_000_000
+from reachworks.session import freeze, shared_folder
+
+# Leaf entries of one chunk of trees (24 bytes each) and leaf ids of one block of rows (4 bytes each) in a task.
+CHUNK_ROWS = 2_000_000
+BLOCK_CELLS = 16_000_000
+# Spark's deepest trees; leaf size ends growth long before on most data.
+MAX_DEPTH = 30
+# Places at which the mass of a distribution is read in one round when its leaves lie in several chunks.
+CUTS = 64
+# Fits of different levels that are under way at once.
+AT_ONCE = 8
 # Rounding room when a cumulative share meets the quantile exactly.
 SLACK = 1e-9
 
 
-def assemble(df: DataFrame, covars: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(covars), outputCol="__features").transform(df)
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest, its covariates in order and the levels of those that are factors."""
+
+    model: RandomForestRegressionModel
+    covars: tuple[str, ...]
+    factors: Mapping[str, tuple] = field(default_factory=dict)
+
+    @property
+    def trees(self) -> int:
+        return self.model.getNumTrees
+
+
+def assemble(df: DataFrame, covars: Sequence[str], factors: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Feature vectors; ``__complete`` says where no covariate is missing and every level is known.
+
+    Levels become their place in the list, marked as nominal, so trees split them by subsets.
+    """
+    factors = factors or {}
+    known, inputs = F.lit(True), {}
+    for c in covars:
+        if c in factors:
+            place = F.array_position(F.array(*[F.lit(v) for v in factors[c]]), F.col(c)).cast("double") - 1
+            value = F.when(place >= 0, place)
+            meta = {"ml_attr": {"type": "nominal", "vals": [str(v) for v in factors[c]], "name": c}}
+        else:
+            value, meta = F.col(c).cast("double"), {}
+        known = known & value.isNotNull()
+        inputs[f"__x_{c}"] = F.coalesce(value, F.lit(0.0)).alias(f"__x_{c}", metadata=meta)
+    out = df.select("*", known.alias("__complete"), *inputs.values())
+    return VectorAssembler(inputCols=list(inputs), outputCol="__features").transform(out).drop(*inputs)
 
 
 def fit_forest(df: DataFrame, covars: Sequence[str], label: str | Column, ntree: int = 1000, seed: int = 3,
-               max_depth: int = 10, min_leaf: int = 5) -> RandomForestRegressionModel:
+               max_depth: int = MAX_DEPTH, min_leaf: int = 5, factors: Sequence[str] | Mapping[str, Sequence] = ()) -> Forest:
+    """Grown until a leaf would fall below ``min_leaf`` rows; rows with a gap are left out.
+
+    ``factors`` names the covariates that are categories; their levels are those of the training
+    rows (or as given), and there are as many bins as the longest list of levels.
+    """
     label = F.col(label) if isinstance(label, str) else label
-    train = assemble(df.withColumn("__label", label).where("__label is not null"), covars)
+    known = dict(factors) if isinstance(factors, Mapping) else {c: tuple(levels(df, c)) for c in factors}
+    train = assemble(df.withColumn("__label", label).where("__label is not null"), covars, known).where("__complete")
     rf = RandomForestRegressor(featuresCol="__features", labelCol="__label", numTrees=ntree, maxDepth=max_depth,
-                               featureSubsetStrategy="onethird", minInstancesPerNode=min_leaf, seed=seed, leafCol="__leaf")
-    return rf.fit(train)
+                               featureSubsetStrategy="onethird", minInstancesPerNode=min_leaf, seed=seed, leafCol="__leaf",
+                               maxBins=max([32, *map(len, known.values())]))
+    return Forest(rf.fit(train), tuple(covars), {c: tuple(v) for c, v in known.items()})
+
+
+def fit_by(df: DataFrame, by: str, fit: Callable) -> dict:
+    """A fit for each level of ``by``, some of them under way at the same time; there are as many fits as levels."""
+    found = levels(df, by)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return dict(zip(found, pool.map(lambda lv: fit(df.where(F.col(by) == F.lit(lv)), lv), found)))
 
 
 def fit_qrf(df: DataFrame, covars: Sequence[str], y: str, offset: float = 0.005, ntree: int = 1000,
@@ -45,23 +101,35 @@ def fit_qrf(df: DataFrame, covars: Sequence[str], y: str, offset: float = 0.005,
     label = F.ln(F.when(F.col(y) + F.lit(offset) > 0, F.col(y) + F.lit(offset)))
     if by is None:
         return {None: fit_forest(df, covars, label, ntree, **kw)}
-    return {lv: fit_forest(df.where(F.col(by) == F.lit(lv)), covars, label, ntree, **kw) for lv in levels(df, by)}
+    return fit_by(df, by, lambda part, _: fit_forest(part, covars, label, ntree, **kw))
 
 
-def _leaf_array(model, df: DataFrame, covars: Sequence[str]) -> DataFrame:
-    out = model.transform(assemble(df, covars))
-    return out.withColumn("__leaves", vector_to_array("__leaf").cast("array<int>")).drop("__features", "__leaf")
+def reached(forest: Forest, df: DataFrame) -> DataFrame:
+    """The rows with the leaf they reach in every tree; NULL where a covariate is missing or a level unknown."""
+    out = forest.model.transform(assemble(df, forest.covars, forest.factors))
+    ids = F.when(F.col("__complete"), vector_to_array("__leaf").cast("array<int>"))
+    return out.select(*df.columns, ids.alias("__leaves"))
 
 
-def leaf_weights(model, train: DataFrame, covars: Sequence[str], label: str | Column) -> DataFrame:
+def predict(forest: Forest, df: DataFrame, out: str = "prediction") -> DataFrame:
+    """Every row with the forest's mean; NULL where a covariate is missing or a level unknown."""
+    raw = forest.model.transform(assemble(df, forest.covars, forest.factors))
+    return raw.select(*df.columns, F.when(F.col("__complete"), F.col("prediction")).alias(out))
+
+
+def leaf_weights(forest: Forest, train: DataFrame, label: str | Column) -> DataFrame:
     """(tree, leaf, y, w): training responses per leaf, copies merged; weights sum to 1 over a row's leaves."""
     label = F.col(label) if isinstance(label, str) else label
-    rows = _leaf_array(model, train.withColumn("y", label).where("y is not null"), covars)
-    each = rows.select("y", F.posexplode("__leaves").alias("tree", "leaf"))
-    counts = each.groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
+    return leaf_table(reached(forest, train.withColumn("y", label)), "y", "__leaves")
+
+
+def leaf_table(rows: DataFrame, y: str, ids: str) -> DataFrame:
+    """The same from rows that carry their leaf ids in an array, one for each tree."""
+    seen = rows.where(F.col(y).isNotNull() & F.col(ids).isNotNull())
+    each = seen.select(F.col(y).alias("y"), F.size(ids).alias("trees"), F.posexplode(ids).alias("tree", "leaf"))
+    counts = each.groupBy("tree", "leaf", "y", "trees").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("tree", "leaf").agg(F.sum("n").alias("size"))
-    return counts.join(sizes, ["tree", "leaf"]).select(
-        "tree", "leaf", "y", (F.col("n") / (F.col("size") * F.lit(model.getNumTrees))).alias("w"))
+    return counts.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "y", (F.col("n") / (F.col("size") * F.col("trees"))).alias("w"))
 
 
 def weighted_quantile(df: DataFrame, keys: Sequence[str], y: str, w: str, q: float, out: str = "q",
@@ -72,110 +140,221 @@ def weighted_quantile(df: DataFrame, keys: Sequence[str], y: str, w: str, q: flo
     ran = running(merged, keys, [y], {"__cum": ("sum", F.col("__w"))}, group_rows=group_rows)
     total = merged.groupBy(*keys).agg(F.sum("__w").alias("__tot"))
     both = ran.join(total, keys)
-    reached = F.col("__cum") >= F.col("__tot") * F.lit(q - SLACK)
-    return both.groupBy(*keys).agg(F.min(F.when(reached, F.col(y))).alias(out))
-
-
-def _scorer(spark: SparkSession, pdf: pd.DataFrame, q: float):
-    """Arrow scorer over a leaf table small enough to broadcast."""
-    ys, yi = np.unique(pdf["y"].to_numpy(), return_inverse=True)
-    width = int(pdf["leaf"].max()) + 1
-    cell = pdf["tree"].to_numpy(dtype=np.int64) * width + pdf["leaf"].to_numpy()
-    place = cell * len(ys) + yi
-    order = np.argsort(place, kind="stable")
-    n_cells = (int(pdf["tree"].max()) + 1) * width
-    start = np.searchsorted(cell[order], np.arange(n_cells))
-    cum = np.concatenate(([0.0], np.cumsum(pdf["w"].to_numpy()[order])))
-    shared = spark.sparkContext.broadcast((ys, place[order], cum, start, width))
-
-    @F.pandas_udf("double")
-    def score(col: pd.Series) -> pd.Series:
-        """Bisection on the rank of y: the mass at or below it is one lookup per tree."""
-        ys, place, cum, start, width = shared.value
-        leaf = np.stack(col.to_numpy()).astype(np.int64)
-        cells = leaf + np.arange(leaf.shape[1]) * width
-        first, floor = cells * len(ys), cum[start[cells]]
-
-        def mass(rank: np.ndarray) -> np.ndarray:
-            return (cum[np.searchsorted(place, first + rank[:, None], side="right")] - floor).sum(axis=1)
-
-        lo, hi = np.zeros(len(leaf), dtype=np.int64), np.full(len(leaf), len(ys) - 1)
-        goal = (q - SLACK) * mass(hi)
+    reached_ = F.col("__cum") >= F.col("__tot") * F.lit(q - SLACK)
+    return both.groupBy(*keys).agg(F.min(F.when(reached_, F.col(y))).alias(out))
+
+
+# ---- rows and leaves in blocks -------------------------------------------------------
+
+@dataclass(frozen=True)
+class _Layout:
+    """Trees of a chunk, chunks, parts of a chunk whose leaves are too many, blocks of rows."""
+
+    per: int
+    chunks: int
+    parts: int
+    blocks: int
+
+    @property
+    def single(self) -> bool:
+        return self.chunks * self.parts == 1
+
+
+def _layout(rows: DataFrame, table: DataFrame, chunk_rows: int, block_cells: int) -> _Layout:
+    top, total, most = table.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("tree"), F.sum("n"), F.max("n")).first()
+    trees = (-1 if top is None else top) + 1
+    per = max(1, min(trees, chunk_rows * trees // max(1, total or 0)))
+    return _Layout(per, max(1, -(-trees // per)), max(1, -(-(most or 0) // chunk_rows)), max(1, -(-rows.count() // max(1, block_cells // per))))
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """One chunk's leaves as arrays sorted by (tree, leaf, value)."""
+    cell = table.column("tree").to_numpy().astype(np.int64) << 32 | table.column("leaf").to_numpy().astype(np.int64)
+    value, weight = table.column("value").to_numpy().astype(np.float64), table.column("weight").to_numpy().astype(np.float64)
+    order = np.lexsort((value, cell))
+    packed = {"cells": cell[order], "values": value[order], "weights": weight[order]}
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in packed.items()}})
+
+
+def _packed(table: DataFrame, lay: _Layout) -> DataFrame:
+    """(chunk, part, block, cells, values, weights): each chunk once for every block of rows."""
+    part = F.pmod(F.xxhash64("leaf", "value"), F.lit(lay.parts)).cast("int")
+    rows = table.select(F.expr(f"int(tree div {lay.per})").alias("chunk"), part.alias("part"), "tree", "leaf", "value", "weight")
+    one = rows.groupBy("chunk", "part").applyInArrow(_pack, "chunk int, part int, cells binary, values binary, weights binary")
+    return one.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(lay.blocks - 1))))
+
+
+def _blocks(rows: DataFrame, lay: _Layout, rid: str, *more: str) -> DataFrame:
+    """(rid, block, chunk, part, ids): the leaf ids of a row for every chunk of trees."""
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(lay.chunks - 1))).alias("chunk")
+    each = rows.where("__leaves is not null").select(rid, *more, "__leaves", F.pmod(F.xxhash64(rid), F.lit(lay.blocks)).cast("int").alias("block"), chunk)
+    each = each.select(rid, *more, "block", "chunk", F.slice("__leaves", F.col("chunk") * lay.per + 1, F.lit(lay.per)).alias("ids"))
+    return each.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(lay.parts - 1))))
+
+
+def _met(left: pa.Table, right: pa.Table, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first and last entry of every row's leaves, values, weights) of one block and chunk."""
+    if not right.num_rows:
+        empty = np.zeros((left.num_rows, 0), np.int64)
+        return empty, empty, np.zeros(0), np.zeros(0)
+    cells, values, weights = (np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("cells", np.int64), ("values", np.float64), ("weights", np.float64)))
+    column = left.column("ids").combine_chunks()
+    ids = column.flatten().to_numpy(False).astype(np.int64).reshape(left.num_rows, -1)
+    tree = int(right.column("chunk")[0].as_py()) * per + np.arange(ids.shape[1])
+    asked = tree << 32 | ids
+    return np.searchsorted(cells, asked, "left"), np.searchsorted(cells, asked, "right"), values, weights
+
+
+def _mass(first: np.ndarray, last: np.ndarray, values: np.ndarray, upto: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
+    """Weight of each row's leaves at or below its ceiling; values are whole ranks, sorted within a leaf."""
+    lo, hi = first.copy(), last.copy()
+    top = np.broadcast_to(ceiling[:, None], lo.shape)
+    while (lo < hi).any():
+        mid = (lo + hi) >> 1
+        open_ = lo < hi
+        below = open_ & (values[np.minimum(mid, len(values) - 1)] <= top)
+        lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
+    return (upto[lo] - upto[first]).sum(axis=1)
+
+
+def _search(per: int, rid: str, ranks: int, q: float) -> Callable:
+    """Bisection on the rank of y, for rows whose leaves are all in one chunk."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, last, values, weights = _met(left, right, per)
+        upto = np.concatenate([[0.0], np.cumsum(weights)])
+        lo, hi = np.zeros(left.num_rows, np.int64), np.full(left.num_rows, ranks - 1)
+        total = _mass(first, last, values, upto, hi)
         while (lo < hi).any():
-            mid = (lo + hi) // 2
-            enough = mass(mid) >= goal
-            hi = np.where(enough, mid, hi)
-            lo = np.where(enough, lo, np.minimum(mid + 1, hi))
-        return pd.Series(ys[hi])
-
-    return score
-
-
-def predict_quantile(model, leaves: DataFrame, df: DataFrame, covars: Sequence[str], q: float, rid: str,
-                     out: str = "pred", offset: float | None = 0.005, leaf_rows: int | None = None) -> DataFrame:
-    """Conditional quantile per row; with an offset the log scale is undone.
-
-    A leaf table of checked size goes to the executors and scoring needs no shuffle; beyond the
-    limit rows are joined to it leaf by leaf.
+            mid = (lo + hi) >> 1
+            enough = _mass(first, last, values, upto, mid) >= (q - SLACK) * total
+            lo, hi = np.where(enough, lo, np.minimum(mid + 1, hi)), np.where(enough, mid, hi)
+        return pa.table({rid: left.column(rid), "__rank": pa.array(hi), "__total": pa.array(total)})
+    return run
+
+
+def _read_cuts(per: int, rid: str) -> Callable:
+    """Mass at evenly placed ranks of each row's open range, and its total, over one chunk."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, last, values, weights = _met(left, right, per)
+        upto = np.concatenate([[0.0], np.cumsum(weights)])
+        lo, hi = (left.column(c).to_numpy() for c in ("__lo", "__hi"))
+        cuts = {f"__c{k}": pa.array(_mass(first, last, values, upto, lo + (hi - lo + 1) * (k + 1) // CUTS - 1)) for k in range(CUTS)}
+        every = _mass(first, last, values, upto, np.full(left.num_rows, np.iinfo(np.int64).max >> 1))
+        return pa.table({rid: left.column(rid), "__all": pa.array(every), **cuts})
+    return run
+
+
+def quantile_of_leaves(leaves: DataFrame, rows: DataFrame, q: float, rid: str, ids: str = "__leaves", out: str = "q",
+                       chunk_rows: int = CHUNK_ROWS, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(rid, quantile) of rows that carry their leaf ids in an array; ``leaves`` as from ``leaf_table``.
+
+    ``rid`` must tell the rows apart.  Rows without ids, or none of whose leaves is known, have no quantile.
     """
-    limit = LEAF_ROWS if leaf_rows is None else leaf_rows
-    rows = _leaf_array(model, df, covars)
-    small = leaves.limit(limit + 1).toPandas()
-    if len(small) <= limit:
-        scored = rows.withColumn("__q", _scorer(df.sparkSession, small, q)("__leaves")).select(rid, "__q")
+    leaves = freeze(leaves)
+    order = row_numbers(leaves.select("y").distinct(), ["y"], "__n")
+    known = freeze(order.select(F.col("y").alias("__y"), (F.col("__n") - 1).alias("value")))
+    ranks = known.count()
+    table = leaves.join(known, F.col("y") == F.col("__y")).select("tree", "leaf", "value", F.col("w").alias("weight"))
+    held = freeze(rows.select(rid, F.col(ids).alias("__leaves")))
+    lay = _layout(held, leaves, chunk_rows, block_cells)
+    kind = dict(held.dtypes)[rid]
+    packed, keys = _packed(table, lay), ["block", "chunk", "part"]
+    if lay.single:
+        found = _blocks(held, lay, rid).groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(
+            _search(lay.per, rid, ranks, q), f"{rid} {kind}, __rank bigint, __total double").where("__total > 0")
     else:
-        each = rows.select(rid, F.posexplode("__leaves").alias("tree", "leaf"))
-        scored = weighted_quantile(each.join(leaves, ["tree", "leaf"]), [rid], "y", "w", q, "__q")
+        packed = freeze(packed)
+        state = held.withColumns({"__lo": F.lit(0).cast("bigint"), "__hi": F.lit(ranks - 1).cast("bigint")})
+        span = ranks
+        while span > 1:
+            masses = _blocks(state, lay, rid, "__lo", "__hi").groupBy(*keys).cogroup(packed.groupBy(*keys)).applyInArrow(
+                _read_cuts(lay.per, rid), f"{rid} {kind}, __all double, " + ", ".join(f"__c{k} double" for k in range(CUTS)))
+            sums = masses.groupBy(F.col(rid).alias("__key")).agg(F.sum("__all").alias("__all"), *[F.sum(f"__c{k}").alias(f"__c{k}") for k in range(CUTS)])
+            goal = F.col("__all") * F.lit(q - SLACK)
+            step = F.coalesce(*[F.when(F.col(f"__c{k}") >= goal, F.lit(k)) for k in range(CUTS - 1)], F.lit(CUTS - 1))
+            joined = state.join(sums, state[rid].eqNullSafe(sums["__key"]), "left").withColumn("__k", step)
+            bound = lambda k: F.col("__lo") + F.expr(f"(__hi - __lo + 1) * (__k + {k}) div {CUTS}")
+            state = freeze(joined.select(rid, F.when(F.col("__all") > 0, F.col("__leaves")).alias("__leaves"), bound(0).alias("__lo"),
+                                         F.greatest(bound(1) - 1, bound(0)).alias("__hi")))
+            span = -(-span // CUTS)
+        found = state.where("__leaves is not null").select(rid, F.col("__hi").alias("__rank"))
+    named = found.join(known, F.col("__rank") == F.col("value")).select(F.col(rid).alias("__key"), F.col("__y").alias(out))
+    return held.select(rid).join(named, F.col(rid).eqNullSafe(F.col("__key")), "left").select(rid, out)
+
+
+def predict_quantile(forest: Forest, leaves: DataFrame, df: DataFrame, q: float, rid: str, out: str = "pred",
+                     offset: float | None = 0.005, **limits) -> DataFrame:
+    """Conditional quantile of every row, NULL where it cannot be scored; with an offset the log scale is undone."""
+    scored = quantile_of_leaves(leaves, reached(forest, df), q, rid, out="__q", **limits)
     value = F.col("__q") if offset is None else F.exp("__q") - F.lit(offset)
     return scored.select(rid, value.alias(out))
 
 
-def leaf_predictions(model) -> list[np.ndarray]:
-    """Each tree's predictions by leaf number: leaves are numbered from left to right, as the tree's text lists them."""
-    return [np.array([float(line.split(":")[1]) for line in tree.toDebugString.splitlines() if "Predict:" in line]) for tree in model.trees]
-
+def leaf_values(forest: Forest) -> DataFrame:
+    """(tree, leaf, value): each leaf's own prediction, from the node table of the model as Spark writes it.
 
-def tree_spread(model, score: DataFrame, covars: Sequence[str], rid: str) -> DataFrame:
-    """Mean and SD of the trees' own predictions: the forest's prediction and its error per row.
-
-    What is sent is one number per leaf of the model, whatever the data; rows are scored where they lie.
+    Nodes are numbered from the left, and a leaf's number is its place among a tree's leaves.
     """
-    sent = score.sparkSession.sparkContext.broadcast(leaf_predictions(model))
-
-    @F.pandas_udf("pred_cap double, pred_se double")
-    def spread(col: pd.Series) -> pd.DataFrame:
-        leaf = np.stack(col.to_numpy()).astype(np.int64) if len(col) else np.zeros((0, len(sent.value)), np.int64)
-        each = np.stack([values[leaf[:, k]] for k, values in enumerate(sent.value)], axis=1)
-        sd = each.std(axis=1, ddof=1) if each.shape[1] > 1 else np.full(len(each), np.nan)
-        return pd.DataFrame({"pred_cap": each.mean(axis=1), "pred_se": sd})
-
-    out = _leaf_array(model, score, covars).withColumn("__s", spread("__leaves"))
-    return out.select(rid, "__s.pred_cap", F.when(~F.isnan("__s.pred_se"), F.col("__s.pred_se")).alias("pred_se"))
+    spark = SparkSession.active()
+    path = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    forest.model.save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.id", "nodeData.prediction", "nodeData.leftChild")
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    return nodes.where("leftChild < 0").select("tree", place.alias("leaf"), F.col("prediction").alias("value"))
+
+
+def _moments(per: int, rid: str) -> Callable:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, last, values, _ = _met(left, right, per)
+        known = last > first
+        each = np.where(known, values[np.minimum(first, max(len(values) - 1, 0))] if len(values) else 0.0, 0.0)
+        n = known.sum(axis=1)
+        mean = each.sum(axis=1) / np.maximum(n, 1)
+        spread = (np.where(known, each - mean[:, None], 0.0) ** 2).sum(axis=1)
+        return pa.table({rid: left.column(rid), "__n": pa.array(n), "__m": pa.array(mean), "__s": pa.array(spread)})
+    return run
+
+
+def spread_of_leaves(values: DataFrame, rows: DataFrame, rid: str, ids: str = "__leaves", chunk_rows: int = CHUNK_ROWS,
+                     block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(rid, pred_cap, pred_se): mean and SD over the trees of the values (tree, leaf, value) of a row's leaves."""
+    table = freeze(values.select("tree", "leaf", F.col("value").cast("double").alias("value"), F.lit(0.0).alias("weight")))
+    held = freeze(rows.select(rid, F.col(ids).alias("__leaves")))
+    lay, keys = _layout(held, table, chunk_rows, block_cells), ["block", "chunk", "part"]
+    kind = dict(held.dtypes)[rid]
+    parts = _blocks(held, lay, rid).groupBy(*keys).cogroup(_packed(table, lay).groupBy(*keys)).applyInArrow(
+        _moments(lay.per, rid), f"{rid} {kind}, __n bigint, __m double, __s double")
+    n, m = F.col("__n"), F.col("__m")
+    sums = parts.groupBy(F.col(rid).alias("__key")).agg(F.sum("__n").alias("n"), F.sum(n * m).alias("t"), F.sum(n * m * m).alias("tt"), F.sum("__s").alias("s"), F.count(F.lit(1)).alias("k"))
+    between = F.when(F.col("k") > 1, F.greatest(F.col("tt") - F.col("t") * F.col("t") / F.col("n"), F.lit(0.0))).otherwise(0.0)
+    se = F.when(F.col("n") > 1, F.sqrt((F.col("s") + between) / (F.col("n") - 1)))
+    out = sums.select("__key", F.try_divide("t", "n").alias("pred_cap"), se.alias("pred_se"))
+    return held.select(rid).join(out, F.col(rid).eqNullSafe(F.col("__key")), "left").select(rid, "pred_cap", "pred_se")
+
+
+def tree_spread(forest: Forest, score: DataFrame, rid: str, **limits) -> DataFrame:
+    """Mean and SD of the trees' own predictions: the forest's prediction and its error per row, NULL where it has none."""
+    return spread_of_leaves(leaf_values(forest), reached(forest, score), rid, **limits)
 
 
 def rf_extrapolate(train: DataFrame, score: DataFrame, covars: Sequence[str], y: str, rid: str, by: str,
-                   ntree: int = 2000, seed: int = 3, **kw) -> DataFrame:
-    """Raw-scale forests per level of ``by``, scored at every row with complete covariates."""
-    complete = score.na.drop(subset=list(covars))
-    parts = []
-    for lv in levels(train, by):
-        t = train.where(F.col(by) == F.lit(lv)).na.drop(subset=[*covars, y])
-        model = fit_forest(t, covars, F.col(y), ntree, seed, **kw)
-        parts.append(tree_spread(model, complete, covars, rid).withColumn(by, F.lit(lv)))
+                   ntree: int = 2000, seed: int = 3, factors: Sequence[str] = (), **kw) -> DataFrame:
+    """Raw-scale forests per level of ``by``, scored at every row with complete covariates of known levels."""
+    forests = fit_by(train, by, lambda part, _: fit_forest(part, covars, F.col(y), ntree, seed, factors=factors, **kw))
+    parts = [tree_spread(forest, score, rid).where("pred_cap is not null").withColumn(by, F.lit(lv)) for lv, forest in forests.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def relative_importance(spark: SparkSession, models: Mapping, covars: Sequence[str], labels: Mapping[str, str],
-                        by: str = "species") -> DataFrame:
+def relative_importance(spark: SparkSession, forests: Mapping, labels: Mapping[str, str], by: str = "species") -> DataFrame:
     """Importance over the largest importance, labelled; one row per model and covariate."""
     rows = []
-    for lv, m in models.items():
-        imp = m.featureImportances.toArray()
+    for lv, forest in forests.items():
+        imp = forest.model.featureImportances.toArray()
         top = float(imp.max()) or 1.0
-        rows += [(str(lv), c, labels.get(c, c), float(v) / top) for c, v in zip(covars, imp)]
+        rows += [(str(lv), c, labels.get(c, c), float(v) / top) for c, v in zip(forest.covars, imp)]
     return spark.createDataFrame(rows, f"{by} string, metric string, label string, rel_imp double")
 
 
@@ -197,19 +376,18 @@ def pdp_grid(df: DataFrame, covars: Sequence[str], n_pts: int = 200, factors: Ma
     return out
 
 
-def partial_dependence(model, leaves: DataFrame, grid: DataFrame, covars: Sequence[str], importance: DataFrame,
-                       kind: str = "quantile", q: float = 0.9, offset: float | None = 0.005) -> DataFrame:
+def partial_dependence(forest: Forest, leaves: DataFrame, grid: DataFrame, importance: DataFrame, kind: str = "quantile",
+                       q: float = 0.9, offset: float | None = 0.005) -> DataFrame:
     """Score the grid at a quantile or the mean, undo the log, attach label and importance; one row per grid row, factors kept."""
-    rows = grid.withColumn("__id", F.to_json(F.struct(*grid.columns), {"ignoreNullFields": "false"}))
-    factors = [c for c in grid.columns if c not in ("metric", "i", "value", *covars)]
+    rows = freeze(grid.withColumn("__id", F.to_json(F.struct(*grid.columns), {"ignoreNullFields": "false"})))
+    kept = [c for c in grid.columns if c not in ("metric", "i", "value") and (c in forest.factors or c not in forest.covars)]
     if kind == "quantile":
-        pred = predict_quantile(model, leaves, rows, covars, q, "__id", "pred", offset)
+        pred = predict_quantile(forest, leaves, rows, q, "__id", "pred", offset)
     else:
-        raw = model.transform(assemble(rows, covars))
-        value = F.col("prediction") if offset is None else F.exp("prediction") - F.lit(offset)
-        pred = raw.select("__id", value.alias("pred"))
+        value = F.col("__mean") if offset is None else F.exp("__mean") - F.lit(offset)
+        pred = predict(forest, rows, "__mean").select("__id", value.alias("pred"))
     return rows.join(pred, "__id").join(importance.select("metric", "label", "rel_imp"), "metric").select(
-        "metric", "label", "rel_imp", "i", "value", *factors, "pred")
+        "metric", "label", "rel_imp", "i", "value", *kept, "pred")
 
 
 def rug(df: DataFrame, covars: Sequence[str], group: str, labels: Mapping[str, str]) -> DataFrame:

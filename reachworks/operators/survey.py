@@ -14,7 +14,6 @@ from reachworks.functions.scalars import Z975, unite
 from reachworks.operators.aggregates import quantiles
 from reachworks.operators.joins import natural_join, with_group_stats
 
-MAX_LEVELS = 200
 VECTOR = ArrayType(DoubleType())
 MATRIX = ArrayType(VECTOR)
 
@@ -68,10 +67,8 @@ def frame_coverage(strata: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- linear models -------------------------------------------------------------------
 
 def levels(df: DataFrame, col: str) -> list:
-    """Sorted levels of a categorical covariate; refuses columns that are not categorical."""
-    got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(got) > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
+    """Sorted levels of a categorical covariate: as many as the columns or models that are asked for, whatever the rows."""
+    got = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect()]
     return sorted(got)
 
 

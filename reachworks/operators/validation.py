@@ -18,7 +18,7 @@ from reachworks.session import freeze
 
 FORMS = ("BevertonHolt", "Ricker", "Hockey")
 # Grid of the ratio c of a curve's two parameters, on the log scale of c times the largest spawner count.
-GRID_LOW, GRID_HIGH, GRID_POINTS, FINE_POINTS, REFINEMENTS = -9.0, 9.0, 64, 16, 2
+GRID_LOW, GRID_HIGH, GRID_POINTS, FINE_POINTS, REFINEMENTS = -9.0, 9.0, 64, 64, 1
 
 
 def sr_starts(data: DataFrame, key: str, s: str, r: str) -> DataFrame:
@@ -80,7 +80,7 @@ def fit_sr(data: DataFrame, key: str, s: str, r: str, fixed_b: DataFrame | None
     """Capacity per population and curve on the log scale, with SE, CV and a status.
 
     Ricker is a straight line there.  Beverton-Holt and hockey curves are fitted over their one nonlinear parameter: a
-    grid over all its values, then refinements around the best point, each scored for all populations in one aggregate.
+    grid over all its values, then a finer one around the best point, each scored for all populations in one aggregate.
     ``fixed_b`` (key, b) pins the Beverton-Holt capacity and leaves only its slope to fit.
 
     Status ``no density dependence``: the straight line fits best, so there is a slope and no capacity.

@@ -19,7 +19,9 @@ from reachworks.plans.registry import query, r4
 from reachworks.session import freeze
 
 COVARS = ["size", "price", "effort"]
-LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort"}
+FACTORS = ["p_type"]
+EVERY = [*COVARS, *FACTORS]
+LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort", "p_type": "Channel type"}
 
 
 # ---- forests -------------------------------------------------------------------------
@@ -36,27 +38,62 @@ def _log_dens():
 
 def _one_forest(t, ntree=20):
     d = _train(t)
-    return d, Q.fit_qrf(d, COVARS, "dens", ntree=ntree)[None]
+    return d, Q.fit_qrf(d, EVERY, "dens", ntree=ntree, factors=FACTORS)[None]
 
 
 @query("fit_forest")
 def _(t):
     d = _train(t)
-    models = Q.fit_qrf(d, COVARS, "dens", ntree=20, by="species")
-    return R.stack([m.transform(Q.assemble(d.where(F.col("species") == sp), COVARS)).select("p_partkey", "species", "prediction")
-                    for sp, m in models.items()], strict=True)
+    forests = Q.fit_qrf(d, EVERY, "dens", ntree=20, by="species", factors=FACTORS)
+    return R.stack([Q.predict(m, d.where(F.col("species") == sp)).select("p_partkey", "species", "prediction") for sp, m in forests.items()], strict=True)
 
 
 @query("leaf_table")
 def _(t):
     d, m = _one_forest(t)
-    return Q.leaf_weights(m, d, COVARS, _log_dens())
+    return Q.leaf_weights(m, d, _log_dens())
 
 
 @query("predict_quantile")
 def _(t):
     d, m = _one_forest(t)
-    return Q.predict_quantile(m, Q.leaf_weights(m, d, COVARS, _log_dens()), d, COVARS, 0.9, "p_partkey")
+    return Q.predict_quantile(m, Q.leaf_weights(m, d, _log_dens()), d, 0.9, "p_partkey")
+
+
+# Everything behind a row's leaf ids is exact: the same operators on ids that SQL knows too, eight trees of 5 to 12 leaves.
+_IDS = [f"int((p_partkey * {7 + k} + p_partkey div {3 + k}) % {5 + k})" for k in range(8)]
+_IDS_SQL = "ids AS (SELECT p_partkey, dens, unnest(range(0, 8)) AS tree FROM parts), rows_ AS (SELECT p_partkey, dens, tree, (p_partkey * (7 + tree) + p_partkey // (3 + tree)) % (5 + tree) AS leaf FROM ids)"
+
+
+def _given(t):
+    return V.part_covariates(t).select("p_partkey", F.round("dens", 2).alias("y"), F.array(*map(F.expr, _IDS)).alias("ids"))
+
+
+_LEAVES_SQL = f"""WITH {V.PARTS_SQL}, {_IDS_SQL},
+n AS (SELECT tree, leaf, round(dens, 2) AS y, count(*) AS n FROM rows_ GROUP BY 1, 2, 3), leaves AS (SELECT tree, leaf, y, n / (sum(n) OVER (PARTITION BY tree, leaf) * 8) AS w FROM n)"""
+
+
+@query("leaf_table_of_ids", f"{_LEAVES_SQL} SELECT CAST(tree AS INTEGER) AS tree, CAST(leaf AS INTEGER) AS leaf, y, round(w, 10) AS w FROM leaves")
+def _(t):
+    return Q.leaf_table(_given(t), "y", "ids").withColumn("w", F.round("w", 10))
+
+
+@query("predict_quantile_of_ids", f"""{_LEAVES_SQL},
+m AS (SELECT p_partkey, y, sum(w) AS w FROM rows_ JOIN leaves USING (tree, leaf) GROUP BY 1, 2),
+c AS (SELECT *, sum(w) OVER (PARTITION BY p_partkey ORDER BY y) AS cum, sum(w) OVER (PARTITION BY p_partkey) AS tot FROM m)
+SELECT p_partkey, min(y) FILTER (WHERE cum >= 0.9 * tot - 1e-9) AS q FROM c GROUP BY 1""")
+def _(t):
+    d = _given(t)
+    return Q.quantile_of_leaves(Q.leaf_table(d, "y", "ids"), d, 0.9, "p_partkey", "ids")
+
+
+@query("tree_spread_of_ids", f"""{_LEAVES_SQL}, v AS (SELECT tree, leaf, sum(y * w) * 8 AS value FROM leaves GROUP BY 1, 2)
+SELECT p_partkey, round(avg(value), 6) AS pred_cap, round(stddev_samp(value), 6) AS pred_se FROM rows_ JOIN v USING (tree, leaf) GROUP BY 1""")
+def _(t):
+    d = _given(t)
+    values = Q.leaf_table(d, "y", "ids").groupBy("tree", "leaf").agg((F.sum(F.col("y") * F.col("w")) * 8).alias("value"))
+    out = Q.spread_of_leaves(values, d, "p_partkey", "ids")
+    return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in ("pred_cap", "pred_se")])
 
 
 @query("weighted_quantile", """
@@ -80,8 +117,8 @@ def _(t):
 
 @query("relative_importance")
 def _(t):
-    models = Q.fit_qrf(_train(t), COVARS, "dens", ntree=20, by="species")
-    return Q.relative_importance(t.spark, models, COVARS, LABELS)
+    forests = Q.fit_qrf(_train(t), EVERY, "dens", ntree=20, by="species", factors=FACTORS)
+    return Q.relative_importance(t.spark, forests, LABELS)
 
 
 @query("pdp_grid", f"""WITH {V.PARTS_SQL},
@@ -98,8 +135,8 @@ def _(t):
 @query("partial_dependence")
 def _(t):
     d, m = _one_forest(t)
-    imp = Q.relative_importance(t.spark, {"all": m}, COVARS, LABELS)
-    return Q.partial_dependence(m, Q.leaf_weights(m, d, COVARS, _log_dens()), Q.pdp_grid(d, COVARS), COVARS, imp)
+    imp = Q.relative_importance(t.spark, {"all": m}, LABELS)
+    return Q.partial_dependence(m, Q.leaf_weights(m, d, _log_dens()), Q.pdp_grid(d, COVARS, 200, m.factors), imp)
 
 
 @query("rug_table", f"""WITH {V.PARTS_SQL}
@@ -119,7 +156,7 @@ def _(t):
 @query("rf_extrapolate")
 def _(t):
     d = _train(t)
-    return Q.rf_extrapolate(d, V.part_covariates(t).select("p_partkey", *COVARS), COVARS, "dens", "p_partkey", "species", ntree=20)
+    return Q.rf_extrapolate(d, V.part_covariates(t).select("p_partkey", *EVERY), EVERY, "dens", "p_partkey", "species", ntree=20, factors=FACTORS)
 
 
 # ---- imputation ----------------------------------------------------------------------

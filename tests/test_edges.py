@@ -133,10 +133,10 @@ def test_factor_grid_keeps_rows_and_columns(spark):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, float(a), float(b), float(a + b)) for i, (a, b) in enumerate(rng.random((120, 2)))], "id int, x1 double, x2 double, y double")
     model = Q.fit_forest(df, ["x1", "x2"], "y", ntree=3)
-    leaves = Q.leaf_weights(model, df, ["x1", "x2"], "y")
+    leaves = Q.leaf_weights(model, df, "y")
     grid = Q.pdp_grid(df, ["x1", "x2"], 4, {"f": ["a", "b"]})
-    imp = Q.relative_importance(spark, {"all": model}, ["x1", "x2"], {})
-    out = Q.partial_dependence(model, leaves, grid, ["x1", "x2"], imp, offset=None)
+    imp = Q.relative_importance(spark, {"all": model}, {})
+    out = Q.partial_dependence(model, leaves, grid, imp, offset=None)
     assert out.count() == 16 and {r.f for r in out.collect()} == {"a", "b"}
 
 

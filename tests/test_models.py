@@ -10,6 +10,7 @@ from reachworks.operators import impute as I
 from reachworks.operators import models as M
 from reachworks.operators import survey as G
 from reachworks.operators import validation as W
+from reachworks.operators.survey import levels
 
 
 def test_depletion_check_value(spark):
@@ -52,30 +53,71 @@ def cov(spark):
 
 
 def test_forest_quantiles(cov):
-    model = Q.fit_qrf(cov, ["x1", "x2"], "y", ntree=15)[None]
+    forest = Q.fit_qrf(cov, ["x1", "x2", "h"], "y", ntree=15, factors=["h"])[None]
     label = F.ln(F.col("y") + 0.005)
-    leaves = Q.leaf_weights(model, cov, ["x1", "x2"], label)
+    leaves = Q.leaf_weights(forest, cov, label)
     total = leaves.groupBy("tree", "leaf").agg(F.sum("w").alias("s")).agg(F.min("s"), F.max("s")).first()
     assert total[0] == pytest.approx(1 / 15) and total[1] == pytest.approx(1 / 15)
     lo_y, hi_y = cov.agg(F.min("y"), F.max("y")).first()
+    each = Q.reached(forest, cov).select("id", F.posexplode("__leaves").alias("tree", "leaf")).join(leaves, ["tree", "leaf"])
     last = None
     for q in (0.1, 0.5, 0.9):
-        sent = {r.id: r.pred for r in Q.predict_quantile(model, leaves, cov, ["x1", "x2"], q, "id").collect()}
-        joined = {r.id: r.pred for r in Q.predict_quantile(model, leaves, cov, ["x1", "x2"], q, "id", leaf_rows=1).collect()}
-        assert len(sent) == 400 and sent == pytest.approx(joined)
-        assert all(lo_y - 1e-9 <= v <= hi_y + 1e-9 for v in sent.values())
-        assert last is None or all(sent[i] >= last[i] - 1e-12 for i in sent)
-        last = sent
+        whole = {r.id: r.pred for r in Q.predict_quantile(forest, leaves, cov, q, "id").collect()}
+        plain = {r.id: r.z - 0.005 for r in Q.weighted_quantile(each, ["id"], "y", "w", q).select("id", F.exp("q").alias("z")).collect()}
+        assert len(whole) == 400 and whole == pytest.approx(plain)
+        assert all(lo_y - 1e-9 <= v <= hi_y + 1e-9 for v in whole.values())
+        assert last is None or all(whole[i] >= last[i] - 1e-12 for i in whole)
+        last = whole
+    # Chunks of few trees, chunks in parts and small blocks of rows give the same.
+    for chunk_rows, cells in ((1500, 400), (90, 30)):
+        assert {r.id: r.pred for r in Q.predict_quantile(forest, leaves, cov, 0.9, "id", chunk_rows=chunk_rows, block_cells=cells).collect()} == pytest.approx(last)
+
+
+def test_rows_with_gaps_and_unknown_levels_stay(spark, cov):
+    forest = Q.fit_forest(cov, ["x1", "h"], "y", ntree=5, factors=["h"])
+    leaves = Q.leaf_weights(forest, cov, "y")
+    score = spark.createDataFrame([(1, 0.1, "h1"), (2, None, "h1"), (3, 0.1, "new"), (4, 0.1, None)], "id int, x1 double, h string")
+    for got in (Q.predict_quantile(forest, leaves, score, 0.5, "id", offset=None), Q.predict(forest, score).withColumnRenamed("prediction", "pred"),
+                Q.tree_spread(forest, score, "id").withColumnRenamed("pred_cap", "pred")):
+        found = {r.id: r.pred for r in got.collect()}
+        assert sorted(found) == [1, 2, 3, 4] and found[1] is not None and {found[i] for i in (2, 3, 4)} == {None}
+
+
+def test_trees_grow_to_their_leaf_size(spark):
+    rows = spark.range(6000).select("id", (F.col("id") % 3000).cast("double").alias("x"), F.pow(F.lit(1.01), F.col("id") % 3000).alias("y"))
+    forest = Q.fit_forest(rows, ["x"], "y", ntree=1)
+    assert forest.model.trees[0].depth > 10 and forest.model.trees[0].numNodes > 31
+
+
+def test_factor_moves_the_partial_dependence(spark):
+    rows = spark.range(600).select("id", (F.col("id") % 50).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "pool").otherwise("riffle").alias("f"))
+    rows = rows.withColumn("y", F.col("x") / 50 + F.when(F.col("f") == "pool", 10.0).otherwise(1.0))
+    forest = Q.fit_forest(rows, ["x", "f"], "y", ntree=8, factors=["f"])
+    imp = Q.relative_importance(spark, {"all": forest}, {})
+    assert {r.metric for r in imp.collect()} == {"x", "f"}
+    grid = Q.pdp_grid(rows, ["x"], 5, forest.factors)
+    for kind in ("mean", "quantile"):
+        got = Q.partial_dependence(forest, Q.leaf_weights(forest, rows, "y"), grid, imp, kind, 0.5, offset=None).collect()
+        mean = {f: np.mean([r.pred for r in got if r.f == f]) for f in ("pool", "riffle")}
+        assert len(got) == 10 and mean["pool"] > mean["riffle"] + 3
+
+
+def test_many_levels(spark):
+    rows = spark.range(300 * 12).select((F.col("id") % 300).cast("string").alias("g"), F.col("id").alias("id"), (F.col("id") % 7).cast("double").alias("x")).withColumn("y", F.col("x") + 1)
+    assert len(levels(rows, "g")) == 300
+    seen = Q.fit_by(rows, "g", lambda part, lv: part.count())
+    assert len(seen) == 300 and set(seen.values()) == {12}
 
 
 def test_tree_spread(cov):
-    model = Q.fit_forest(cov, ["x1", "x2"], "y", ntree=10)
-    got = Q.tree_spread(model, cov, ["x1", "x2"], "id")
+    forest = Q.fit_forest(cov, ["x1", "x2"], "y", ntree=10)
+    got = Q.tree_spread(forest, cov, "id")
     lo, hi = cov.agg(F.min("y"), F.max("y")).first()
     row = got.agg(F.count("*"), F.min("pred_cap"), F.max("pred_cap"), F.min("pred_se")).first()
     assert row[0] == 400 and row[1] >= lo and row[2] <= hi and row[3] >= 0
-    forest = {r.id: r.prediction for r in model.transform(Q.assemble(cov, ["x1", "x2"])).collect()}
-    assert {r.id: r.pred_cap for r in got.collect()} == pytest.approx(forest)
+    assert {r.id: r.pred_cap for r in got.collect()} == pytest.approx({r.id: r.prediction for r in Q.predict(forest, cov).collect()})
+    split = {r.id: r.pred_se for r in Q.tree_spread(forest, cov, "id", chunk_rows=50, block_cells=100).collect()}
+    assert split == pytest.approx({r.id: r.pred_se for r in got.collect()})
 
 
 def test_weighted_least_squares_with_factor(cov):
@@ -179,14 +221,14 @@ def test_spawner_recruit(spark):
 
 
 def test_partial_dependence_mean_and_quantile(spark, cov):
-    model = Q.fit_qrf(cov, ["x1", "x2"], "y", ntree=10)[None]
-    leaves = Q.leaf_weights(model, cov, ["x1", "x2"], F.ln(F.col("y") + 0.005))
-    imp = Q.relative_importance(spark, {"all": model}, ["x1", "x2"], {"x1": "First"})
+    forest = Q.fit_qrf(cov, ["x1", "x2"], "y", ntree=10)[None]
+    leaves = Q.leaf_weights(forest, cov, F.ln(F.col("y") + 0.005))
+    imp = Q.relative_importance(spark, {"all": forest}, {"x1": "First"})
     assert imp.agg(F.max("rel_imp")).first()[0] == 1.0
     grid = Q.pdp_grid(cov, ["x1", "x2"], 11)
     assert grid.count() == 22
     for kind in ("mean", "quantile"):
-        rows = Q.partial_dependence(model, leaves, grid, ["x1", "x2"], imp, kind).where("metric = 'x1'").orderBy("i").collect()
+        rows = Q.partial_dependence(forest, leaves, grid, imp, kind).where("metric = 'x1'").orderBy("i").collect()
         assert len(rows) == 11 and rows[0].label == "First" and rows[-1].pred > rows[0].pred > 0
 
 
