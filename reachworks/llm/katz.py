@@ -33,7 +33,7 @@ from reachworks.session import freeze
 LEVEL = 5
 EPSILON = 1e-6
 CHUNK_BYTES = 4 << 20
-BUCKET_TOKENS = 1_100_000
+BUCKET_TOKENS = 600_000
 ROW_ENTRIES = 100_000
 PAIR_BITS = 20  # of the counts in which pairs that could fill a bucket are looked for
 MASK_BITS = 26  # of the histories that are asked for
@@ -60,8 +60,10 @@ class _Out:
 
 
 def _rows(parts: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, so that a batch is not held twice."""
     for part in parts:
-        yield from part.to_pylist()
+        for i in range(part.num_rows):
+            yield part.slice(i, 1).to_pylist()[0]
 
 
 def _six(values: np.ndarray) -> np.ndarray:
@@ -484,18 +486,18 @@ def katz_scores(docs: DataFrame, learned: F.Column, doc_id: str = "doc_id", text
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6).alias("bytes"), F.sum("learned").alias("docs")).first()
     buckets = max(12, -(-(size["bytes"] or 0) // 6 // BUCKET_TOKENS))
     least = max(1, BUCKET_TOKENS // 2)
-    words = freeze(rows.select("learned", "text").mapInArrow(_count_words(buckets), _ROW).groupBy("bucket").applyInArrow(_sum_words(least), _ROW))
+    words = freeze(rows.select("learned", "text").mapInArrow(tokens.tidy(_count_words(buckets)), _ROW).groupBy("bucket").applyInArrow(tokens.tidy(_sum_words(least)), _ROW))
     stats = _total_stats(words)
     large, pairs = _large_words(words), _large_pairs(rows, words, least)
     d_words = good_turing(np.concatenate([[0], stats[2:]]))
 
-    dealt = rows.mapInArrow(_deal_tokens(buckets, large, pairs, BUCKET_TOKENS), _ROW)
+    dealt = rows.mapInArrow(tokens.tidy(_deal_tokens(buckets, large, pairs, BUCKET_TOKENS)), _ROW)
     if pairs:
         empty = [F.lit(None).cast(t).alias(x) for x, t in (("chunk", "bigint"), ("doc_ids", "array<bigint>"), *[(x, "binary") for x in "abcde"])]
         dealt = dealt.unionByName(spark.range(min(buckets, len(pairs))).select(F.lit("pairs").alias("kind"), F.col("id").alias("bucket"), *empty))
     # Histories are asked for by few tokens, so they need fewer buckets.
     targets = max(12, buckets // 2)
-    scored = freeze(dealt.groupBy("bucket").applyInArrow(_score_words(stats, d_words, large, pairs, buckets, targets), _ROW))
+    scored = freeze(dealt.groupBy("bucket").applyInArrow(tokens.tidy(_score_words(stats, d_words, large, pairs, buckets, targets)), _ROW))
     d_pairs = good_turing(np.concatenate([[0], _total_stats(scored)[2:]]))
 
     asked = scored.where("kind = 'asked'")
@@ -503,7 +505,7 @@ def katz_scores(docs: DataFrame, learned: F.Column, doc_id: str = "doc_id", text
     sent = spark.sparkContext.broadcast(b"".join(r["bits"] for r in masks) or bytes((1 << MASK_BITS) // 8))  # of fixed size
     bigrams = scored.where("kind = 'bigrams'")
     histories = bigrams.select("b", "c", "d", "e").mapInArrow(_history_parts(d_pairs, sent, targets), _ROW)
-    backed = freeze(histories.unionByName(asked).groupBy("bucket").applyInArrow(_back_off, _ROW))
+    backed = freeze(histories.unionByName(asked).groupBy("bucket").applyInArrow(tokens.tidy(_back_off), _ROW))
     parts = scored.where("kind in ('docs', 'sums')").unionByName(backed.where("kind = 'backed'"))
     out = parts.groupBy("chunk").applyInArrow(
         _finish(int(stats[0]), size["docs"] or 0, d_pairs), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

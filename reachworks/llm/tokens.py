@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,15 @@ def tidy(task: Callable) -> Callable:
     return run
 
 
+RELEASE_SECONDS = 1.0  # small groups follow one another faster than memory could pile up
+_released = 0.0
+
+
 def release() -> None:
+    global _released
+    if time.monotonic() - _released < RELEASE_SECONDS:
+        return
+    _released = time.monotonic()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
