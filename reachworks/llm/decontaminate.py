@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
                     [_planes(np.append(at, len(order)))], [_planes(order)]), _INDEX)], schema=_INDEX)
                 block += 1
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, INDEX_SCHEMA)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tokens.tidy(run), INDEX_SCHEMA)
     if path is None:
         return freeze(rows)
     rows.write.parquet(path)
@@ -176,7 +176,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, slack: int | None = None)
         for i, r in enumerate(rows):
             hashes[i, :length[i]] = np.frombuffer(r["terms"], np.uint64)
         sent = spark.sparkContext.broadcast((hashes, length, [r["items"] for r in rows]))
-        hits = index.mapInArrow(_search(sent, slack), HITS_SCHEMA)
+        hits = index.mapInArrow(tokens.tidy(_search(sent, slack)), HITS_SCHEMA)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], HITS_SCHEMA)

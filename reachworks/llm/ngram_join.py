@@ -330,7 +330,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, sent, width: int) -> DataFrame:
     """(id, grams in global order) of the classes in `nodes`."""
     few = nodes.count() <= NODES_SENT
     chosen = texts.join(F.broadcast(nodes) if few else nodes, texts["doc_id"] == nodes["id"], "left_semi")
-    return freeze(chosen.mapInArrow(_write_sets(sent, width), "id bigint, grams binary"))
+    return freeze(chosen.mapInArrow(tokens.tidy(_write_sets(sent, width)), "id bigint, grams binary"))
 
 
 def _families(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, sent, width: int, percent: int) -> DataFrame:
@@ -342,7 +342,7 @@ def _families(texts: DataFrame, clusters: DataFrame, sizes: DataFrame, sent, wid
     # Every pair of parts is a block; a set goes to as many blocks as its cluster has parts.
     blocks = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
         "component", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id")
-    return freeze(freeze(blocks).join(sets, "id").groupBy("component", "low", "high").applyInArrow(_join_block(percent), _LINKS))
+    return freeze(freeze(blocks).join(sets, "id").groupBy("component", "low", "high").applyInArrow(tokens.tidy(_join_block(percent)), _LINKS))
 
 
 def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -> DataFrame:
@@ -354,7 +354,7 @@ def _links(texts: DataFrame, pairs: DataFrame, sent, width: int, percent: int) -
     trees = pairs.join(sets, pairs["b"] == sets["id"]).select("a", "block", "b", "grams")
     probes = pairs.select("a", "block").distinct()
     probes = probes.join(sets, probes["a"] == sets["id"]).select("a", "block", F.col("a").alias("b"), "grams")
-    return freeze(trees.unionByName(probes).groupBy("a", "block").applyInArrow(_compare(percent), _LINKS))
+    return freeze(trees.unionByName(probes).groupBy("a", "block").applyInArrow(tokens.tidy(_compare(percent)), _LINKS))
 
 
 def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -368,9 +368,9 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    seen = freeze(texts.mapInArrow(_survey(width), _DOCS))
+    seen = freeze(texts.mapInArrow(tokens.tidy(_survey(width)), _DOCS))
     rows = seen.where("bins_at is null").select("doc_id", "n", "set_id")
-    parts = seen.where("bins_at is not null").select("bins_at", "bins").groupBy("bins_at").applyInArrow(_add_bins, "bins_at int, bins binary").orderBy("bins_at").collect()
+    parts = seen.where("bins_at is not null").select("bins_at", "bins").groupBy("bins_at").applyInArrow(tokens.tidy(_add_bins), "bins_at int, bins binary").orderBy("bins_at").collect()
     bins = np.frombuffer(b"".join(r["bins"] for r in parts), np.int64) if parts else np.zeros(1 << BIN_BITS, np.int64)
     hot = 2048 * np.log2(1.0 + max(HOT_COUNT, 64 * int(bins.mean())))
     sent = spark.sparkContext.broadcast((_ranks(bins), hot))  # 2 ** BIN_BITS numbers, whatever the input
@@ -378,12 +378,12 @@ def similar_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, do
     classes = freeze(rows.where("n > 0 and doc_id is not null").groupBy("set_id", "n").agg(F.min("doc_id").alias("class_id")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(12, -(-total * (100 - percent) // 100 // BUCKET_POSTINGS))
-    dealt = texts.mapInArrow(_prefixes(sent, width, percent, buckets), _POSTINGS)
-    spread = freeze(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared, _SHARED))
+    dealt = texts.mapInArrow(tokens.tidy(_prefixes(sent, width, percent, buckets)), _POSTINGS)
+    spread = freeze(dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(tokens.tidy(_shared), _SHARED))
     shared = spread
     if _ranks(bins).max() >= hot:
         # What skips the buckets may come once from each task that met the class.
-        shared = freeze(shared.unionByName(dealt.where("bucket < 0").drop("bucket").mapInArrow(_hot, _SHARED)).distinct())
+        shared = freeze(shared.unionByName(dealt.where("bucket < 0").drop("bucket").mapInArrow(tokens.tidy(_hot), _SHARED)).distinct())
     # How much of its prefix a class shares, beside its name.
     part = shared.groupBy("set_id").agg((F.count(F.lit(1)) / F.first("n")).alias("part"))
     names = freeze(classes.select("set_id", "class_id").join(part, "set_id"))

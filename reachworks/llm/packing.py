@@ -268,7 +268,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield packer.rows()
         return merge
 
-    rows = freeze(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(first, SCHEMA))
+    rows = freeze(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tokens.tidy(first), SCHEMA))
     done, left = [rows.where("left_in is null")], rows.where("left_in is not null")
     top, level = left.agg(F.max("left_in")).first()[0], 0
     while top is not None:

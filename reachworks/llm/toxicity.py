@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
               .groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow())
     model = ratio_model(*[counts.column(k).to_numpy() for k in range(3)])
     rest = picked.where("not __counted")
-    seen = rest.select("__id", "__text").mapInArrow(_features(model), "doc_id bigint, whole double, run double, score double")
+    seen = rest.select("__id", "__text").mapInArrow(tokens.tidy(_features(model)), "doc_id bigint, whole double, run double, score double")
     seen = seen.join(F.broadcast(chosen), seen["doc_id"] == chosen["__id"]).select("whole", "run", "__toxic").toArrow()
     toxic = seen.column(2).to_numpy().astype(float)
     share = np.array([totals.get(0, 0), totals.get(1, 0)], float) / np.maximum(1, np.array([(toxic == 0).sum(), (toxic == 1).sum()]))
@@ -228,4 +228,4 @@ def keep_ordinary(docs: DataFrame, model: Ratio, text: str = "text", threshold:
             if low:
                 yield part.filter(pa.array(np.concatenate(low)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tokens.tidy(run), docs.schema)
