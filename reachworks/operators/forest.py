@@ -29,6 +29,10 @@ from reachworks.session import freeze, shared_folder
 # Leaf entries of one chunk of trees (24 bytes each) and leaf ids of one block of rows (4 bytes each) in a task.
 CHUNK_ROWS = 2_000_000
 BLOCK_CELLS = 16_000_000
+BLOCK_ROWS = 2_000  # fewer rows are not worth a core
+# Statistics of the nodes that one pass over the training rows may split, and training rows of a task.
+NODE_MB = 1024
+TASK_ROWS = 100_000
 # Spark's deepest trees; leaf size ends growth long before on most data.
 MAX_DEPTH = 30
 # Places at which the mass of a distribution is read in one round when its leaves lie in several chunks.
@@ -84,8 +88,10 @@ def fit_forest(df: DataFrame, covars: Sequence[str], label: str | Column, ntree:
     train = assemble(df.withColumn("__label", label).where("__label is not null"), covars, known).where("__complete")
     rf = RandomForestRegressor(featuresCol="__features", labelCol="__label", numTrees=ntree, maxDepth=max_depth,
                                featureSubsetStrategy="onethird", minInstancesPerNode=min_leaf, seed=seed, leafCol="__leaf",
-                               maxBins=max([32, *map(len, known.values())]))
-    return Forest(rf.fit(train), tuple(covars), {c: tuple(v) for c, v in known.items()})
+                               maxBins=max([32, *map(len, known.values())]), maxMemoryInMB=NODE_MB, cacheNodeIds=True)
+    # A level of all trees is one pass over the rows, so even few rows are worth every core.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return Forest(rf.fit(train.select("__features", "__label").repartition(max(cores, -(-train.count() // TASK_ROWS)))), tuple(covars), {c: tuple(v) for c, v in known.items()})
 
 
 def fit_by(df: DataFrame, by: str, fit: Callable) -> dict:
@@ -164,7 +170,9 @@ def _layout(rows: DataFrame, table: DataFrame, chunk_rows: int, block_cells: int
     top, total, most = table.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("tree"), F.sum("n"), F.max("n")).first()
     trees = (-1 if top is None else top) + 1
     per = max(1, min(trees, chunk_rows * trees // max(1, total or 0)))
-    return _Layout(per, max(1, -(-trees // per)), max(1, -(-(most or 0) // chunk_rows)), max(1, -(-rows.count() // max(1, block_cells // per))))
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // max(1, block_cells // per)), min(cores, n // BLOCK_ROWS), 1)
+    return _Layout(per, max(1, -(-trees // per)), max(1, -(-(most or 0) // chunk_rows)), blocks)
 
 
 def _pack(table: pa.Table) -> pa.Table:

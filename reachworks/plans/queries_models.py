@@ -19,9 +19,9 @@ from reachworks.plans.registry import query, r4
 from reachworks.session import freeze
 
 COVARS = ["size", "price", "effort"]
-FACTORS = ["p_type"]
+FACTORS = ["p_brand"]
 EVERY = [*COVARS, *FACTORS]
-LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort", "p_type": "Channel type"}
+LABELS = {"size": "Site size", "price": "Unit cost", "effort": "Survey effort", "p_brand": "Channel type"}
 
 
 # ---- forests -------------------------------------------------------------------------
