@@ -289,65 +289,130 @@ def snap_issues(df: DataFrame, name: str, line_name: str, dist: str, max_dist: f
 
 # ---- lines and polygons --------------------------------------------------------------
 
-def _crossings() -> Column:
-    """Sorted positions where the segment's line crosses the ring (half-open side rule)."""
+# Where the clipping grid begins, as a share of a cell: no corner falls on a vertex with few decimals.
+_ORIGIN_X, _ORIGIN_Y = 0.3718281828, 0.6180339887
+
+
+def _polygon_cells(polys: DataFrame, attrs: Sequence[str], cell: float, ring: str) -> DataFrame:
+    """(attrs, cx, cy, __edges, __odd, box): the cells that a polygon touches or covers.
+
+    A cell has the edges that pass it and one bit, whether its lower left corner lies inside; a covered
+    cell has the bit alone.  The bit is the parity of the edges that the bottom line meets further left,
+    a running count over the cells of a line, so no cell ever sees the edges of others.
+    """
+    size, ox, oy = F.lit(float(cell)), F.lit(cell * _ORIGIN_X), F.lit(cell * _ORIGIN_Y)
+    attrs = list(attrs)
+    boxed = _with_box(polys.select(*attrs, ring), ring)
+    box = F.struct("px0", "px1", "py0", "py1").alias("box")
+    edges = boxed.select(*attrs, F.explode("__edges").alias("e"))
+    no_edge, no_box, none = (F.lit(None).cast(t) for t in (edges.schema["e"].dataType, boxed.select(box).schema["box"].dataType, "bigint"))
+    covered = _box_cells(boxed.select(*attrs, box, *[(F.col(c) - o).alias(c) for c, o in (("px0", ox), ("px1", ox), ("py0", oy), ("py1", oy))]),
+                         "px0", "px1", "py0", "py1", cell).select(*attrs, "cx", "cy", no_edge.alias("e"), "box", none.alias("n"))
+    moved = edges.select(*attrs, "e", (F.col("e.ax") - ox).alias("x1"), (F.col("e.ay") - oy).alias("y1"), (F.col("e.bx") - ox).alias("x2"), (F.col("e.by") - oy).alias("y2"))
+    passed = _segment_cells(moved, cell, 0.0).select(*attrs, "cx", "cy", "e", no_box.alias("box"), none.alias("n"))
+    low, high = F.ceil(F.least("y1", "y2") / size), F.ceil(F.greatest("y1", "y2") / size) - 1
+    rows = moved.where(low <= high).withColumn("cy", F.explode(F.sequence(low, high)))
+    x = F.col("x1") + (F.col("cy") * size - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    met = rows.select(*attrs, F.floor(x / size).alias("cx"), "cy", no_edge.alias("e"), no_box.alias("box"), F.lit(1).cast("bigint").alias("n"))
+    cells = covered.unionByName(passed).unionByName(met).groupBy(*attrs, "cx", "cy").agg(
+        F.collect_list("e").alias("__edges"), F.max("box").alias("box"), F.coalesce(F.sum("n"), F.lit(0)).alias("__n"))
+    left = Window.partitionBy(*attrs, "cy").orderBy("cx").rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum("__n").over(left), F.lit(0)) % 2 == 1
+    return cells.withColumn("__odd", odd).where((F.size("__edges") > 0) | F.col("__odd")).drop("__n")
+
+
+def _segment_parts(segs: DataFrame, cell: float) -> DataFrame:
+    """Each segment cut where it leaves a cell: (columns, cx, cy, __a, __b), positions along the segment."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    side = lambda ex, ey: dx * (ey - F.col("y1")) - dy * (ex - F.col("x1"))
+
+    def borders(a: str, d: Column, share: float) -> Column:
+        size, o = F.lit(float(cell)), F.lit(cell * share)
+        b = F.col(a) + d
+        low, high = F.floor((F.least(F.col(a), b) - o) / size) + 1, F.floor((F.greatest(F.col(a), b) - o) / size)
+        at = F.transform(F.sequence(low, high), lambda k: (o + k * size - F.col(a)) / d)
+        return F.when((low <= high) & (d != 0), F.filter(at, lambda t: (t > 0) & (t < 1))).otherwise(F.array().cast("array<double>"))
+
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), borders("x1", dx, _ORIGIN_X), borders("y1", dy, _ORIGIN_Y))))
+    rows = segs.where((dx != 0) | (dy != 0)).withColumn("__cuts", cuts)
+    part = F.explode(F.transform(F.slice("__cuts", 1, F.size("__cuts") - 1), lambda t, i: F.struct(t.alias("a"), F.get("__cuts", i + 1).alias("b"))))
+    rows = rows.withColumn("__p", part).drop("__cuts").withColumns({"__a": F.col("__p.a"), "__b": F.col("__p.b")}).drop("__p")
+    mid = (F.col("__a") + F.col("__b")) / 2
+    return rows.withColumns({"cx": F.floor((F.col("x1") + mid * dx - cell * _ORIGIN_X) / F.lit(float(cell))),
+                             "cy": F.floor((F.col("y1") + mid * dy - cell * _ORIGIN_Y) / F.lit(float(cell)))})
+
+
+def _hits(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Positions at which the line from (x0, y0) to (x1, y1) meets the cell's edges (half-open side rule)."""
+    dx, dy = x1 - x0, y1 - y0
+    side = lambda ex, ey: dx * (ey - y0) - dy * (ex - x0)
 
     def position(e):
         sa, sb = side(e["ax"], e["ay"]), side(e["bx"], e["by"])
         u = sa / (sa - sb)
         qx, qy = e["ax"] + u * (e["bx"] - e["ax"]), e["ay"] + u * (e["by"] - e["ay"])
-        return ((qx - F.col("x1")) * dx + (qy - F.col("y1")) * dy) / (dx * dx + dy * dy)
+        return ((qx - x0) * dx + (qy - y0) * dy) / (dx * dx + dy * dy)
 
-    cross = F.filter("__edges", lambda e: (side(e["ax"], e["ay"]) >= 0) != (side(e["bx"], e["by"]) >= 0))
-    return F.array_sort(F.transform(cross, position))
+    return F.transform(F.filter("__edges", lambda e: (side(e["ax"], e["ay"]) >= 0) != (side(e["bx"], e["by"]) >= 0)), position)
 
 
-def _pairs(segs: DataFrame, polys: DataFrame, attrs: Sequence[str], cell: float, ring: str) -> DataFrame:
-    """Segment and polygon pairs whose boxes meet, each once, with the ring's edges.
+def _clipped(segs: DataFrame, polys: DataFrame, attrs: Sequence[str], cell: float, ring: str) -> DataFrame:
+    """Parts of segments in the cells of polygons, with ``__t``, where they meet edges, and ``__s``, their spans inside.
 
-    A pair is kept only in the cell holding the lower-left corner of the common box.
+    A part meets only the edges of its own cell.  Whether it begins inside follows from the cell's corner and the
+    edges between the corner and its first point.
     """
-    boxed = _with_box(polys.select(*attrs, ring), ring)
-    pc = _box_cells(boxed.select(*attrs, "px0", "px1", "py0", "py1"), "px0", "px1", "py0", "py1", cell)
-    sx0, sx1, sy0, sy1 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
-    sc = _box_cells(segs.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))), sx0, sx1, sy0, sy1, cell)
-    met = sc.join(pc, ["cx", "cy"]).where(
-        (sx0 <= F.col("px1")) & (sx1 >= F.col("px0")) & (sy0 <= F.col("py1")) & (sy1 >= F.col("py0"))
-        & (F.col("cx") == _cell(F.greatest(sx0, F.col("px0")), cell)) & (F.col("cy") == _cell(F.greatest(sy0, F.col("py0")), cell)))
-    rings = _sent(boxed.select(*attrs, "__edges"), "__edges")
-    return met.drop("cx", "cy", "px0", "px1", "py0", "py1").join(rings, list(attrs)).withColumn("__t", _crossings())
+    parts = _segment_parts(segs, cell)
+    at = lambda t: (F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1")), F.col("y1") + F.col(t) * (F.col("y2") - F.col("y1")))
+    (ax, ay), (bx, by) = at("__a"), at("__b")
+    met = parts.join(_polygon_cells(polys, attrs, cell, ring), ["cx", "cy"]).where(
+        (F.least(ax, bx) <= F.col("box.px1")) & (F.greatest(ax, bx) >= F.col("box.px0")) & (F.least(ay, by) <= F.col("box.py1")) & (F.greatest(ay, by) >= F.col("box.py0")))
+    corner = [(F.col(c) + share) * F.lit(float(cell)) for c, share in (("cx", _ORIGIN_X), ("cy", _ORIGIN_Y))]
+    own = F.filter(_hits(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), lambda t: (t >= F.col("__a")) & (t < F.col("__b")))
+    before = F.size(F.filter(_hits(*corner, ax, ay), lambda t: (t >= 0) & (t < 1)))
+    inside = (before + F.col("__odd").cast("int")) % 2 == 1
+    met = met.withColumns({"__t": F.array_sort(own), "__in": inside})
+    ends = F.concat(F.when(F.col("__in"), F.array("__a")).otherwise(F.array().cast("array<double>")), F.col("__t"))
+    met = met.withColumn("__ends", ends).withColumn("__ends", F.when(F.size("__ends") % 2 == 1, F.concat("__ends", F.array("__b"))).otherwise(F.col("__ends")))
+    spans = F.transform(F.filter(F.col("__ends"), lambda t, i: i % 2 == 0), lambda t, i: F.struct(t.alias("t0"), F.get("__ends", i * 2 + 1).alias("t1")))
+    return met.withColumn("__s", F.filter(spans, lambda s: s["t1"] > s["t0"])).select(*segs.columns, *attrs, "__t", "__s")
+
+
+def _along(df: DataFrame, rest: Sequence[Column | str]) -> DataFrame:
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    t0, t1 = F.col("__s.t0"), F.col("__s.t1")
+    return df.select(*rest, (F.col("x1") + t0 * dx).alias("x1"), (F.col("y1") + t0 * dy).alias("y1"),
+                     (F.col("x1") + t1 * dx).alias("x2"), (F.col("y1") + t1 * dy).alias("y2"))
 
 
 def clip_segments(segs: DataFrame, polys: DataFrame, attrs: Sequence[str] = ("poly_id",), cell: float = 2000.0,
                   ring: str = "ring") -> DataFrame:
-    """The pieces of each segment inside each polygon, as a segment table with ``piece`` numbers."""
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    spans = F.transform(F.sequence(F.lit(1), F.floor(F.size("__t") / 2).cast("int")), lambda i: F.struct(
-        i.alias("piece"), clamp(F.element_at("__t", i * 2 - 1)).alias("t0"), clamp(F.element_at("__t", i * 2)).alias("t1")))
-    parts = _pairs(segs, polys, attrs, cell, ring).where(F.size("__t") >= 2).withColumn("__s", F.explode(spans)).where(
-        "__s.t1 > __s.t0")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t0, t1 = F.col("__s.t0"), F.col("__s.t1")
+    """The pieces of each segment inside each polygon, as a segment table with ``piece`` numbers.
+
+    Spans of neighbouring cells that meet are one piece; equal segments keep a piece each.
+    """
     rest = [c for c in segs.columns if c not in ("x1", "y1", "x2", "y2")]
-    return parts.select(*rest, *attrs, F.col("__s.piece").alias("piece"),
-                        (F.col("x1") + t0 * dx).alias("x1"), (F.col("y1") + t0 * dy).alias("y1"),
-                        (F.col("x1") + t1 * dx).alias("x2"), (F.col("y1") + t1 * dy).alias("y2"))
+    each = _clipped(segs, polys, attrs, cell, ring).drop("__t").withColumn("__s", F.explode("__s"))
+    whole = each.groupBy(*segs.columns, *attrs).agg(F.collect_list("__s").alias("__all"))
+    one = whole.withColumn("__once", F.array_distinct("__all"))
+    starts, stops = (F.array_sort(F.array_except(F.transform("__once", lambda s: s[a]), F.transform("__once", lambda s: s[b]))) for a, b in (("t0", "t1"), ("t1", "t0")))
+    spans = F.zip_with(starts, stops, lambda a, b: F.named_struct(F.lit("t0"), a, F.lit("t1"), b))
+    copies = F.explode(F.array_repeat(F.lit(0), (F.size("__all") / F.size("__once")).cast("int")))
+    pieces = one.select(*segs.columns, *attrs, copies.alias("__copy"), spans.alias("__spans")).select("*", F.posexplode("__spans").alias("__i", "__s"))
+    return _along(pieces, [*rest, *attrs, (F.col("__i") + 1).alias("piece")])
 
 
 def length_in_polygon(segs: DataFrame, polys: DataFrame, by: Sequence[str], attrs: Sequence[str] = ("poly_id",),
-                      cell: float = 2000.0) -> DataFrame:
-    return line_length(clip_segments(segs, polys, attrs, cell), [*attrs, *by])
+                      cell: float = 2000.0, ring: str = "ring") -> DataFrame:
+    """Length of lines inside each polygon; the spans of every cell are added up where they lie."""
+    spans = _clipped(segs, polys, attrs, cell, ring).withColumn("__s", F.explode("__s"))
+    return line_length(_along(spans, [*attrs, *by]), [*attrs, *by])
 
 
 def clip_reaches(segs: DataFrame, polys: DataFrame, rid: str, attrs: Sequence[str] = ("poly_id",),
-                 cell: float = 2000.0) -> DataFrame:
+                 cell: float = 2000.0, ring: str = "ring") -> DataFrame:
     """(reach, polygon) pairs that intersect; reach attributes are left as they are."""
-    pairs = _pairs(segs.select(rid, "x1", "y1", "x2", "y2"), polys, attrs, cell, "ring")
-    starts_in = F.size(F.filter("__t", lambda v: v > 0)) % 2 == 1
-    crosses = F.exists("__t", lambda v: (v >= 0) & (v <= 1))
-    return pairs.where(starts_in | crosses).select(rid, *attrs).distinct()
+    pairs = _clipped(segs.select(rid, "x1", "y1", "x2", "y2"), polys, attrs, cell, ring)
+    return pairs.where((F.size("__t") > 0) | (F.size("__s") > 0)).select(rid, *attrs).distinct()
 
 
 def largest_overlap(segs: DataFrame, polys: DataFrame, line: str, attr: str = "poly_id", min_length: float = 100.0,

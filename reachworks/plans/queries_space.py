@@ -203,7 +203,7 @@ def _(t):
 def _with_empty(t):
     """The polygons and one per nation far off the network, so that some have nothing inside."""
     pt = lambda dx, dy: F.struct((F.lit(50000.0) + F.col("n_nationkey") * 100 + dx).alias("x"), F.lit(50000.0 + dy).alias("y"))
-    far = t.nation.select(F.col("n_name").alias("poly_id"), F.array(pt(0, 0), pt(90, 0), pt(90, 90)).alias("ring"))
+    far = t.nation.select(F.col("n_name").alias("poly_id"), F.array(F.array(pt(0, 0), pt(90, 0), pt(90, 90))).alias("ring"))
     return V.polygons(t).unionByName(far)
 
 
@@ -241,10 +241,10 @@ def _(t):
 @query("trap_capacity", f"""WITH {CLIP_SQL}, {_CAPS_SQL},
 x AS (SELECT CASE poly_id WHEN 'ell' THEN 'Ell River' ELSE poly_id END AS trap, species, count(DISTINCT reach_id) AS n_rch, sum(length) AS tot_length, sum(length * cap) AS cap,
   avg(CASE WHEN se <> 0 THEN se END) * sum(length) AS cap_se FROM inside JOIN caps USING (reach_id) GROUP BY 1, 2)
-SELECT trap, species, n_rch, round(tot_length, 4) AS tot_length, round(cap, 4) AS cap, round(cap_se, 4) AS cap_se, round(cap_se / cap, 6) AS cap_cv FROM x""")
+SELECT trap, species, n_rch, round(tot_length, 4) AS tot_length, round(cap, 4) AS cap, round(cap_se, 2) AS cap_se, round(cap_se / cap, 6) AS cap_cv FROM x""")
 def _(t):
     caps = _supplier_caps(t).withColumn("se", S.null_if("se", F.col("se") == 0))
     inside = J.natural_join(K.clip_reaches(_seg_ids(t), V.polygons(t), "reach_id"), caps, "inner", ["reach_id"])
     inside = inside.withColumn("trap", S.recode("poly_id", {"ell": "Ell River"}))
     out = U.trap_capacity(inside, ["trap", "species"])
-    return out.select("trap", "species", "n_rch", r4("tot_length"), r4("cap"), r4("cap_se"), F.round("cap_cv", 6).alias("cap_cv"))
+    return out.select("trap", "species", "n_rch", r4("tot_length"), r4("cap"), F.round("cap_se", 2).alias("cap_se"), F.round("cap_cv", 6).alias("cap_cv"))

@@ -102,18 +102,35 @@ RINGS = {
 }
 
 
+# A plot of land around every customer, every third with a pond; x, y and k stand for its place and key.
+_PLOT = [("x - 60.25", "y - 40.25"), ("x + 100.25 + k % 50", "y - 30.25"), ("x + 80.25", "y + 90.25 + k % 30"), ("x - 50.25", "y + 70.25")]
+_POND = [("x + 10.25", "y + 10.25"), ("x + 30.25", "y + 40.25"), ("x + 40.25", "y + 12.25")]
+# A lake district, one ring with an island of another polygon's land cut out.
+SHIELD = [[(2000.5, 1500.5), (9000.5, 1000.5), (9500.5, 9000.5), (6000.5, 7000.5), (2500.5, 9500.5)], [(4000.5, 3000.5), (4500.5, 6000.5), (7000.5, 5500.5), (6500.5, 2500.5)]]
+
+
 def polygons(t) -> DataFrame:
-    rows = [(name, [{"x": x, "y": y} for x, y in ring]) for name, ring in RINGS.items()]
-    return t.spark.createDataFrame(rows, "poly_id string, ring array<struct<x:double,y:double>>")
+    """Rings of parts and holes: the fixed shapes, one with a hole, and a plot for every customer."""
+    points = lambda ring: [{"x": x, "y": y} for x, y in ring]
+    rows = [(name, [points(ring)]) for name, ring in RINGS.items()] + [("shield", [points(r) for r in SHIELD])]
+    fixed = t.spark.createDataFrame(rows, "poly_id string, ring array<array<struct<x:double,y:double>>>")
+    at = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 10000).cast("double").alias("y"))
+    shape = lambda ring: F.array(*[F.struct(F.expr(x).alias("x"), F.expr(y).alias("y")) for x, y in ring])
+    rings = F.when(F.col("k") % 3 == 0, F.array(shape(_PLOT), shape(_POND))).otherwise(F.array(shape(_PLOT)))
+    return fixed.unionByName(at.select(F.concat(F.lit("plot "), F.col("k")).alias("poly_id"), rings.alias("ring")))
 
 
 def _edges_sql() -> str:
     rows = []
-    for name, ring in RINGS.items():
-        for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1])):
+    for name, rings in {**{n: [r] for n, r in RINGS.items()}, "shield": SHIELD}.items():
+        for i, (a, b) in enumerate(pair for ring in rings for pair in zip(ring, ring[1:] + ring[:1])):
             rows.append(f"('{name}', {i}, CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), "
                         f"CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))")
-    return "edges(poly_id, e, ax, ay, bx, by_) AS (VALUES " + ", ".join(rows) + ")"
+    parts = ["SELECT * FROM (VALUES " + ", ".join(rows) + ")"]
+    for ring, only in ((_PLOT, ""), (_POND, " WHERE k % 3 = 0")):
+        parts += [f"SELECT 'plot ' || k, {i}, {a[0]}, {a[1]}, {b[0]}, {b[1]} FROM plots{only}" for i, (a, b) in enumerate(zip(ring, ring[1:] + ring[:1]))]
+    return ("plots AS (SELECT c_custkey AS k, c_acctbal AS x, CAST(c_custkey * 37 % 10000 AS DOUBLE) AS y FROM customer), "
+            "edges(poly_id, e, ax, ay, bx, by_) AS (" + " UNION ALL ".join(parts) + ")")
 
 
 EDGES_SQL = _edges_sql()

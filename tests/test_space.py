@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reachworks.operators import rollup as U
 from reachworks.operators import spatial as K
@@ -135,3 +136,58 @@ def test_empty_watersheds_keep_their_area(spark, net):
     lens = {r.stream: r.length for r in K.line_length(sd.withColumnRenamed("line_id", "stream"), ["stream"]).collect()}
     assert got["big"].tot_length == pytest.approx(sum(lens.values()))
     assert got["big"].tot_cap == pytest.approx(2.0 * sum(v for v in lens.values() if v))
+
+
+def _crossings(poly, a, b):
+    """Sorted places where the whole line through a and b meets the rings, by the half-open side rule."""
+    d, out = b - a, []
+    side = lambda p: d[0] * (p[1] - a[1]) - d[1] * (p[0] - a[0])
+    for ring in poly:
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            p, q = np.array(p), np.array(q)
+            sp, sq = side(p), side(q)
+            if (sp >= 0) != (sq >= 0):
+                x = p + sp / (sp - sq) * (q - p)
+                out.append(float((x - a) @ d / (d @ d)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell", [3.0, 11.0, 500.0])
+def test_clip_by_cell_against_whole_rings(spark, cell):
+    """Stars of many vertices with a hole and an island in it, cut by long and short lines that pass many cells."""
+    rng = np.random.default_rng(12)
+    star = lambda n, r, x, y: [(x + r * (1 + 0.4 * (k % 2)) * np.cos(2 * np.pi * k / n), y + r * (1 + 0.4 * (k % 2)) * np.sin(2 * np.pi * k / n)) for k in range(n)]
+    shapes = {"one": [star(40, 20.0, 30.0, 30.0), star(14, 9.0, 30.0, 30.0)[::-1], star(8, 3.0, 30.0, 30.0)], "two": [star(300, 15.0, 60.0, 45.0)], "far": [star(5, 4.0, -20.0, 90.0)]}
+    ends = np.concatenate([rng.uniform(-10, 90, (60, 4)), (lambda p: np.hstack([p, p + rng.normal(scale=1.5, size=p.shape)]))(rng.uniform(10, 75, (60, 2)))])
+    segs = spark.createDataFrame([(i, 1, *map(float, e)) for i, e in enumerate(ends)] + [(500, 1, 5.0, 5.0, 5.0, 5.0)],
+                                 "line_id int, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    rows = [(n, [[(float(x), float(y)) for x, y in r] for r in rings]) for n, rings in shapes.items()]
+    table = spark.createDataFrame(rows, "poly_id string, ring array<array<struct<x:double,y:double>>>")
+    want, touched = {}, set()
+    for i, e in enumerate(ends):
+        for name, rings in shapes.items():
+            t = _crossings(rings, e[:2], e[2:])
+            spans = [(max(a, 0.0), min(b, 1.0)) for a, b in zip(t[::2], t[1::2]) if min(b, 1.0) > max(a, 0.0)]
+            if spans:
+                want[i, name] = spans
+            if spans or any(0 <= x <= 1 for x in t):
+                touched.add((i, name))
+    got = {}
+    for r in K.clip_segments(segs, table, cell=cell).orderBy("piece").collect():
+        e = ends[r.line_id]
+        place = lambda x, y: ((np.array([x, y]) - e[:2]) @ (e[2:] - e[:2])) / ((e[2:] - e[:2]) @ (e[2:] - e[:2]))
+        got.setdefault((r.line_id, r.poly_id), []).append((place(r.x1, r.y1), place(r.x2, r.y2)))
+    assert got.keys() == want.keys()
+    for k, spans in want.items():
+        assert np.array(got[k]) == pytest.approx(np.array(spans), abs=1e-9)
+    assert {(r.line_id, r.poly_id) for r in K.clip_reaches(segs, table, "line_id", cell=cell).collect()} == touched
+    twice = K.clip_segments(segs.unionByName(segs), table, cell=cell)
+    assert twice.count() == 2 * sum(map(len, want.values()))
+
+
+def test_a_cell_sees_its_own_edges_alone(spark):
+    """A ring of four thousand vertices leaves a few edges to each cell and none to covered ones."""
+    ring = [(100 * np.cos(2 * np.pi * k / 4000), 100 * np.sin(2 * np.pi * k / 4000)) for k in range(4000)]
+    table = spark.createDataFrame([("disc", [(float(x), float(y)) for x, y in ring])], "poly_id string, ring array<struct<x:double,y:double>>")
+    cells = K._polygon_cells(table, ["poly_id"], 10.0, "ring").select(F.size("__edges").alias("n"), "__odd").collect()
+    assert max(r.n for r in cells) < 120 and sum(r.n == 0 and r["__odd"] for r in cells) > 200
