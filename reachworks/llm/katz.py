@@ -32,8 +32,8 @@ from reachworks.session import freeze
 
 LEVEL = 5
 EPSILON = 1e-6
-CHUNK_BYTES = 4 << 20
-BUCKET_TOKENS = 600_000
+CHUNK_BYTES = 8 << 20
+BUCKET_TOKENS = 700_000
 ROW_ENTRIES = 100_000
 PAIR_BITS = 20  # of the counts in which pairs that could fill a bucket are looked for
 MASK_BITS = 26  # of the histories that are asked for
