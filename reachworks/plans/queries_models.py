@@ -14,6 +14,7 @@ from reachworks.operators import models as M
 from reachworks.operators import survey as G
 from reachworks.operators import validation as W
 from reachworks.operators.impute import impute_missing
+from reachworks.operators.terms import up_to
 from reachworks.plans import views as V
 from reachworks.plans.registry import query, r4
 from reachworks.session import freeze
@@ -199,31 +200,79 @@ def _passes(t):
         F.when(F.col("p_partkey") % 4 == 0, "pool").when(F.col("p_partkey") % 4 == 1, "riffle").when(F.col("p_partkey") % 4 == 2, "run").otherwise("side").alias("tier"))
 
 
+_PASSES_SQL = f"""{V.PASSES_SQL},
+catches AS (SELECT l_partkey, l_returnflag AS species, pass1, pass1 + pass2 AS total, p_size / 10.0 AS width, p_type AS crew,
+  CASE p_partkey % 4 WHEN 0 THEN 'pool' WHEN 1 THEN 'riffle' WHEN 2 THEN 'run' ELSE 'side' END AS tier FROM passes JOIN part ON l_partkey = p_partkey WHERE pass1 IS NOT NULL AND pass2 IS NOT NULL)"""
+
+
 @query("capture_prob_model")
 def _(t):
     d = _passes(t)
     train = A.centre(d.where("tier <> 'side'"), ["width", "dens"], d.where("tier <> 'side'"))
     score = A.centre(d.where("tier = 'side'"), ["width", "dens"], d.where("tier <> 'side'"))
-    out = M.capture_prob(train, score, "pass1", "total", "(species + width_center + dens_center)^2 + crew")
+    out = M.capture_prob(train, score, "pass1", "total", [*up_to(["species", "width_center", "dens_center"], 2), "crew"])
     return out.select("l_partkey", "species", "pass1", "p", "pSE", "N", "SE", "Nmethod")
 
 
+# Two factors and their product fit every cell exactly, so SQL knows each probability.
+@query("capture_prob_of_cells", f"""WITH {_PASSES_SQL}, c AS (SELECT species, crew, sum(pass1) AS c, sum(total) AS m FROM catches WHERE total > 0 AND pass1 BETWEEN 0 AND total AND tier <> 'side' GROUP BY 1, 2),
+p AS (SELECT species, crew, c / m AS p, sqrt(c / m * (1 - c / m) / m) AS se FROM c)
+SELECT l_partkey, s.species, round(pass1, 4) AS pass1, round(p, 5) AS p, round(se, 6) AS pse, round(coalesce(pass1 / p, CASE WHEN pass1 = 0 THEN 0 END), 2) AS n FROM catches s LEFT JOIN p ON p.species = s.species AND p.crew = s.crew""")
+def _(t):
+    d = _passes(t)
+    out = M.capture_prob(d.where("tier <> 'side'"), d, "pass1", "total", up_to(["species", "crew"], 2))
+    return out.select("l_partkey", "species", r4("pass1"), F.round("p", 5).alias("p"), F.round("pSE", 6).alias("pse"), F.round("N", 2).alias("n"))
+
+
 @query("snorkel_calibration")
 def _(t):
     d = _passes(t)
-    return M.calibrate(d.where("tier <> 'side'"), d, "species", "tier", "pass1", "total", "tier + crew + pass1", "crew").select(
+    return M.calibrate(d.where("tier <> 'side'"), d, "species", "tier", "pass1", "total", "tier + crew + pass1", "crew", average=0.95).select(
         "l_partkey", "species", "tier", "pass1", "phat", "phat_se", "Nhat", "Nhat_se", "route")
 
 
-@query("model_average")
+# Two terms and their product, each model solved in closed form: Cramer's rule on centred sums.
+_OLS = """m AS (SELECT CAST(total AS DOUBLE) AS y, CAST(pass1 AS DOUBLE) AS a, width AS b, pass1 * width AS c FROM catches WHERE width IS NOT NULL),
+mu AS (SELECT count(*) AS n, avg(y) AS y_, avg(a) AS a_, avg(b) AS b_, avg(c) AS c_ FROM m),
+s AS (SELECT any_value(n) AS n, sum((y - y_) * (y - y_)) AS yy, sum((a - a_) * (a - a_)) AS aa, sum((b - b_) * (b - b_)) AS bb, sum((c - c_) * (c - c_)) AS cc, sum((a - a_) * (b - b_)) AS ab,
+  sum((a - a_) * (c - c_)) AS ac, sum((b - b_) * (c - c_)) AS bc, sum((a - a_) * (y - y_)) AS ay, sum((b - b_) * (y - y_)) AS by_, sum((c - c_) * (y - y_)) AS cy FROM m, mu),
+d AS (SELECT *, aa * bb - ab * ab AS d2, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS d3 FROM s),
+fits AS (SELECT 'pass1' AS model, n, 3 AS df, yy - ay * ay / aa AS rss, ay / aa AS ca, CAST(NULL AS DOUBLE) AS cb, CAST(NULL AS DOUBLE) AS cc_, 1 / aa AS va FROM d
+  UNION ALL SELECT 'pass1+width', n, 4, yy - (ay * (ay * bb - by_ * ab) + by_ * (by_ * aa - ay * ab)) / d2, (ay * bb - by_ * ab) / d2, (by_ * aa - ay * ab) / d2, NULL, bb / d2 FROM d
+  UNION ALL SELECT 'pass1+width+pass1:width', n, 5, yy - ay * x - by_ * z - cy * w, x, z, w, (bb * cc - bc * bc) / d3 FROM (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / d3 AS x,
+    (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / d3 AS z, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / d3 AS w FROM d)),
+ll AS (SELECT *, -0.5 * n * (ln(2 * pi()) + ln(rss / n) + 1) AS loglik, va * rss / (n - df + 1) AS v FROM fits),
+ic AS (SELECT *, -2 * loglik + 2 * df + 2.0 * df * (df + 1) / (n - df - 1) AS aicc FROM ll),
+w AS (SELECT *, aicc - min(aicc) OVER () AS delta, exp(-0.5 * (aicc - min(aicc) OVER ())) / sum(exp(-0.5 * aicc + 0.5 * best)) OVER () AS weight FROM ic, (SELECT min(aicc) AS best FROM ic))"""
+
+
+@query("model_average", f"""WITH {_PASSES_SQL}, {_OLS}
+SELECT model, df, round(loglik, 3) AS loglik, round(delta, 3) AS delta, round(weight, 5) AS weight, round(ca, 6) AS pass1, round(sqrt(v), 6) AS pass1_se, round(cb, 5) AS width, round(cc_, 6) AS product FROM w""")
+def _(t):
+    m = M.dredge(_passes(t), "total", ["pass1", "width", "pass1:width"], fixed=["pass1"])
+    return m.select("model", "df", F.round("loglik", 3).alias("loglik"), F.round("delta", 3).alias("delta"), F.round("weight", 5).alias("weight"), F.round(F.col("coef")["pass1"], 6).alias("pass1"),
+                    F.round(F.sqrt(F.col("var")["pass1"]), 6).alias("pass1_se"), F.round(F.col("coef")["width"], 5).alias("width"), F.round(F.col("coef")["pass1:width"], 6).alias("product"))
+
+
+@query("model_average_terms")
 def _(t):
-    m = M.dredge(_passes(t), "total", ["pass1", "width", "dens"], fixed=["pass1"])
-    return A.cumulative_cut(m, "weight", 0.95, ["model"])
+    return M.averaged(M.dredge(_passes(t), "total", [*up_to(["pass1", "width", "tier"], 2), "crew"], fixed=["pass1"]), 0.95)
 
 
-@query("model_average_binomial")
+# A saturated factor: every level's share is its own estimate, so likelihoods and variances are sums.
+@query("model_average_binomial", f"""WITH {_PASSES_SQL},
+d AS (SELECT tier, CAST(pass1 AS DOUBLE) AS c, CAST(total AS DOUBLE) AS m FROM catches WHERE total > 0 AND pass1 BETWEEN 0 AND total),
+t AS (SELECT tier, sum(c) AS c, sum(m) AS m FROM d GROUP BY 1), g AS (SELECT count(*) AS n, sum(lgamma(m + 1) - lgamma(c + 1) - lgamma(m - c + 1)) AS k FROM d), o AS (SELECT sum(c) AS c, sum(m) AS m, count(*) AS levels FROM t),
+ll AS (SELECT n, levels, k + o.c * ln(o.c / o.m) + (o.m - o.c) * ln(1 - o.c / o.m) AS l0, k + (SELECT sum(c * ln(c / m) + (m - c) * ln(1 - c / m)) FROM t) AS l1 FROM g, o),
+ic AS (SELECT -2 * l0 + 2 + 4.0 / (n - 2) AS a0, -2 * l1 + 2 * levels + 2.0 * levels * (levels + 1) / (n - levels - 1) AS a1 FROM ll),
+w AS (SELECT 1 / (1 + exp(-0.5 * (a0 - a1))) AS w1, 1 - 1 / (1 + exp(-0.5 * (a0 - a1))) AS w0 FROM ic),
+b AS (SELECT ln(c / (m - c)) AS i, 1 / c + 1 / (m - c) AS v FROM t WHERE tier = (SELECT min(tier) FROM t)),
+e AS (SELECT '(Intercept)' AS term, w0 * ln(o.c / (o.m - o.c)) + w1 * b.i AS estimate, w0, w1, ln(o.c / (o.m - o.c)) AS e0, b.i AS e1, 1 / o.c + 1 / (o.m - o.c) AS v0, b.v AS v1 FROM o, b, w
+  UNION ALL SELECT 'tier' || tier, w1 * (ln(t.c / (t.m - t.c)) - b.i), w0, w1, 0, ln(t.c / (t.m - t.c)) - b.i, 0, 1 / t.c + 1 / (t.m - t.c) + b.v FROM t, b, w WHERE tier <> (SELECT min(tier) FROM t))
+SELECT term, round(estimate, 5) AS estimate, round(sqrt(w0 * (v0 + pow(e0 - estimate, 2)) + w1 * (v1 + pow(e1 - estimate, 2))), 5) AS se FROM e""")
 def _(t):
-    return M.averaged(M.dredge(_passes(t), "pass1", ["width", "dens", "crew"], family="binomial", trials="total"))
+    out = M.averaged(M.dredge(_passes(t), "pass1", ["tier"], family="binomial", trials="total"))
+    return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
 
 
 # ---- functions of a group ------------------------------------------------------------

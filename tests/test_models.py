@@ -9,6 +9,7 @@ from reachworks.operators import forest as Q
 from reachworks.operators import impute as I
 from reachworks.operators import models as M
 from reachworks.operators import survey as G
+from reachworks.operators import terms as T
 from reachworks.operators import validation as W
 from reachworks.operators.survey import levels
 
@@ -191,6 +192,65 @@ def test_all_subsets(cov):
     assert avg["x1"] == pytest.approx(0.5, abs=0.06) and avg["x2"] == pytest.approx(-0.2, abs=0.06)
 
 
+def test_terms_and_margins(spark):
+    assert T.terms_of("b + a:b + a + b:a") == [("b",), ("a",), ("a", "b")] and T.up_to(["a", "b", "c"], 2) == ["a", "b", "c", "a:b", "a:c", "b:c"]
+    names = {"+".join(map(T.label, m)) for m in T.sub_models(T.terms_of(T.up_to(["a", "b"], 2)))}
+    assert names == {"", "a", "b", "a+b", "a+b+a:b"}
+    d = spark.createDataFrame([(1.0, "u", "p"), (2.0, "v", "q"), (None, "w", "p"), (3.0, None, "q")], "x double, f string, g string")
+    plan = T.design(d, T.up_to(["x", "f", "g"], 2))
+    assert plan.names() == ["(Intercept)", "x", "fv", "fw", "gq", "x:fv", "x:fw", "x:gq", "fv:gq", "fw:gq"]
+    got = [r.x for r in d.unionByName(spark.createDataFrame([(1.0, "new", "p")], d.schema)).select(plan.row().alias("x")).collect()]
+    assert got == [[1, 1, 0, 0, 0, 0, 0, 0, 0, 0], [1, 2, 1, 0, 1, 2, 0, 2, 1, 0], None, None, None]
+
+
+def test_interactions_against_least_squares(spark):
+    rng = np.random.default_rng(8)
+    rows = [(float(x) + 1e4, str(f), float(y)) for x, f, y in zip(rng.normal(size=90), rng.choice(["a", "b", "c"], 90), rng.normal(size=90))]
+    rows = [(x, f, y + 0.5 * (x - 1e4) * (f == "b")) for x, f, y in rows]
+    d = spark.createDataFrame(rows, "x double, f string, y double")
+    fits = {m.name: m for m in M.fit_models(d, "y", T.up_to(["x", "f"], 2))}
+    assert set(fits) == {"1", "x", "f", "x+f", "x+f+x:f"}
+    dummy = np.array([[f == "b", f == "c"] for _, f, _ in rows], float)
+    x, y = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    design = np.column_stack([np.ones(90), x - 1e4, dummy, dummy * (x - 1e4)[:, None]])
+    inv = np.linalg.inv(design.T @ design)
+    b = inv @ design.T @ y
+    rss = ((y - design @ b) ** 2).sum()
+    got = fits["x+f+x:f"]
+    assert got.coef[[1, 4, 5]] == pytest.approx(b[[1, 4, 5]], rel=1e-4) and got.parameters == 7
+    assert np.sqrt(np.diag(got.cov))[[1, 4, 5]] == pytest.approx(np.sqrt(np.diag(inv) * rss / 84)[[1, 4, 5]], rel=1e-4)
+    assert got.loglik == pytest.approx(-45 * (np.log(2 * np.pi * rss / 90) + 1), rel=1e-6)
+
+
+def test_predictions_keep_every_row(spark):
+    rng = np.random.default_rng(9)
+    train = spark.createDataFrame([(i, float(rng.normal()), "ab"[i % 2], "t" if i % 3 else "u", 20.0, float(rng.integers(4, 16)), "S") for i in range(60)],
+                                  "id int, x double, crew string, unit string, n double, c double, sp string")
+    score = spark.createDataFrame([(1, 0.1, "a", "t", None, 5.0, "S"), (2, None, "a", "t", None, 5.0, "S"), (3, 0.1, "z", "t", None, 5.0, "S"), (4, 0.1, None, "t", None, 5.0, "S"),
+                                   (5, 0.1, "b", "new", None, 5.0, "S"), (6, 0.1, "z", "new", None, 5.0, "S"), (7, 0.1, "b", None, None, 5.0, "S")], train.schema)
+    p = {r.id: r.p for r in M.capture_prob(train, score, "c", "n", "x + crew").collect()}
+    assert len(p) == 7 and {k for k, v in p.items() if v is not None} == {1, 5, 7}
+    for share in (None, 0.95):
+        got = {r.id: (r.route, r.Nhat, r.Nhat_se) for r in M.calibrate(train, score, "sp", "unit", "c", "n", "x + crew", "crew", average=share).collect()}
+        assert len(got) == 7 and got[1][0] == "binomial" and got[5][0] == got[7][0] == got[6][0] == "linear"
+        assert all(got[i][1] is not None and got[i][2] > 0 for i in (1, 5, 7)) and got[6][1] is None
+    assert {got[i][1] for i in (2, 3, 4)} == {None} or share
+
+
+def test_averaged_errors_and_confidence_set(spark):
+    rng = np.random.default_rng(10)
+    d = spark.createDataFrame([(float(a), float(b), float(a + rng.normal())) for a, b in rng.normal(size=(80, 2))], "a double, b double, y double")
+    fits = M.fit_models(d, "y", ["a", "b"])
+    kept = M.confidence_set(fits, 0.95)
+    assert sum(w for _, w in kept) == pytest.approx(1) and all("a" in f.name for f, _ in kept) and M.confidence_set(fits, 0.0)[0][1] == 1
+    table = M.model_table(d, fits)
+    got = {r.term: r for r in M.averaged(table).collect()}
+    rows = table.collect()
+    mean = sum(r.weight * r.coef.get("b", 0.0) for r in rows)
+    assert got["b"].estimate == pytest.approx(mean)
+    assert got["b"].se == pytest.approx(np.sqrt(sum(r.weight * (r["var"].get("b", 0.0) + (r.coef.get("b", 0.0) - mean) ** 2) for r in rows)))
+
+
 def _curve(form, a, b, s):
     return {"BevertonHolt": s / (a + b * s), "Ricker": a * s * np.exp(-b * s), "Hockey": b * (1 - np.exp(-a / b * s))}[form]
 
