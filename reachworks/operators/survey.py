@@ -260,15 +260,52 @@ def fold_of(key: str | Column, k: int, seed: int = 8) -> Column:
 
 
 def kfold(df: DataFrame, k: int, key: str, seed: int = 8) -> DataFrame:
-    """Every row once per fold, marked train or test."""
-    out = df.withColumn("__own", fold_of(key, k, seed)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return out.withColumn("part", F.when(F.col("__own") == F.col("fold"), "test").otherwise("train")).drop("__own")
+    """Every row with the one fold that tests it; it trains all others."""
+    return df.withColumn("fold", fold_of(key, k, seed))
 
 
-def leave_one_group_out(df: DataFrame, group: str, levels_: Sequence) -> DataFrame:
+def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """One fold per group: its rows test, all others train."""
-    out = df.withColumn("fold", F.explode(F.array(*[F.lit(v) for v in levels_])))
-    return out.withColumn("part", F.when(F.col(group) == F.col("fold"), "test").otherwise("train"))
+    return df.withColumn("fold", F.col(group))
+
+
+def fold_moments(folded: DataFrame, aggs: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, fold, test_*, train_*): sums over each fold's rows and over all rows but its own.
+
+    Training sums are the total less the fold's own, so no row is read or sent for more than its own fold.
+    """
+    own = folded.where(F.col("fold").isNotNull()).groupBy(*by, "fold").agg(*[c.alias(f"test_{n}") for n, c in aggs.items()])
+    total = own.groupBy(*by).agg(*[F.sum(f"test_{n}").alias(f"__{n}") for n in aggs])
+    both = natural_join(own, total, "inner", by) if by else own.crossJoin(total)  # a single row
+    return both.withColumns({f"train_{n}": F.col(f"__{n}") - F.col(f"test_{n}") for n in aggs}).drop(*[f"__{n}" for n in aggs])
+
+
+def fold_models(folded: DataFrame, y: str, x: Column, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fold, n_train, coef): least squares on the training rows of every fold, all from one pass.
+
+    ``x`` is a model row of ``k`` columns as an array; rows with a gap are left out.  Columns are
+    centred on their mean over all rows first, so that subtracting sums loses no digits.
+    """
+    rows = folded.select(*by, "fold", F.concat(x, F.array(F.col(y).cast("double"))).alias("__v")).where("__v is not null").where(
+        ~F.exists("__v", lambda v: v.isNull()))
+    mean = rows.agg(F.array(*[F.avg(F.col("__v")[i]) for i in range(k + 1)]).alias("m")).first()["m"] or [0.0] * (k + 1)
+    # A column that never changes is the intercept and stays as it is.
+    flat = rows.agg(F.array(*[F.max(F.col("__v")[i]) == F.min(F.col("__v")[i]) for i in range(k + 1)]).alias("c")).first()["c"]
+    shift = [0.0 if c or v is None else float(v) for v, c in zip(mean, flat)]
+    at = [F.col("__v")[i] - F.lit(shift[i]) for i in range(k + 1)]
+    sums = {"n": F.count(F.lit(1))} | {f"s{i}_{j}": F.sum(at[i] * at[j]) for i, j in _upper(k + 1)}
+    per = fold_moments(rows, sums, by)
+    xtx, xty = F.array(*[F.col(f"train_s{i}_{j}") for i, j in _upper(k)]), F.array(*[F.col(f"train_s{i}_{k}") for i in range(k)])
+    solved = per.select(*by, "fold", F.col("train_n").alias("n_train"), _solve(xtx, xty)["coef"].alias("__c"))
+    base = next((i for i in range(k) if flat[i]), None) if flat else None
+    if base is None:
+        return solved.select(*by, "fold", "n_train", F.col("__c").alias("coef"))
+    # Slopes are as fitted; the intercept goes back to uncentred columns.
+    back = F.lit(shift[k])
+    for i in range(k):
+        back = back - F.col("__c")[i] * F.lit(shift[i])
+    unit = float(mean[base])
+    return solved.select(*by, "fold", "n_train", F.array(*[F.col("__c")[i] + back / F.lit(unit) if i == base else F.col("__c")[i] for i in range(k)]).alias("coef"))
 
 
 def cv_stats(preds: DataFrame, keys: Sequence[str], fold: str, obs: str, pred: str, se: str) -> DataFrame:

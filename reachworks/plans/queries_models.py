@@ -182,7 +182,7 @@ def _(t):
 
 @query("impute_missing_pmm")
 def _(t):
-    return impute_missing(_gappy(t), ["qty", "price", "ratio"], "l_partkey", max_missing=2, method="pmm", draws=5)
+    return impute_missing(_gappy(t), ["qty", "price", "ratio", "kind"], "l_partkey", max_missing=2, method="pmm", draws=5)
 
 
 @query("impute_missing_forest")

@@ -123,7 +123,13 @@ def _(t):
     return K.largest_overlap(V.segments(t), V.polygons(t), "line_id").withColumn("length", F.round("length", 4))
 
 
-@query("group_hull")
+# A point is a corner iff the others leave a gap of more than half a turn around it; corners are then ordered by their direction from the first.
+@query("group_hull", f"""WITH {V.POINTS_SQL}, p AS (SELECT DISTINCT c_nationkey, x, y FROM points),
+a AS (SELECT p.c_nationkey, p.x, p.y, atan2(o.y - p.y, o.x - p.x) AS d FROM p JOIN p o ON o.c_nationkey = p.c_nationkey AND (o.x <> p.x OR o.y <> p.y)),
+g AS (SELECT *, coalesce(lead(d) OVER w, min(d) OVER (PARTITION BY c_nationkey, x, y) + 2 * pi()) - d AS gap FROM a WINDOW w AS (PARTITION BY c_nationkey, x, y ORDER BY d)),
+v AS (SELECT c_nationkey, x, y FROM g GROUP BY 1, 2, 3 HAVING max(gap) > pi() + 1e-12),
+f AS (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM v WINDOW w AS (PARTITION BY c_nationkey ORDER BY x, y))
+SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN x = fx AND y = fy THEN -10 ELSE atan2(y - fy, x - fx) END) AS INTEGER) AS seq, x, y FROM f""")
 def _(t):
     return K.convex_hull(V.points(t), "c_nationkey")
 
@@ -190,13 +196,14 @@ def _(t):
 
 
 @query("watershed_cap_reaches", f"""WITH {V.REACHES_SQL},
-d AS (SELECT * FROM reaches WHERE in_domain)
+d AS (SELECT * REPLACE (CASE WHEN reach_id % 13 <> 0 THEN cap END AS cap) FROM reaches WHERE in_domain)
 SELECT watershed, stream, 0 AS is_total, count(DISTINCT reach_id) AS n_rchs, round(sum(length), 4) AS tot_length, round(sum(length * cap), 6) AS tot_cap,
-  round(sqrt(sum(pow(length * se, 2))), 4) AS tot_cap_se FROM d GROUP BY 1, 2
-UNION ALL SELECT watershed, 'Total', 1, count(DISTINCT reach_id), round(sum(length), 4), round(sum(length * cap), 6), round(sqrt(sum(pow(length * se, 2))), 4) FROM d GROUP BY 1""")
+  round(sqrt(sum(pow(length * se, 2))), 4) AS tot_cap_se, count(DISTINCT CASE WHEN cap IS NULL THEN reach_id END) AS n_unknown FROM d GROUP BY 1, 2
+UNION ALL SELECT watershed, 'Total', 1, count(DISTINCT reach_id), round(sum(length), 4), round(sum(length * cap), 6), round(sqrt(sum(pow(length * se, 2))), 4), count(DISTINCT CASE WHEN cap IS NULL THEN reach_id END) FROM d GROUP BY 1""")
 def _(t):
-    w = U.watershed_cap_reaches(V.reaches(t), ["watershed"], "stream")
-    return w.select("watershed", "stream", "is_total", "n_rchs", r4("tot_length"), F.round("tot_cap", 6).alias("tot_cap"), r4("tot_cap_se")).orderBy(
+    reaches = V.reaches(t).withColumn("cap", F.when(F.col("reach_id") % 13 != 0, F.col("cap")))
+    w = U.watershed_cap_reaches(reaches, ["watershed"], "stream")
+    return w.select("watershed", "stream", "is_total", "n_rchs", r4("tot_length"), F.round("tot_cap", 6).alias("tot_cap"), r4("tot_cap_se"), "n_unknown").orderBy(
         "watershed", "is_total", "stream")
 
 

@@ -378,19 +378,36 @@ def _(t):
 _FOLD = "CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '-8'), 1, 8) AS BIGINT) % 10 AS INTEGER)"
 
 
+def _both_parts(m, *keys):
+    """One row for the test and one for the training rows of a fold."""
+    part = lambda name: F.struct(F.lit(name).alias("part"), F.col(f"{name}_n").alias("n"), F.round(F.col(f"{name}_p") / F.col(f"{name}_n"), 4).alias("mean_price"))
+    return m.select(*keys, F.inline(F.array(part("test"), part("train")))).where("n > 0")
+
+
+def _price(t):
+    return {"n": A.n_rows(), "p": F.sum("o_totalprice")}
+
+
 @query("kfold_split", f"""WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, {_FOLD} AS own FROM orders)
 SELECT o_orderstatus, CAST(f AS INTEGER) AS fold, CASE WHEN own = f THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM o, range(0, 10) r(f) GROUP BY 1, 2, 3""")
 def _(t):
-    k = G.kfold(t.orders, 10, "o_orderkey")
-    return k.groupBy("o_orderstatus", "fold", "part").agg(A.n_rows().alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return _both_parts(G.fold_moments(G.kfold(t.orders, 10, "o_orderkey"), _price(t), ["o_orderstatus"]), "o_orderstatus", "fold")
 
 
 @query("leave_group_out", """
 SELECT f.p AS fold, CASE WHEN o_orderpriority = f.p THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price
 FROM orders, (SELECT DISTINCT o_orderpriority AS p FROM orders) f GROUP BY 1, 2""")
 def _(t):
-    k = G.leave_one_group_out(t.orders, "o_orderpriority", G.levels(t.orders, "o_orderpriority"))
-    return k.groupBy("fold", "part").agg(A.n_rows().alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return _both_parts(G.fold_moments(G.leave_one_group_out(t.orders, "o_orderpriority"), _price(t)), "fold")
+
+
+@query("fold_models", f"""WITH o AS (SELECT o_orderstatus, ln(o_totalprice) AS y, c_acctbal / 1000 AS x, {_FOLD} AS own FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderstatus, CAST(f AS INTEGER) AS fold, count(*) AS n_train, round(regr_intercept(y, x), 6) AS intercept, round(regr_slope(y, x), 6) AS slope FROM o, range(0, 10) r(f) WHERE own <> f GROUP BY 1, 2""")
+def _(t):
+    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", F.ln("o_totalprice").alias("y"), (F.col("c_acctbal") / 1000).alias("x"))
+    x, names = G.design_array(["x"], {}, intercept=True)
+    m = G.fold_models(G.kfold(d, 10, "o_orderkey"), "y", x, len(names), ["o_orderstatus"])
+    return m.select("o_orderstatus", "fold", "n_train", F.round(F.col("coef")[0], 6).alias("intercept"), F.round(F.col("coef")[1], 6).alias("slope"))
 
 
 @query("cv_stats", f"""

@@ -150,8 +150,29 @@ def test_weighted_least_squares_with_factor(cov):
 
 def test_fold_is_stable_and_covers(cov):
     k = G.kfold(cov, 5, "id")
-    assert k.count() == 2000 and k.where("part = 'test'").count() == 400
-    assert sorted(map(tuple, k.select("id", "fold", "part").collect())) == sorted(map(tuple, G.kfold(cov.repartition(3), 5, "id").select("id", "fold", "part").collect()))
+    assert k.count() == 400 and {r.fold for r in k.select("fold").distinct().collect()} == set(range(5))
+    assert sorted(map(tuple, k.select("id", "fold").collect())) == sorted(map(tuple, G.kfold(cov.repartition(3), 5, "id").select("id", "fold").collect()))
+
+
+def test_training_moments_are_the_rest(cov):
+    rows = G.kfold(cov, 4, "id").withColumn("z", F.col("x1") + 1e6)
+    got = {r.fold: r for r in G.fold_models(rows, "y", F.array(F.lit(1.0), F.col("z"), F.col("x2")), 3).collect()}
+    pdf = rows.toPandas()
+    for fold in range(4):
+        t = pdf[pdf.fold != fold]
+        want = np.linalg.lstsq(np.column_stack([np.ones(len(t)), t.z - 1e6, t.x2]), t.y, rcond=None)[0]
+        assert got[fold].n_train == len(t) and got[fold].coef[1:] == pytest.approx(want[1:].tolist(), rel=1e-6)
+        assert got[fold].coef[0] + 1e6 * got[fold].coef[1] == pytest.approx(want[0], rel=1e-5)
+    groups = {r.fold: r for r in G.fold_moments(G.leave_one_group_out(cov, "h"), {"n": F.count(F.lit(1))}).collect()}
+    assert len(groups) == 9 and all(r.test_n + r.train_n == 400 for r in groups.values())
+
+
+def test_matching_fills_categories(spark):
+    rows = [(i, float(i), "low" if i < 50 else "high") for i in range(100)]
+    d = spark.createDataFrame([(i, x, None if i % 10 == 3 else t) for i, x, t in rows], "id int, x double, t string")
+    got = {r.id: r.t for r in I.impute_missing(d, ["x", "t"], "id", max_missing=2, method="pmm", draws=4).collect()}
+    assert len(got) == 100 and {i: got[i] for i in range(3, 100, 10)} == {i: ("low" if i < 50 else "high") for i in range(3, 100, 10)}
+    assert I.impute_missing(d.where("t is null"), ["x", "t"], "id", max_missing=2, method="pmm", draws=2).where("t is not null").count() == 0
 
 
 def _gaps(cov):
