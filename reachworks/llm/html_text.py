@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,7 +46,8 @@ ASIDE = re.compile(
 # Words about the layout around an article, or its own head, that say nothing of the element they stand on.
 LAYOUT = re.compile(r"(?:has|with|no|without)-[a-z]+|(?:article|entry|post|content|story|section)-header", re.I)
 
-_TAG = re.compile(r"""<!--|<([!?])|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>""")
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:_-]*))")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
@@ -78,11 +80,49 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), aside
 
 
+class Tags:
+    """Tags of a page in order. What is looked for and not found before the end is not looked for again, so a page is
+    passed once however broken it is."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quoted, self.unclosed = page, page.rfind(">"), True, set()
+
+    def end(self, at: int) -> int:
+        """Where a tag's attributes that begin here end: at the first ">" outside quotes; -1 if there is none at all."""
+        if at > self.last:
+            return -1
+        start = at
+        while self.quoted:
+            stop = _QUOTE_OR_END.search(self.page, at)
+            if stop is None:
+                break
+            if stop[0] == ">":
+                return stop.start()
+            close = self.page.find(stop[0], stop.end())
+            if close < 0:
+                break
+            at = close + 1
+        # A quote stays open to the end of the page: from here on quotes count for nothing.
+        self.quoted = False
+        return self.page.find(">", start)
+
+    def closing(self, tag: str, at: int) -> int:
+        """Behind the closing tag of a raw element; -1 if there is none."""
+        if tag in self.unclosed:
+            return -1
+        found = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(self.page, at)
+        if found is None:
+            self.unclosed.add(tag)
+            return -1
+        close = self.page.find(">", found.start())
+        return len(self.page) if close < 0 else close + 1
+
+
 def blocks(page: str) -> list[BlockText]:
     """Text blocks of a page in order, with their tag paths; comments, scripts and the like are left out."""
     out: list[BlockText] = []
     stack: list[tuple[str, str, bool]] = []  # tag, path step, beside the article
-    links, open_block, at = 0, None, 0
+    links, open_block, at, tags, depth = 0, None, 0, Tags(page), Counter()
 
     def add(text: str) -> None:
         nonlocal open_block
@@ -99,21 +139,27 @@ def blocks(page: str) -> list[BlockText]:
 
     n = len(page)
     while at < n:
-        match = _TAG.search(page, at)
+        match = _OPEN.search(page, at)
         if match is None:
             add(page[at:])
             break
+        stop = tags.end(match.end()) if match[2] else 0
+        if stop < 0:
+            # No tag closes from here on.
+            add(page[at:match.end()])
+            at = match.end()
+            continue
         add(page[at:match.start()])
         at = match.end()
         if match[0] == "<!--":
             end = page.find("-->", at)
             at = n if end < 0 else end + 3
             continue
-        if match[1]:
+        if not match[2]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             continue
-        closing, tag, attributes = (match[2], match[3].lower(), match[4]) if match[3] else (match[5], match[6].lower(), match[7])
+        closing, tag, attributes, at = match[1], match[2].lower(), page[at:stop], stop + 1
         if tag in INLINE:
             if tag == "a":
                 links = max(0, links - 1) if closing else links + 1
@@ -123,28 +169,29 @@ def blocks(page: str) -> list[BlockText]:
                 open_block.parts.append(" ")
             continue
         if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            if end is None and tag in ("script", "style"):
+            end = tags.closing(tag, at)
+            if end < 0 and tag in ("script", "style"):
                 break
-            if end is not None:
-                close = page.find(">", end.start())
-                at = n if close < 0 else close + 1
+            at = max(at, end)
             continue
         if tag in VOID:
             open_block = None if tag == "hr" else open_block
             continue
         open_block = None
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if depth[tag]:
+                while True:
+                    name = stack.pop()[0]
+                    depth[name] -= 1
+                    if name == tag:
+                        break
             links = 0
             continue
         if tag not in RAW:
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name == "p" or name in ENDS and tag in (ENDS[name] or ()):
+                    depth.subtract(s for s, _, _ in stack[k:])
                     del stack[k:]
                     break
                 if tag in SCOPES and name in SCOPES[tag] or name not in ENDS:
@@ -155,6 +202,7 @@ def blocks(page: str) -> list[BlockText]:
             if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
                 aside = True
             stack.append((tag, step, aside))
+            depth[tag] += 1
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
     return [b for b in out if b.text]

@@ -31,9 +31,10 @@ ENDINGS = {"latin": ["ll", "n", "r", "s", "th", "ck", "nd", "m"], "cyrillic": ["
 
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=lambda t: (-len(t), t))) + ")"
 # Kind -> pattern; an earlier kind wins where two begin at the same place. Each first asks for the character that it
-# begins with, so that most places of a text are passed at once.
+# begins with, so that most places of a text are passed at once. Every repeat of a group is bounded, an address as mail
+# itself bounds it: Java's expressions go one call deeper with each.
 PATTERNS = {
-    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": r"(?=[A-Z][A-Z][0-9])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?=[0-9])(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?=[0-9])(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])",
