@@ -212,7 +212,9 @@ def main_text(page: str | None) -> str:
     """The article's blocks, one a line; '' for null or empty pages and pages with nothing but what is beside an article."""
     if not page:
         return ""
-    found = [b for b in blocks(page) if not b.aside]
+    every = blocks(page)
+    # Where names alone would leave nothing, they are not believed: the ratios decide over all but the elements that stand aside.
+    found = [b for b in every if not b.aside] or [b for b in every if not any(step.split(".")[0] in OUTSIDE for step in b.path)]
     if not found:
         return ""
     length: dict[tuple, int] = {}

@@ -39,3 +39,10 @@ def test_quotes_hold_brackets_and_broken_ones_do_not():
     assert texts('<p title="a > b">one</p><p>two</p>') == ["one", "two"]
     assert texts('<p title="a>one</p><p>two</p>') == ["one", "two"]
     assert texts("1 < 2 and <b") == ["1 < 2 and <b"] and texts("<svg><p>x</p>") == ["x"]
+
+
+@pytest.mark.parametrize("name", ["post category-legal", "response", "comment-free"])
+def test_names_do_not_empty_a_page(name):
+    body = "".join(f"<p>{' '.join(['Sentences of the article go on, and on.'] * 6)} {k}</p>" for k in range(5))
+    assert html_text.main_text(f'<html><body><div class="{name}">{body}</div></body></html>').count("\n") == 4
+    assert html_text.main_text('<nav><a href="x">Home</a></nav><div class="menu"><a href="y">Contact</a></div>') == ""
