@@ -15,6 +15,9 @@ from reachworks.operators.joins import natural_join, with_group_stats
 from reachworks.operators.ordered import group_sizes, running
 from reachworks.session import freeze
 
+# Second-axis bins of all sizes that a task keeps rather than works out anew for every first-axis size.
+KEPT_BINS = 20_000_000
+
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Long (x, y, xv, yv), pairwise complete: pairs of columns, not pairs of rows."""
@@ -28,21 +31,61 @@ def _cells(long: DataFrame) -> DataFrame:
     return freeze(long.groupBy("x", "y", "xv", "yv").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _spearman(long: DataFrame) -> DataFrame:
-    cells = _cells(long)
-    per_x = cells.groupBy("x", "y", "xv").agg(F.sum("n").alias("__n"))
-    per_y = cells.groupBy("x", "y", "yv").agg(F.sum("n").alias("__n"))
+def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Correlations of mean ranks over the rows where both are known.
+
+    A column's ranks depend on its partner only through the rows where that is missing, so a column is ranked once for
+    all complete partners and once for each incomplete one, never once a pair.  The ranks of a row then meet again and
+    are multiplied in blocks.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    data = freeze(df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)]).withColumn("__row", F.monotonically_increasing_id()))
+    rows, *known = data.agg(F.count(F.lit(1)), *[F.count(f"c{k}") for k in range(len(cols))]).first()
+    gaps = {k for k in range(len(cols)) if known[k] < rows}
+    place = {c: k for k, c in enumerate(cols)}
+    # (column, incomplete partner or none), numbered; a column alone knows of its own gaps.
+    ask = lambda a, b: (a, b if b in gaps else -1)
+    sides = [(ask(place[a], place[b]), ask(place[b], place[a])) for a, b in pairs]
+    number = {key: i for i, key in enumerate(dict.fromkeys(k for side in sides for k in side))}
+    left, right = (np.array([number[s[i]] for s in sides], dtype=np.int64) for i in (0, 1))
+    value = lambda a, b: F.col(f"c{a}") if b < 0 else F.when(F.col(f"c{b}").isNotNull(), F.col(f"c{a}"))
+    long = data.select("__row", F.inline(F.array(*[F.struct(F.lit(i).alias("s"), value(*key).alias("v")) for key, i in number.items()]))).where("v is not null")
+    counts = freeze(long.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")))
+    ran = running(counts, ["s"], ["v"], {"__cum": ("sum", F.col("n"))})
+    middle = counts.groupBy("s").agg(((F.sum("n") + 1) / 2.0).alias("mid"))
+    ranks = ran.join(middle, "s").select(F.col("s").alias("__s"), F.col("v").alias("__v"), (F.col("__cum") - (F.col("n") - 1) / 2.0 - F.col("mid")).alias("r"))
+    ranked = long.join(ranks, (F.col("s") == F.col("__s")) & (F.col("v") == F.col("__v"))).groupBy("__row").agg(F.collect_list("s").alias("s"), F.collect_list("r").alias("r"))
+    width = len(number)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(left)))
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at:at + 512]
+                x = np.full((len(part), width), np.nan)
+                for i, (s, r) in enumerate(zip(part["s"], part["r"])):
+                    x[i, s] = r
+                a, b = x[:, left], x[:, right]
+                ok = ~(np.isnan(a) | np.isnan(b))
+                a, b = np.where(ok, a, 0.0), np.where(ok, b, 0.0)
+                for t, m in zip(total, (ok, a, b, a * a, b * b, a * b)):
+                    t += m.sum(axis=0)
+        yield pd.DataFrame({"p": np.arange(len(left)), **dict(zip(_SUMS, total))})
 
-    def ranks(counts: DataFrame, v: str, out: str) -> DataFrame:
-        ran = running(counts, ["x", "y"], [v], {"__cum": ("sum", F.col("__n"))})
-        return ran.select("x", "y", v, (F.col("__cum") - (F.col("__n") - 1) / 2.0).alias(out))
+    return _from_sums(ranked.select("s", "r").mapInPandas(products, "p bigint, " + ", ".join(f"{c} double" for c in _SUMS)), pairs)
 
-    ranked = cells.join(ranks(per_x, "xv", "rx"), ["x", "y", "xv"]).join(ranks(per_y, "yv", "ry"), ["x", "y", "yv"])
-    n, rx, ry = F.sum("n"), F.col("rx"), F.col("ry")
-    sx, sy = F.sum(F.col("n") * rx), F.sum(F.col("n") * ry)
-    sxy, sxx, syy = (F.sum(F.col("n") * a * b) for a, b in ((rx, ry), (rx, rx), (ry, ry)))
-    r = F.try_divide(sxy - sx * sy / n, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
-    return ranked.groupBy("x", "y").agg(r.alias("r"))
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _from_sums(parts: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Correlations (x, y, r) from the partial sums of pairs numbered in ``p``; pairs without a row are left out."""
+    got = parts.groupBy("p").agg(*[F.sum(c).alias(c) for c in _SUMS]).where("n > 0")
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in _SUMS)
+    spread = lambda s, ss: F.greatest(ss - s * s / n, F.lit(0.0))
+    r = F.try_divide(sxy - sx * sy / n, F.sqrt(spread(sx, sxx) * spread(sy, syy)))
+    label = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs])
+    return got.select(F.element_at(label, F.col("p").cast("int") + 1).alias("l"), r.alias("r")).select("l.x", "l.y", "r")
 
 
 def _kendall(long: DataFrame) -> DataFrame:
@@ -120,7 +163,7 @@ def corr_long(df: DataFrame, cols: Sequence[str], method: str = "pearson",
     if method == "pearson":
         out = _pearson(df, pairs)
     else:
-        out = {"spearman": _spearman, "kendall": _kendall}[method](_pairs(df, pairs))
+        out = _spearman(df, pairs) if method == "spearman" else _kendall(_pairs(df, pairs))
     return out if min_abs is None else out.where(F.abs("r") > min_abs)
 
 
@@ -152,16 +195,10 @@ def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: fl
     ranked = with_group_stats(ry, ["metric"], {"n": F.count(F.lit(1))}).withColumn(
         "cells", F.floor(F.pow(F.col("n").cast("double"), F.lit(alpha))).cast("int"))
 
-    joint = ranked.where("cells >= 4").select("metric", "n", "cells", "rx", "ry").mapInPandas(
-        _count_cells, "metric int, n bigint, a int, b int, i int, j int, c bigint").groupBy(
-        "metric", "n", "a", "b", "i", "j").agg(F.sum("c").alias("c"))
-    # Bin sizes are known from n alone, so no marginal aggregate is needed.
-    size = lambda parts, k: F.expr(f"(n div {parts}) + if({k} < n % {parts}, 1, 0)")
-    term = F.col("c") / F.col("n") * F.ln(
-        F.col("c").cast("double") * F.col("n") / (size("a", "i").cast("double") * size("b", "j")))
-    info = joint.groupBy("metric", "a", "b").agg(F.sum(term).alias("mi"))
-    score = F.col("mi") / F.ln(F.least("a", "b").cast("double"))
-    best = info.groupBy("metric").agg(F.max(score).alias("mic"))
+    # One packed row of counts for every first-axis size and partition; sizes are merged and scored where they meet.
+    counts = ranked.where("cells >= 4").select("metric", "n", "cells", "rx", "ry").mapInPandas(
+        _count_cells, "metric int, n bigint, cells int, a int, counts binary")
+    best = counts.groupBy("metric", "a").applyInPandas(_best_grid, "metric int, mic double").groupBy("metric").agg(F.max("mic").alias("mic"))
     # A metric too short for any grid keeps its row, with NULL.
     names = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(c).alias("name")) for k, c in enumerate(covars)])
     every = df.sparkSession.range(1).select(F.inline(names))
@@ -176,7 +213,7 @@ def _ntile(rank: np.ndarray, n: int, parts: int) -> np.ndarray:
 
 
 def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cell counts of this partition's rows for every grid, one first-axis size at a time."""
+    """Cell counts of this partition's rows for every grid, one first-axis size at a time, all second-axis sizes packed."""
     held: dict[tuple, list[np.ndarray]] = {}
     for pdf in batches:
         for key, g in pdf.groupby(["metric", "n", "cells"], sort=False):
@@ -184,16 +221,28 @@ def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (metric, n, cells), parts in held.items():
         width = np.int32 if n < 2**31 else np.int64
         rx, ry = np.vstack(parts).T.astype(width, order="C")
+        right = {b: _ntile(ry, n, b) for b in range(2, cells // 2 + 1)} if cells * len(ry) <= KEPT_BINS else {}
         for a in range(2, cells // 2 + 1):
             left = _ntile(rx, n, a)
-            bs, at, counts = [], [], []
-            for b in range(2, cells // a + 1):
-                c = np.bincount(left * b + _ntile(ry, n, b), minlength=a * b)
-                at.append(np.flatnonzero(c))
-                counts.append(c[at[-1]])
-                bs.append(np.full(len(at[-1]), b, dtype=np.int32))
-            b_, at_ = np.concatenate(bs), np.concatenate(at)
-            yield pd.DataFrame({"metric": metric, "n": n, "a": a, "b": b_, "i": at_ // b_, "j": at_ % b_, "c": np.concatenate(counts)})
+            each = [np.bincount(left * b + (right[b] if right else _ntile(ry, n, b)), minlength=a * b) for b in range(2, cells // a + 1)]
+            yield pd.DataFrame({"metric": [metric], "n": [n], "cells": [cells], "a": [a], "counts": [np.concatenate(each).astype(np.int64).tobytes()]})
+
+
+def _best_grid(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Highest normalised information over all grids of one first-axis size, counts of all partitions added up."""
+    metric, n, cells, a = (int(pdf[c].iloc[0]) for c in ("metric", "n", "cells", "a"))
+    total = np.frombuffer(pdf["counts"].iloc[0], np.int64).copy()
+    for raw in pdf["counts"].iloc[1:]:
+        total += np.frombuffer(raw, np.int64)
+    size = lambda parts: n // parts + (np.arange(parts) < n % parts)  # noqa: E731  bin sizes follow from n alone
+    best, at = 0.0, 0
+    for b in range(2, cells // a + 1):
+        c = total[at:at + a * b].reshape(a, b).astype(float)
+        at += a * b
+        some = c > 0
+        ratio = c * n / np.outer(size(a), size(b))
+        best = max(best, float((c[some] / n * np.log(ratio[some])).sum() / np.log(min(a, b))))
+    return pd.DataFrame({"metric": [metric], "mic": [best]})
 
 
 def select_metrics(scores: DataFrame, prof: DataFrame, category: Mapping[str, str], n: int = 5) -> DataFrame:

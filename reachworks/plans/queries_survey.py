@@ -12,7 +12,7 @@ from reachworks.operators import joins as J
 from reachworks.operators import screening as C
 from reachworks.operators import survey as G
 from reachworks.plans import views as V
-from reachworks.plans.registry import query
+from reachworks.plans.registry import query, r4
 
 # ---- abundance -----------------------------------------------------------------------
 
@@ -185,9 +185,15 @@ def _mic(t):
     return C.mic(d, ["size", "price", "effort"], "y", "p_partkey")
 
 
-@query("mic_screen", f"WITH {_MIC_SQL} SELECT metric, round(mic, 6) AS mic FROM mics")
+@query("mic_screen", f"""WITH {_MIC_SQL},
+prof AS (SELECT 'size' AS metric, var_samp(size) AS var, stddev_samp(size) / abs(avg(size)) AS cv, count(*) - count(size) AS is_na, count(CASE WHEN size <> 0 THEN 1 END) AS non_0 FROM parts
+  UNION ALL SELECT 'price', var_samp(price), stddev_samp(price) / abs(avg(price)), count(*) - count(price), count(CASE WHEN price <> 0 THEN 1 END) FROM parts
+  UNION ALL SELECT 'effort', var_samp(effort), stddev_samp(effort) / abs(avg(effort)), count(*) - count(effort), count(CASE WHEN effort <> 0 THEN 1 END) FROM parts)
+SELECT metric, round(mic, 6) AS mic, round(var, 4) AS var, round(cv, 6) AS cv, is_na, non_0 FROM mics JOIN prof USING (metric)""")
 def _(t):
-    return _mic(t).withColumn("mic", F.round("mic", 6))
+    prof = A.profile(V.part_covariates(t), ["size", "price", "effort"])
+    return J.natural_join(_mic(t), prof, "inner", ["metric"]).select(
+        "metric", F.round("mic", 6).alias("mic"), r4("var"), F.round("cv", 6).alias("cv"), "is_na", "non_0")
 
 
 @query("rank_in_category", f"""WITH {_MIC_SQL},
