@@ -182,6 +182,23 @@ def test_index_outlives_batches(spark, odd):
     assert "SortMergeJoin" in again.unseen(odd.selectExpr("unhex(sha2(text, 256)) AS digest"))._jdf.queryExecution().toString()
 
 
+def test_a_batch_may_come_again(spark, odd):
+    index = exact_dedup.scratch_index(spark)
+    first, second = odd.where("doc_id < 7"), odd.where("doc_id >= 4")
+    rows = lambda docs, batch, at=index: sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(docs, at, batch=batch).collect())
+    one, two = rows(first, "monday"), rows(second, "tuesday")
+    # As after a job that failed when only part of its digests were in: the rest is added, the rows are the same.
+    assert rows(first, "monday") == one and rows(second, "tuesday") == two and sum(k for _, _, k in one) > 0
+    assert not any(k for _, _, k in rows(first, "wednesday"))
+    digests = index.plain().groupBy("digest").count()
+    assert digests.where("count > 1").isEmpty()
+    grown = index.compact(index.path + "-grown", 128)
+    assert grown.plain().count() == digests.count() and rows(second, "tuesday", grown) == two
+    assert exact_dedup.DigestIndex(spark, grown.path).buckets == 128
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 128)
+
+
 # --- 4 pages
 
 def test_pages(spark, none):
