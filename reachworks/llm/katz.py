@@ -32,7 +32,7 @@ from reachworks.session import freeze
 
 LEVEL = 5
 EPSILON = 1e-6
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_TOKENS = 700_000
 ROW_ENTRIES = 100_000
 PAIR_BITS = 20  # of the counts in which pairs that could fill a bucket are looked for
