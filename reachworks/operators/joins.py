@@ -127,11 +127,11 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
     keys = list(keys)
     left, right = left.where(F.col(lt).isNotNull()), right.where(F.col(rt).isNotNull())
     carried = [c for c in right.columns if c not in keys]
-    # Copies of one right instant collapse to its lowest id before the scan.
+    # Copies of one right instant collapse to its lowest id before the scan, which carries the instant alone.
     r1 = right.groupBy(*keys, F.col(rt).alias("__t")).agg(
         F.min(F.struct(rid, *[c for c in carried if c != rid])).alias("__r"))
-    r = r1.select(*keys, "__t", F.lit(0).alias("__side"), F.lit(None).cast(left.schema[lid].dataType).alias("__id"),
-                  F.struct("__t", "__r").alias("__p"))
+    r = right.select(*keys, F.col(rt).alias("__t")).distinct().select(
+        *keys, "__t", F.lit(0).alias("__side"), F.lit(None).cast(left.schema[lid].dataType).alias("__id"), F.col("__t").alias("__p"))
     l = left.select(*keys, F.col(lt).alias("__t"), F.lit(1).alias("__side"), F.col(lid).alias("__id"),
                     F.lit(None).cast(r.schema["__p"].dataType).alias("__p"),
                     F.struct(*left.columns).alias("__l"))
@@ -145,9 +145,12 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lt: str
     num = lambda c: (c.cast("timestamp") if timed else c).cast("double")
     gap = lambda a, b: F.abs(num(a) - num(b))
     best = F.when(n.isNull(), p).when(p.isNull(), n).when(
-        gap(p["__t"], t) <= gap(n["__t"], t), p).otherwise(n)
-    picked = bwd.where("__side = 1").withColumn("__best", best).where(F.col("__best").isNotNull())
-    return picked.select("__l.*", *[F.col(f"__best.__r.{c}").alias(c) for c in carried])
+        gap(p, t) <= gap(n, t), p).otherwise(n)
+    picked = bwd.where("__side = 1").select("__l", best.alias("__best")).where(F.col("__best").isNotNull())
+    # The row behind the instant comes by an equi-join, spread by time even where a key is hot.
+    rows = r1.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__t", "__r")
+    on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return picked.join(rows, [*on, F.col("__best") == F.col("__t")]).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in carried])
 
 
 def tolerance_join(left: DataFrame, lookup: DataFrame, keys: Sequence[str], lt: str, rt: str,
