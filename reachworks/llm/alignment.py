@@ -41,12 +41,6 @@ _LEAD = (tokens._BYTES >= 0xC3) & (tokens._BYTES <= 0xDF)  # of two-byte charact
 _TAIL = (tokens._BYTES >= 0x80) & (tokens._BYTES < 0xC0)
 
 
-def vocabulary_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 class ByteLevel:
     """Byte-level BPE of `tokenizers`, given a text behind one space."""
 
@@ -54,7 +48,7 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or vocabulary_path("byte_bpe_50k.json"))
+        self.tokenizer = Tokenizer.from_file(path or tokens.vocabulary("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         # The usual names of bytes: printable characters stand for themselves, the others follow from U+0100 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,7 +66,7 @@ class Pieces:
     def __init__(self, path: str | None = None) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.processor = SentencePieceProcessor(model_file=path or vocabulary_path("piece_bpe_32k.model"))
+        self.processor = SentencePieceProcessor(model_file=path or tokens.vocabulary("piece_bpe_32k.model"))
         self.pieces = [self._bytes(i) for i in range(self.processor.get_piece_size())]
 
     def _bytes(self, i: int) -> bytes:

@@ -26,7 +26,7 @@ OPEN_WINDOWS = 32  # per partition
 MIN_CUT = 64  # tokens; smaller gaps are padded rather than filled with a cut piece
 FAN_IN = 64  # partitions whose leftovers one merging task takes
 END_ID = 2
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = "word_bpe_49k.json"  # a name among the public vocabularies; a path of your own may be given instead
 CACHED_WORDS = 250_000  # per task; beyond that the cache starts anew
 ROWS_OUT = 4096
 
@@ -57,12 +57,12 @@ def _plain(buf: np.ndarray) -> np.ndarray:
 class Encoder:
     """Token ids of whole documents; every distinct word of a task is tokenised once."""
 
-    def __init__(self, path: str = TOKENIZER) -> None:
+    def __init__(self, path: str | None = None) -> None:
         # Spark gives a task its cores; threads of the tokeniser would only take memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path or tokens.vocabulary(TOKENIZER))
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -234,7 +234,7 @@ def _name(level: int, group: int) -> int:
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, windows: int = OPEN_WINDOWS,
-                   min_cut: int = MIN_CUT, tokenizer: str = TOKENIZER, keep_ids: bool = False) -> DataFrame:
+                   min_cut: int = MIN_CUT, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked).
 
     A null or empty text is its end token alone. Repeated rows are packed each for itself; a null id stays null. An

@@ -30,6 +30,13 @@ def tidy(task: Callable) -> Callable:
     return run
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies on this machine; asked for in tasks, so every executor finds its own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 RELEASE_SECONDS = 1.0  # small groups follow one another faster than memory could pile up
 _released = 0.0
 
