@@ -118,7 +118,50 @@ def op10(spark, table):
     return packing.pack_documents(table("documents"))
 
 
-@query("op11_checkpointed_repair")
+def _repair_sql() -> str:
+    """The least (cost, edits) of each of the four states, turn by turn; the lines that stay travel along."""
+    def best(*options: str) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))"
+
+    def go(state: str, edit: str, cost: str, line: str | None = None, when: str = "true") -> str:
+        lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {lines}}} END"
+
+    own, stays, late = "role || ':' || text", "fault NOT IN ('blank', 'duplicate')", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    keep = lambda state, initial: go(state, "K", late, own, f"{stays} AND initial = '{initial}'")
+    recast = lambda state, role: go(state, "R", f"1 + {late}", f"'{role}:' || text", stays)
+    put = lambda state, role: go(state, "I", "5", f"'{role}:'")
+    gone = lambda state: go(state, "D", "2")
+    after = {"s0": gone("s0"), "s1": best(gone("s1"), keep("s0", "s")),
+             "s2": best(gone("s2"), *[f(s, n) for s in ("s0", "s1", "s3") for f, n in ((keep, "u"), (recast, "user"))]),
+             "s3": best(gone("s3"), keep("s2", "a"), recast("s2", "assistant"))}
+    used = best("s2", *[put(s, "user") for s in ("s0", "s1", "s3")])
+    return rf"""
+    WITH RECURSIVE bits AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                     lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, bits),
+    hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+    num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, {dialogue.HEAD}), md5(text)) AS seq FROM hurt),
+    rows_ AS (SELECT conv_id, turn, role, text, seq, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY seq) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+                     substr(lag(role) OVER (PARTITION BY conv_id ORDER BY seq), 1, 1) || substr(role, 1, 1) AS pair FROM num),
+    nothing AS (SELECT {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS s0),
+    walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS seq, s0, CASE WHEN false THEN s0 END AS s1, {put("s0", "user")} AS s2, {put("x", "assistant")} AS s3
+             FROM (SELECT DISTINCT conv_id FROM rows_), nothing, (SELECT {put("s0", "user")} AS x FROM nothing)
+      UNION ALL SELECT conv_id, seq, s0, s1, s2, {best("s3", put("s2", "assistant"))} FROM (SELECT conv_id, seq, s0, s1, {used} AS s2, s3 FROM (
+             SELECT w.conv_id, r.seq, {after["s0"]} AS s0, {after["s1"]} AS s1, {after["s2"]} AS s2, {after["s3"]} AS s3
+             FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.seq = w.seq + 1))),
+    ends AS (SELECT conv_id, {best("s0", "s3")} AS e FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) = 1),
+    stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+    SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
+@query("op11_checkpointed_repair", sql=_repair_sql())
 def op11(spark, table):
     talks = table("conversations")
     return dialogue.repair_report(dialogue.damage(talks), talks)
