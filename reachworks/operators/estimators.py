@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from reachworks.functions.scalars import Z975
-from reachworks.operators.aggregates import keep_max, n_rows
+from reachworks.operators.aggregates import n_rows
 from reachworks.operators.joins import band_count, natural_join
 
 ESTIMATE = StructType([StructField(f, DoubleType()) for f in ("N", "SE", "p", "pSE")])
@@ -185,8 +185,9 @@ def redd_density(sites: DataFrame, redds: DataFrame, on: Sequence[str], site: st
                  buffer: float, species: str, year: str, area: str, nest: str | None = None) -> DataFrame:
     """Distinct nests within the buffer per site, species and year; best year (latest on ties); per km and per area."""
     counts = band_count(sites, redds, on, site, lcol, rcol, buffer, [species, year], "n_redds", nest)
-    best = keep_max(counts.groupBy(site, species, year).agg(F.sum("n_redds").alias("n_redds")),
-                    [site, species], ["n_redds", year])
+    # The year settles ties, so the best year is one maximum.
+    yearly = counts.groupBy(site, species, year).agg(F.sum("n_redds").alias("n_redds"))
+    best = yearly.groupBy(site, species).agg(F.max(F.struct("n_redds", year)).alias("b")).select(site, species, "b.*")
     per_km = F.col("n_redds") / (2 * buffer / 1000.0)
     return natural_join(best, sites.select(site, area), "left", [site]).select(
         site, species, F.col(year).alias("max_year"), per_km.alias("redds_per_km"),

@@ -122,9 +122,12 @@ def _sandwich(inv: pd.Series, meat: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def complete(rows: DataFrame) -> DataFrame:
-    """Rows without a gap in ``__x``, ``__y`` or ``__w``."""
-    return rows.where(~F.exists("__x", lambda v: v.isNull()) & F.col("__y").isNotNull() & F.col("__w").isNotNull())
+def complete(rows: DataFrame, k: int) -> DataFrame:
+    """Rows without a gap in the ``k`` places of ``__x``, in ``__y`` or ``__w``: tests of columns, no walk over arrays."""
+    known = F.col("__y").isNotNull() & F.col("__w").isNotNull()
+    for i in range(k):
+        known = known & F.col("__x")[i].isNotNull()
+    return rows.where(known)
 
 
 def svy_lm(df: DataFrame, y: str, x: Column, k: int, w: str, by: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +137,7 @@ def svy_lm(df: DataFrame, y: str, x: Column, k: int, w: str, by: Sequence[str] =
     Rows with a gap in the response, the weight or any covariate are left out whole.
     Returns ``by, coef, inv`` with ``inv`` the inverse of X'WX.
     """
-    data = complete(df.select(*by, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")))
+    data = complete(df.select(*by, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")), k)
     xi = lambda i: F.col("__x")[i]
     xtx = F.array(*[F.sum(F.col("__w") * xi(i) * xi(j)) for i, j in _upper(k)])
     xty = F.array(*[F.sum(F.col("__w") * xi(i) * F.col("__y")) for i in range(k)])
@@ -142,7 +145,10 @@ def svy_lm(df: DataFrame, y: str, x: Column, k: int, w: str, by: Sequence[str] =
     return mom.withColumn("s", _solve("xtx", "xty")).select(*by, "s.coef", "s.inv")
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, k: int | None = None) -> Column:
+    """Inner product; with the length known, plain arithmetic that is compiled."""
+    if k:
+        return sum((a[i] * b[i] for i in range(1, k)), a[0] * b[0])
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -153,13 +159,13 @@ def design_vcov(df: DataFrame, fit: DataFrame, y: str, x: Column, k: int, w: str
     Strata with one unit add nothing ('certainty') or are centred at the grand mean ('adjust').
     Rows with a gap are left out, as in the fit.  Adds ``vcov`` to the fit table.
     """
-    rows = complete(df.select(*by, strata, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")))
+    rows = complete(df.select(*by, strata, x.alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")), k)
     if by:
         f = fit.select(*[F.col(b).alias(f"__f_{b}") for b in by], "coef")
         rows = rows.join(f, [rows[b].eqNullSafe(f[f"__f_{b}"]) for b in by])
     else:
         rows = rows.withColumn("coef", fit.select("coef").scalar())
-    resid = F.col("__y") - dot(F.col("__x"), F.col("coef"))
+    resid = F.col("__y") - dot(F.col("__x"), F.col("coef"), k)
     u = rows.withColumn("__e", F.col("__w") * resid)
     s = lambda i: F.col("__x")[i] * F.col("__e")
     per = u.groupBy(*by, strata).agg(
