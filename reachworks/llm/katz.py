@@ -32,7 +32,7 @@ from reachworks.session import freeze
 
 LEVEL = 5
 EPSILON = 1e-6
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_TOKENS = 700_000
 ROW_ENTRIES = 100_000
 PAIR_BITS = 20  # of the counts in which pairs that could fill a bucket are looked for
@@ -269,14 +269,17 @@ def _deal_tokens(buckets: int, large: dict[int, tuple[int, int]], pairs: list[tu
                     split = both[spot] == mine
                     key[split] = tokens.mix(mine[split]) + tokens.mix(np.array([chunk], np.uint64)) % turns[spot[split]]
                 bucket = (tokens.mix(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(token)
+                order = np.lexsort((history, token))
                 order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
                 at = _groups(bucket[order])
                 for a, b in zip(at, [*at[1:], len(order)]):
                     own = order[a:b]
                     first = _groups(token[own])
+                    # A word's histories stand together, so each is sent once with its number.
+                    pair = _groups(history[own] >> np.uint64(16))
+                    pair = np.union1d(pair, first)
                     out.put("tokens", int(bucket[own[0]]), chunk, token[own[first]], np.diff(np.append(first, len(own))).astype(np.uint32),
-                            _six(history[own]), _planes(doc[own] * 2 + train[doc[own]]))
+                            _six(history[own[pair]]), _planes(doc[own] * 2 + train[doc[own]]), _planes(np.diff(np.append(pair, len(own)))))
                 yield out.batch()
                 chunk += 1
     return run
@@ -304,7 +307,7 @@ def _score_words(stats: np.ndarray, d: np.ndarray, large: dict[int, tuple[int, i
                 continue
             n = np.frombuffer(r["b"], np.uint32)
             word.append(np.repeat(np.frombuffer(r["a"], np.uint64), n))
-            history.append(_from_six(r["c"]))
+            history.append(np.repeat(_from_six(r["c"]), _from_planes(r["e"])))
             code.append(_from_planes(r["d"]))
             chunks.append(r["chunk"])
             sizes.append(len(word[-1]))
