@@ -152,7 +152,9 @@ def test_dedupe_policies(spark):
 
 
 def test_levels_are_not_capped(spark):
-    assert G.levels(spark.range(1000).selectExpr("id", "string(id) as k"), "k") == sorted(str(i) for i in range(1000))
+    from reachworks.operators.survey import levels
+    assert levels(spark.createDataFrame([("b",), ("a",), (None,)], "x string"), "x") == ["a", "b"]
+    assert levels(spark.range(500), "id") == list(range(500))
 
 
 def test_fill_in_source_order(spark):
