@@ -121,7 +121,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     often = freeze(groups.where("kept").join(rows.where("n > 1").select(F.col("doc_id").alias("o")), F.col("doc_id").eqNullSafe(F.col("o")))
                    .select(F.col("doc_id"), "digest"))
     key = F.col(f"d.{doc_id}").cast("bigint").eqNullSafe(F.col("k.doc_id"))
-    plain = docs.alias("d").join(once.alias("k"), key, "left_semi")
+    # One way at every size: texts are dealt by id once and never sorted.
+    plain = docs.alias("d").join(once.hint("shuffle_hash").alias("k"), key, "left_semi")
     again = (docs.withColumn("__digest", F.unhex(F.sha2(normalised(text), 256))).alias("d")
              .join(often.alias("k"), key & (F.col("d.__digest") == F.col("k.digest")), "left_semi")
              .dropDuplicates([doc_id, "__digest"]).drop("__digest"))

@@ -485,4 +485,5 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, doc_
     """
     groups, _ = similar_sets(docs, width, percent, doc_id, text)
     gone = freeze(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(doc_id).cast("bigint") == F.col("__gone"), "left_anti")
+    # One way at every size: texts are dealt by id once and never sorted.
+    return docs.join(gone.hint("shuffle_hash"), F.col(doc_id).cast("bigint") == F.col("__gone"), "left_anti")
