@@ -61,5 +61,5 @@ def freeze(df: DataFrame) -> DataFrame:
     columnar scan of known size to plan on.
     """
     path = f"{shared_folder(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
