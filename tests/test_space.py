@@ -191,3 +191,73 @@ def test_a_cell_sees_its_own_edges_alone(spark):
     table = spark.createDataFrame([("disc", [(float(x), float(y)) for x, y in ring])], "poly_id string, ring array<struct<x:double,y:double>>")
     cells = K._polygon_cells(table, ["poly_id"], 10.0, "ring").select(F.size("__edges").alias("n"), "__odd").collect()
     assert max(r.n for r in cells) < 120 and sum(r.n == 0 and r["__odd"] for r in cells) > 200
+
+
+def test_small_polygons_meet_only_what_passes_near(spark):
+    """Many small plots in one large cell: candidates stay near the pairs, which are those of the plain test."""
+    from reachworks.operators import joins as J
+    rng = np.random.default_rng(4)
+    rings = {f"p{i}": [(x, y), (x + 30.0, y + 1.5), (x + 25.0, y + 40.0), (x - 3.0, y + 30.0)] for i, (x, y) in enumerate(rng.uniform(0, 2000, (400, 2)).tolist())}
+    pts = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 2000, (400, 2)))]
+    ends = rng.uniform(0, 2000, (40, 4))
+    table, pd_ = polys(spark, rings), spark.createDataFrame(pts, "point_id int, x double, y double")
+    sd = spark.createDataFrame([(i, 1, *map(float, e)) for i, e in enumerate(ends)], "line_id int, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    met, old = [], J.spread_join
+    def counted(left, right, on, task_pairs=None):
+        met.append(left.join(right, on).count())
+        return old(left, right, on, 50)  # hot cells are dealt over tasks
+    K.spread_join, sent = counted, K._sent
+    K._sent = lambda df, edges: df.select("*")
+    try:
+        got = {(r.point_id, r.poly_id) for r in K.pip_join(pd_, table).collect()}
+        clip = {(r.line_id, r.poly_id) for r in K.clip_reaches(sd, table, "line_id").collect()}
+        lens = {(r.line_id, r.poly_id): r.length for r in K.length_in_polygon(sd, table, ["line_id"]).collect()}
+    finally:
+        K.spread_join, K._sent = old, sent
+    assert got == {(i, n) for i, x, y in pts for n, r in rings.items() if inside(r, x, y)}
+    want = {}
+    for i, e in enumerate(ends):
+        for name, ring in rings.items():
+            t = _crossings([ring], e[:2], e[2:])
+            spans = [(max(a, 0.0), min(b, 1.0)) for a, b in zip(t[::2], t[1::2]) if min(b, 1.0) > max(a, 0.0)]
+            if spans:
+                want[i, name] = sum(b - a for a, b in spans) * math.hypot(*(e[2:] - e[:2]))
+    assert clip == set(want) and lens == pytest.approx(want)
+    assert max(met) < 400 * 40 / 3
+
+
+def test_a_dense_net_is_searched_in_small_cells(spark):
+    """Among many lines the first radius is small, results are those of all pairs and ties go to the lowest line."""
+    rng = np.random.default_rng(6)
+    segs = [(i % 9, i, *map(float, e)) for i, e in enumerate(rng.uniform(0, 1000, (150, 4)))]
+    segs += [(20, 900, *segs[3][2:]), (1, 901, *segs[5][2:])]  # the same place twice
+    pts = [(i, *map(float, p)) for i, p in enumerate(rng.uniform(-100, 1100, (600, 2)))]
+    sd = spark.createDataFrame(segs, "line_id int, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    pd_ = spark.createDataFrame(pts, "point_id int, x double, y double")
+    assert K._radii(pd_, sd, [], 500.0)[0] < 500.0 / 4
+    want = {}
+    for i, x, y in pts:
+        d, line = min((round(foot(x, y, s), 9), s[0]) for s in segs)
+        if d <= 60.0:
+            want[i] = (d, line)
+    got = {r.point_id: (round(r.snap_dist, 9), r.line_id) for r in K.snap_points(pd_, sd, 60.0).collect()}
+    assert {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in want.items()}
+    assert {r[0] for r in K.within_distance(pd_, sd, 60.0).collect()} == set(want)
+
+
+def test_roll_up_meets_one_row_a_reach(spark):
+    """Capacities are summed per reach before they meet polygons, with the results of joining every row."""
+    rng = np.random.default_rng(9)
+    rings = {"a": [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0), (0.0, 50.0)], "b": [(30.0, 30.0), (90.0, 30.0), (90.0, 90.0), (30.0, 90.0)]}
+    ends = rng.uniform(0, 100, (20, 4))
+    sd = spark.createDataFrame([(i, i, *map(float, e)) for i, e in enumerate(ends)], "reach_id int, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    rows = [(int(r), float(k + 1), float(k % 5), 0.5 if k % 3 else None, bool(k % 4), "xy"[k % 2]) for k, r in enumerate(rng.integers(0, 20, 300))]
+    caps = spark.createDataFrame(rows, "reach_id int, length double, cap double, se double, in_domain boolean, species string")
+    inside_ = {(r.reach_id, r.poly_id) for r in K.clip_reaches(sd, polys(spark, rings), "reach_id").collect()}
+    got = {(r.poly_id, r.species): (r.n_rchs, r.tot_length, r.tot_cap) for r in U.rollup_all(polys(spark, rings), sd, caps, "reach_id", ["species"]).collect()}
+    traps = {(r.poly_id, r.species): (r.n_rch, r.tot_length, r.cap) for r in U.trap_capacity(K.clip_reaches(sd, polys(spark, rings), "reach_id"), ["poly_id", "species"], caps=caps).collect()}
+    for found, dom in ((got, True), (traps, False)):
+        for p in rings:
+            for s in "xy":
+                mine = [r for r in rows if (r[0], p) in inside_ and r[5] == s and (r[4] or not dom)]
+                assert found[p, s] == pytest.approx((len({r[0] for r in mine}), sum(r[1] for r in mine), sum(r[1] * r[2] for r in mine)))
