@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,12 @@ from reachworks.operators.joins import natural_join, with_group_stats
 from reachworks.operators.ordered import group_sizes, running
 from reachworks.session import freeze
 
-# Second-axis bins of all sizes that a task keeps rather than works out anew for every first-axis size.
-KEPT_BINS = 20_000_000
+# Ranks of one column that a task counts into its grids (16 bytes each), and of one packed row.
+BLOCK_RANKS = 8_000_000
+PIECE_RANKS = 250_000
+# Ranks times grids of one task, and the most tasks that a block of ranks is sent to.
+TASK_COUNTS = 1e9
+MOST_TASKS = 256
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -179,11 +184,12 @@ def collinear(df: DataFrame, category: Mapping[str, str], limit: float = 0.7,
     return corr_by_category(df, category, method).where(F.abs("r") > limit)
 
 
-def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: float = 0.6) -> DataFrame:
+def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: float = 0.6, block_ranks: int = BLOCK_RANKS) -> DataFrame:
     """Maximal information coefficient over equal-frequency grids with a*b <= n**alpha cells.
 
     Ranks come from one ordered scan per axis; every grid is then a function of the two ranks.
-    Each partition counts its own rows into all grids and only cell counts are shuffled.
+    A task has one block of ranks and a share of the grids.  A metric of one block is scored where it is counted; of
+    longer ones the counts of a grid meet, a row for each block.
     """
     long = df.select(tie, F.inline(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(c).cast("double").alias("xv"), F.col(response).cast("double").alias("yv"))
@@ -195,54 +201,81 @@ def mic(df: DataFrame, covars: Sequence[str], response: str, tie: str, alpha: fl
     ranked = with_group_stats(ry, ["metric"], {"n": F.count(F.lit(1))}).withColumn(
         "cells", F.floor(F.pow(F.col("n").cast("double"), F.lit(alpha))).cast("int"))
 
-    # One packed row of counts for every first-axis size and partition; sizes are merged and scored where they meet.
-    counts = ranked.where("cells >= 4").select("metric", "n", "cells", "rx", "ry").mapInPandas(
-        _count_cells, "metric int, n bigint, cells int, a int, counts binary")
-    best = counts.groupBy("metric", "a").applyInPandas(_best_grid, "metric int, mic double").groupBy("metric").agg(F.max("mic").alias("mic"))
+    piece = min(PIECE_RANKS, block_ranks)
+    tasks = F.least(F.ceil(F.col("n") * F.col("cells") * F.ln("cells") / TASK_COUNTS), F.lit(MOST_TASKS)).cast("int")
+    packed = ranked.where("cells >= 4").select("metric", "n", "cells", "rx", "ry", F.expr(f"int((rx - 1) div {piece})").alias("piece")).groupBy("metric", "n", "cells", "piece").applyInArrow(
+        _pack_ranks, "metric int, n bigint, cells int, piece int, rx binary, ry binary")
+    block = {"block": F.expr(f"int(piece div {max(1, block_ranks // piece)})"), "one": F.col("n") <= max(1, block_ranks // piece) * piece, "tasks": tasks}
+    shared = packed.withColumns(block).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    # Few bytes and much work: tasks are not to be merged by size.
+    keys, parts = ("metric", "block", "task"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = freeze(shared.repartition(parts, *keys).groupBy(*keys).applyInArrow(_count_cells, "metric int, n bigint, a int, b int, counts binary, mic double"))
+    merged = counts.where("counts is not null").groupBy("metric", "a", "b").applyInPandas(_merge_grid, "metric int, mic double")
+    best = counts.where("counts is null").select("metric", "mic").unionByName(merged).groupBy("metric").agg(F.max("mic").alias("mic"))
     # A metric too short for any grid keeps its row, with NULL.
     names = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(c).alias("name")) for k, c in enumerate(covars)])
     every = df.sparkSession.range(1).select(F.inline(names))
     return every.join(best, "metric", "left").select(F.col("name").alias("metric"), "mic")
 
 
-def _ntile(rank: np.ndarray, n: int, parts: int) -> np.ndarray:
-    """Zero-based ntile of one-based ranks: the first n % parts bins hold one row more."""
-    small, extra = divmod(n, parts)
-    edge, r = extra * (small + 1), rank - 1
-    return np.where(r < edge, r // (small + 1), extra + (r - edge) // max(small, 1))
-
-
-def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cell counts of this partition's rows for every grid, one first-axis size at a time, all second-axis sizes packed."""
-    held: dict[tuple, list[np.ndarray]] = {}
-    for pdf in batches:
-        for key, g in pdf.groupby(["metric", "n", "cells"], sort=False):
-            held.setdefault(key, []).append(g[["rx", "ry"]].to_numpy())
-    for (metric, n, cells), parts in held.items():
-        width = np.int32 if n < 2**31 else np.int64
-        rx, ry = np.vstack(parts).T.astype(width, order="C")
-        right = {b: _ntile(ry, n, b) for b in range(2, cells // 2 + 1)} if cells * len(ry) <= KEPT_BINS else {}
-        for a in range(2, cells // 2 + 1):
-            left = _ntile(rx, n, a)
-            each = [np.bincount(left * b + (right[b] if right else _ntile(ry, n, b)), minlength=a * b) for b in range(2, cells // a + 1)]
-            yield pd.DataFrame({"metric": [metric], "n": [n], "cells": [cells], "a": [a], "counts": [np.concatenate(each).astype(np.int64).tobytes()]})
-
-
-def _best_grid(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Highest normalised information over all grids of one first-axis size, counts of all partitions added up."""
-    metric, n, cells, a = (int(pdf[c].iloc[0]) for c in ("metric", "n", "cells", "a"))
-    total = np.frombuffer(pdf["counts"].iloc[0], np.int64).copy()
-    for raw in pdf["counts"].iloc[1:]:
+def _bin_sizes(n: int, parts: int) -> np.ndarray:
+    """Rows of the bins of ntile: the first n % parts hold one more."""
+    return n // parts + (np.arange(parts) < n % parts)
+
+
+def _bins(sorted_ranks: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """Zero-based ntile of one-based ranks in ascending order."""
+    first = np.cumsum(_bin_sizes(n, parts)) + 1
+    ends = np.searchsorted(sorted_ranks, first, "left")
+    return np.repeat(np.arange(parts), np.diff(ends, prepend=0))
+
+
+def _pack_ranks(table: pa.Table) -> pa.Table:
+    packed = {c: pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("rx", "ry")}
+    return pa.table({**{c: table.column(c)[:1] for c in ("metric", "n", "cells", "piece")}, **packed})
+
+
+def _score(counts: np.ndarray, n: int, a: int, b: int) -> float:
+    """Information of one grid over its highest possible value."""
+    c = counts.reshape(a, b).astype(float)
+    some = c > 0
+    ratio = c * n / np.outer(_bin_sizes(n, a), _bin_sizes(n, b))
+    return float((c[some] / n * np.log(ratio[some])).sum() / np.log(min(a, b)))
+
+
+def _count_cells(table: pa.Table) -> pa.Table:
+    """Counts of this block's ranks in this task's grids, or the best score where the block is all there is."""
+    metric, n, cells, one, task, tasks = (table.column(c)[0].as_py() for c in ("metric", "n", "cells", "one", "task", "tasks"))
+    rx, ry = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("rx", "ry"))
+    by_x, by_y = np.argsort(rx), np.argsort(ry)
+    rx, at = rx[by_x], np.empty(len(by_x), np.int64)
+    at[by_x] = np.arange(len(by_x))
+    at, ry = at[by_y], ry[by_y]
+    grids = sum(cells // a - 1 for a in range(2, cells // 2 + 1))
+    low, high, seen, best, out = grids * task // tasks, grids * (task + 1) // tasks, 0, 0.0, []
+    for a in range(2, cells // 2 + 1):
+        here = range(max(low - seen, 0) + 2, min(high - seen, cells // a - 1) + 2)
+        seen += cells // a - 1
+        left = _bins(rx, n, a)[at] if here else None
+        for b in here:
+            counts = np.bincount(left * b + _bins(ry, n, b), minlength=a * b)
+            if one:
+                best = max(best, _score(counts, n, a, b))
+            else:
+                out.append((a, b, counts.astype(np.int64).tobytes()))
+    rows = [(None, None, None)] if one else out
+    kinds = {"a": pa.int32(), "b": pa.int32(), "counts": pa.binary()}
+    return pa.table({"metric": pa.array([metric] * len(rows), pa.int32()), "n": pa.array([n] * len(rows), pa.int64()),
+                     **{c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())}, "mic": pa.array([best if one else None] * len(rows), pa.float64())})
+
+
+def _merge_grid(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Score of one grid, the counts of all blocks added up."""
+    metric, n, a, b = (int(pdf[c].iloc[0]) for c in ("metric", "n", "a", "b"))
+    total = np.zeros(a * b, np.int64)
+    for raw in pdf["counts"]:
         total += np.frombuffer(raw, np.int64)
-    size = lambda parts: n // parts + (np.arange(parts) < n % parts)  # noqa: E731  bin sizes follow from n alone
-    best, at = 0.0, 0
-    for b in range(2, cells // a + 1):
-        c = total[at:at + a * b].reshape(a, b).astype(float)
-        at += a * b
-        some = c > 0
-        ratio = c * n / np.outer(size(a), size(b))
-        best = max(best, float((c[some] / n * np.log(ratio[some])).sum() / np.log(min(a, b))))
-    return pd.DataFrame({"metric": [metric], "mic": [best]})
+    return pd.DataFrame({"metric": [metric], "mic": [_score(total, n, a, b)]})
 
 
 def select_metrics(scores: DataFrame, prof: DataFrame, category: Mapping[str, str], n: int = 5) -> DataFrame:

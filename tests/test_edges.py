@@ -199,3 +199,12 @@ def test_rank_correlations_rank_a_column_once(spark):
     got = {(r.x, r.y): r.r for r in C.corr_long(df, df.columns, "spearman").collect()}
     want = pd.DataFrame(x, columns=df.columns).corr("spearman")
     assert len(got) == 30 * 29 // 2 and all(r == pytest.approx(want.loc[a, b], abs=1e-9) for (a, b), r in got.items())
+
+
+def test_mic_does_not_depend_on_blocks(spark):
+    """One block of ranks scores its grids at once; several send the counts of a grid, and results agree."""
+    from reachworks.operators import screening as C
+    df = spark.range(400).selectExpr("id", "cast(id % 37 as double) as x", "cast((id * id) % 101 as double) as y", "cast(if(id % 3 = 0, null, id % 50) as double) as z").repartition(7)
+    want = {r.metric: r.mic for r in C.mic(df, ["x", "z"], "y", "id").collect()}
+    got = {r.metric: r.mic for r in C.mic(df, ["x", "z"], "y", "id", block_ranks=90).collect()}
+    assert got == pytest.approx(want) and all(0 < v < 1 for v in want.values())
