@@ -318,3 +318,15 @@ def test_a_failing_group_leaves_the_rest(spark):
     d = spark.createDataFrame([(k, float(x), 2.0 * x + k) for k in (1, 2) for x in range(50)] + [(3, 1.0, 1.0), (3, 1.0, 2.0)], "c_nationkey int, x double, y double")
     got = {r.c_nationkey: r for r in W.grouped_map(d.repartition(5), ["c_nationkey"], _sums, _SUMS, _slope, _FIT, fan_in=2).collect()}
     assert got[1].slope == pytest.approx(2) and got[2].intercept == pytest.approx(2) and got[3].status == "failed" and got[3].slope is None
+
+
+def test_pmm_broadcasts_no_table_of_rows(spark, monkeypatch):
+    """Rows exploded over the draws look small to the planner; only the coefficients of the draws are sent to every task."""
+    sent, real = [], I.nearest_join
+    def watched(need, donors, *a):
+        sent.append(donors._jdf.queryExecution().optimizedPlan().toString())
+        return real(need, donors, *a)
+    monkeypatch.setattr(I, "nearest_join", watched)
+    d = spark.range(60).select("id", F.when(F.col("id") % 5 != 0, F.col("id") * 2.0).alias("x"), (F.col("id") * 1.0).alias("y"))
+    got = I.impute_missing(d, ["x", "y"], "id", max_missing=2, method="pmm", draws=2)
+    assert got.where("x is null").isEmpty() and "strategy=broadcast" in sent[0]
