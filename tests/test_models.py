@@ -90,6 +90,28 @@ def test_trees_grow_to_their_leaf_size(spark):
     assert forest.model.trees[0].depth > 10 and forest.model.trees[0].numNodes > 31
 
 
+def test_trees_do_not_depend_on_where_they_grow(spark):
+    """Nodes of many rows are split from summed histograms, those below in one task; both ways give the same forest."""
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), int(b), f"h{c}", float(a * (b % 3) + c % 4 + e)) for i, (a, b, c, e) in enumerate(zip(rng.normal(size=900), rng.integers(0, 9, 900), rng.integers(0, 6, 900), rng.normal(size=900) / 5))]
+    df = spark.createDataFrame(rows, "id int, x double, k int, h string, y double")
+    one, split = (Q.fit_forest(df.repartition(n), ["x", "k", "h"], "y", ntree=3, factors=["h"], sub_rows=m) for n, m in ((2, 10**6), (5, 150)))
+    assert len(one.model.first) == 3 < len(split.model.first) and one.model.trees == split.model.trees
+    assert one.model.importance == pytest.approx(split.model.importance)
+    a, b = ({r.id: r["__leaves"] for r in Q.reached(f, df).collect()} for f in (one, split))
+    assert a == b and len(a) == 900
+    values = [{(r.tree, r.leaf): r.value for r in Q.leaf_values(f).collect()} for f in (one, split)]
+    assert values[0] == pytest.approx(values[1])
+
+
+def test_a_tree_of_all_rows_holds_their_means(spark):
+    rows = spark.range(300).select(F.col("id"), (F.col("id") % 20).cast("double").alias("x"), (F.col("id") % 20 * F.col("id") % 7 + F.col("id") % 20).cast("double").alias("y"))
+    forest = Q.fit_forest(rows, ["x"], "y", ntree=1, sub_rows=100)
+    found = Q.reached(forest, rows).groupBy(F.col("__leaves")[0].alias("leaf")).agg(F.avg("y").alias("m"), F.count("y").alias("n"), F.min("x").alias("x")).orderBy("x").collect()
+    assert [r.leaf for r in found] == list(range(len(found))) and min(r.n for r in found) >= 5
+    assert {r.leaf: r.value for r in Q.leaf_values(forest).collect()} == pytest.approx({r.leaf: r.m for r in found})
+
+
 def test_factor_moves_the_partial_dependence(spark):
     rows = spark.range(600).select("id", (F.col("id") % 50).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "pool").otherwise("riffle").alias("f"))
     rows = rows.withColumn("y", F.col("x") / 50 + F.when(F.col("f") == "pool", 10.0).otherwise(1.0))
