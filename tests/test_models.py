@@ -74,6 +74,18 @@ def test_forest_quantiles(cov):
         assert {r.id: r.pred for r in Q.predict_quantile(forest, leaves, cov, 0.9, "id", chunk_rows=chunk_rows, block_cells=cells).collect()} == pytest.approx(last)
 
 
+def test_few_large_leaves_are_searched_by_ranges(spark, monkeypatch):
+    """No row is sent once a chunk with its masses: it goes to the range of its quantile, also where one value fills a third of the rows."""
+    monkeypatch.setattr(Q, "_read_cuts", lambda *a: pytest.fail("masses of every chunk are sent"))
+    ids = F.array(*[F.expr(f"int((id * {7 + k} + id div {3 + k}) % {5 + k})") for k in range(3)])
+    rows = spark.range(900).select("id", ids.alias("ids"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 7919 % 1013 / 1.0).alias("y"))
+    leaves = Q.leaf_table(rows, "y", "ids")
+    each = rows.select("id", F.posexplode("ids").alias("tree", "leaf")).join(leaves, ["tree", "leaf"])
+    for q in (0.2, 0.9):
+        plain = {r.id: r.q for r in Q.weighted_quantile(each, ["id"], "y", "w", q).collect()}
+        assert {r.id: r.q for r in Q.quantile_of_leaves(leaves, rows, q, "id", "ids", chunk_rows=1000, block_cells=1200).collect()} == plain and len(plain) == 900
+
+
 def test_rows_with_gaps_and_unknown_levels_stay(spark, cov):
     forest = Q.fit_forest(cov, ["x1", "h"], "y", ntree=5, factors=["h"])
     leaves = Q.leaf_weights(forest, cov, "y")
