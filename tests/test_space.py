@@ -261,3 +261,53 @@ def test_roll_up_meets_one_row_a_reach(spark):
             for s in "xy":
                 mine = [r for r in rows if (r[0], p) in inside_ and r[5] == s and (r[4] or not dom)]
                 assert found[p, s] == pytest.approx((len({r[0] for r in mine}), sum(r[1] for r in mine), sum(r[1] * r[2] for r in mine)))
+
+
+def _shapes(spark):
+    """Plots of every kind: convex, with a convex hole, with a hole across the edge, of a bent outline, one twice, one large."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i, (x, y) in enumerate(rng.uniform(0, 900, (60, 2)).tolist()):
+        plot = [(x, y), (x + 40.0, y + 1.5), (x + 35.0, y + 50.0), (x - 3.0, y + 40.0)]
+        more = {0: [], 1: [[(x + 10, y + 10), (x + 12, y + 25), (x + 20, y + 12)]], 2: [[(x + 30, y + 10), (x + 60, y + 12), (x + 32, y + 30)]]}.get(i % 4)
+        rings = [[*plot[:3], (x + 20.0, y + 10.0), plot[3]]] if more is None else [plot, *more]
+        rows.append((f"p{i}", [[{"x": a, "y": b} for a, b in r] for r in rings]))
+    rows += [rows[0], ("all", [[{"x": a, "y": b} for a, b in ((-10.0, -10.0), (990.0, -10.0), (990.0, 995.0), (-10.0, 995.0))]])]
+    table = spark.createDataFrame(rows, "poly_id string, ring array<array<struct<x:double,y:double>>>")
+    lines = [(int(i % 3) if i % 7 else None, i, *map(float, e)) for i, e in enumerate(rng.uniform(-50, 1000, (40, 4)))] + [(1, 40, 5.0, 5.0, 5.0, 5.0)]
+    sd = spark.createDataFrame(lines, "stream int, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    pts = [(i, *map(float, p), float(i % 5) if i % 6 else None, 0.5 if i % 4 else None) for i, p in enumerate(rng.uniform(0, 950, (500, 2)))] + [(3, 400.0, 400.0, 9.0, 1.0)]
+    return table, sd, spark.createDataFrame(pts, "point_id int, x double, y double, cap double, se double")
+
+
+def _rounded(df):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=lambda r: [str(v) for v in r if not isinstance(v, float)])
+
+
+def test_pairs_of_small_polygons_are_never_rows(spark, monkeypatch):
+    """Lengths, sums and capacities of small polygons come out of the task that has them, as if cut into cells."""
+    from reachworks.operators import passing
+    table, sd, pts = _shapes(spark)
+    caps = spark.createDataFrame([(i % 40, float(i % 9 + 1), None if i % 5 == 0 else float(i % 4), 0.1 * (i % 3), True, "a" if i % 2 else None) for i in range(120)],
+                                 "seg_no int, length double, cap double, se double, in_domain boolean, species string")
+    sums = lambda cell: U.rollup_all(table, sd, caps, "seg_no", ["species"], cell=cell)
+    every = {
+        "lengths": lambda cell: K.length_in_polygon(sd, table, ["stream"], cell=cell), "pairs": lambda cell: K.clip_reaches(sd, table, "stream", cell=cell),
+        "sums": sums, "streams": lambda cell: U.watershed_cap(table, pts, sd, "stream", max_snap=20.0, by_stream=True, cell=cell).select(
+            "poly_id", "stream", "is_total", "n_pts", "tot_length", "cap_per_m", "cap_per_m_se", "tot_cap", "tot_cap_se", "area")}
+    monkeypatch.setattr(passing, "PAIRS", 7)
+    monkeypatch.setattr(K, "TASK_TESTS", 300)  # cells are dealt over tasks
+    cut = {k: _rounded(f(30.0)) for k, f in every.items()}
+    met, old = [], K.spread_join
+    def counted(left, right, on, task_pairs=None):
+        if "__edges" in right.columns:
+            met.append(right.where("__k is not null").count() if "__k" in right.columns else 0)
+        return old(left, right, on, task_pairs)
+    monkeypatch.setattr(K, "spread_join", counted)
+    whole = {k: _rounded(f(300.0)) for k, f in every.items()}
+    for k in every:
+        assert len(whole[k]) == len(cut[k]) > 10
+        for a, b in zip(whole[k], cut[k]):
+            floats = [[v for v in r if isinstance(v, float)] for r in (a, b)]
+            assert [v for v in a if not isinstance(v, float)] == [v for v in b if not isinstance(v, float)] and floats[0] == pytest.approx(floats[1], abs=2e-6)
+    assert sum(met) <= 2  # the copies of one id
