@@ -364,3 +364,32 @@ def test_pmm_broadcasts_no_table_of_rows(spark, monkeypatch):
     d = spark.range(60).select("id", F.when(F.col("id") % 5 != 0, F.col("id") * 2.0).alias("x"), (F.col("id") * 1.0).alias("y"))
     got = I.impute_missing(d, ["x", "y"], "id", max_missing=2, method="pmm", draws=2)
     assert got.where("x is null").isEmpty() and "strategy=broadcast" in sent[0]
+
+
+def test_forest_queries_grow_all_their_trees(spark, tmp_path, monkeypatch):
+    """fit_forest and rf_extrapolate ask for as many trees as the operators grow by themselves."""
+    from reachworks.plans import catalog
+    parts = [(i, f"Brand#{i % 3}", "T", i % 50 + 1, 900.0 + i % 90) for i in range(160)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(i % 160, float(i % 7 + 1), 100.0 + i * 13 % 997) for i in range(800)]
+    spark.createDataFrame(items, "l_partkey bigint, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, real = [], Q.fit_forest
+    def counted(df, covars, label, ntree=1000, *more, **kw):
+        seen.append(ntree)
+        return real(df, covars, label, 3, *more, **kw)
+    monkeypatch.setattr(Q, "fit_forest", counted)
+    for name in ("fit_forest", "rf_extrapolate"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 100
+    assert seen == [1000, 1000, 2000, 2000]
+
+
+def test_spread_of_trees_needs_no_leaf_ids(spark, monkeypatch):
+    """Mean and SD over the trees, worked out where a row's trees meet, are those of the leaves' values."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(a), float(a * 3 + b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))] + [(900, None, 1.0)], "id int, x double, y double")
+    forest = Q.fit_forest(df, ["x"], "y", ntree=7)
+    slow = {r.id: (r.pred_cap, r.pred_se) for r in Q.tree_spread(forest, df, "id", chunk_rows=50).collect()}
+    monkeypatch.setattr(Q, "spread_of_leaves", None)
+    fast = {r.id: (r.pred_cap, r.pred_se) for r in Q.tree_spread(forest, df, "id").collect()}
+    assert fast.pop(900) == slow.pop(900) == (None, None)
+    assert {k: pytest.approx(v) for k, v in slow.items()} == fast
